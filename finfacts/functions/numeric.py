@@ -15,16 +15,21 @@ def safe_div(n, d) -> Column:
     return _c(n) / F.nullif(_c(d), F.lit(0))
 
 
+def round_to(x, digits: int) -> Column:
+    """``round`` with signed zero folded to +0.0 (engines differ on ``round(-0.001, 2)``)."""
+    return F.round(_c(x), digits) + F.lit(0.0)
+
+
 def ratio_pct(n, d, digits: int = 2) -> Column:
     """``round(n / d * 100, 2)`` as in the ratio ranking."""
-    return F.round(safe_div(n, d) * 100, digits)
+    return round_to(safe_div(n, d) * 100, digits)
 
 
 def growth(cur, prior, digits: int = 4) -> Column:
     """``round((v - p) / |p|, 4)``; null when the prior value is null or zero."""
     p = _c(prior)
     return F.when(p.isNotNull() & (p != 0) & _c(cur).isNotNull(),
-                  F.round((_c(cur) - p) / F.abs(p), digits))
+                  round_to((_c(cur) - p) / F.abs(p), digits))
 
 
 def exact_sum(x, scale: int = 4) -> Column:

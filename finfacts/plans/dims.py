@@ -113,3 +113,116 @@ def values_sql(rows, cols, types=None) -> str:
 def catalogue_values_sql() -> str:
     return values_sql(single_metrics(), ["metric", "statement", "tag", "frequency", "negate", "exclude_financial"],
                       ["VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR", "BOOLEAN", "BOOLEAN"])
+
+
+# ---------------------------------------------------------------------------
+# SIC -> (sector, industry) rules, keyed by prefix length (2, 3 or 4 digits).
+# Built from the public SIC major-group structure: every 2-digit major group gets
+# a GICS-style sector; a few 3- and 4-digit groups refine the industry where the
+# major group spans several sectors. The most specific prefix wins.
+_S_EN, _S_MA, _S_IN, _S_CD, _S_CS = "Energy", "Materials", "Industrials", "Consumer Discretionary", "Consumer Staples"
+_S_HC, _S_FI, _S_IT, _S_CO, _S_UT, _S_RE = ("Health Care", "Financials", "Information Technology",
+                                            "Communication Services", "Utilities", "Real Estate")
+SIC_MAJOR_GROUPS = [
+    ("01", _S_CS, "Agricultural Production - Crops"), ("02", _S_CS, "Agricultural Production - Livestock"),
+    ("07", _S_CS, "Agricultural Services"), ("08", _S_MA, "Forestry"), ("09", _S_CS, "Fishing, Hunting & Trapping"),
+    ("10", _S_MA, "Metal Mining"), ("12", _S_EN, "Coal Mining"), ("13", _S_EN, "Oil & Gas Extraction"),
+    ("14", _S_MA, "Nonmetallic Minerals Mining"), ("15", _S_CD, "Homebuilding"),
+    ("16", _S_IN, "Heavy Construction"), ("17", _S_IN, "Construction Special Trade Contractors"),
+    ("20", _S_CS, "Food & Kindred Products"), ("21", _S_CS, "Tobacco Products"),
+    ("22", _S_CD, "Textile Mill Products"), ("23", _S_CD, "Apparel & Textile Products"),
+    ("24", _S_MA, "Lumber & Wood Products"), ("25", _S_CD, "Furniture & Fixtures"),
+    ("26", _S_MA, "Paper & Allied Products"), ("27", _S_CO, "Printing & Publishing"),
+    ("28", _S_MA, "Chemicals & Allied Products"), ("29", _S_EN, "Petroleum Refining"),
+    ("30", _S_MA, "Rubber & Plastics Products"), ("31", _S_CD, "Leather Products"),
+    ("32", _S_MA, "Stone, Clay, Glass & Concrete"), ("33", _S_MA, "Primary Metals"),
+    ("34", _S_IN, "Fabricated Metal Products"), ("35", _S_IN, "Industrial Machinery & Equipment"),
+    ("36", _S_IT, "Electronic & Electrical Equipment"), ("37", _S_IN, "Transportation Equipment"),
+    ("38", _S_IT, "Instruments & Related Products"), ("39", _S_CD, "Miscellaneous Manufacturing"),
+    ("40", _S_IN, "Railroads"), ("41", _S_IN, "Passenger Transit"), ("42", _S_IN, "Trucking & Warehousing"),
+    ("43", _S_IN, "Postal Service"), ("44", _S_IN, "Water Transportation"), ("45", _S_IN, "Air Transportation"),
+    ("46", _S_EN, "Pipelines"), ("47", _S_IN, "Transportation Services"), ("48", _S_CO, "Communications"),
+    ("49", _S_UT, "Electric, Gas & Sanitary Services"), ("50", _S_IN, "Wholesale - Durable Goods"),
+    ("51", _S_CS, "Wholesale - Nondurable Goods"), ("52", _S_CD, "Building Materials & Garden Supply"),
+    ("53", _S_CD, "General Merchandise Stores"), ("54", _S_CS, "Food Stores"),
+    ("55", _S_CD, "Automotive Dealers & Service Stations"), ("56", _S_CD, "Apparel & Accessory Stores"),
+    ("57", _S_CD, "Home Furniture & Equipment Stores"), ("58", _S_CD, "Eating & Drinking Places"),
+    ("59", _S_CD, "Miscellaneous Retail"), ("60", _S_FI, "Depository Institutions"),
+    ("61", _S_FI, "Nondepository Credit Institutions"), ("62", _S_FI, "Security & Commodity Brokers"),
+    ("63", _S_FI, "Insurance Carriers"), ("64", _S_FI, "Insurance Agents & Brokers"),
+    ("65", _S_RE, "Real Estate"), ("67", _S_FI, "Holding & Investment Offices"),
+    ("70", _S_CD, "Hotels & Lodging"), ("72", _S_CD, "Personal Services"), ("73", _S_IN, "Business Services"),
+    ("75", _S_CD, "Automotive Repair & Services"), ("76", _S_IN, "Miscellaneous Repair Services"),
+    ("78", _S_CO, "Motion Pictures"), ("79", _S_CD, "Amusement & Recreation"), ("80", _S_HC, "Health Services"),
+    ("81", _S_IN, "Legal Services"), ("82", _S_CD, "Educational Services"), ("83", _S_HC, "Social Services"),
+    ("84", _S_CD, "Museums & Gardens"), ("86", _S_IN, "Membership Organizations"),
+    ("87", _S_IN, "Engineering & Management Services"), ("89", _S_IN, "Services, Not Elsewhere Classified"),
+]
+SIC_REFINEMENTS = [
+    ("131", _S_EN, "Crude Petroleum & Natural Gas"), ("138", _S_EN, "Oil & Gas Field Services"),
+    ("283", _S_HC, "Pharmaceuticals"), ("2834", _S_HC, "Pharmaceutical Preparations"),
+    ("2836", _S_HC, "Biotechnology"), ("284", _S_CS, "Household & Personal Products"),
+    ("357", _S_IT, "Technology Hardware"), ("366", _S_IT, "Communications Equipment"),
+    ("367", _S_IT, "Electronic Components"), ("3674", _S_IT, "Semiconductors"),
+    ("371", _S_CD, "Automobiles & Components"), ("372", _S_IN, "Aerospace & Defense"),
+    ("384", _S_HC, "Health Care Equipment"), ("481", _S_CO, "Telecommunication Services"),
+    ("483", _S_CO, "Broadcasting"), ("484", _S_CO, "Cable & Satellite"), ("491", _S_UT, "Electric Utilities"),
+    ("492", _S_UT, "Gas Utilities"), ("494", _S_UT, "Water Utilities"), ("602", _S_FI, "Commercial Banks"),
+    ("6021", _S_FI, "National Commercial Banks"), ("603", _S_FI, "Thrifts & Mortgage Finance"),
+    ("631", _S_FI, "Life Insurance"), ("6798", _S_RE, "Real Estate Investment Trusts"),
+    ("737", _S_IT, "Software & IT Services"), ("7372", _S_IT, "Software"), ("7374", _S_IT, "IT Services"),
+    ("5812", _S_CD, "Restaurants"), ("5961", _S_CD, "Internet & Direct Marketing Retail"),
+    ("806", _S_HC, "Health Care Facilities"),
+]
+SECTOR_FALLBACK = "Other / Nonclassifiable"
+INDUSTRY_FALLBACK = "Nonclassifiable"
+
+# Ticker overrides that win over the SIC rules (ticker, sector, industry).
+TICKER_OVERRIDES = [
+    ("SHW", "Materials", "Paints & Coatings"),
+    ("GOOGL", "Communication Services", "Interactive Media & Services"),
+    ("GOOG", "Communication Services", "Interactive Media & Services"),
+    ("META", "Communication Services", "Interactive Media & Services"),
+    ("PINS", "Communication Services", "Interactive Media & Services"),
+    ("SNAP", "Communication Services", "Interactive Media & Services"),
+    ("MTCH", "Communication Services", "Interactive Media & Services"),
+    ("BMBL", "Communication Services", "Interactive Media & Services"),
+    ("DIS", "Communication Services", "Movies & Entertainment"),
+    ("WBD", "Communication Services", "Movies & Entertainment"),
+    ("V", "Information Technology", "IT Services"),
+    ("MA", "Information Technology", "IT Services"),
+    ("PYPL", "Information Technology", "IT Services"),
+    ("FIS", "Information Technology", "IT Services"),
+    ("FI", "Information Technology", "IT Services"),
+    ("GPN", "Information Technology", "IT Services"),
+    ("NKE", "Consumer Discretionary", "Apparel, Accessories & Luxury Goods"),
+    ("CROX", "Consumer Discretionary", "Apparel, Accessories & Luxury Goods"),
+    ("DECK", "Consumer Discretionary", "Apparel, Accessories & Luxury Goods"),
+    ("ONON", "Consumer Discretionary", "Apparel, Accessories & Luxury Goods"),
+]
+
+
+def sic_rule_rows() -> list[tuple[int, int, str, str]]:
+    """(level, prefix, sector, industry); level = number of SIC digits in the prefix."""
+    return [(len(code), int(code), sector, industry) for code, sector, industry in SIC_MAJOR_GROUPS + SIC_REFINEMENTS]
+
+
+SIC_RULE_SCHEMA = "level int, prefix int, sector string, industry string"
+OVERRIDE_SCHEMA = "ticker string, sector string, industry string"
+
+
+def sic_rules_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sic_rule_rows(), SIC_RULE_SCHEMA)
+
+
+def overrides_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TICKER_OVERRIDES, OVERRIDE_SCHEMA)
+
+
+def sic_rules_sql() -> str:
+    return values_sql(sic_rule_rows(), ["level", "prefix", "sector", "industry"],
+                      ["INTEGER", "INTEGER", "VARCHAR", "VARCHAR"])
+
+
+def overrides_sql() -> str:
+    return values_sql(TICKER_OVERRIDES, ["ticker", "sector", "industry"], ["VARCHAR", "VARCHAR", "VARCHAR"])
