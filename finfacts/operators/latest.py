@@ -35,25 +35,27 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Se
     return picked.select(*out).select(*keys, *payload)
 
 
-def period_index(df: DataFrame, key: str, period: str, ascending: bool = True, name: str = "period_idx") -> DataFrame:
+def period_index(df: DataFrame, key, period: str, ascending: bool = True, name: str = "period_idx") -> DataFrame:
     """Dense number of each distinct ``period`` within ``key`` (1 = oldest when ascending).
 
     The window runs over *distinct* (key, period) pairs, so its partitions hold
     at most one row per reporting period of a company — bounded however many
     facts a company has.
     """
-    periods = df.select(key, period).where(F.col(period).isNotNull()).distinct()
+    keys = [key] if isinstance(key, str) else list(key)
+    periods = df.select(*keys, period).where(F.col(period).isNotNull()).distinct()
     o = F.col(period).asc() if ascending else F.col(period).desc()
-    return periods.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(o)))
+    return periods.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(o)))
 
 
-def first_n_periods(df: DataFrame, key: str, period: str, n: int, newest_first: bool = True,
+def first_n_periods(df: DataFrame, key, period: str, n: int, newest_first: bool = True,
                     name: str = "period_rank") -> DataFrame:
     """Rows of the newest (or oldest) ``n`` periods per key, with their rank; ``n=0`` keeps all."""
-    idx = period_index(df, key, period, ascending=not newest_first, name=name)
+    keys = [key] if isinstance(key, str) else list(key)
+    idx = period_index(df, keys, period, ascending=not newest_first, name=name)
     if n and n > 0:
         idx = idx.where(F.col(name) <= n)
-    return df.join(idx, [key, period], "inner")
+    return df.join(idx, [*keys, period], "inner")
 
 
 def col_or(x) -> Column:
