@@ -32,7 +32,7 @@ def strict_date(x) -> Column:
     """``YYYY-MM-DD`` (optionally followed by a time part) -> date, anything else -> null."""
     s = F.trim(_c(x).cast("string"))
     head = F.substring(s, 1, 10)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(head, F.lit("yyyy-MM-dd")))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def to_double_or_null(x) -> Column:

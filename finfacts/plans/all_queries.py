@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_rank", "q_sector", "q_statements"]
+MODULES = ["q_rank", "q_sector", "q_statements", "q_ingest"]
 
 
 def load() -> None:
