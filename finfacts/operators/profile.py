@@ -35,7 +35,7 @@ def company_profiles(canonical: DataFrame, companies: DataFrame, tickers: DataFr
                                 F.col("ticker").alias("ticker"), F.col("is_primary").alias("p")).alias("_t"))
     tk = t.groupBy("primary_cik").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
     first_primary = F.filter("_ts", lambda x: x["p"])
-    primary_ticker = F.coalesce(F.element_at(first_primary, 1)["ticker"], F.element_at("_ts", 1)["ticker"])
+    primary_ticker = F.coalesce(F.try_element_at(first_primary, F.lit(1))["ticker"], F.try_element_at("_ts", F.lit(1))["ticker"])
     tk = tk.select("primary_cik", primary_ticker.alias("primary_ticker"), "_ts")
     tk = tk.select("primary_cik", "primary_ticker",
                    F.array_join(F.transform(F.filter("_ts", lambda x: x["ticker"] != F.col("primary_ticker")),
