@@ -17,30 +17,59 @@ PERIOD_SCHEMA = ("struct<start:string,end:string,val:string,accn:string,fy:strin
 STATEMENT_NAMESPACES = ("us-gaap", "ifrs-full")
 
 
+TAG_SCHEMA = f"struct<label:string,description:string,units:map<string,array<{PERIOD_SCHEMA}>>>"
+DOC_SCHEMA = f"struct<cik:string,entityName:string,facts:map<string,map<string,{TAG_SCHEMA}>>>"
+
+
+def _facts_by_level(payload):
+    """The ``facts`` map parsed one nesting level at a time; malformed entries at any
+    level (a tag that is not an object, a period that is a number, ...) are dropped."""
+    top = F.from_json(payload, "struct<facts:map<string,string>>")["facts"]
+
+    def periods(s):
+        objects = F.filter(F.from_json(s, "array<string>"), lambda x: F.ltrim(x).startswith("{"))
+        parsed = F.transform(objects, lambda x: F.from_json(x, PERIOD_SCHEMA))
+        return F.filter(parsed, lambda r: r.isNotNull())
+
+    def tag(s):
+        s = F.when(F.ltrim(s).startswith("{"), s)
+        t = F.from_json(s, "struct<label:string,description:string,units:map<string,string>>")
+        units = F.map_filter(F.transform_values(t["units"], lambda _u, v: periods(v)), lambda _u, v: v.isNotNull())
+        return F.when(t.isNotNull(), F.struct(t["label"].alias("label"), t["description"].alias("description"),
+                                              units.alias("units")))
+
+    def namespace(s):
+        s = F.when(F.ltrim(s).startswith("{"), s)
+        tags = F.transform_values(F.from_json(s, "map<string,string>"), lambda _t, v: tag(v))
+        return F.map_filter(tags, lambda _t, v: v.isNotNull())
+
+    return F.map_filter(F.transform_values(top, lambda _n, v: namespace(v)), lambda _n, v: v.isNotNull())
+
+
 def explode_company_facts(docs: DataFrame, payload: str = "payload", doc_id: str | None = None) -> DataFrame:
     """namespace x tag x unit x period -> one row per fact.
 
     Every JSON scalar is read as text and coerced like Python's ``float()`` /
-    ``int()`` (``"2024"`` -> 2024, ``"bad"`` -> null). Each nesting level is parsed
-    on its own, so a malformed namespace, tag, unit list or period is skipped
-    without losing the rest of the document. ``val_text`` is always null here.
+    ``int()`` (``"2024"`` -> 2024, ``"bad"`` -> null). A document is parsed once
+    with the full typed schema; only when that fails (a malformed nested level
+    nulls the whole map) is it re-parsed level by level *in the same projection*,
+    so a bad namespace, tag, unit list or period is skipped without losing the rest
+    of the document. ``val_text`` is always null here.
     """
     keep = [doc_id] if doc_id else []
-    top = docs.select(*keep, F.from_json(F.col(payload), "struct<cik:string,entityName:string,facts:map<string,string>>")
-                      .alias("_d"))
-    ns = top.select(*keep, normalize_cik(F.col("_d.cik")).alias("cik"),
-                    F.coalesce(F.col("_d.entityName"), F.lit("")).alias("entity_name"),
-                    F.explode(F.col("_d.facts")).alias("namespace", "_ns"))
-    tags = ns.select(*keep, "cik", "entity_name", "namespace",
-                     F.explode(F.from_json("_ns", "map<string,string>")).alias("tag", "_tg"))
-    tags = tags.withColumn("_t", F.from_json("_tg", "struct<label:string,description:string,units:map<string,string>>"))
+    typed = F.from_json(F.col(payload), DOC_SCHEMA)
+    d = docs.select(*keep, F.col(payload), typed.alias("_d"))
+    facts = F.when(F.col("_d.facts").isNotNull(), F.col("_d.facts")).otherwise(_facts_by_level(F.col(payload)))
+    ns = d.select(*keep, normalize_cik(F.col("_d.cik")).alias("cik"),
+                  F.coalesce(F.col("_d.entityName"), F.lit("")).alias("entity_name"),
+                  F.explode(facts).alias("namespace", "_ns"))
+    tags = ns.select(*keep, "cik", "entity_name", "namespace", F.explode("_ns").alias("tag", "_t"))
     units = tags.select(*keep, "cik", "entity_name", "namespace", "tag",
                         F.coalesce(F.col("_t.label"), F.lit("")).alias("label"),
                         F.coalesce(F.col("_t.description"), F.lit("")).alias("description"),
                         F.explode(F.col("_t.units")).alias("unit", "_u"))
-    periods = units.select(*keep, "cik", "entity_name", "namespace", "tag", "label", "description", "unit",
-                           F.explode(F.from_json("_u", "array<string>")).alias("_p"))
-    p = periods.withColumn("_r", F.from_json("_p", PERIOD_SCHEMA)).where(F.col("_r").isNotNull())
+    p = units.select(*keep, "cik", "entity_name", "namespace", "tag", "label", "description", "unit",
+                     F.explode("_u").alias("_r")).where(F.col("_r").isNotNull())
     return p.select(*keep, "cik", "entity_name", "namespace", "tag", "label", "description", "unit",
                     strict_date(F.col("_r.start")).alias("start"), strict_date(F.col("_r.end")).alias("end"),
                     F.expr("try_cast(trim(_r.val) AS DOUBLE)").alias("val"), F.lit(None).cast("string").alias("val_text"),
