@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_ticker
 
-PROCESSED_FLAGS = F.col("has_balance") & F.col("has_income") & F.col("has_cash_flow")
-
-
 def _processed(processed: DataFrame) -> DataFrame:
-    return processed.where(PROCESSED_FLAGS).select("cik")
+    flags = F.col("has_balance") & F.col("has_income") & F.col("has_cash_flow")
+    return processed.where(flags).select("cik")
 
 
 def companies_with_financials(companies: DataFrame, tickers: DataFrame, processed: DataFrame) -> DataFrame:
