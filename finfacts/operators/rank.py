@@ -69,19 +69,23 @@ def _is_fin(c: str = "company_type") -> Column:
 def name_and_ticker(scored: DataFrame, companies: DataFrame, primary_tickers: DataFrame, bound: int) -> DataFrame:
     """Inner joins of the pre-limited ranking to company names and best tickers.
 
-    ``scored`` holds at most ``bound`` rows, so it is broadcast; tickers are first
-    reduced to the ranked companies, so the best-ticker aggregation touches only them.
+    ``scored`` holds at most ``bound`` rows and is consumed once: it is broadcast
+    into the ticker scan (only the ranked companies' tickers survive), the best
+    ticker is picked per ranked row, and that small result is broadcast into the
+    company-name scan. Neither dimension is shuffled.
     """
     small = broadcast_bounded(scored, bound)
-    keys = broadcast_bounded(scored.select("cik"), bound)
-    tick = best_ticker(primary_tickers.join(keys, "cik", "left_semi"))
-    named = companies.select("cik", "entity_name").join(small, "cik", "inner")
-    return (named.join(tick, "cik", "inner")
-            .withColumn("name", F.coalesce(F.col("entity_name"), F.lit(""))).drop("entity_name"))
+    cols = scored.columns
+    key = F.struct(F.coalesce(F.col("rank"), F.lit(NO_RANK)).alias("r"), F.col("ticker").alias("t"))
+    t = primary_tickers.select("cik", key.alias("_k")).join(small, "cik", "inner")
+    t = t.groupBy(*cols).agg(F.min("_k").alias("_k")).withColumn("ticker", F.col("_k.t")).drop("_k")
+    named = companies.select("cik", "entity_name").join(broadcast_bounded(t, bound), "cik", "inner")
+    return named.withColumn("name", F.coalesce(F.col("entity_name"), F.lit(""))).drop("entity_name")
 
 
 def _finish(scored: DataFrame, companies, primary_tickers, limit: int, cols: Sequence[str]) -> DataFrame:
-    pre = scored.orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit) * 4)
+    keep = [c for c in cols if c not in ("ticker", "name")]
+    pre = scored.select(*keep).orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit) * 4)
     out = name_and_ticker(pre, companies, primary_tickers, int(limit) * 4)
     out = out.orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit))
     return out.select(*cols)
@@ -241,7 +245,8 @@ def top_all_metrics(std: DataFrame, companies: DataFrame, primary_tickers: DataF
               .where(~F.col("exclude_financial") | ~_is_fin())
               .where(keep))
     w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("cik").asc())
-    pre = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * int(limit)).drop("_r")
+    pre = (scored.select("metric", "cik", "period_ending", "fiscal_year", "fiscal_period", "currency", "value")
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * int(limit)).drop("_r"))
     n_metrics = 64  # catalogue bound used for the broadcast below
     named = name_and_ticker(pre, companies, primary_tickers, 4 * int(limit) * n_metrics)
     out = named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(limit))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.functions.numeric import growth as growth_expr
@@ -38,40 +38,44 @@ def growth(rows: DataFrame, offset: int, keys: Sequence[str] = ("cik", "statemen
 
     The lag is *positional over periods*: periods are numbered per company and
     statement, and a line item at period i is compared with the same item at
-    period i - offset, even when the item is missing in between periods. Output:
-    one row per (keys, tag, period) where the prior value exists and is not 0.
+    period i - offset, even when the item is missing in between. A RANGE frame of
+    exactly ``offset`` index steps reads that row, so there is no self-join: one
+    shuffle by (company, statement, line item), each window holding one line item's
+    periods. Output: one row per (keys, tag, period) where the prior value exists
+    and is not 0.
     """
     keys = list(keys)
     idx = period_index(rows, keys, "period_ending", ascending=True, name="_i")
     r = rows.join(idx, [*keys, "period_ending"], "inner")
-    prior = r.select(*keys, "tag", (F.col("_i") + offset).alias("_i"), F.col("val").alias("_pv"))
-    j = r.join(prior, [*keys, "tag", "_i"], "inner")
+    w = Window.partitionBy(*keys, "tag").orderBy("_i").rangeBetween(-offset, -offset)
+    r = r.withColumn("_pv", F.max("val").over(w))
     g = growth_expr("val", "_pv")
-    return (j.where(g.isNotNull())
+    return (r.where(g.isNotNull())
              .select(*keys, "tag", "period_ending", "fiscal_year", "fiscal_period", g.alias("growth")))
 
 
 def drop_imputed(rows: DataFrame, keys: Sequence[str] = ("cik", "tag")) -> DataFrame:
-    """Remove line items whose every value is null or 0 over the given rows."""
+    """Remove line items whose every value is null or 0 over the given rows
+    (one window pass; the rows are read once)."""
     keys = list(keys)
-    live = (rows.groupBy(*keys).agg(F.max(F.abs(F.coalesce(F.col("val"), F.lit(0.0)))).alias("_m"))
-                .where(F.col("_m") > 0).select(*keys))
-    return rows.join(live, keys, "left_semi")
+    m = F.max(F.abs(F.coalesce(F.col("val"), F.lit(0.0)))).over(Window.partitionBy(*keys))
+    return rows.withColumn("_m", m).where(F.col("_m") > 0).drop("_m")
 
 
 def statement_transposed(std: DataFrame, statement: str, frequency: str = "annual", limit: int = 10) -> DataFrame:
     """Line items as rows, the newest ``limit`` periods as columns p1..pN (p1 = newest).
 
-    Imputed line items (all null or 0 over those periods) are dropped. The pivot
-    values are explicit, so Spark plans a single aggregation.
+    Imputed line items (all null or 0 over those periods) are dropped after the
+    pivot — the same test on the pivoted row — so the data is aggregated once.
+    The pivot values are explicit, so Spark plans a single aggregation.
     """
     s = std.where((F.col("statement") == statement) & (F.col("frequency") == frequency))
     s = first_n_periods(s, "cik", "period_ending", limit, newest_first=True, name="period_rank")
-    s = drop_imputed(s)
     ranks = list(range(1, limit + 1))
     p = s.groupBy("cik", "tag").pivot("period_rank", ranks).agg(F.max("val"))
-    return p.select("cik", "tag", humanize("tag").alias("line_item"),
-                    *[F.col(str(k)).alias(f"p{k}") for k in ranks])
+    live = F.greatest(*[F.abs(F.coalesce(F.col(str(k)), F.lit(0.0))) for k in ranks]) > 0
+    return p.where(live).select("cik", "tag", humanize("tag").alias("line_item"),
+                                *[F.col(str(k)).alias(f"p{k}") for k in ranks])
 
 
 def statement_periods(std: DataFrame, statement: str, frequency: str = "annual", limit: int = 10) -> DataFrame:
