@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_rank", "q_sector", "q_statements", "q_ingest", "q_company", "q_delta"]
+MODULES = ["q_rank", "q_sector", "q_statements", "q_ingest", "q_company", "q_delta", "q_extra"]
 
 
 def load() -> None:
