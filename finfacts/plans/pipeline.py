@@ -1,0 +1,141 @@
+"""Batch jobs that build and refresh the store.
+
+Each job reads landed files, runs DataFrame operators and writes Parquet tables
+under ``store``; intermediate results are written, not held, so a lost executor
+only recomputes from the last written table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from finfacts.functions.ids import normalize_cik, normalize_ticker
+from finfacts.operators import classify as cl
+from finfacts.operators import delta as dl
+from finfacts.operators import facts as fa
+from finfacts.operators import fx
+from finfacts.operators import statements as st
+from finfacts.operators.standardize import ttm
+from finfacts.sources import filings
+
+
+def cast_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Typed projection: exactly the declared columns, cast to the declared types."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def build_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFrame, ciks: DataFrame | None = None) -> dict:
+    """Full build: files -> facts, companies (with content hash), tag metadata, processed.
+
+    Companies without any fact get no row (full and delta builds share this rule).
+    """
+    files = filings.company_facts_files(spark, facts_dir, ciks)
+    facts = fa.explode_company_facts(files.withColumn("load_seq", F.col("mtime").cast("long")), "payload",
+                                     doc_id="load_seq")
+    facts = _write(facts, f"{store}/facts")
+    comp = (fa.companies_from_facts(facts, "load_seq")
+            .join(files.select("cik", F.col("sha256").alias("h")), "cik", "inner"))
+    comp = _write(comp, f"{store}/companies")
+    _write(fa.tag_metadata(facts, "load_seq"), f"{store}/xbrl_tags")
+    _write(fa.processed_companies(facts, rules), f"{store}/processed_ciks")
+    return {"facts": facts, "companies": comp}
+
+
+def update_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFrame, version: int,
+                 force: bool = False) -> int:
+    """Delta build: only new or changed companies are exploded and replaced; the
+    result is written as a new version folder (the previous one stays readable)."""
+    files = filings.company_facts_files(spark, facts_dir)
+    old_comp = spark.read.parquet(f"{store}/companies")
+    status = dl.classify_changes(files.select("cik", F.col("sha256").alias("h")), old_comp.select("cik", "h"))
+    keys = dl.changed_keys(status)
+    n = dl.check_change_limit(keys, force=force)
+    if n == 0:
+        return 0
+    changed = files.join(keys, "cik", "left_semi").withColumn("load_seq", F.col("mtime").cast("long"))
+    new_facts = fa.explode_company_facts(changed, "payload", doc_id="load_seq")
+    old_facts = spark.read.parquet(f"{store}/facts")
+    facts = dl.replace_by_key(old_facts, new_facts.select(*old_facts.columns))
+    out = f"{store}/v={version}"
+    facts = _write(facts, f"{out}/facts")
+    new_comp = fa.companies_from_facts(new_facts, "load_seq").join(changed.select("cik", F.col("sha256").alias("h")), "cik")
+    _write(dl.replace_by_key(old_comp, new_comp.select(*old_comp.columns)), f"{out}/companies")
+    # processed flags recomputed for the changed companies only
+    old_proc = spark.read.parquet(f"{store}/processed_ciks")
+    new_proc = fa.processed_companies(new_facts, rules)
+    _write(dl.replace_by_key(old_proc.join(keys, "cik", "left_anti"), new_proc), f"{out}/processed_ciks")
+    return n
+
+
+def rebuild_fx(spark: SparkSession, xml_path: str, store: str, as_of=None) -> DataFrame:
+    """FX table: reference cubes -> USD rates within the lookback; an empty download
+    keeps the previous table."""
+    new = fx.triangulate_to_usd(filings.fx_cubes(spark, xml_path), as_of=as_of)
+    try:
+        old = spark.read.parquet(f"{store}/exchange_rates")
+    except Exception:  # first build  # noqa: BLE001
+        old = None
+    if old is not None and new.limit(1).count() == 0:
+        return old
+    return _write(new, f"{store}/exchange_rates_next")
+
+
+def rebuild_classification(spark: SparkSession, sic_facts: DataFrame, primary_tickers: DataFrame, rules: DataFrame,
+                           overrides: DataFrame, store: str) -> DataFrame:
+    return _write(cl.classify(sic_facts, primary_tickers, rules, overrides), f"{store}/cik_gics")
+
+
+def refresh_symbols(spark: SparkSession, tickers_json: str, funds_json: str, names_txt: str, store: str) -> None:
+    """Ticker, fund and entity lists replace the rows of the companies they mention;
+    rows of companies absent from a new list stay (replace-by-key)."""
+    for name, new in (("tickers", filings.ticker_list(spark, tickers_json)),
+                      ("funds", filings.fund_list(spark, funds_json)),
+                      ("entities", filings.entity_names(spark, names_txt))):
+        try:
+            old = spark.read.parquet(f"{store}/{name}")
+            merged = dl.replace_by_key(old, new.select(*old.columns))
+        except Exception:  # first load  # noqa: BLE001
+            merged = new
+        _write(merged, f"{store}/{name}_next")
+
+
+def multi_cik_overrides(spark: SparkSession, json_path: str) -> DataFrame:
+    """``{ticker: [cik, ...]}`` -> (ticker, cik, priority); list order is the priority."""
+    t = spark.read.option("wholetext", "true").text(json_path)
+    m = t.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("ticker", "ciks"))
+    x = m.select(normalize_ticker("ticker").alias("ticker"), F.posexplode("ciks").alias("priority", "cik"))
+    return x.select("ticker", normalize_cik("cik").alias("cik"), F.col("priority").cast("int").alias("priority"))
+
+
+# The statement views a user can ask for, (period, transform) -> (rows, growth offset).
+VIEW_MATRIX = {
+    ("FY", "None"): ("annual", None), ("Q", "None"): ("quarterly", None), ("TTM", "None"): ("ttm", None),
+    ("FY", "% YoY"): ("annual", 1), ("FY", "% PoP"): ("annual", 1),
+    ("Q", "% YoY"): ("quarterly", 4), ("Q", "% PoP"): ("quarterly", 1),
+    ("TTM", "% YoY"): ("ttm", 4), ("TTM", "% PoP"): ("ttm", 1),
+}
+
+
+def statement_view(std: DataFrame, rates: DataFrame | None, statement: str, period: str = "FY",
+                   transform: str = "None", limit: int = 10, to_usd: bool = True) -> DataFrame:
+    """Rows or growth of one statement for every company: period x transform, newest
+    ``limit`` periods per company (0 = all), optionally converted to USD."""
+    key = (period.upper() if period.upper() != "TTM" else "TTM", transform)
+    if key not in VIEW_MATRIX:
+        raise ValueError(f"unsupported view {period!r} / {transform!r}")
+    rows_kind, offset = VIEW_MATRIX[key]
+    s = std.where(F.col("statement") == statement)
+    s = ttm(s) if rows_kind == "ttm" else s.where(F.col("frequency") == rows_kind)
+    if offset is None and to_usd and rates is not None:
+        s = st.to_usd(s, rates)
+    if offset is not None:
+        s = st.growth(s, offset)
+    from finfacts.operators.latest import first_n_periods
+    return first_n_periods(s, "cik", "period_ending", limit, newest_first=True, name="period_rank")
