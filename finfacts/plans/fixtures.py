@@ -161,9 +161,21 @@ class FixtureCatalog:
             cls._cache[key] = cat
         return cat
 
+    # Tables Spark derives from the fixtures with the package's own operators, like
+    # the reference's stored facts table (built once at ingest, read by queries).
+    def _derived(self, name: str) -> DataFrame | None:
+        if name == "facts":
+            from finfacts.operators.facts import explode_company_facts
+            return explode_company_facts(self.tables["fx_doc"], "payload", doc_id="event_id")
+        return None
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.tables:
             return self.tables[name]
+        d = self._derived(name)
+        if d is not None:
+            self.tables[name] = d
+            return d
         return self.raw[name]
 
     def materialize(self, names=None) -> dict[str, int]:
@@ -174,9 +186,10 @@ class FixtureCatalog:
         """
         counts: dict[str, int] = {}
         tag = self.sf_dir.strip("/").replace("/", "_")
-        for name in names or [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")]:
+        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts"]
+        for name in names or default:
             path = scratch_path(self.spark, f"fixtures/{tag}/{name}")
-            df = self.tables[name]
+            df = self[name]
             if name == "fx_std":
                 (df.repartition("statement", "tag").sortWithinPartitions("tag", "cik")
                    .write.mode("overwrite").partitionBy("statement").parquet(path))
