@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_CHECKED: dict[tuple[int, int], bool] = {}
+
+
 def broadcast_if_rows(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the join to shuffle.
 
-    The count stops early: it reads at most ``max_rows + 1`` rows. When the bound
-    fails, AQE still picks a broadcast at run time if the measured size is below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it is a
+    The count stops early: it reads at most ``max_rows + 1`` rows, and its verdict is
+    remembered per logical plan (a rewritten source table is a different plan). When
+    the bound fails, AQE still picks a broadcast at run time if the measured size is
+    below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it is a
     sort-merge join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    ok = _CHECKED.get(key)
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        _CHECKED[key] = ok
+    return F.broadcast(df) if ok else df
 
 
 def broadcast_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
