@@ -191,7 +191,8 @@ class FixtureCatalog:
             path = scratch_path(self.spark, f"fixtures/{tag}/{name}")
             df = self[name]
             if name == "fx_std":
-                (df.repartition("statement", "tag").sortWithinPartitions("tag", "cik")
+                # REBALANCE keeps one statement per task and lets AQE split large ones.
+                (df.hint("rebalance", "statement").sortWithinPartitions("statement", "tag", "cik")
                    .write.mode("overwrite").partitionBy("statement").parquet(path))
                 back = self.spark.read.parquet(path).select(*df.columns)
             else:

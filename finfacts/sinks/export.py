@@ -29,13 +29,15 @@ def write_small(df: DataFrame, path: str) -> None:
 
 
 def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = BUCKETS, sort: bool = True) -> None:
-    """Big table as ``_bkt=<n>/`` folders, rows sorted by cik inside each bucket.
+    """Big table as ``_bkt=<n>/`` folders, rows sorted by cik inside each file.
 
-    ``repartition(buckets, _bkt)`` gives each bucket to one task (one open writer,
-    bounded memory); readers prune buckets by the partition column and skip row
-    groups by cik. The bucket folder name is the only place the bucket is stored.
+    A ``REBALANCE(_bkt)`` hint shuffles rows by bucket, so a task writes files of one
+    bucket only (one open writer, bounded memory), and lets AQE split a bucket that
+    is too large — a company holding a third of the rows is written by several
+    tasks, as several files in its bucket folder — and merge tiny ones. Readers
+    prune buckets by the folder and skip row groups by cik.
     """
-    b = with_bucket(df, key, buckets).repartition(buckets, "_bkt")
+    b = with_bucket(df, key, buckets).hint("rebalance", "_bkt")
     if sort:
         b = b.sortWithinPartitions("_bkt", key)
     b.write.mode("overwrite").option("compression", "zstd").partitionBy("_bkt").parquet(path)
