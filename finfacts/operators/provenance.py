@@ -23,13 +23,15 @@ def source_runs(src: DataFrame, keys: Sequence[str] = ("cik", "statement", "tag"
     """
     keys = list(keys)
     s = (src.where(F.col(source).isNotNull() & (F.col(source) != ""))
-            .select(*keys, period, source_group_key(source).alias("_k"), source_label(source).alias("_label")))
+            .select(*keys, period, F.col(source).alias("_src"), source_group_key(source).alias("_k")))
     w = Window.partitionBy(*keys).orderBy(F.col(period).desc())
     brk = F.when(F.lag("_k").over(w) == F.col("_k"), 0).otherwise(1)
     s = s.withColumn("_b", brk).withColumn("run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (s.groupBy(*keys, "run")
+    runs = (s.groupBy(*keys, "run")
              .agg(F.max(period).alias("start"), F.min(period).alias("end"),
-                  F.max_by("_label", period).alias("src"), F.count(F.lit(1)).alias("periods")))
+                  F.max_by("_src", period).alias("_first"), F.count(F.lit(1)).alias("periods")))
+    # The readable label is needed once per run, not once per fact row.
+    return runs.select(*keys, "run", "start", "end", source_label("_first").alias("src"), "periods")
 
 
 def provenance_text(src: DataFrame, keys: Sequence[str] = ("cik", "statement", "tag"),
