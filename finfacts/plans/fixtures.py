@@ -143,14 +143,30 @@ class FixtureCatalog:
 
     def _build(self) -> None:
         # Temp views are resolved when ``spark.sql`` analyses the text, so each
-        # DataFrame keeps the plan of *this* folder even if another folder's
-        # catalogue later re-registers the same view names.
-        for t, df in self.raw.items():
-            df.createOrReplaceTempView(t)
-        for name in _ORDER:
-            df = self.spark.sql(_BY_NAME[name][1])
-            df.createOrReplaceTempView(name)
-            self.tables[name] = df
+        # DataFrame keeps the plan of *this* folder. The views are only scaffolding:
+        # afterwards views the caller had under the same names are put back and the
+        # rest are dropped, leaving the session's namespace as it was.
+        names = list(self.raw) + _ORDER
+        saved = {}
+        for n in names:
+            if self.spark.catalog.tableExists(n):
+                try:
+                    saved[n] = self.spark.table(n)
+                except Exception:  # noqa: BLE001
+                    pass
+        try:
+            for t, df in self.raw.items():
+                df.createOrReplaceTempView(t)
+            for name in _ORDER:
+                df = self.spark.sql(_BY_NAME[name][1])
+                df.createOrReplaceTempView(name)
+                self.tables[name] = df
+        finally:
+            for n in names:
+                if n in saved:
+                    saved[n].createOrReplaceTempView(n)
+                else:
+                    self.spark.catalog.dropTempView(n)
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> "FixtureCatalog":
