@@ -208,14 +208,16 @@ def _entry(key: str, value) -> "F.Column":
     return F.struct(F.lit(key).alias("key"), value.cast("variant").alias("value"))
 
 
-def company_documents(facts: DataFrame, companies: DataFrame) -> DataFrame:
-    """Per company one JSON document ``{cik, entityName, facts: {namespace: {tag:
-    {label, description, units: {unit: [records]}}}}}``, records sorted by (end, filed).
-
-    ``val_text`` is preferred over ``val``; null ``start`` and empty ``frame`` keys
-    are omitted, other nulls are kept. The nesting is built bottom-up with one
-    aggregation per level: a group holds one line item (or one namespace) of one
-    company. Record values are VARIANT so text and numbers render natively.
+def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
+    """The company-facts document as bounded parts, one row per (cik, namespace, tag):
+    ``fragment`` is the JSON object stored at ``facts[namespace][tag]`` —
+    ``{label, description, units: {unit: [records]}}`` with records sorted by (end, filed).
+
+    ``val_text`` is preferred over ``val``; null ``start`` and empty ``frame`` keys are
+    omitted, other nulls are kept; values are VARIANT so text and numbers render
+    natively. Every group is one line item of one company (bounded by its periods),
+    so a company holding a third of all facts is still spread over many groups and
+    tasks; a reader nests the fragments under ``{cik, entityName, facts}``.
     """
     text_ok = F.col("val_text").isNotNull() & (F.col("val_text") != "")
     val = F.when(text_ok, F.col("val_text").cast("variant")).otherwise(F.col("val").cast("variant"))
@@ -233,12 +235,30 @@ def company_documents(facts: DataFrame, companies: DataFrame) -> DataFrame:
                     lambda x: x["_rec"]).alias("_recs"),
         F.max("label").alias("label"), F.max("description").alias("description"))
     tags = units.groupBy("cik", "namespace", "tag").agg(
-        F.struct(F.max("label").alias("label"), F.max("description").alias("description"),
-                 F.map_from_entries(_sorted_by(F.collect_list(F.struct("unit", "_recs")), "unit")).alias("units")).alias("_t"))
-    spaces = tags.groupBy("cik", "namespace").agg(
-        F.map_from_entries(_sorted_by(F.collect_list(F.struct("tag", "_t")), "tag")).alias("_n"))
-    docs = spaces.groupBy("cik").agg(F.map_from_entries(_sorted_by(F.collect_list(F.struct("namespace", "_n")), "namespace"))
-                                     .alias("facts"))
-    docs = docs.join(companies.select("cik", "entity_name"), "cik", "inner")
-    body = F.struct(F.col("cik"), F.coalesce(F.col("entity_name"), F.lit("")).alias("entityName"), F.col("facts"))
-    return docs.select("cik", F.to_json(body).alias("document"))
+        F.max("label").alias("label"), F.max("description").alias("description"),
+        F.map_from_entries(_sorted_by(F.collect_list(F.struct("unit", "_recs")), "unit")).alias("units"))
+    names = companies.select("cik", F.coalesce(F.col("entity_name"), F.lit("")).alias("entity_name"))
+    parts = tags.join(names, "cik", "inner")
+    return parts.select("cik", "entity_name", "namespace", "tag",
+                        F.to_json(F.struct("label", "description", "units")).alias("fragment"))
+
+
+def assemble_documents(parts: DataFrame) -> DataFrame:
+    """Whole documents ``{cik, entityName, facts}`` from parts — one row per company.
+
+    For a small, pre-filtered set of companies (a lookup); a whole document is one
+    group, so it is not meant for every company of a full store.
+    """
+    def json_key(c):
+        # '["k"]' -> '"k"': a JSON-escaped object key
+        return F.regexp_replace(F.to_json(F.array(c)).substr(F.lit(2), F.lit(1 << 30)), r"\]$", "")
+    tag_key = json_key("tag")
+    per_ns = parts.groupBy("cik", "entity_name", "namespace").agg(
+        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(
+            F.concat(tag_key, F.lit(":"), F.col("fragment")))), ","), F.lit("}")).alias("_ns"))
+    ns_key = json_key("namespace")
+    docs = per_ns.groupBy("cik", "entity_name").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat(ns_key, F.lit(":"), F.col("_ns")))), ",").alias("_f"))
+    head = F.to_json(F.struct(F.col("cik"), F.col("entity_name").alias("entityName")))
+    return docs.select("cik", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"facts":{'), F.col("_f"),
+                                       F.lit("}}")).alias("document"))

@@ -72,10 +72,10 @@ def facts_explode(c):
     return fa.explode_company_facts(c["fx_doc"], "payload", doc_id="event_id")
 
 
-@query("facts_document", "M1 E12 G4", None)
+@query("facts_document", "M1 E12 G4 (document parts per line item)", None)
 def facts_document(c):
     f = facts(c)
-    return fa.company_documents(f, fa.companies_from_facts(f, "event_id"))
+    return fa.company_document_parts(f, fa.companies_from_facts(f, "event_id"))
 
 
 @query("companies_from_facts", "L1 (company rows; no facts -> no company)", sql(["fx_doc"], EXPLODE_CTES, """

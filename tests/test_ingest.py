@@ -30,7 +30,10 @@ def test_explode_skips_only_malformed_levels(spark):
 def test_document_shape(spark):
     df = spark.createDataFrame([(0, DOCS[0])], "id int, payload string")
     f = fa.explode_company_facts(df, "payload", "id")
-    doc = json.loads(fa.company_documents(f, fa.companies_from_facts(f, "id")).collect()[0]["document"])
+    parts = fa.company_document_parts(f, fa.companies_from_facts(f, "id"))
+    frag = json.loads(parts.collect()[0]["fragment"])
+    assert frag["label"] == "b" and list(frag["units"]) == ["USD"]
+    doc = json.loads(fa.assemble_documents(parts).collect()[0]["document"])
     recs = doc["facts"]["us-gaap"]["B"]["units"]["USD"]
     assert doc["cik"] == "0000000001" and doc["entityName"] == "A"
     assert recs[0] == {"end": "2020-01-01", "val": 1.5, "accn": None, "fy": 2020, "fp": None, "form": None,
