@@ -111,19 +111,32 @@ def top_by_metric(std: DataFrame, companies: DataFrame, primary_tickers: DataFra
                   frequency: str | None = "annual", negate: bool = False, ciks: DataFrame | None = None,
                   as_of=None) -> DataFrame:
     """Top companies by the latest value of one line item, converted to USD."""
-    s = statement_filter(std, statement, tag, frequency, as_of, ciks)
-    latest = latest_by(s, ["cik"], LATEST_ORDER,
-                       cols=["cik", "period_ending", "fiscal_year", "fiscal_period", "val", "currency", "company_type"])
     keep = F.lit(True)
     if statement == "income_statement" and tag in REVENUE_TAGS:
-        # Pass-through revenue: drop companies whose cost of revenue is >= 99% of revenue.
-        cost = std.where((F.col("statement") == "income_statement") & (F.col("frequency") == F.lit(frequency))
-                         & F.col("tag").isin(*COST_TAGS) & F.col("val").isNotNull()
-                         & (F.col("period_ending") >= recent_from(as_of)))
-        cost = cost.groupBy("cik", "period_ending", "fiscal_year", "fiscal_period").agg(F.max("val").alias("cost_val"))
-        latest = latest.join(cost, ["cik", "period_ending", "fiscal_year", "fiscal_period"], "left")
+        # Pass-through revenue: drop companies whose cost of revenue is >= 99% of
+        # revenue at the same period. Revenue and cost rows are read in one scan and
+        # paired by one aggregation per (cik, period) — no join. With frequency=None
+        # no cost row matches (the reference compares with the text 'None').
+        cond = ((F.col("statement") == statement) & F.col("tag").isin(tag, *COST_TAGS) & F.col("val").isNotNull()
+                & (F.col("period_ending") >= recent_from(as_of)))
+        if frequency:
+            cond = cond & (F.col("frequency") == frequency)
+        base = restrict_ciks(std.where(cond), ciks)
+        cost_hit = F.col("tag").isin(*COST_TAGS) if frequency else F.lit(False)
+        g = (base.groupBy("cik", "period_ending", "fiscal_year", "fiscal_period")
+             .agg(F.max(F.when(F.col("tag") == tag, F.struct("val", "currency", "company_type"))).alias("_r"),
+                  F.max(F.when(cost_hit, F.col("val"))).alias("cost_val"))
+             .where(F.col("_r").isNotNull())
+             .select("cik", "period_ending", "fiscal_year", "fiscal_period", F.col("_r.val").alias("val"),
+                     F.col("_r.currency").alias("currency"), F.col("_r.company_type").alias("company_type"),
+                     "cost_val"))
+        latest = latest_by(g, ["cik"], LATEST_ORDER)
         keep = (F.col("val").isNull() | (F.col("val") <= 0) | F.col("cost_val").isNull() | (F.col("cost_val") <= 0)
                 | (safe_div("cost_val", "val") < PASS_THROUGH_SHARE))
+    else:
+        s = statement_filter(std, statement, tag, frequency, as_of, ciks)
+        latest = latest_by(s, ["cik"], LATEST_ORDER, cols=["cik", "period_ending", "fiscal_year", "fiscal_period",
+                                                            "val", "currency", "company_type"])
     rated = with_asof_rate(latest, rates, "currency", "period_ending", "rate", how="left")
     scored = _usd_value(rated, -1.0 if negate else 1.0)
     if negate:
