@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik, strict_date, to_int_or_null
+from finfacts.operators.joins import broadcast_dim
 
 FACT_COLUMNS = ["cik", "namespace", "tag", "unit", "start", "end", "val", "val_text", "accn", "fy", "fp", "form",
                 "filed", "frame"]
@@ -131,7 +132,7 @@ def processed_companies(facts: DataFrame, rules: DataFrame) -> DataFrame:
     rules: (statement, tag) — which statement a us-gaap / ifrs-full tag belongs to.
     """
     ct = facts.where(F.col("namespace").isin(*STATEMENT_NAMESPACES)).select("cik", "tag").distinct()
-    j = ct.join(F.broadcast(rules.select("statement", "tag").distinct()), "tag", "inner")  # rules: literal table
+    j = ct.join(broadcast_dim(rules.select("statement", "tag").distinct()), "tag", "inner")
     flags = j.groupBy("cik").agg(
         F.max(F.col("statement") == "balance_sheet").alias("has_balance"),
         F.max(F.col("statement") == "income_statement").alias("has_income"),

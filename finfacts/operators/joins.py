@@ -31,3 +31,13 @@ def broadcast_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
     ``limit(k)`` or a literal dimension table); ``bound_rows`` documents the bound."""
     assert bound_rows >= 0
     return F.broadcast(df)
+
+
+# Row bound for dimension tables handed in as parameters (rule tables, presentation,
+# catalogues, keyword lists, company subsets). Beyond it the join is left to AQE.
+DIM_MAX_ROWS = 1_000_000
+
+
+def broadcast_dim(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
+    """Broadcast a parameter dimension after the (memoised) row-count check."""
+    return broadcast_if_rows(df, max_rows)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.numeric import round_to, safe_div
 from finfacts.operators.asof import with_asof_rate
-from finfacts.operators.joins import broadcast_bounded
+from finfacts.operators.joins import broadcast_bounded, broadcast_dim
 from finfacts.operators.latest import latest_by
 
 # Fixed values used by the ranking queries.
@@ -232,7 +232,7 @@ def top_all_metrics(std: DataFrame, companies: DataFrame, primary_tickers: DataF
     it with a per-partition group limit before the shuffle, so at most 4k rows per
     metric and input partition move.
     """
-    cat = F.broadcast(catalogue)  # a handful of rows (fixed list)
+    cat = broadcast_dim(catalogue)
     s = std.where(F.col("val").isNotNull() & (F.col("period_ending") >= recent_from(as_of)))
     j = s.join(cat, (s.statement == cat.statement) & (s.tag == cat.tag)
                & (cat.frequency.isNull() | (s.frequency == cat.frequency)), "inner")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_ticker
+from finfacts.operators.joins import broadcast_dim
 
 def _processed(processed: DataFrame) -> DataFrame:
     flags = F.col("has_balance") & F.col("has_income") & F.col("has_cash_flow")
@@ -72,7 +73,7 @@ def search_entities_batch(entities: DataFrame, keywords: DataFrame, limit: int =
     against every keyword on the executor that holds it.
     """
     from pyspark.sql import Window
-    k = F.broadcast(keywords.select("keyword").distinct())
+    k = broadcast_dim(keywords.select("keyword").distinct())
     j = entities.join(k, F.col("entity_name").contains(F.col("keyword")), "inner")
     w = Window.partitionBy("keyword").orderBy(F.col("entity_name").asc(), F.col("cik").asc())
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit)).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from finfacts.operators.latest import latest_by
 from finfacts.operators.rank import recent_from
+from finfacts.operators.joins import broadcast_dim
 
 # Revenue-like tags for "has revenue", and asset tags for "productive".
 HAS_REVENUE_TAGS = ("total_revenue", "operating_revenue", "total_interest_income", "premiums_earned",
@@ -85,7 +86,7 @@ def location_dim(spark, extra: DataFrame | None = None) -> DataFrame:
 
 def decode_location(df: DataFrame, code_col: str, locations: DataFrame, prefix: str) -> DataFrame:
     """Adds ``<prefix>_name``, ``<prefix>_state`` and ``<prefix>_country`` (state vs country split)."""
-    loc = F.broadcast(locations.select(F.col("code").alias("_lc"), F.col("name").alias("_ln"),
+    loc = broadcast_dim(locations.select(F.col("code").alias("_lc"), F.col("name").alias("_ln"),
                                        F.col("is_us_state").alias("_us")))  # a few hundred codes
     j = df.join(loc, F.col(code_col) == F.col("_lc"), "left")
     return (j.withColumn(f"{prefix}_name", F.col("_ln"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.operators.latest import latest_by, period_index
+from finfacts.operators.joins import broadcast_dim
 
 RULE_SCHEMA = ("company_type string, statement string, line_item string, priority int, namespace string, "
                "tag string, kind string")
@@ -44,7 +45,7 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
         f = f.withColumn("company_type", F.lit(None).cast("string"))
     f = f.withColumn("company_type", F.coalesce("company_type", F.lit(DEFAULT_COMPANY_TYPE)))
     # rules: one statement schema per company type (hundreds of rows) — broadcast.
-    j = f.join(F.broadcast(rules), ["company_type", "namespace", "tag"], "inner")
+    j = f.join(broadcast_dim(rules), ["company_type", "namespace", "tag"], "inner")
     pf = period_frequency(F.col("start"), F.col("end"))
     fp = F.upper(F.coalesce(F.col("fp"), F.lit("")))
     freq = F.when(F.col("kind") == "instant",
@@ -132,7 +133,7 @@ def standardized_statements(std: DataFrame, presentation: DataFrame, sources: Da
         s = s.join(ciks.select("cik").distinct(), "cik", "left_semi")
     ct = company_type_of(s).withColumnRenamed("company_type", "_ct")
     s = s.join(ct, "cik", "left").withColumn("_ct", F.coalesce("_ct", F.lit(DEFAULT_COMPANY_TYPE)))
-    p = F.broadcast(presentation.withColumnRenamed("company_type", "_ct"))  # schema-sized dimension
+    p = broadcast_dim(presentation.withColumnRenamed("company_type", "_ct"))
     s = s.join(p, ["_ct", "statement", "tag"], "left")
     if sources is not None:
         s = s.join(sources.select("cik", "statement", "tag", "period_ending", "source"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik, normalize_ticker
+from finfacts.operators.joins import broadcast_dim
 
 FACTS_NAME = r"^CIK(\d+)\.json$"
 OVERFLOW_NAME = r"^CIK(\d+)-submissions-\d+\.json$"
@@ -164,7 +165,7 @@ def jdbc_table(spark: SparkSession, url: str, table: str, properties: dict, cik_
 
 def keyed_slice(df: DataFrame, ciks: DataFrame) -> DataFrame:
     """Rows of the chosen companies only (replaces IN-lists and keyset paging)."""
-    return df.join(F.broadcast(ciks.select("cik").distinct()), "cik", "left_semi")
+    return df.join(broadcast_dim(ciks.select("cik").distinct()), "cik", "left_semi")
 
 
 def statement_tag_rules(schemas: DataFrame) -> DataFrame:
