@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
-from finfacts.plans import pipeline
+from finfacts.plans import jobs
 from finfacts.plans.fixtures import FixtureCatalog
 
 
@@ -27,15 +27,15 @@ def test_full_and_delta_build_agree(spark, tmp_dir):
     land, store = f"{tmp_dir}/land", f"{tmp_dir}/store"
     _land(land, 1, {"A": 1, "B": 2, "C": 3})
     _land(land, 2, {"A": 1})
-    pipeline.build_facts(spark, land, store, rules)
+    jobs.build_facts(spark, land, store, rules)
     assert spark.read.parquet(f"{store}/processed_ciks").collect()[0]["cik"] == "0000000001"
     # company 2 changes, company 3 arrives, company 1 unchanged
     _land(land, 2, {"A": 5, "B": 6, "C": 7})
     _land(land, 3, {"B": 1})
-    assert pipeline.update_facts(spark, land, store, rules, version=2) == 2
+    assert jobs.update_facts(spark, land, store, rules, version=2) == 2
     delta_facts = spark.read.parquet(f"{store}/v=2/facts")
     full = f"{tmp_dir}/full"
-    pipeline.build_facts(spark, land, full, rules)
+    jobs.build_facts(spark, land, full, rules)
     cols = ["cik", "namespace", "tag", "unit", "end", "val"]
     assert sorted(map(tuple, delta_facts.select(*cols).collect())) == \
         sorted(map(tuple, spark.read.parquet(f"{full}/facts").select(*cols).collect()))
@@ -47,13 +47,13 @@ def test_multi_cik_overrides(spark, tmp_dir):
     p = f"{tmp_dir}/multi.json"
     with open(p, "w") as fh:
         fh.write(json.dumps({"brk.a": ["1067983", "0000000001"]}))
-    rows = sorted(map(tuple, pipeline.multi_cik_overrides(spark, p).collect()))
+    rows = sorted(map(tuple, jobs.multi_cik_overrides(spark, p).collect()))
     assert rows == [("BRK-A", "0000000001", 1), ("BRK-A", "0001067983", 0)]
 
 
-@pytest.mark.parametrize("period,transform", sorted(pipeline.VIEW_MATRIX))
+@pytest.mark.parametrize("period,transform", sorted(jobs.VIEW_MATRIX))
 def test_statement_views(spark, period, transform):
     c = FixtureCatalog.get(spark, SMALL)
-    v = pipeline.statement_view(c["fx_std"], c["fx_rates"], "income_statement", period, transform, limit=4)
+    v = jobs.statement_view(c["fx_std"], c["fx_rates"], "income_statement", period, transform, limit=4)
     assert v.agg(F.max("period_rank")).collect()[0][0] <= 4
     assert v.count() > 0
