@@ -42,23 +42,40 @@ def rate_calendar(rates: DataFrame, to_currency: str = "USD", *, ccy: str = "fro
     return cal, bounds
 
 
+def fx_calendar(rates: DataFrame, to_currency: str = "USD") -> DataFrame:
+    """Storable as-of table: (_ccy, _day, _rate, _first, _last) — per currency and day
+    the latest quote on or before it, plus the currency's quote range. Rebuilt when
+    the rate table is rebuilt; its size is currencies x days, independent of facts."""
+    cal, bounds = rate_calendar(rates, to_currency)
+    return cal.join(bounds, "_ccy", "inner").select("_ccy", "_day", "_rate", "_first", "_last")
+
+
+def as_calendar(rates_or_calendar: DataFrame, to_currency: str = "USD") -> DataFrame:
+    """Accept a stored calendar as is, or build one from a rate table."""
+    if "_day" in rates_or_calendar.columns:
+        return rates_or_calendar
+    return fx_calendar(rates_or_calendar, to_currency)
+
+
 def with_asof_rate(df: DataFrame, rates: DataFrame, ccy_col: str, date_col: str, out: str = "rate",
                    to_currency: str = "USD", how: str = "left") -> DataFrame:
     """Attach the as-of rate (latest ``rate_date <= date_col``) for ``ccy_col`` -> ``to_currency``.
 
-    No staleness limit. Dates before a currency's first quote get null (``how='left'``)
-    or are dropped (``how='inner'``).
+    ``rates`` is a rate table or a stored ``fx_calendar``. No staleness limit.
+    Dates before a currency's first quote get null (``how='left'``) or are dropped
+    (``how='inner'``); dates after its last quote take the last quote.
     """
-    cal, bounds = rate_calendar(rates, to_currency)
+    cal = as_calendar(rates, to_currency)
     # bounds: one row per currency (ISO codes: a few hundred at most).
-    b = F.broadcast(bounds)
-    keyed = (df.join(b, df[ccy_col] == b._ccy, "left")
+    bounds = F.broadcast(cal.select(F.col("_ccy").alias("_bccy"), "_first", "_last").distinct())
+    keyed = (df.join(bounds, F.col(ccy_col) == F.col("_bccy"), "left")
              .withColumn("_lookup", F.when(F.col(date_col) >= F.col("_first"),
                                            F.least(F.col(date_col), F.col("_last"))))
-             .drop("_ccy", "_first", "_last"))
-    cal = broadcast_if_rows(cal, CALENDAR_BROADCAST_ROWS)
-    joined = keyed.join(cal, (keyed[ccy_col] == cal._ccy) & (keyed._lookup == cal._day), how)
-    return joined.drop("_ccy", "_day", "_lookup").withColumnRenamed("_rate", out)
+             .drop("_bccy", "_first", "_last"))
+    days = broadcast_if_rows(cal.select(F.col("_ccy").alias("_dccy"), F.col("_day").alias("_dday"), "_rate"),
+                             CALENDAR_BROADCAST_ROWS)
+    joined = keyed.join(days, (F.col(ccy_col) == F.col("_dccy")) & (F.col("_lookup") == F.col("_dday")), how)
+    return joined.drop("_dccy", "_dday", "_lookup").withColumnRenamed("_rate", out)
 
 
 def asof_pairs(pairs: DataFrame, rates: DataFrame, ccy_col: str = "currency", date_col: str = "period_ending",

@@ -183,6 +183,18 @@ class FixtureCatalog:
         if name == "facts":
             from finfacts.operators.facts import explode_company_facts
             return explode_company_facts(self.tables["fx_doc"], "payload", doc_id="event_id")
+        if name == "cik_gics":   # stored classification, rebuilt by a job like the reference's
+            from finfacts.operators.classify import classify
+            from finfacts.plans import dims
+            return classify(self.tables["fx_sic"], self.tables["fx_primary_tickers"], dims.sic_rules_df(self.spark),
+                            dims.overrides_df(self.spark))
+        if name == "fx_calendar":  # stored as-of table, rebuilt with the rate table
+            from finfacts.operators.asof import fx_calendar
+            return fx_calendar(self.tables["fx_rates"])
+        if name == "processed_ciks":
+            from finfacts.operators.facts import processed_companies
+            from finfacts.plans.q_ingest import statement_rules
+            return processed_companies(self["facts"], statement_rules(self.spark))
         return None
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -202,7 +214,8 @@ class FixtureCatalog:
         """
         counts: dict[str, int] = {}
         tag = self.sf_dir.strip("/").replace("/", "_")
-        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts"]
+        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts", "cik_gics",
+                                                                                          "processed_ciks", "fx_calendar"]
         for name in names or default:
             path = scratch_path(self.spark, f"fixtures/{tag}/{name}")
             df = self[name]

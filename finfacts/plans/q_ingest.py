@@ -114,13 +114,14 @@ HAVING max(statement = 'balance_sheet') AND max(statement = 'income_statement')
 
 
 def processed(c):
-    return fa.processed_companies(facts(c), statement_rules(c.spark))
+    """The stored processed-companies table (built once per store)."""
+    return c["processed_ciks"]
 
 
 @query("processed_companies", "L5 E4 C9 A11 D10", sql(["fx_doc"], _PROCESSED_CTES,
                                                      "SELECT cik, has_balance, has_income, has_cash_flow FROM processed"))
 def processed_companies(c):
-    return processed(c)
+    return fa.processed_companies(facts(c), statement_rules(c.spark))
 
 
 @query("processed_counts", "E10 K6", sql(["fx_doc"], _PROCESSED_CTES, """

@@ -86,13 +86,13 @@ ORDER BY value DESC, cik ASC LIMIT {4 * limit}"""))
 @query("top_metric_usd", "M14 C1 C2 C3 C4 F1 E3 D8 D6 G1 F4",
        metric_oracle("income_statement", "total_revenue"))
 def top_metric_usd(c):
-    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                               "income_statement", "total_revenue", limit=25, as_of=AS_OF)
 
 
 @query("top_metric_negated", "M14 C5", metric_oracle("balance_sheet", "total_assets", negate=True))
 def top_metric_negated(c):
-    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                               "balance_sheet", "total_assets", limit=25, negate=True, as_of=AS_OF)
 
 
@@ -101,14 +101,14 @@ def top_metric_negated(c):
 def top_metric_any_frequency(c):
     # Balance-sheet metrics rank with frequency=None: annual and quarterly rows mix,
     # ties at one period_ending resolved by fiscal_year, fiscal_period, val.
-    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                               "balance_sheet", "total_assets", limit=50, frequency=None, as_of=AS_OF)
 
 
 @query("top_metric_net_income", "M14 (financial templates kept)",
        metric_oracle("income_statement", "net_income", limit=40, exclude_fin=False))
 def top_metric_net_income(c):
-    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                               "income_statement", "net_income", limit=40, exclude_financial=False, as_of=AS_OF)
 
 
@@ -144,7 +144,7 @@ ORDER BY value DESC, cik ASC LIMIT {4 * limit}"""),
 
 @query("top_sum", "M15 D5 F2 F3 D6 G1", _sum_oracle("income_statement", "total_revenue", "net_income"))
 def top_sum(c):
-    return rank.top_by_sum(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_sum(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                            "income_statement", "total_revenue", "net_income", limit=25, as_of=AS_OF)
 
 
@@ -254,7 +254,7 @@ SELECT metric, rank, cik, ticker, name, strftime(period_ending, '%Y-%m-%d') AS p
 @query("top_all_metrics", "M17 (catalogue, one scan)", _all_metrics_oracle())
 def top_all_metrics(c):
     cat = dims.catalogue_df(c.spark)
-    return rank.top_all_metrics(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"], cat,
+    return rank.top_all_metrics(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"], cat,
                                 limit=25, as_of=AS_OF)
 
 

@@ -49,13 +49,14 @@ LEFT JOIN overrides o ON o.cik = c.cik"""),
 
 
 def classified(c):
-    return cl.classify(c["fx_sic"], c["fx_primary_tickers"], dims.sic_rules_df(c.spark), dims.overrides_df(c.spark))
+    """The stored classification table (built once per store, read by the sector queries)."""
+    return c["cik_gics"]
 
 
 @query("classify_industry", "M9 D12 E9 F6 I5 L9",
        sql(_FIX, CLASSIFY_CTES, "SELECT cik, sic4, sector, industry, sub_industry FROM classified"))
 def classify_industry(c):
-    return classified(c)
+    return cl.classify(c["fx_sic"], c["fx_primary_tickers"], dims.sic_rules_df(c.spark), dims.overrides_df(c.spark))
 
 
 @query("sector_list", "M11 E6", sql(_FIX, CLASSIFY_CTES, """
@@ -159,5 +160,5 @@ def sector_rollup(c):
                                                   "SELECT cik FROM classified WHERE sector = 'Health Care'")]))
 def top_metric_sector(c):
     ciks = cl.ciks_in(classified(c), sector="Health Care")
-    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_rates"],
+    return rank.top_by_metric(c["fx_std"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
                               "income_statement", "total_revenue", limit=10, ciks=ciks, as_of=AS_OF)

@@ -28,9 +28,18 @@ def query(name: str, ids: str, oracle: str | None):
     return deco
 
 
+class OracleSQL(str):
+    """Oracle text that also remembers its parts (query CTEs and final SELECT), so the
+    same query can run against materialised fixture tables."""
+    ctes: list
+    final: str
+
+
 def sql(fixtures, ctes: list[tuple[str, str]], final: str) -> str:
     """Oracle text: fixture CTEs + query CTEs + final SELECT."""
-    return oracle_prefix(fixtures, ctes) + final
+    out = OracleSQL(oracle_prefix(fixtures, ctes) + final)
+    out.ctes, out.final = list(ctes), final
+    return out
 
 
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
