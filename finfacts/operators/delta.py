@@ -29,11 +29,15 @@ def check_change_limit(keys: DataFrame, limit: int = CHANGED_KEY_LIMIT, force: b
     return n
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, key: str = "cik") -> DataFrame:
+def replace_by_key(old: DataFrame, new: DataFrame, key="cik") -> DataFrame:
     """Delete every row whose key occurs in ``new``, then append ``new``.
-    Keys absent from ``new`` keep their rows (a vanished key is not deleted)."""
-    keys = new.select(key).distinct()
-    return old.join(keys, key, "left_anti").unionByName(new.select(*old.columns))
+
+    Keys absent from ``new`` keep their rows (a vanished key is not deleted). ``key``
+    may be a list — e.g. (cik, namespace) replaces only a company's ``dei`` rows.
+    A hot key on the ``old`` side is split by AQE's skew-join handling.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
 def full_replace(old: DataFrame, new: DataFrame) -> DataFrame:

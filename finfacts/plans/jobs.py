@@ -74,6 +74,29 @@ def update_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFra
     return n
 
 
+def build_submissions(spark: SparkSession, sub_dir: str, store: str, version: int) -> int:
+    """Filing metadata: changed companies (canonical hash) get their payload row and
+    their ``dei`` facts replaced; other namespaces of those companies stay."""
+    subs = filings.submissions(spark, sub_dir)
+    try:
+        old = spark.read.parquet(f"{store}/submissions")
+    except Exception:  # first load  # noqa: BLE001
+        old = spark.createDataFrame([], "cik string, h string, payload binary, mtime timestamp")
+    keys = dl.changed_keys(dl.classify_changes(subs.select("cik", "h"), old.select("cik", "h")))
+    n = keys.count()
+    if n == 0:
+        return 0
+    changed = subs.join(keys, "cik", "left_semi")
+    out = f"{store}/v={version}"
+    _write(dl.replace_by_key(old, changed.select(*old.columns)), f"{out}/submissions")
+    dei = fa.dei_facts(changed)
+    facts = spark.read.parquet(f"{store}/facts")
+    dei = dei.select(*[c if c in dei.columns else F.lit(None).cast(facts.schema[c].dataType).alias(c)
+                       for c in facts.columns])
+    _write(dl.replace_by_key(facts, dei, key=["cik", "namespace"]), f"{out}/facts")
+    return n
+
+
 def rebuild_fx(spark: SparkSession, xml_path: str, store: str, as_of=None) -> DataFrame:
     """FX table: reference cubes -> USD rates within the lookback; an empty download
     keeps the previous table."""

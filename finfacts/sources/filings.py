@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik, normalize_ticker
+from finfacts.functions.payload import canonical_json_sha256, gzip_canonical_json
 from finfacts.operators.joins import broadcast_dim
 
 FACTS_NAME = r"^CIK(\d+)\.json$"
@@ -77,8 +78,12 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
     meta_keys = ["name", "sic", "sicDescription", "entityType", "category", "fiscalYearEnd", "stateOfIncorporation",
                  "ein", "lei"]
     meta = F.create_map(*[x for k in meta_keys for x in (F.lit(k), F.col(f"d.{k}"))])
-    return j.select("cik", meta.alias("meta"), F.col("d.exchanges").alias("exchanges"), recent.alias("recent"),
-                    F.greatest("mtime", F.coalesce("omtime", "mtime")).alias("mtime"))
+    out = j.select("cik", meta.alias("meta"), F.col("d.exchanges").alias("exchanges"), recent.alias("recent"),
+                   F.greatest("mtime", F.coalesce("omtime", "mtime")).alias("mtime"))
+    # Change-detection hash and stored payload over the *merged* document, in
+    # canonical JSON (sorted keys), so key order in the files does not matter.
+    merged = F.to_json(F.struct("cik", "meta", "exchanges", "recent"))
+    return out.withColumn("h", canonical_json_sha256(merged)).withColumn("payload", gzip_canonical_json(merged))
 
 
 def ticker_list(spark: SparkSession, path: str) -> DataFrame:

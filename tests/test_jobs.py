@@ -57,3 +57,21 @@ def test_statement_views(spark, period, transform):
     v = jobs.statement_view(c["fx_std"], c["fx_rates"], "income_statement", period, transform, limit=4)
     assert v.agg(F.max("period_rank")).collect()[0][0] <= 4
     assert v.count() > 0
+
+
+def test_submissions_replace_only_dei_rows(spark, tmp_dir):
+    rules = spark.createDataFrame([("balance_sheet", "A")], "statement string, tag string")
+    land, subs, store = f"{tmp_dir}/land", f"{tmp_dir}/subs", f"{tmp_dir}/store"
+    _land(land, 1, {"A": 1})
+    built = jobs.build_facts(spark, land, store, rules)
+    assert built["facts"].count() == 1
+    os.makedirs(subs, exist_ok=True)
+    with open(f"{subs}/CIK0000000001.json", "w") as fh:
+        fh.write(json.dumps({"cik": "1", "name": "One", "sic": "7372", "sicDescription": "Software",
+                             "filings": {"recent": {"form": ["10-K"]}, "files": []}}))
+    assert jobs.build_submissions(spark, subs, store, version=1) == 1
+    f = spark.read.parquet(f"{store}/v=1/facts")
+    got = sorted((r["namespace"], r["tag"]) for r in f.collect())
+    assert got == [("dei", "EntityName"), ("dei", "EntitySicCode"), ("dei", "EntitySicDescription"), ("us-gaap", "A")]
+    s = spark.read.parquet(f"{store}/v=1/submissions").collect()[0]
+    assert len(s["h"]) == 64 and s["payload"][:2] == bytes([0x1F, 0x8B])
