@@ -36,8 +36,8 @@ def strict_date(x) -> Column:
 
 
 def to_double_or_null(x) -> Column:
-    """Python-``float()``-like coercion of a JSON scalar held as text."""
-    return F.expr("try_cast(trim({}) AS DOUBLE)".format(_sql(x)))
+    """Python-``float()``-like coercion of a JSON scalar held as text; otherwise null."""
+    return F.trim(_c(x).cast("string")).try_cast("double")
 
 
 def to_int_or_null(x) -> Column:
@@ -54,9 +54,3 @@ def sic4(x) -> Column:
 def sic4_text(x) -> Column:
     """Int SIC code -> 4-character text with leading zeros."""
     return F.lpad(_c(x).cast("string"), 4, "0")
-
-
-def _sql(x) -> str:
-    if isinstance(x, str):
-        return f"`{x}`"
-    raise TypeError("to_double_or_null needs a column name")

@@ -8,11 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.functions.ids import normalize_cik, strict_date, to_int_or_null
+from finfacts.functions.ids import normalize_cik, strict_date, to_double_or_null, to_int_or_null
 from finfacts.operators.joins import broadcast_dim
 
-FACT_COLUMNS = ["cik", "namespace", "tag", "unit", "start", "end", "val", "val_text", "accn", "fy", "fp", "form",
-                "filed", "frame"]
 PERIOD_SCHEMA = ("struct<start:string,end:string,val:string,accn:string,fy:string,fp:string,form:string,"
                  "filed:string,frame:string>")
 STATEMENT_NAMESPACES = ("us-gaap", "ifrs-full")
@@ -73,7 +71,7 @@ def explode_company_facts(docs: DataFrame, payload: str = "payload", doc_id: str
                      F.explode("_u").alias("_r")).where(F.col("_r").isNotNull())
     return p.select(*keep, "cik", "entity_name", "namespace", "tag", "label", "description", "unit",
                     strict_date(F.col("_r.start")).alias("start"), strict_date(F.col("_r.end")).alias("end"),
-                    F.expr("try_cast(trim(_r.val) AS DOUBLE)").alias("val"), F.lit(None).cast("string").alias("val_text"),
+                    to_double_or_null(F.col("_r.val")).alias("val"), F.lit(None).cast("string").alias("val_text"),
                     F.col("_r.accn").alias("accn"), to_int_or_null(F.col("_r.fy")).alias("fy"),
                     F.col("_r.fp").alias("fp"), F.col("_r.form").alias("form"),
                     strict_date(F.col("_r.filed")).alias("filed"), F.col("_r.frame").alias("frame"))
@@ -175,7 +173,7 @@ def dei_facts(submissions: DataFrame) -> DataFrame:
                for num, rows in ((True, DEI_NUMERIC), (False, DEI_TEXT)) for t, k, d in rows]
     x = submissions.select("cik", day.alias("_day"), "meta", F.explode(F.array(*entries)).alias("_a"))
     raw = F.element_at(F.col("meta"), F.col("_a.key"))
-    num = F.expr("try_cast(trim(element_at(meta, _a.key)) AS DOUBLE)")
+    num = to_double_or_null(raw)
     x = x.where(raw.isNotNull() & (raw != "")).where(~F.col("_a.numeric") | num.isNotNull())
     return x.select("cik", F.lit("dei").alias("namespace"), F.col("_a.tag").alias("tag"),
                     F.when(F.col("_a.numeric"), F.lit("pure")).otherwise(F.lit("string")).alias("unit"),

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finfacts.functions.numeric import round_to, safe_div
+from finfacts.functions.numeric import ratio_pct, safe_div
 from finfacts.operators.asof import with_asof_rate
 from finfacts.operators.joins import broadcast_bounded, broadcast_dim
 from finfacts.operators.latest import latest_by
@@ -215,7 +215,7 @@ def top_by_ratio(std: DataFrame, companies: DataFrame, primary_tickers: DataFram
         F.col("a.fiscal_period").alias("fiscal_period"), F.col("a.val").alias("num_val"),
         F.col("b.val").alias("den_val"))
     latest = latest_by(paired, ["cik"], ["period_ending", "fiscal_year", "fiscal_period", "num_val", "den_val"])
-    scored = latest.withColumn("value", round_to(F.col("num_val") / F.col("den_val") * 100, 2))
+    scored = latest.withColumn("value", ratio_pct("num_val", "den_val", 2))
     if min_value is not None:
         scored = scored.where(F.col("value") >= float(min_value))
     if max_value is not None:

@@ -23,8 +23,6 @@ from finfacts.operators.joins import broadcast_dim
 
 RULE_SCHEMA = ("company_type string, statement string, line_item string, priority int, namespace string, "
                "tag string, kind string")
-STD_COLUMNS = ["cik", "statement", "period_ending", "fiscal_year", "fiscal_period", "frequency", "tag", "val",
-               "currency", "company_type", "source"]
 DEFAULT_COMPANY_TYPE = "industrial"
 SOURCE_MAX = 256
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.functions.numeric import growth as growth_expr
-from finfacts.functions.text import fiscal_year_label, humanize
+from finfacts.functions.text import fiscal_year_label, humanize, period_label
 from finfacts.operators.asof import with_asof_rate
 from finfacts.operators.latest import first_n_periods, period_index
 
@@ -83,9 +83,7 @@ def statement_periods(std: DataFrame, statement: str, frequency: str = "annual",
     s = std.where((F.col("statement") == statement) & (F.col("frequency") == frequency))
     s = first_n_periods(s, "cik", "period_ending", limit, newest_first=True, name="period_rank")
     return (s.groupBy("cik", "period_rank", "period_ending").agg(F.max("fiscal_period").alias("fiscal_period"))
-             .select("cik", "period_rank",
-                     F.trim(F.concat_ws(" ", F.coalesce("fiscal_period", F.lit("")),
-                                        F.date_format("period_ending", "yyyy-MM-dd"))).alias("label")))
+             .select("cik", "period_rank", period_label("fiscal_period", "period_ending").alias("label")))
 
 
 def statement_wide(std: DataFrame, statement: str, tags: Sequence[str], frequency: str = "annual",
