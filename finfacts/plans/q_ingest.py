@@ -100,6 +100,20 @@ def dict_encode_roundtrip(c):
     return fa.decode(enc, tags, accns).select(*f.columns)
 
 
+@query("decode_views", "L8 D1 D2 D3 (decoded facts + tag metadata views over encoded tables)",
+       sql(["fx_doc"], EXPLODE_CTES + [("tag_meta", """
+SELECT namespace, tag, arg_min(label, event_id) AS first_label FROM facts GROUP BY namespace, tag""")], """
+SELECT f.cik, f.namespace, f.tag, m.first_label AS tag_label, f.unit, f."end", f.val, f.accn, f.fy, f.fp, f.form, f.filed
+FROM facts f JOIN tag_meta m ON m.namespace = f.namespace AND m.tag = f.tag"""))
+def decode_views(c):
+    f = facts(c)
+    enc, tags, accns = fa.encode(f)
+    meta = fa.tag_metadata(f, "event_id").select("namespace", "tag", F.col("label").alias("tag_label"))
+    tag_dim = tags.join(meta, ["namespace", "tag"], "inner")   # xbrl_tags with the first-seen label
+    view = fa.decode(enc, tag_dim, accns)
+    return view.select("cik", "namespace", "tag", "tag_label", "unit", "end", "val", "accn", "fy", "fp", "form", "filed")
+
+
 def _rules_sql():
     body = ", ".join(f"('{s}', '{t}')" for s, t in FIXTURE_STATEMENT_RULES)
     return f"SELECT * FROM (VALUES {body}) AS t(statement, tag)"
