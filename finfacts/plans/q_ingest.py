@@ -139,8 +139,9 @@ def processed_companies(c):
 
 
 @query("processed_counts", "E10 K6", sql(["fx_doc"], _PROCESSED_CTES, """
-SELECT count(*) AS total, sum(CAST(has_balance AS INTEGER)) AS with_balance,
-       sum(CAST(has_income AS INTEGER)) AS with_income, sum(CAST(has_cash_flow AS INTEGER)) AS with_cash_flow
+SELECT count(*) AS total, CAST(sum(CAST(has_balance AS INTEGER)) AS BIGINT) AS with_balance,
+       CAST(sum(CAST(has_income AS INTEGER)) AS BIGINT) AS with_income,
+       CAST(sum(CAST(has_cash_flow AS INTEGER)) AS BIGINT) AS with_cash_flow
 FROM processed"""))
 def processed_counts(c):
     return fa.processed_counts(processed(c))
