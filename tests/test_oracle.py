@@ -63,3 +63,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["cik", "ticker", "name", "period_ending", "fiscal_year", "fiscal_period", "currency", "value"]
     assert df.count() >= 0
+
+
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+                 "DateType()": "DATE", "BooleanType()": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_types_match_oracle(spark, duck, name):
+    st = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in QUERIES[name](spark, SMALL).schema.fields}
+    rel = duck.sql(ORACLE[name])
+    assert st == {c: str(t) for c, t in zip(rel.columns, rel.types)}
