@@ -20,11 +20,15 @@ def canonical_ciks(ciks: DataFrame, multi_cik: DataFrame) -> DataFrame:
 
 
 def company_profiles(canonical: DataFrame, companies: DataFrame, tickers: DataFrame, dei: DataFrame,
-                     std: DataFrame) -> DataFrame:
+                     std: DataFrame, submissions: DataFrame | None = None,
+                     locations: DataFrame | None = None) -> DataFrame:
     """One profile per primary cik.
 
-    dei: (cik, tag, val, val_text, end, filed, id) rows of EntitySicCode /
-    EntitySicDescription (latest per tag over the group by end, filed, id).
+    dei: (cik, tag, val, val_text, end, filed, id) DEI rows; per tag the latest over
+    the group by (end, filed, id) — SIC code and description, state of
+    incorporation, fiscal-year end. submissions: optional (cik, exchanges) of the
+    primary cik, order kept, duplicates dropped. locations: optional (code, name,
+    is_us_state) to name the state of incorporation.
     """
     grp = canonical.select("cik", "primary_cik")
     related = grp.groupBy("primary_cik").agg(
@@ -45,6 +49,12 @@ def company_profiles(canonical: DataFrame, companies: DataFrame, tickers: DataFr
                      cols=["primary_cik", "end", "filed", "id", "val"])
     descr = latest_by(d.where(F.col("tag") == "EntitySicDescription"), ["primary_cik"], ["end", "filed", "id"],
                       cols=["primary_cik", "end", "filed", "id", "val_text"])
+    def latest_text(tag: str, name: str) -> DataFrame:
+        t = latest_by(d.where((F.col("tag") == tag) & F.col("val_text").isNotNull()), ["primary_cik"],
+                      ["end", "filed", "id"], cols=["primary_cik", "end", "filed", "id", "val_text"])
+        return t.select("primary_cik", F.col("val_text").alias(name))
+    state = latest_text("EntityStateOfIncorporation", "state_of_incorporation")
+    fye = latest_text("EntityFiscalYearEnd", "fiscal_year_end")
     periods = (std.select("cik", "period_ending").join(grp, "cik", "inner")
                .groupBy("primary_cik").agg(F.min("period_ending").alias("first_period"),
                                            F.max("period_ending").alias("latest_period")))
@@ -53,6 +63,20 @@ def company_profiles(canonical: DataFrame, companies: DataFrame, tickers: DataFr
     out = (base.join(names, "primary_cik", "left").join(tk, "primary_cik", "left").join(related, "primary_cik", "left")
            .join(code.select("primary_cik", sic4_text(F.floor("val").cast("int")).alias("sic")), "primary_cik", "left")
            .join(descr.select("primary_cik", F.col("val_text").alias("sic_name")), "primary_cik", "left")
-           .join(periods, "primary_cik", "left"))
+           .join(periods, "primary_cik", "left").join(state, "primary_cik", "left").join(fye, "primary_cik", "left"))
+    if submissions is not None:
+        ex = submissions.select(F.col("cik").alias("primary_cik"),
+                                F.array_join(F.array_distinct("exchanges"), ",").alias("exchanges"))
+        out = out.join(ex, "primary_cik", "left")
+    else:
+        out = out.withColumn("exchanges", F.lit(None).cast("string"))
+    if locations is not None:
+        from finfacts.operators.sets import decode_location
+        out = decode_location(out, "state_of_incorporation", locations, "_inc") \
+            .withColumnRenamed("_inc_name", "state_of_incorporation_name").drop("_inc_state", "_inc_country")
+    else:
+        out = out.withColumn("state_of_incorporation_name", F.lit(None).cast("string"))
     return out.select(F.col("primary_cik").alias("cik"), F.col("entity_name").alias("name"), "primary_ticker",
-                      "secondary_tickers", "related_ciks", "sic", "sic_name", "first_period", "latest_period")
+                      "secondary_tickers", "related_ciks", "exchanges", "state_of_incorporation",
+                      "state_of_incorporation_name", "sic", "sic_name", "fiscal_year_end", "first_period",
+                      "latest_period")

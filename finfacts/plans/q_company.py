@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from finfacts.operators import profile as pf
 from finfacts.operators import resolve as rs
+from finfacts.operators.sets import location_dim
 from finfacts.plans.q_ingest import _PROCESSED_CTES, processed
 from finfacts.plans.registry import query, sql
 
@@ -125,8 +126,10 @@ SELECT g.primary_cik, min(s.period_ending) AS first_period, max(s.period_ending)
 FROM fx_std s JOIN grp g ON g.cik = s.cik GROUP BY g.primary_cik"""),
 ], """
 SELECT b.primary_cik AS cik, n.entity_name AS name, tks.primary_ticker, tks.secondary_tickers, r.related_ciks,
+       CAST(NULL AS VARCHAR) AS exchanges, CAST(NULL AS VARCHAR) AS state_of_incorporation,
+       CAST(NULL AS VARCHAR) AS state_of_incorporation_name,
        lpad(CAST(CAST(floor(code.val) AS INTEGER) AS VARCHAR), 4, '0') AS sic, descr.val_text AS sic_name,
-       periods.first_period, periods.latest_period
+       CAST(NULL AS VARCHAR) AS fiscal_year_end, periods.first_period, periods.latest_period
 FROM (SELECT DISTINCT primary_cik FROM grp) b
 LEFT JOIN fx_companies n ON n.cik = b.primary_cik
 LEFT JOIN tks ON tks.primary_cik = b.primary_cik
@@ -136,4 +139,7 @@ LEFT JOIN descr ON descr.primary_cik = b.primary_cik
 LEFT JOIN periods ON periods.primary_cik = b.primary_cik"""))
 def company_profiles(c):
     canon = pf.canonical_ciks(c["fx_companies"], c["fx_multi_cik"])
-    return pf.company_profiles(canon, c["fx_companies"], c["fx_tickers"], _dei(c), c["fx_std"])
+    # The fixture has SIC facts only: state of incorporation, fiscal-year end and
+    # exchanges come out null (their decoding is covered by literal-row tests).
+    return pf.company_profiles(canon, c["fx_companies"], c["fx_tickers"], _dei(c), c["fx_std"],
+                               locations=location_dim(c.spark))

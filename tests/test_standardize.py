@@ -90,3 +90,24 @@ def test_location_decode(spark):
            for r in sets.decode_location(df, "st", sets.location_dim(spark, extra), "inc").collect()}
     assert out == {"1": ("Delaware", "Delaware", None), "2": ("Ontario, Canada", None, "Ontario, Canada"),
                    "3": ("Testland", None, "Testland"), "4": (None, None, None)}
+
+
+def test_profile_dei_fields_and_exchanges(spark):
+    from finfacts.operators import profile as pf
+    canon = spark.createDataFrame([("1", "1"), ("2", "1")], "cik string, primary_cik string")
+    comps = spark.createDataFrame([("1", "One")], "cik string, entity_name string")
+    ticks = spark.createDataFrame([("1", "ONE", True), ("2", "ONE-B", False)], "cik string, ticker string, is_primary boolean")
+    dei = spark.createDataFrame([
+        ("1", "EntityStateOfIncorporation", None, "DE", D(2020, 1, 1), D(2020, 1, 1), 1),
+        ("2", "EntityStateOfIncorporation", None, "A6", D(2021, 1, 1), D(2021, 1, 1), 2),
+        ("1", "EntityFiscalYearEnd", None, "1231", D(2020, 1, 1), D(2020, 1, 1), 3),
+        ("1", "EntitySicCode", 7372.0, None, D(2020, 1, 1), D(2020, 1, 1), 4)],
+        "cik string, tag string, val double, val_text string, end date, filed date, id int")
+    std = spark.createDataFrame([("2", D(2019, 12, 31))], "cik string, period_ending date")
+    subs = spark.createDataFrame([("1", ["NYSE", "Nasdaq", "NYSE"])], "cik string, exchanges array<string>")
+    r = pf.company_profiles(canon, comps, ticks, dei, std, subs, sets.location_dim(spark)).collect()[0]
+    assert (r["cik"], r["name"], r["primary_ticker"], r["secondary_tickers"], r["related_ciks"]) == \
+        ("1", "One", "ONE", "ONE-B", "2")
+    assert r["state_of_incorporation"] == "A6" and r["state_of_incorporation_name"] == "Ontario, Canada"
+    assert r["fiscal_year_end"] == "1231" and r["sic"] == "7372" and r["exchanges"] == "NYSE,Nasdaq"
+    assert r["first_period"] == r["latest_period"] == D(2019, 12, 31)
