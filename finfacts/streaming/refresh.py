@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik
 from finfacts.operators.delta import changed_keys, classify_changes, replace_by_key, upsert_last
-from finfacts.operators.facts import explode_company_facts
+from finfacts.operators.facts import explode_company_facts, processed_companies
 
 FACTS_NAME = r"CIK(\d+)\.json$"
 
@@ -39,8 +39,12 @@ def read_store(spark: SparkSession, store: str) -> tuple[DataFrame | None, DataF
     return spark.read.parquet(f"{store}/v={v}/facts"), spark.read.parquet(f"{store}/v={v}/companies")
 
 
-def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int) -> int:
-    """files: (name, payload). Returns the number of companies written (0 = no-op)."""
+def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int, rules: DataFrame | None = None) -> int:
+    """files: (name, payload). Returns the number of companies written (0 = no-op).
+
+    With ``rules`` (statement, tag) the processed-companies table is maintained too,
+    recomputed for the changed companies only.
+    """
     incoming = (files.where(F.col("name").rlike(FACTS_NAME))
                 .select(normalize_cik(F.regexp_extract("name", FACTS_NAME, 1)).alias("file_cik"), "payload",
                         F.sha2(F.encode("payload", "UTF-8"), 256).alias("h")))
@@ -68,11 +72,21 @@ def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int) -
     base = f"{store}/v={epoch}"
     facts.write.mode("overwrite").parquet(f"{base}/facts")
     companies.write.mode("overwrite").parquet(f"{base}/companies")
+    if rules is not None:
+        prev = current_version(spark, store)
+        new_proc = processed_companies(new_facts, rules)
+        if prev is None:
+            proc = new_proc
+        else:
+            old_proc = spark.read.parquet(f"{store}/v={prev}/processed_ciks")
+            proc = old_proc.join(keys, "cik", "left_anti").unionByName(new_proc)
+        proc.write.mode("overwrite").parquet(f"{base}/processed_ciks")
     spark.createDataFrame([(int(epoch),)], "epoch bigint").write.mode("append").parquet(f"{store}/_log")
     return n
 
 
-def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str, trigger_once: bool = True):
+def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str, trigger_once: bool = True,
+                  rules: DataFrame | None = None):
     """Start the file-source stream; returns the StreamingQuery (``availableNow`` by default)."""
     # Each delivery lands in its own folder (a rewritten file keeps its name, and
     # the file source tracks files by path), hence the recursive lookup.
@@ -82,7 +96,7 @@ def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str
                       F.col("value").alias("payload")))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        apply_batch(batch.sparkSession, batch, store, epoch + 1)
+        apply_batch(batch.sparkSession, batch, store, epoch + 1, rules)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")

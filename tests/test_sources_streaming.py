@@ -94,24 +94,33 @@ def test_zip_source(spark, tmp_dir):
     assert sorted(r["name"] for r in df.collect()) == [f"CIK{i:010d}.json" for i in range(5)]
 
 
-def _doc(cik, val):
-    return json.dumps({"cik": cik, "entityName": f"E{cik}", "facts": {"us-gaap": {"Revenue": {"label": "Revenue", "units": {
-        "USD": [{"end": "2020-12-31", "val": val, "fy": 2020}]}}}}})
+def _doc(cik, val, extra=()):
+    tags = {t: {"label": t, "units": {"USD": [{"end": "2020-12-31", "val": val, "fy": 2020}]}} for t in ("Revenue", *extra)}
+    return json.dumps({"cik": cik, "entityName": f"E{cik}", "facts": {"us-gaap": tags}})
 
 
 def test_streaming_refresh_is_incremental_and_replay_safe(spark, tmp_dir):
     landing, store, ckpt = f"{tmp_dir}/landing", f"{tmp_dir}/store", f"{tmp_dir}/ckpt"
-    _write(f"{landing}/a/CIK0000000001.json", _doc(1, 10))
+    rules = spark.createDataFrame([("income_statement", "Revenue"), ("balance_sheet", "Assets"),
+                                   ("cash_flow", "Capex")], "statement string, tag string")
+    _write(f"{landing}/a/CIK0000000001.json", _doc(1, 10, ("Assets", "Capex")))
     _write(f"{landing}/a/CIK0000000002.json", _doc(2, 20))
-    refresh.start_refresh(spark, landing, store, ckpt).awaitTermination()
+    refresh.start_refresh(spark, landing, store, ckpt, rules=rules).awaitTermination()
+    v1 = refresh.current_version(spark, store)
+    assert [r["cik"] for r in spark.read.parquet(f"{store}/v={v1}/processed_ciks").collect()] == ["0000000001"]
     facts, comps = refresh.read_store(spark, store)
-    assert sorted((r["cik"], r["val"]) for r in facts.collect()) == [("0000000001", 10.0), ("0000000002", 20.0)]
+    assert sorted((r["cik"], r["val"]) for r in facts.where("tag = 'Revenue'").collect()) == \
+        [("0000000001", 10.0), ("0000000002", 20.0)]
     # a changed file for company 2 and an unchanged copy of company 1 arrive
-    _write(f"{landing}/b/CIK0000000002.json", _doc(2, 25))
-    _write(f"{landing}/b/CIK0000000001.json", _doc(1, 10))
-    refresh.start_refresh(spark, landing, store, ckpt).awaitTermination()
+    _write(f"{landing}/b/CIK0000000002.json", _doc(2, 25, ("Assets", "Capex")))
+    _write(f"{landing}/b/CIK0000000001.json", _doc(1, 10, ("Assets", "Capex")))
+    refresh.start_refresh(spark, landing, store, ckpt, rules=rules).awaitTermination()
     facts, comps = refresh.read_store(spark, store)
-    assert sorted((r["cik"], r["val"]) for r in facts.collect()) == [("0000000001", 10.0), ("0000000002", 25.0)]
+    assert sorted((r["cik"], r["val"]) for r in facts.where("tag = 'Revenue'").collect()) == \
+        [("0000000001", 10.0), ("0000000002", 25.0)]
+    v2 = refresh.current_version(spark, store)
+    assert sorted(r["cik"] for r in spark.read.parquet(f"{store}/v={v2}/processed_ciks").collect()) == \
+        ["0000000001", "0000000002"]
     # replaying a batch is a no-op
     batch = spark.createDataFrame([("CIK0000000002.json", _doc(2, 25))], "name string, payload string")
     assert refresh.apply_batch(spark, batch, store, 99) == 0
