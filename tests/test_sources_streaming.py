@@ -122,6 +122,6 @@ def test_streaming_refresh_is_incremental_and_replay_safe(spark, tmp_dir):
     assert sorted(r["cik"] for r in spark.read.parquet(f"{store}/v={v2}/processed_ciks").collect()) == \
         ["0000000001", "0000000002"]
     # replaying a batch is a no-op
-    batch = spark.createDataFrame([("CIK0000000002.json", _doc(2, 25))], "name string, payload string")
+    batch = spark.createDataFrame([("CIK0000000002.json", _doc(2, 25, ("Assets", "Capex")))], "name string, payload string")
     assert refresh.apply_batch(spark, batch, store, 99) == 0
     assert comps.count() == 2
