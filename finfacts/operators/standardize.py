@@ -153,13 +153,24 @@ def merge_registrants(std: DataFrame, canonical: DataFrame, priorities: DataFram
     canonical: (cik, primary_cik); priorities: (cik, priority) — 0 first; a cik
     without a priority ranks after all listed ones. Where several registrants
     report the same line item for the same period, the best-priority one wins.
+
+    Only companies in a multi-registrant group can collide, so only their rows are
+    aggregated; every other row (a company's key is unique in the statement table)
+    passes straight through without a shuffle. The group set is small and broadcast
+    after a size check.
     """
+    linked = canonical.where(F.col("cik") != F.col("primary_cik"))
+    members = linked.select("cik").union(linked.select(F.col("primary_cik").alias("cik"))).distinct()
+    members = broadcast_dim(members)
+    key = ["primary_cik", "statement", "tag", "period_ending", "fiscal_year", "fiscal_period", "frequency"]
+    rest = [c for c in std.columns if c not in key and c != "cik"]
+    plain = std.join(members, "cik", "left_anti").select(
+        F.col("cik"), F.col("cik").alias("source_cik"), *[c for c in key if c != "primary_cik"], *rest)
     pr = priorities.groupBy("cik").agg(F.min("priority").alias("_prio"))
-    s = (std.join(canonical, "cik", "left").join(pr, "cik", "left")
+    s = (std.join(members, "cik", "left_semi").join(canonical, "cik", "left").join(pr, "cik", "left")
             .withColumn("primary_cik", F.coalesce("primary_cik", "cik"))
             .withColumn("_prio", F.coalesce("_prio", F.lit(2147483647))))
-    key = ["primary_cik", "statement", "tag", "period_ending", "fiscal_year", "fiscal_period", "frequency"]
-    rest = [c for c in std.columns if c not in key and c != "cik"]
     picked = latest_by(s, key, ["_prio", "cik"], cols=key + ["_prio", "cik"] + rest, descending=False)
-    return picked.select(F.col("primary_cik").alias("cik"), F.col("cik").alias("source_cik"),
-                         *[c for c in key if c != "primary_cik"], *rest)
+    merged = picked.select(F.col("primary_cik").alias("cik"), F.col("cik").alias("source_cik"),
+                           *[c for c in key if c != "primary_cik"], *rest)
+    return plain.unionByName(merged)
