@@ -44,26 +44,28 @@ def company_profiles(canonical: DataFrame, companies: DataFrame, tickers: DataFr
     tk = tk.select("primary_cik", "primary_ticker",
                    F.array_join(F.transform(F.filter("_ts", lambda x: x["ticker"] != F.col("primary_ticker")),
                                             lambda x: x["ticker"]), ",").alias("secondary_tickers"))
-    d = dei.join(grp, "cik", "inner")
-    code = latest_by(d.where(F.col("tag") == "EntitySicCode"), ["primary_cik"], ["end", "filed", "id"],
-                     cols=["primary_cik", "end", "filed", "id", "val"])
-    descr = latest_by(d.where(F.col("tag") == "EntitySicDescription"), ["primary_cik"], ["end", "filed", "id"],
-                      cols=["primary_cik", "end", "filed", "id", "val_text"])
-    def latest_text(tag: str, name: str) -> DataFrame:
-        t = latest_by(d.where((F.col("tag") == tag) & F.col("val_text").isNotNull()), ["primary_cik"],
-                      ["end", "filed", "id"], cols=["primary_cik", "end", "filed", "id", "val_text"])
-        return t.select("primary_cik", F.col("val_text").alias(name))
-    state = latest_text("EntityStateOfIncorporation", "state_of_incorporation")
-    fye = latest_text("EntityFiscalYearEnd", "fiscal_year_end")
+    # One latest-per-(group, tag) aggregation for every DEI attribute, then a pivot.
+    d = dei.join(grp, "cik", "inner").where(
+        ((F.col("tag") == "EntitySicCode") & F.col("val").isNotNull())
+        | (F.col("tag").isin("EntitySicDescription", "EntityStateOfIncorporation", "EntityFiscalYearEnd")
+           & F.col("val_text").isNotNull()))
+    latest = latest_by(d, ["primary_cik", "tag"], ["end", "filed", "id"],
+                       cols=["primary_cik", "tag", "end", "filed", "id", "val", "val_text"])
+
+    def pick(tag: str, col: str):
+        return F.max(F.when(F.col("tag") == tag, F.col(col)))
+    dei_wide = latest.groupBy("primary_cik").agg(
+        sic4_text(F.floor(pick("EntitySicCode", "val")).cast("int")).alias("sic"),
+        pick("EntitySicDescription", "val_text").alias("sic_name"),
+        pick("EntityStateOfIncorporation", "val_text").alias("state_of_incorporation"),
+        pick("EntityFiscalYearEnd", "val_text").alias("fiscal_year_end"))
     periods = (std.select("cik", "period_ending").join(grp, "cik", "inner")
                .groupBy("primary_cik").agg(F.min("period_ending").alias("first_period"),
                                            F.max("period_ending").alias("latest_period")))
     names = companies.select(F.col("cik").alias("primary_cik"), "entity_name")
     base = grp.select("primary_cik").distinct()
     out = (base.join(names, "primary_cik", "left").join(tk, "primary_cik", "left").join(related, "primary_cik", "left")
-           .join(code.select("primary_cik", sic4_text(F.floor("val").cast("int")).alias("sic")), "primary_cik", "left")
-           .join(descr.select("primary_cik", F.col("val_text").alias("sic_name")), "primary_cik", "left")
-           .join(periods, "primary_cik", "left").join(state, "primary_cik", "left").join(fye, "primary_cik", "left"))
+           .join(dei_wide, "primary_cik", "left").join(periods, "primary_cik", "left"))
     if submissions is not None:
         ex = submissions.select(F.col("cik").alias("primary_cik"),
                                 F.array_join(F.array_distinct("exchanges"), ",").alias("exchanges"))
