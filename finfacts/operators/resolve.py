@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_ticker
-from finfacts.operators.joins import broadcast_dim
 
 def _processed(processed: DataFrame) -> DataFrame:
     flags = F.col("has_balance") & F.col("has_income") & F.col("has_cash_flow")
@@ -66,15 +65,21 @@ def search_entities(entities: DataFrame, keyword: str, limit: int = 1000) -> Dat
     return m.orderBy(F.col("entity_name").asc(), F.col("cik").asc()).limit(int(limit)).select("cik", "entity_name")
 
 
-def search_entities_batch(entities: DataFrame, keywords: DataFrame, limit: int = 1000) -> DataFrame:
-    """Many keywords at once: (keyword, cik, entity_name), top ``limit`` per keyword.
+def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int = 1000) -> DataFrame:
+    """Many keywords in one scan: (keyword, cik, entity_name), first ``limit`` per keyword by name.
 
-    The keyword list is small (user input) and broadcast; each entity row is tested
-    against every keyword on the executor that holds it.
+    No join: the keywords (user input, a short list) are literals in one expression
+    that lists, per entity row, the keywords its name matches (same LIKE rule as
+    ``search_entities``); the per-keyword top-``limit`` runs as a group limit before
+    the shuffle.
     """
     from pyspark.sql import Window
-    k = broadcast_dim(keywords.select("keyword").distinct())
-    j = entities.join(k, F.col("entity_name").contains(F.col("keyword")), "inner")
+    kws = sorted(set(keywords))
+    if not kws:
+        return entities.sparkSession.createDataFrame([], "keyword string, cik string, entity_name string")
+    pats = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(like_pattern(k)).alias("p")) for k in kws])
+    hits = F.filter(pats, lambda x: F.like(F.col("entity_name"), x["p"]))
+    j = entities.select("cik", "entity_name", F.explode(F.transform(hits, lambda x: x["k"])).alias("keyword"))
     w = Window.partitionBy("keyword").orderBy(F.col("entity_name").asc(), F.col("cik").asc())
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit)).select(
         "keyword", "cik", "entity_name")

@@ -57,3 +57,13 @@ def test_humanize_and_sources(spark):
         "us-gaap:Revenues (tag sourced from filing vintage other than original)"
     assert _one(spark, text.source_group_key("x"), "Derived: Net_Income (Q1)") == "derived:net_income"
     assert _one(spark, text.source_group_key("x"), "us-gaap:A   B") == "us-gaap:A B"
+
+
+def test_batch_search_matches_single_search(spark):
+    from finfacts.operators import resolve as rs
+    ents = spark.createDataFrame([("1", "ACME 100% Corp"), ("2", "Acme Holdings"), ("3", "AXME Co"), ("4", "Beta")],
+                                 "cik string, entity_name string")
+    got = sorted(map(tuple, rs.search_entities_batch(ents, ["ACME", "A_ME", "100%", "zzz"], 2).collect()))
+    want = sorted((k, r["cik"], r["entity_name"]) for k in ["ACME", "A_ME", "100%"]
+                  for r in rs.search_entities(ents, k, 2).collect())
+    assert got == want and ("A_ME", "3", "AXME Co") in got    # '_' stays a wildcard
