@@ -54,3 +54,9 @@ def test_usd_conversion_joins_calendar_without_range_join(spark):
     p = _plan(spark, "to_usd_keep_native")
     assert "BroadcastHashJoin" in p
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_cross_or_nested_loop_join(spark, name):
+    p = _plan(spark, name)
+    assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
