@@ -18,6 +18,7 @@ from finfacts.operators import facts as fa
 from finfacts.operators import fx
 from finfacts.operators import statements as st
 from finfacts.operators.standardize import ttm
+from finfacts.sinks import export as ex
 from finfacts.sources import filings
 
 
@@ -162,3 +163,31 @@ def statement_view(std: DataFrame, rates: DataFrame | None, statement: str, peri
         s = st.growth(s, offset)
     from finfacts.operators.latest import first_n_periods
     return first_n_periods(s, "cik", "period_ending", limit, newest_first=True, name="period_rank")
+
+
+def export_store(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str, bucketed: set[str],
+                 data_version: str, buckets: int = ex.BUCKETS) -> str:
+    """Export tables as Parquet + manifest: tables in ``bucketed`` are written by cik
+    bucket, the rest as one zstd file each; files are hashed on the executors; written
+    row counts must equal the source counts (a mismatch raises). Returns the manifest
+    JSON, also written under ``<out_dir>/_manifest``."""
+    out_dir = out_dir.rstrip("/")
+    source_counts, files, written = [], None, None
+    for name, df in tables.items():
+        path = f"{out_dir}/{name}"
+        if name in bucketed:
+            ex.write_bucketed(df, path, buckets=buckets)
+        else:
+            ex.write_small(df, path)
+        source_counts.append((name, df.count()))
+        f = ex.file_manifest(spark, path, name)
+        c = ex.row_counts(spark, path, name)
+        files = f if files is None else files.unionByName(f)
+        written = c if written is None else written.unionByName(c)
+    src = spark.createDataFrame(source_counts, "table string, rows long")
+    bad = ex.reconcile(src, written).collect()   # one row per table at most
+    if bad:
+        raise RuntimeError(f"row counts differ after export: {[tuple(r) for r in bad]}")
+    manifest = ex.manifest_json(files, written, data_version)
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out_dir}/_manifest")
+    return manifest

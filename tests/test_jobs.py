@@ -75,3 +75,22 @@ def test_submissions_replace_only_dei_rows(spark, tmp_dir):
     assert got == [("dei", "EntityName"), ("dei", "EntitySicCode"), ("dei", "EntitySicDescription"), ("us-gaap", "A")]
     s = spark.read.parquet(f"{store}/v=1/submissions").collect()[0]
     assert len(s["h"]) == 64 and s["payload"][:2] == bytes([0x1F, 0x8B])
+
+
+def test_export_store_manifest_and_reconcile(spark, tmp_dir):
+    from finfacts.sinks import export as ex
+    c = FixtureCatalog.get(spark, SMALL)
+    tables = {"fx_std": c["fx_std"], "fx_companies": c["fx_companies"], "fx_rates": c["fx_rates"]}
+    out = f"{tmp_dir}/export"
+    doc = json.loads(jobs.export_store(spark, tables, out, bucketed={"fx_std"}, data_version="r1", buckets=8))
+    assert doc["data_version"] == "r1" and set(doc["tables"]) == set(tables)
+    for name, df in tables.items():
+        assert doc["tables"][name]["rows"] == df.count()
+    assert len(doc["tables"]["fx_companies"]["files"]) == 1
+    assert spark.read.parquet(f"{out}/fx_std").select("_bkt").distinct().count() == 8
+    written = spark.read.text(f"{out}/_manifest").collect()[0]["value"]
+    assert json.loads(written)["tables"]["fx_std"]["rows"] == tables["fx_std"].count()
+    mf = f"{tmp_dir}/m.json"
+    with open(mf, "w") as fh:
+        fh.write(written)
+    assert ex.manifest_files(spark, mf).count() == sum(len(t["files"]) for t in doc["tables"].values())
