@@ -94,3 +94,40 @@ def test_export_store_manifest_and_reconcile(spark, tmp_dir):
     with open(mf, "w") as fh:
         fh.write(written)
     assert ex.manifest_files(spark, mf).count() == sum(len(t["files"]) for t in doc["tables"].values())
+
+
+def _w(path, text):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as fh:
+        fh.write(text)
+
+
+def test_refresh_symbols_keeps_vanished_companies(spark, tmp_dir):
+    store = f"{tmp_dir}/store"
+    _w(f"{tmp_dir}/t1/tickers.json", json.dumps({"0": {"cik_str": 1, "ticker": "aaa", "title": "A"},
+                                                 "1": {"cik_str": 2, "ticker": "bbb", "title": "B"}}))
+    _w(f"{tmp_dir}/f/funds.json", json.dumps({"fields": ["cik", "seriesId", "classId", "symbol"],
+                                              "data": [[7, "S1", "C1", "fff"]]}))
+    _w(f"{tmp_dir}/e/names.txt", "A CORP:1:\nB CORP:2:\n")
+    jobs.refresh_symbols(spark, f"{tmp_dir}/t1/tickers.json", f"{tmp_dir}/f/funds.json", f"{tmp_dir}/e/names.txt", store)
+    first = spark.read.parquet(f"{store}/tickers_next")
+    first.write.parquet(f"{store}/tickers")
+    # company 2 vanishes from the list, company 1 changes ticker
+    _w(f"{tmp_dir}/t2/tickers.json", json.dumps({"0": {"cik_str": 1, "ticker": "aab", "title": "A"}}))
+    jobs.refresh_symbols(spark, f"{tmp_dir}/t2/tickers.json", f"{tmp_dir}/f/funds.json", f"{tmp_dir}/e/names.txt",
+                         store)
+    got = sorted((r["cik"], r["ticker"]) for r in spark.read.parquet(f"{store}/tickers_next").collect())
+    assert got == [("0000000001", "AAB"), ("0000000002", "BBB")]
+
+
+def test_rebuild_fx_and_empty_download_guard(spark, tmp_dir):
+    store = f"{tmp_dir}/store"
+    xml = ('<Envelope><Cube><Cube time="2024-01-03"><Cube currency="USD" rate="1.1"/><Cube currency="JPY" rate="160"/>'
+           '</Cube></Cube></Envelope>')
+    _w(f"{tmp_dir}/fx1/r.xml", xml)
+    rates = jobs.rebuild_fx(spark, f"{tmp_dir}/fx1/r.xml", store, as_of="2024-06-01")
+    assert sorted(r["from_currency"] for r in rates.collect()) == ["EUR", "JPY", "USD"]
+    rates.write.parquet(f"{store}/exchange_rates")
+    _w(f"{tmp_dir}/fx2/r.xml", "<Envelope><Cube></Cube></Envelope>")
+    kept = jobs.rebuild_fx(spark, f"{tmp_dir}/fx2/r.xml", store, as_of="2024-06-01")
+    assert kept.count() == 3
