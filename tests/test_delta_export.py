@@ -57,3 +57,33 @@ def test_bucketed_export_manifest_and_diff(spark, tmp_dir):
     assert ("RM", "gone.parquet") in diff and len([a for a, _ in diff if a == "UP"]) == files.count() - 3
     plan = {r["action"] for r in ex.sync_plan(listed, listed).collect()}
     assert plan == {"REUSE"}
+
+
+def test_csv_typed_small_write_append_and_manifest_views(spark, tmp_dir):
+    from pyspark.sql import types as T
+
+    from finfacts.plans.jobs import cast_to_schema
+    from finfacts.sources import filings, manifest
+    schema = T.StructType([T.StructField("cik", T.StringType()), T.StructField("name", T.StringType()),
+                           T.StructField("val", T.DoubleType())])
+    os.makedirs(f"{tmp_dir}/csv", exist_ok=True)
+    with open(f"{tmp_dir}/csv/t.csv", "w") as fh:
+        fh.write('cik,name,val\n0000000001,"Acme, ""Inc""",1.5\n0000000002,,\n0000000003,"two\nlines",2\n')
+    df = filings.csv_table(spark, f"{tmp_dir}/csv", schema)
+    rows = {r["cik"]: r for r in df.collect()}
+    assert rows["0000000001"]["name"] == 'Acme, "Inc"' and rows["0000000002"]["name"] is None
+    assert rows["0000000002"]["val"] is None and rows["0000000003"]["name"] == "two\nlines"
+    typed = cast_to_schema(df.withColumn("extra", F.lit(1)), schema)
+    assert typed.columns == ["cik", "name", "val"]
+    ex.write_small(typed, f"{tmp_dir}/out/companies")
+    ex.append(typed, f"{tmp_dir}/out/companies_log")
+    ex.append(typed, f"{tmp_dir}/out/companies_log")
+    assert spark.read.parquet(f"{tmp_dir}/out/companies_log").count() == 6
+    files = ex.file_manifest(spark, f"{tmp_dir}/out/companies", "companies")
+    assert files.count() == 1
+    doc = ex.manifest_json(files, ex.row_counts(spark, f"{tmp_dir}/out/companies", "companies"), "v1")
+    with open(f"{tmp_dir}/manifest.json", "w") as fh:
+        fh.write(doc)
+    views = manifest.manifest_tables(spark, f"{tmp_dir}/manifest.json", f"{tmp_dir}/out")
+    assert views["companies"].count() == 3 and spark.table("companies").count() == 3
+    spark.catalog.dropTempView("companies")
