@@ -8,10 +8,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from finfacts.plans.registry import REGISTRY
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = {n: q for n, q in E.queries().items() if n in REGISTRY}
+ORACLE = {n: q for n, q in E.oracle_sql().items() if n in REGISTRY}
 
 
 def _norm(v):
