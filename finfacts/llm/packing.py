@@ -7,12 +7,12 @@ bounded by ``max_len`` whatever the number of documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,27 +21,30 @@ from finfacts.llm.common import Scratch, batch_rows, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-_CACHE_ENTRIES = 300_000
-#: Texts of these characters only are split here; any other text goes to the tokenizer whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ‐-‧]*")
+_CACHE_ENTRIES = 350_000
+#: Texts of these characters only are split here, by the vocabulary's pattern written out for them; any other text
+#: goes to the tokenizer whole.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ‐-‧]*")
+_SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 _workers: dict[str, "TokenIds"] = {}
 
 
 class TokenIds(dict):
-    """Token ids of whole texts as little-endian 32-bit bytes; a dict of the split parts seen lately (bounded)."""
+    """Token ids of whole texts as little-endian 32-bit bytes; a dict of the split parts seen lately (two bounded
+    generations: a full one becomes the old one, from which parts still in use come back)."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.encode(part)
+        ids = self.old.get(part) or self.encode(part)
         if len(part) <= 64:
             if len(self) >= _CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -52,7 +55,7 @@ class TokenIds(dict):
     def ids(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return self.encode(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return b"".join(map(self.__getitem__, _SPLIT.findall(text)))
 
 
 def token_ids(path: str | None = None) -> TokenIds:
