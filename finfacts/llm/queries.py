@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finfacts.llm import packing, secrets, sharding, warc
+from finfacts.llm import decontam, jaccard_join, packing, secrets, sharding, warc
 from finfacts.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,14 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(table(spark, sf_dir, "documents"), max_len=1024, end_id=2)
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", F.round("score", 9).alias("score"), "first_word", "last_word")
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
