@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,12 +78,26 @@ def batch_rows(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> I
             yield b.slice(i, step)
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of stars that connect what the links (i, j) among n nodes connect."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return [(k, int(x)) for k, x in enumerate(label) if k != x]
+        label = new
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """(node, component): the smallest node id reachable over undirected ``edges`` (a, b).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) until the edge set no longer changes. A
     node of high degree costs one partial aggregation (minimum of its neighbours) and one join that AQE may split,
-    never a group in one task. Each round is a written table. Nodes without an edge don't occur in the result.
+    as both sides are written tables, never a group in one task. Nodes without an edge don't occur in the result.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     cur = scratch.write(e, f"{tag}_0")
@@ -91,15 +106,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, tag: str = "cc") ->
         i += 1
         # Large star: every larger neighbour of u is linked to the smallest node around u.
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}_{i}a")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         mid = scratch.write(large, f"{tag}_{i}l")
         # Small star: u and its smaller neighbours are linked to the smallest of them.
-        low = mid.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.write(mid.groupBy("u").agg(F.min("v").alias("m")), f"{tag}_{i}b")
         small = (mid.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         nxt = scratch.write(small, f"{tag}_{i}")
-        scratch.drop(f"{tag}_{i}l", f"{tag}_{i - 1}")
+        scratch.drop(f"{tag}_{i}a", f"{tag}_{i}b", f"{tag}_{i}l", f"{tag}_{i - 1}")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

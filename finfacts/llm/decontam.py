@@ -17,7 +17,7 @@ SEED = 3                # words of a seed
 MIN_WORDS = 5           # shorter items are too little evidence and are left out
 MIN_SCORE = 0.5
 BLOCK_BYTES = 4 << 20   # benchmark text that one broadcast holds
-_HITS = "doc_id bigint, item_id bigint, score double, first_word int, last_word int, passage string"
+_HITS = "doc_id bigint, text_key bigint, item_id bigint, score double, first_word int, last_word int, passage string"
 
 
 class Items:
@@ -102,10 +102,10 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best, end_item, end_window
 
 
-def find_in(items: Items, docs: list[tuple[int, str]]) -> Iterator[tuple]:
+def find_in(items: Items, docs: list[tuple[int, str, int]]) -> Iterator[tuple]:
     """Hits in some documents; windows around seeds of one item that lie close are one window."""
     found = []
-    for d, (_, text) in enumerate(docs):
+    for d, (_, text, _) in enumerate(docs):
         ids = items.word_ids(text)
         codes = items.codes(ids)
         lo = np.searchsorted(items.seed, codes, "left")
@@ -145,13 +145,13 @@ def find_in(items: Items, docs: list[tuple[int, str]]) -> Iterator[tuple]:
         # Whitespace and punctuation between the words belong to the passage.
         spans = [m.span() for k, m in enumerate(_WORD.finditer(docs[d][1].lower())) if k in (first, end - 1)]
         passage = docs[d][1][spans[0][0]:spans[-1][1]] if len(docs[d][1].lower()) == len(docs[d][1]) else None
-        yield docs[d][0], items.ids[i], ratio, first, end, passage
+        yield docs[d][0], docs[d][2], items.ids[i], ratio, first, end, passage
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                item_text: str = "text") -> DataFrame:
-    """One row for each document and benchmark item that it holds: doc_id, item_id, score, first_word, last_word
-    (end exclusive), passage.
+    """One row for each document and benchmark item that it holds: doc_id, text_key (64-bit hash of the text, for
+    joining back), item_id, score, first_word, last_word (end exclusive), passage.
 
     Words are runs of letters and digits in lower case. The score is that of the best local alignment, over the
     item's words: 1 for a verbatim copy; a pair counts from ``MIN_SCORE`` on, half the item as it were. The
@@ -167,7 +167,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "find_leaks")
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                       F.xxhash64(F.col(f"`{text}`")).alias("text_key")).where("text is not null")
     out = None
     for number, block in enumerate(blocks(benchmark, item_id, item_text)):
         items = Items(block)
@@ -194,8 +195,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         def find(batches, chosen=chosen):
             for b in batch_rows(batches):
                 hits = list(find_in(chosen.value, list(zip(*(c.to_pylist() for c in b.columns)))))
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
-                cols = list(zip(*hits)) or [[]] * 6
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+                cols = list(zip(*hits)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _HITS.split(", ")])
 
         hits = scratch.write(rows.mapInArrow(find, _HITS), f"hits_{number}")

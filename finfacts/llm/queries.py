@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finfacts.llm import decontam, jaccard_join, packing, secrets, sharding, warc
+from finfacts.llm import decontam, hnsw_dedup, jaccard_join, ngram_lm, packing, secrets, sharding, toxicity, urlfilter, warc
 from finfacts.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,29 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "n_links", "kept")
+
+
+def _held_out(mod: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == 2, F.lit(False))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), ~_held_out(4), 0.3)
+    return out.select("doc_id", _held_out(4).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.embedding_links(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query
+def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"), _held_out(7))
