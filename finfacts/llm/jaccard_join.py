@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.llm import words as W
-from finfacts.llm.common import Scratch, batch_rows, connected_components, ship
+from finfacts.llm.common import Scratch, batch_rows, connected_components, ship, spanning
 
 BANDS, ROWS = 28, 5             # a pair at 0.8 shares no band with probability 1.5e-5, at 0.85 with 8e-8
 STEP = 20                       # MinHash values compared between two looks at the posterior
@@ -75,31 +75,15 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndar
     return total[np.searchsorted(rows, i), np.searchsorted(cols, j)].astype(np.int64)
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of stars that connect what the links (i, j) connect."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return [(k, int(x)) for k, x in enumerate(label) if k != x]
-        label = new
-
-
 def _signatures(batches):
-    """doc_id, text_key -> text (hash of the word sequence), MinHash values; texts without words give no row."""
+    """doc_id, text_key -> node (hash of the word sequence), MinHash values; both are null for texts without words."""
     for b in batch_rows(batches, 2 << 20):
         hashes = [W.word_hashes(t) for t in b.column(2).to_pylist()]
         have = [k for k, h in enumerate(hashes) if len(h)]
-        if not have:
-            continue
-        sig = W.minhash(*W.shingles([hashes[k] for k in have]), _SEEDS)
-        at = pa.array(have, pa.int64())
-        node = np.array([xxhash.xxh3_64_intdigest(hashes[k].tobytes()) for k in have], np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(node), pa.array([s.tobytes() for s in sig], pa.binary())],
+        node, sig = [None] * len(hashes), [None] * len(hashes)
+        for k, s in zip(have, W.minhash(*W.shingles([hashes[k] for k in have]), _SEEDS) if have else ()):
+            node[k], sig[k] = int(np.uint64(xxhash.xxh3_64_intdigest(hashes[k].tobytes())).astype(np.int64)), s.tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(sig, pa.binary())],
                                          names=["doc_id", "text_key", "node", "sig"])
 
 
@@ -159,6 +143,19 @@ def _verifier(threshold: float, tolerance: float):
     return verify
 
 
+def _texts_of(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """(text_key, text) of a little more than the rows whose key is in ``member``.
+
+    A Bloom filter of 2^20 words of 64 bits, whatever the number of keys, is broadcast, so that texts which can't be
+    members don't go into the shuffle of the join; where it fills up, more texts pass and the join sorts them out.
+    """
+    word = F.pmod("text_key", F.lit(1 << 20)).alias("word")
+    mask = F.expr("shiftleft(1L, cast(shiftrightunsigned(text_key, 20) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(text_key, 26) & 63 as int))")
+    bits = member.groupBy(word).agg(F.bit_or(mask).alias("bits"))
+    keyed = rows.select("text_key", "text", word, mask.alias("mask"))
+    return keyed.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("text_key", "text")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
     """One row a document: doc_id, text_key, class_id, n_links, kept.
 
@@ -184,11 +181,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(spark, "near_duplicates")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"),
                        F.col(f"`{text}`").alias("text"))
-    signed = scratch.write(rows.mapInArrow(_signatures, "doc_id bigint, text_key bigint, node bigint, sig binary"), "signed")
+    every = scratch.write(rows.mapInArrow(_signatures, "doc_id bigint, text_key bigint, node bigint, sig binary"), "signed")
+    signed = every.where("node is not null")
     bands = scratch.write(signed.select("node", "sig").dropDuplicates(["node"]).mapInArrow(_bands, "node bigint, key bigint"), "bands")
-    low = bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low")
+    # Both sides of this join are written tables, so AQE can split a band key that many texts share.
+    low = scratch.write(bands.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"), "low")
     stars = scratch.write(bands.join(low, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "stars")
-    scratch.drop("bands")
+    scratch.drop("bands", "low")
     clusters = connected_components(stars, scratch, "candidates").select("node", F.col("component").alias("cluster"))
 
     texts = signed.groupBy("node").agg(F.min("text_key").alias("text_key"), F.count("*").alias("copies"))
@@ -196,7 +195,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     member = clusters.join(size, "cluster").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(texts, "node")
     member = scratch.write(member.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("n"), "member")
     # A hot text is one row here: its copies meet in a partial aggregation before they are shuffled.
-    sets = rows.select("text_key", "text").join(member, "text_key").dropDuplicates(["node"]).select(
+    sets = _texts_of(rows, member).join(member, "text_key").dropDuplicates(["node"]).select(
         "cluster", "node", "copies", "blocks", "block", "text")
     member_schema = "cluster bigint, node bigint, copies bigint, blocks int, block int, sig binary, set binary"
     sets = scratch.write(sets.mapInArrow(_members, member_schema), "sets")
@@ -215,14 +214,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = copies.join(links, "node", "left").join(classes, "node", "left").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("class"))
     per_doc = scratch.write(signed.select("doc_id", "text_key", "node", F.monotonically_increasing_id().alias("tie")).join(known, "node"), "per_doc")
+    blank = scratch.write(every.where("node is null").select("doc_id", "text_key", F.col("doc_id").alias("class_id"),
+                                                             F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")), "blank")
     scratch.drop("signed", "sets", "found")
     # Nulls sort last here: the smallest id that isn't null stands for the class.
-    first = per_doc.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first"))
-    out = per_doc.join(first, "class").select("doc_id", "text_key", F.col("first.doc_id").alias("class_id"), "n_links",
-                                              (F.col("tie") == F.col("first.tie")).alias("kept"))
-    blank = rows.where(F.coalesce(F.length(F.regexp_replace("text", BLANK, "")), F.lit(0)) == 0)
-    return out.unionByName(blank.select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))
-
-
-#: What str.split() takes as white space (fixed values).
-BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+    first = scratch.write(per_doc.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("first")).select(
+        "class", F.col("first.doc_id").alias("class_id"), F.col("first.tie").alias("first")), "first")
+    out = per_doc.join(first, "class").select("doc_id", "text_key", "class_id", "n_links", (F.col("tie") == F.col("first")).alias("kept"))
+    return out.unionByName(blank)
