@@ -32,7 +32,7 @@ def strict_date(x) -> Column:
     """``YYYY-MM-DD`` (optionally followed by a time part) -> date, anything else -> null."""
     s = F.trim(_c(x).cast("string"))
     head = F.substring(s, 1, 10)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(head, "yyyy-MM-dd"))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def to_double_or_null(x) -> Column:
@@ -41,8 +41,8 @@ def to_double_or_null(x) -> Column:
 
 
 def to_int_or_null(x) -> Column:
-    """Python-``int()``-like coercion: integer text (sign, digits) -> int, else null."""
-    s = F.trim(_c(x).cast("string"))
+    """``int()``-like coercion: integer text, also one like ``2024.0`` -> int, else null."""
+    s = F.regexp_replace(F.trim(_c(x).cast("string")), r"\.0*$", "")
     return F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("int"))
 
 

@@ -14,11 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finfacts.operators.joins import broadcast_if_rows
-
-# Calendar rows up to which the as-of table is broadcast (~ 200 currencies x 30 years).
-CALENDAR_BROADCAST_ROWS = 2_500_000
-
 
 def rate_calendar(rates: DataFrame, to_currency: str = "USD", *, ccy: str = "from_currency",
                   date: str = "rate_date", rate: str = "rate") -> tuple[DataFrame, DataFrame]:
@@ -67,13 +62,12 @@ def with_asof_rate(df: DataFrame, rates: DataFrame, ccy_col: str, date_col: str,
     """
     cal = as_calendar(rates, to_currency)
     # bounds: one row per currency (ISO codes: a few hundred at most).
-    bounds = F.broadcast(cal.select(F.col("_ccy").alias("_bccy"), "_first", "_last").distinct())
+    bounds = cal.select(F.col("_ccy").alias("_bccy"), "_first", "_last").distinct()
     keyed = (df.join(bounds, F.col(ccy_col) == F.col("_bccy"), "left")
              .withColumn("_lookup", F.when(F.col(date_col) >= F.col("_first"),
                                            F.least(F.col(date_col), F.col("_last"))))
              .drop("_bccy", "_first", "_last"))
-    days = broadcast_if_rows(cal.select(F.col("_ccy").alias("_dccy"), F.col("_day").alias("_dday"), "_rate"),
-                             CALENDAR_BROADCAST_ROWS)
+    days = cal.select(F.col("_ccy").alias("_dccy"), F.col("_day").alias("_dday"), "_rate")
     joined = keyed.join(days, (F.col(ccy_col) == F.col("_dccy")) & (F.col("_lookup") == F.col("_dday")), how)
     return joined.drop("_dccy", "_dday", "_lookup").withColumnRenamed("_rate", out)
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.ids import sic4
 from finfacts.operators.latest import latest_by
-from finfacts.operators.joins import broadcast_dim
 
 SECTOR_FALLBACK = "Other / Nonclassifiable"
 INDUSTRY_FALLBACK = "Nonclassifiable"
@@ -29,13 +28,13 @@ def classify(sic_facts: DataFrame, primary_tickers: DataFrame, rules: DataFrame,
     code = code.select("cik", sic4("val").alias("sic4"))
     descr = latest_by(f.where(F.col("val_text").isNotNull()), ["cik"], order, cols=["cik", *order, "val_text"])
     descr = descr.select("cik", F.col("val_text").alias("descr"))
-    ovr = (primary_tickers.join(broadcast_dim(overrides), "ticker", "inner")
+    ovr = (primary_tickers.join(overrides, "ticker", "inner")
            .groupBy("cik").agg(F.max("sector").alias("ovr_sector"), F.max("industry").alias("ovr_industry")))
     out = code
     for level, div in ((4, 1), (3, 10), (2, 100)):
-        r = broadcast_dim(rules.where(F.col("level") == level).select(
+        r = rules.where(F.col("level") == level).select(
             F.col("prefix").alias(f"_p{level}"), F.col("sector").alias(f"_s{level}"),
-            F.col("industry").alias(f"_i{level}")))
+            F.col("industry").alias(f"_i{level}"))
         out = out.join(r, F.floor(F.col("sic4") / div).cast("int") == F.col(f"_p{level}"), "left")
     out = out.join(descr, "cik", "left").join(ovr, "cik", "left")
     return out.select(

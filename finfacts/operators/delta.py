@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHANGED_KEY_LIMIT = 2000
-
 
 def classify_changes(new: DataFrame, old: DataFrame, key: str = "cik", h: str = "h") -> DataFrame:
     """(key, status) for every incoming key: ``new``, ``changed`` or ``unchanged``."""
@@ -20,24 +18,23 @@ def changed_keys(classified: DataFrame, key: str = "cik") -> DataFrame:
     return classified.where(F.col("status") != "unchanged").select(key)
 
 
-def check_change_limit(keys: DataFrame, limit: int = CHANGED_KEY_LIMIT, force: bool = False) -> int:
-    """Safety stop: refuse a delta touching more than ``limit`` keys unless forced.
-    Counts at most ``limit + 1`` keys."""
-    n = keys.limit(limit + 1).count()
-    if n > limit and not force:
+def check_change_limit(keys: DataFrame, limit: int | None = None, force: bool = False) -> int:
+    """Number of changed keys. With ``limit``, an operator's safety stop: refuse a delta of more keys unless forced."""
+    n = keys.count()
+    if limit is not None and n > limit and not force:
         raise RuntimeError(f"more than {limit} changed keys; rerun with force to apply")
     return n
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, key="cik") -> DataFrame:
-    """Delete every row whose key occurs in ``new``, then append ``new``.
+def replace_by_key(old: DataFrame, new: DataFrame, key="cik", changed: DataFrame | None = None) -> DataFrame:
+    """Delete every row whose key occurs in ``changed`` (by default the keys of ``new``), then append ``new``.
 
-    Keys absent from ``new`` keep their rows (a vanished key is not deleted). ``key``
+    With ``changed``, a changed key that has no new rows loses its old ones. Other keys keep their rows. ``key``
     may be a list — e.g. (cik, namespace) replaces only a company's ``dei`` rows.
     A hot key on the ``old`` side is split by AQE's skew-join handling.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
+    return old.join((new if changed is None else changed).select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
 def full_replace(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik, strict_date, to_double_or_null, to_int_or_null
-from finfacts.operators.joins import broadcast_dim
 
 PERIOD_SCHEMA = ("struct<start:string,end:string,val:string,accn:string,fy:string,fp:string,form:string,"
                  "filed:string,frame:string>")
@@ -130,7 +129,7 @@ def processed_companies(facts: DataFrame, rules: DataFrame) -> DataFrame:
     rules: (statement, tag) — which statement a us-gaap / ifrs-full tag belongs to.
     """
     ct = facts.where(F.col("namespace").isin(*STATEMENT_NAMESPACES)).select("cik", "tag").distinct()
-    j = ct.join(broadcast_dim(rules.select("statement", "tag").distinct()), "tag", "inner")
+    j = ct.join(rules.select("statement", "tag").distinct(), "tag", "inner")
     flags = j.groupBy("cik").agg(
         F.max(F.col("statement") == "balance_sheet").alias("has_balance"),
         F.max(F.col("statement") == "income_statement").alias("has_income"),

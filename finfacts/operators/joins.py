@@ -1,43 +1,24 @@
-"""Join helpers: broadcast only behind a size check."""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-_CHECKED: dict[tuple[int, int], bool] = {}
+"""Join policy: no broadcast hints.
 
+Catalyst broadcasts a side whose size it knows to be small (literal tables, limits, small files), AQE one whose measured
+shuffle output is; any other join sorts and merges, with skewed partitions split. A row count here would be a job at
+planning time, and rows aren't bytes.
+"""
 
-def broadcast_if_rows(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave the join to shuffle.
-
-    The count stops early: it reads at most ``max_rows + 1`` rows, and its verdict is
-    remembered per logical plan (a rewritten source table is a different plan). When
-    the bound fails, AQE still picks a broadcast at run time if the measured size is
-    below ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it is a
-    sort-merge join.
-    """
-    key = (df.semanticHash(), max_rows)
-    ok = _CHECKED.get(key)
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _CHECKED[key] = ok
-    return F.broadcast(df) if ok else df
-
-
-def broadcast_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast a side whose row count is bounded by construction (e.g. after a
-    ``limit(k)`` or a literal dimension table); ``bound_rows`` documents the bound."""
-    assert bound_rows >= 0
-    return F.broadcast(df)
+from __future__ import annotations
 
+from collections.abc import Sequence
 
-# Row bound for dimension tables handed in as parameters (rule tables, presentation,
-# catalogues, keyword lists, company subsets). Beyond it the join is left to AQE.
-DIM_MAX_ROWS = 1_000_000
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
-def broadcast_dim(df: DataFrame, max_rows: int = DIM_MAX_ROWS) -> DataFrame:
-    """Broadcast a parameter dimension after the (memoised) row-count check."""
-    return broadcast_if_rows(df, max_rows)
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A table of literal rows as a local relation, whose size Catalyst knows (rows given as Python objects would be
+    an RDD of unknown size, and its joins would shuffle)."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrays = [pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)

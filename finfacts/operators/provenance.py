@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.text import humanize, source_group_key, source_label
 
-MAX_RUN_LINES = 8
 NO_PROVENANCE = "No source provenance returned by fetcher."
 NO_DESCRIPTION = "No metadata available for this standardized line item."
 
@@ -35,8 +34,11 @@ def source_runs(src: DataFrame, keys: Sequence[str] = ("cik", "statement", "tag"
 
 
 def provenance_text(src: DataFrame, keys: Sequence[str] = ("cik", "statement", "tag"),
-                    max_lines: int = MAX_RUN_LINES) -> DataFrame:
-    """(keys, n_runs, provenance): ``Source: x`` for one source, else up to 8 run lines + ``+n more``."""
+                    max_lines: int | None = None) -> DataFrame:
+    """(keys, n_runs, provenance): ``Source: x`` for one source, else one line a run.
+
+    ``max_lines`` shortens the text to so many lines and ``+n more`` for display.
+    """
     keys = list(keys)
     runs = source_runs(src, keys)
     start = F.date_format("start", "yyyy-MM-dd")
@@ -47,10 +49,10 @@ def provenance_text(src: DataFrame, keys: Sequence[str] = ("cik", "statement", "
         F.count(F.lit(1)).alias("n_runs"),
         F.sort_array(F.collect_list(F.struct(F.col("run"), line.alias("line")))).alias("_lines"),
         F.max_by("src", "start").alias("_newest"))
-    lines = F.array_join(F.transform(F.slice("_lines", 1, max_lines), lambda x: x["line"]), "\n")
-    more = F.when(F.col("n_runs") > max_lines,
-                  F.concat(F.lit("\n- +"), (F.col("n_runs") - max_lines).cast("string"), F.lit(" more source runs"))
-                  ).otherwise(F.lit(""))
+    shown = F.slice("_lines", 1, max_lines) if max_lines else F.col("_lines")
+    lines = F.array_join(F.transform(shown, lambda x: x["line"]), "\n")
+    left = F.col("n_runs") - (max_lines or 0)
+    more = F.when(F.lit(bool(max_lines)) & (left > 0), F.concat(F.lit("\n- +"), left.cast("string"), F.lit(" more source runs"))).otherwise(F.lit(""))
     text = F.when(F.col("n_runs") == 1, F.concat(F.lit("Source: "), F.col("_newest"))) \
         .otherwise(F.concat(F.lit("Sources by period:\n"), lines, more))
     return per.select(*keys, "n_runs", text.alias("provenance"))

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from finfacts.functions.numeric import ratio_pct, safe_div
 from finfacts.operators.asof import with_asof_rate
-from finfacts.operators.joins import broadcast_bounded, broadcast_dim
 from finfacts.operators.latest import latest_by
 
 # Fixed values used by the ranking queries.
@@ -66,27 +65,30 @@ def _is_fin(c: str = "company_type") -> Column:
     return F.col(c).isin(*FINANCIAL_TEMPLATES)
 
 
-def name_and_ticker(scored: DataFrame, companies: DataFrame, primary_tickers: DataFrame, bound: int) -> DataFrame:
-    """Inner joins of the pre-limited ranking to company names and best tickers.
+def name_and_ticker(scored: DataFrame, companies: DataFrame, primary_tickers: DataFrame) -> DataFrame:
+    """Inner joins of the limited ranking to company names and best tickers.
 
-    ``scored`` holds at most ``bound`` rows and is consumed once: it is broadcast
-    into the ticker scan (only the ranked companies' tickers survive), the best
-    ticker is picked per ranked row, and that small result is broadcast into the
-    company-name scan. Neither dimension is shuffled.
+    ``scored`` is the result of a limit and consumed once: Catalyst knows its size and broadcasts it into the ticker
+    scan (only the ranked companies' tickers survive); the best ticker is picked per ranked row.
     """
-    small = broadcast_bounded(scored, bound)
+    small = scored
     cols = scored.columns
     key = F.struct(F.coalesce(F.col("rank"), F.lit(NO_RANK)).alias("r"), F.col("ticker").alias("t"))
     t = primary_tickers.select("cik", key.alias("_k")).join(small, "cik", "inner")
     t = t.groupBy(*cols).agg(F.min("_k").alias("_k")).withColumn("ticker", F.col("_k.t")).drop("_k")
-    named = companies.select("cik", "entity_name").join(broadcast_bounded(t, bound), "cik", "inner")
+    named = companies.select("cik", "entity_name").join(t, "cik", "inner")
     return named.withColumn("name", F.coalesce(F.col("entity_name"), F.lit(""))).drop("entity_name")
 
 
+def _eligible(scored: DataFrame, companies: DataFrame, primary_tickers: DataFrame) -> DataFrame:
+    return scored.join(companies.select("cik"), "cik", "left_semi").join(primary_tickers.select("cik"), "cik", "left_semi")
+
+
 def _finish(scored: DataFrame, companies, primary_tickers, limit: int, cols: Sequence[str]) -> DataFrame:
     keep = [c for c in cols if c not in ("ticker", "name")]
-    pre = scored.select(*keep).orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit) * 4)
-    out = name_and_ticker(pre, companies, primary_tickers, int(limit) * 4)
+    # Only companies with a name row and a ticker can rank, so they are sorted out before the limit.
+    pre = _eligible(scored, companies, primary_tickers).select(*keep).orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit))
+    out = name_and_ticker(pre, companies, primary_tickers)
     out = out.orderBy(F.col("value").desc(), F.col("cik").asc()).limit(int(limit))
     return out.select(*cols)
 
@@ -229,24 +231,24 @@ def top_all_metrics(std: DataFrame, companies: DataFrame, primary_tickers: DataF
 
     ``catalogue``: (metric, statement, tag, frequency [null = any], negate, exclude_financial).
     Per-metric top-k uses ``row_number`` over ``partitionBy(metric)``; Spark plans
-    it with a per-partition group limit before the shuffle, so at most 4k rows per
+    it with a per-partition group limit before the shuffle, so at most k rows per
     metric and input partition move.
     """
-    cat = broadcast_dim(catalogue)
+    cat = catalogue
     s = std.where(F.col("val").isNotNull() & (F.col("period_ending") >= recent_from(as_of)))
     j = s.join(cat, (s.statement == cat.statement) & (s.tag == cat.tag)
                & (cat.frequency.isNull() | (s.frequency == cat.frequency)), "inner")
-    j = j.select("metric", s.cik, s.statement, s.tag, s.period_ending, s.fiscal_year, s.fiscal_period, s.val,
-                 s.currency, s.company_type)
-    latest = latest_by(j, ["metric", "cik"], LATEST_ORDER)
+    # The metric's own attributes ride along as keys, so the catalogue is joined once.
+    j = j.select("metric", cat.frequency.alias("m_frequency"), "negate", "exclude_financial", s.cik, s.statement, s.tag, s.period_ending,
+                 s.fiscal_year, s.fiscal_period, s.val, s.currency, s.company_type)
+    latest = latest_by(j, ["metric", "m_frequency", "negate", "exclude_financial", "cik"], LATEST_ORDER)
     cost = (std.where((F.col("statement") == "income_statement") & (F.col("frequency") == "annual")
                       & F.col("tag").isin(*COST_TAGS) & F.col("val").isNotNull()
                       & (F.col("period_ending") >= recent_from(as_of)))
             .groupBy("cik", "period_ending", "fiscal_year", "fiscal_period").agg(F.max("val").alias("cost_val")))
-    latest = latest.join(cat.select("metric", "frequency", "negate", "exclude_financial"), "metric", "inner")
     latest = latest.join(cost, ["cik", "period_ending", "fiscal_year", "fiscal_period"], "left")
     pass_through_applies = ((F.col("statement") == "income_statement") & F.col("tag").isin(*REVENUE_TAGS)
-                            & (F.col("frequency") == "annual"))
+                            & F.coalesce(F.col("m_frequency") == "annual", F.lit(False)))
     keep = (~pass_through_applies | F.col("val").isNull() | (F.col("val") <= 0) | F.col("cost_val").isNull()
             | (F.col("cost_val") <= 0) | (safe_div("cost_val", "val") < PASS_THROUGH_SHARE))
     rated = with_asof_rate(latest, rates, "currency", "period_ending", "rate", how="left")
@@ -258,9 +260,9 @@ def top_all_metrics(std: DataFrame, companies: DataFrame, primary_tickers: DataF
               .where(~F.col("exclude_financial") | ~_is_fin())
               .where(keep))
     w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("cik").asc())
-    pre = (scored.select("metric", "cik", "period_ending", "fiscal_year", "fiscal_period", "currency", "value")
-           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 4 * int(limit)).drop("_r"))
-    n_metrics = 64  # catalogue bound used for the broadcast below
-    named = name_and_ticker(pre, companies, primary_tickers, 4 * int(limit) * n_metrics)
+    pre = (_eligible(scored, companies, primary_tickers)
+           .select("metric", "cik", "period_ending", "fiscal_year", "fiscal_period", "currency", "value")
+           .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit)).drop("_r"))
+    named = name_and_ticker(pre, companies, primary_tickers)
     out = named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(limit))
     return _fmt_date(out.select("metric", "rank", *_OUT_USD))

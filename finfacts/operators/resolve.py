@@ -59,14 +59,16 @@ def like_pattern(keyword: str) -> str:
     return "%" + keyword.replace("\\", "\\\\").replace("%", "\\%") + "%"
 
 
-def search_entities(entities: DataFrame, keyword: str, limit: int = 1000) -> DataFrame:
-    """Case-sensitive LIKE search on names, ordered by name, first ``limit`` (a top-k)."""
+def search_entities(entities: DataFrame, keyword: str, limit: int | None = None) -> DataFrame:
+    """Case-sensitive LIKE search on names; with ``limit`` the first so many by name (a top-k)."""
     m = entities.where(F.col("entity_name").like(like_pattern(keyword)))
-    return m.orderBy(F.col("entity_name").asc(), F.col("cik").asc()).limit(int(limit)).select("cik", "entity_name")
+    if limit is not None:
+        m = m.orderBy(F.col("entity_name").asc(), F.col("cik").asc()).limit(int(limit))
+    return m.select("cik", "entity_name")
 
 
-def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int = 1000) -> DataFrame:
-    """Many keywords in one scan: (keyword, cik, entity_name), first ``limit`` per keyword by name.
+def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int | None = None) -> DataFrame:
+    """Many keywords in one scan: (keyword, cik, entity_name); with ``limit`` the first so many per keyword by name.
 
     No join: the keywords (user input, a short list) are literals in one expression
     that lists, per entity row, the keywords its name matches (same LIKE rule as
@@ -80,6 +82,8 @@ def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int =
     pats = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(like_pattern(k)).alias("p")) for k in kws])
     hits = F.filter(pats, lambda x: F.like(F.col("entity_name"), x["p"]))
     j = entities.select("cik", "entity_name", F.explode(F.transform(hits, lambda x: x["k"])).alias("keyword"))
+    if limit is None:
+        return j.select("keyword", "cik", "entity_name")
     w = Window.partitionBy("keyword").orderBy(F.col("entity_name").asc(), F.col("cik").asc())
     return j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit)).select(
         "keyword", "cik", "entity_name")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finfacts.operators.joins import literal_table
 from finfacts.operators.latest import latest_by
 from finfacts.operators.rank import recent_from
-from finfacts.operators.joins import broadcast_dim
 
 # Revenue-like tags for "has revenue", and asset tags for "productive".
 HAS_REVENUE_TAGS = ("total_revenue", "operating_revenue", "total_interest_income", "premiums_earned",
@@ -76,7 +76,7 @@ CANADA = [
 
 def location_dim(spark, extra: DataFrame | None = None) -> DataFrame:
     """(code, name, is_us_state); ``extra`` (code, name) adds or overrides codes."""
-    base = spark.createDataFrame([(c, n, True) for c, n in US_STATES] + [(c, n, False) for c, n in CANADA],
+    base = literal_table(spark, [(c, n, True) for c, n in US_STATES] + [(c, n, False) for c, n in CANADA],
                                  "code string, name string, is_us_state boolean")
     if extra is not None:
         e = extra.select("code", "name", F.lit(False).alias("is_us_state"))
@@ -86,8 +86,8 @@ def location_dim(spark, extra: DataFrame | None = None) -> DataFrame:
 
 def decode_location(df: DataFrame, code_col: str, locations: DataFrame, prefix: str) -> DataFrame:
     """Adds ``<prefix>_name``, ``<prefix>_state`` and ``<prefix>_country`` (state vs country split)."""
-    loc = broadcast_dim(locations.select(F.col("code").alias("_lc"), F.col("name").alias("_ln"),
-                                       F.col("is_us_state").alias("_us")))  # a few hundred codes
+    loc = locations.select(F.col("code").alias("_lc"), F.col("name").alias("_ln"),
+                                       F.col("is_us_state").alias("_us"))  # a few hundred codes
     j = df.join(loc, F.col(code_col) == F.col("_lc"), "left")
     return (j.withColumn(f"{prefix}_name", F.col("_ln"))
              .withColumn(f"{prefix}_state", F.when(F.col("_us"), F.col("_ln")))

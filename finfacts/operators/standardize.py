@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.operators.latest import latest_by, period_index
-from finfacts.operators.joins import broadcast_dim
 
 RULE_SCHEMA = ("company_type string, statement string, line_item string, priority int, namespace string, "
                "tag string, kind string")
 DEFAULT_COMPANY_TYPE = "industrial"
-SOURCE_MAX = 256
 
 
 def period_frequency(start, end):
@@ -43,7 +41,7 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
         f = f.withColumn("company_type", F.lit(None).cast("string"))
     f = f.withColumn("company_type", F.coalesce("company_type", F.lit(DEFAULT_COMPANY_TYPE)))
     # rules: one statement schema per company type (hundreds of rows) — broadcast.
-    j = f.join(broadcast_dim(rules), ["company_type", "namespace", "tag"], "inner")
+    j = f.join(rules, ["company_type", "namespace", "tag"], "inner")
     pf = period_frequency(F.col("start"), F.col("end"))
     fp = F.upper(F.coalesce(F.col("fp"), F.lit("")))
     freq = F.when(F.col("kind") == "instant",
@@ -62,7 +60,7 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
     currency = F.when(F.col("unit").rlike("^[A-Z]{3}$"), F.col("unit"))
     out = picked.select("cik", "statement", "period_ending", "fiscal_year", "fiscal_period", "frequency",
                         F.col("line_item").alias("tag"), "val", currency.alias("currency"), "company_type",
-                        F.substring(F.concat_ws(":", "namespace", "tag"), 1, SOURCE_MAX).alias("source"), "kind")
+                        F.concat_ws(":", "namespace", "tag").alias("source"), "kind")
     return out.unionByName(derive_q4(out)).drop("kind")
 
 
@@ -75,28 +73,32 @@ def derive_q4(std: DataFrame) -> DataFrame:
         F.max(F.when(F.col("frequency") == "annual", F.struct("period_ending", "val", "currency", "company_type")))
         .alias("fy"),
         F.sum(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), F.col("val"))).alias("q123"),
-        F.count(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), 1)).alias("nq"),
+        F.count(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), 1)).alias("n"),
+        F.count_distinct(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), q)).alias("nq"),
         F.max((F.col("frequency") == "quarterly") & (q == "Q4")).alias("has_q4"))
-    g = g.where(F.col("fy").isNotNull() & (F.col("nq") == 3) & ~F.col("has_q4"))
+    g = g.where(F.col("fy").isNotNull() & (F.col("nq") == 3) & (F.col("n") == 3) & ~F.col("has_q4"))
     return g.select("cik", "statement", F.col("fy.period_ending").alias("period_ending"), "fiscal_year",
                     F.lit("Q4").alias("fiscal_period"), F.lit("quarterly").alias("frequency"), "tag",
                     (F.col("fy.val") - F.col("q123")).alias("val"), F.col("fy.currency").alias("currency"),
                     F.col("fy.company_type").alias("company_type"),
-                    F.substring(F.concat(F.lit("derived: "), F.col("tag"), F.lit(" (Q4)")), 1, SOURCE_MAX).alias("source"),
+                    F.concat(F.lit("derived: "), F.col("tag"), F.lit(" (Q4)")).alias("source"),
                     F.lit("duration").alias("kind"))
 
 
 def ttm(std: DataFrame, instant_statements=("balance_sheet",)) -> DataFrame:
-    """Trailing twelve months from quarterly rows: sum of the four consecutive quarters
-    ending at each quarter (positional over the company's quarters); balance-sheet
-    items take the quarter's own value."""
-    q = std.where(F.col("frequency") == "quarterly")
-    idx = period_index(q, ["cik", "statement"], "period_ending", name="_i")
-    r = q.join(idx, ["cik", "statement", "period_ending"], "inner")
-    w = Window.partitionBy("cik", "statement", "tag").orderBy("_i").rangeBetween(-3, 0)
-    s, n = F.sum("val").over(w), F.count("val").over(w)
+    """Trailing twelve months from quarterly rows: the sum of four consecutive quarters ending at each quarter;
+    balance-sheet items take the quarter's own value.
+
+    Quarters are numbered by year and month of their end, so four quarters count only if they lie in one year's
+    span, however many the company left out. The sum is exact (decimal), whatever the order of rows.
+    """
+    r = std.where(F.col("frequency") == "quarterly").withColumn("_i", F.year("period_ending") * 12 + F.month("period_ending"))
+    # Ends vary by days, so a quarter may end in the next month: 4 quarters span 9 months, one more or less.
+    w = Window.partitionBy("cik", "statement", "tag").orderBy("_i").rangeBetween(-10, 0)
+    s = F.sum(F.col("val").cast("decimal(38,4)")).over(w).cast("double")
+    n, first = F.count("val").over(w), F.min(F.when(F.col("val").isNotNull(), F.col("_i"))).over(w)
     inst = F.col("statement").isin(*instant_statements)
-    val = F.when(inst, F.col("val")).when(n == 4, s)
+    val = F.when(inst, F.col("val")).when((n == 4) & (F.col("_i") - first >= 8), s)
     return (r.withColumn("val", val).where(F.col("val").isNotNull()).withColumn("frequency", F.lit("ttm"))
              .select(*std.columns))
 
@@ -131,7 +133,7 @@ def standardized_statements(std: DataFrame, presentation: DataFrame, sources: Da
         s = s.join(ciks.select("cik").distinct(), "cik", "left_semi")
     ct = company_type_of(s).withColumnRenamed("company_type", "_ct")
     s = s.join(ct, "cik", "left").withColumn("_ct", F.coalesce("_ct", F.lit(DEFAULT_COMPANY_TYPE)))
-    p = broadcast_dim(presentation.withColumnRenamed("company_type", "_ct"))
+    p = presentation.withColumnRenamed("company_type", "_ct")
     s = s.join(p, ["_ct", "statement", "tag"], "left")
     if sources is not None:
         s = s.join(sources.select("cik", "statement", "tag", "period_ending", "source"),
@@ -161,7 +163,7 @@ def merge_registrants(std: DataFrame, canonical: DataFrame, priorities: DataFram
     """
     linked = canonical.where(F.col("cik") != F.col("primary_cik"))
     members = linked.select("cik").union(linked.select(F.col("primary_cik").alias("cik"))).distinct()
-    members = broadcast_dim(members)
+    members = members
     key = ["primary_cik", "statement", "tag", "period_ending", "fiscal_year", "fiscal_period", "frequency"]
     rest = [c for c in std.columns if c not in key and c != "cik"]
     plain = std.join(members, "cik", "left_anti").select(

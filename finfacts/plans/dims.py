@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from finfacts.operators.joins import literal_table
+
 # ---------------------------------------------------------------------------
 # The metric catalogue offered to users (label, spec). A spec is
 # "statement|tag", "statement|a+b" (sum) or "statement|a/b" (ratio); two named
@@ -87,7 +89,7 @@ CATALOGUE_SCHEMA = T.StructType([
 
 
 def catalogue_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(single_metrics(), CATALOGUE_SCHEMA)
+    return literal_table(spark, single_metrics(), CATALOGUE_SCHEMA)
 
 
 def _lit(v) -> str:
@@ -212,11 +214,11 @@ OVERRIDE_SCHEMA = "ticker string, sector string, industry string"
 
 
 def sic_rules_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sic_rule_rows(), SIC_RULE_SCHEMA)
+    return literal_table(spark, sic_rule_rows(), SIC_RULE_SCHEMA)
 
 
 def overrides_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TICKER_OVERRIDES, OVERRIDE_SCHEMA)
+    return literal_table(spark, TICKER_OVERRIDES, OVERRIDE_SCHEMA)
 
 
 def sic_rules_sql() -> str:

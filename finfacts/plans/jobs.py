@@ -27,6 +27,34 @@ def cast_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """Version folders ``v=N`` of the store, newest first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), reverse=True)
+
+
+def latest_table(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The newest completely written version of a table: ``v=N/name``, else ``name``, else None.
+
+    Only a missing table is None; a table that can't be read raises.
+    """
+    for path in [*(f"{store}/v={v}/{name}" for v in _versions(spark, store)), f"{store}/{name}"]:
+        if _exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path)
+    return None
+
+
+def next_version(spark: SparkSession, store: str) -> int:
+    return max([0, *_versions(spark, store)]) + 1
+
+
 def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -54,24 +82,23 @@ def update_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFra
     """Delta build: only new or changed companies are exploded and replaced; the
     result is written as a new version folder (the previous one stays readable)."""
     files = filings.company_facts_files(spark, facts_dir)
-    old_comp = spark.read.parquet(f"{store}/companies")
+    old_comp = latest_table(spark, store, "companies")
     status = dl.classify_changes(files.select("cik", F.col("sha256").alias("h")), old_comp.select("cik", "h"))
     keys = dl.changed_keys(status)
     n = dl.check_change_limit(keys, force=force)
     if n == 0:
         return 0
     changed = files.join(keys, "cik", "left_semi").withColumn("load_seq", F.col("mtime").cast("long"))
-    new_facts = fa.explode_company_facts(changed, "payload", doc_id="load_seq")
-    old_facts = spark.read.parquet(f"{store}/facts")
-    facts = dl.replace_by_key(old_facts, new_facts.select(*old_facts.columns))
     out = f"{store}/v={version}"
-    facts = _write(facts, f"{out}/facts")
+    new_facts = _write(fa.explode_company_facts(changed, "payload", doc_id="load_seq"), f"{out}/_changed_facts")   # parsed once
+    old_facts = latest_table(spark, store, "facts")
+    # The changed companies are the delete set: one whose new file has no facts loses its old ones.
+    _write(dl.replace_by_key(old_facts, new_facts.select(*old_facts.columns), changed=keys), f"{out}/facts")
     new_comp = fa.companies_from_facts(new_facts, "load_seq").join(changed.select("cik", F.col("sha256").alias("h")), "cik")
-    _write(dl.replace_by_key(old_comp, new_comp.select(*old_comp.columns)), f"{out}/companies")
+    _write(dl.replace_by_key(old_comp, new_comp.select(*old_comp.columns), changed=keys), f"{out}/companies")
     # processed flags recomputed for the changed companies only
-    old_proc = spark.read.parquet(f"{store}/processed_ciks")
-    new_proc = fa.processed_companies(new_facts, rules)
-    _write(dl.replace_by_key(old_proc.join(keys, "cik", "left_anti"), new_proc), f"{out}/processed_ciks")
+    old_proc = latest_table(spark, store, "processed_ciks")
+    _write(dl.replace_by_key(old_proc, fa.processed_companies(new_facts, rules), changed=keys), f"{out}/processed_ciks")
     return n
 
 
@@ -79,9 +106,8 @@ def build_submissions(spark: SparkSession, sub_dir: str, store: str, version: in
     """Filing metadata: changed companies (canonical hash) get their payload row and
     their ``dei`` facts replaced; other namespaces of those companies stay."""
     subs = filings.submissions(spark, sub_dir)
-    try:
-        old = spark.read.parquet(f"{store}/submissions")
-    except Exception:  # first load  # noqa: BLE001
+    old = latest_table(spark, store, "submissions")
+    if old is None:
         old = spark.createDataFrame([], "cik string, h string, payload binary, mtime timestamp")
     keys = dl.changed_keys(dl.classify_changes(subs.select("cik", "h"), old.select("cik", "h")))
     n = keys.count()
@@ -91,10 +117,11 @@ def build_submissions(spark: SparkSession, sub_dir: str, store: str, version: in
     out = f"{store}/v={version}"
     _write(dl.replace_by_key(old, changed.select(*old.columns)), f"{out}/submissions")
     dei = fa.dei_facts(changed)
-    facts = spark.read.parquet(f"{store}/facts")
+    facts = latest_table(spark, store, "facts")
     dei = dei.select(*[c if c in dei.columns else F.lit(None).cast(facts.schema[c].dataType).alias(c)
                        for c in facts.columns])
-    _write(dl.replace_by_key(facts, dei, key=["cik", "namespace"]), f"{out}/facts")
+    replaced = keys.select("cik", F.lit("dei").alias("namespace"))
+    _write(dl.replace_by_key(facts, dei, key=["cik", "namespace"], changed=replaced), f"{out}/facts")
     return n
 
 
@@ -102,13 +129,10 @@ def rebuild_fx(spark: SparkSession, xml_path: str, store: str, as_of=None) -> Da
     """FX table: reference cubes -> USD rates within the lookback; an empty download
     keeps the previous table."""
     new = fx.triangulate_to_usd(filings.fx_cubes(spark, xml_path), as_of=as_of)
-    try:
-        old = spark.read.parquet(f"{store}/exchange_rates")
-    except Exception:  # first build  # noqa: BLE001
-        old = None
+    old = latest_table(spark, store, "exchange_rates")
     if old is not None and new.limit(1).count() == 0:
         return old
-    return _write(new, f"{store}/exchange_rates_next")
+    return _write(new, f"{store}/v={next_version(spark, store)}/exchange_rates")
 
 
 def rebuild_classification(spark: SparkSession, sic_facts: DataFrame, primary_tickers: DataFrame, rules: DataFrame,
@@ -119,15 +143,13 @@ def rebuild_classification(spark: SparkSession, sic_facts: DataFrame, primary_ti
 def refresh_symbols(spark: SparkSession, tickers_json: str, funds_json: str, names_txt: str, store: str) -> None:
     """Ticker, fund and entity lists replace the rows of the companies they mention;
     rows of companies absent from a new list stay (replace-by-key)."""
+    version = next_version(spark, store)
     for name, new in (("tickers", filings.ticker_list(spark, tickers_json)),
                       ("funds", filings.fund_list(spark, funds_json)),
                       ("entities", filings.entity_names(spark, names_txt))):
-        try:
-            old = spark.read.parquet(f"{store}/{name}")
-            merged = dl.replace_by_key(old, new.select(*old.columns))
-        except Exception:  # first load  # noqa: BLE001
-            merged = new
-        _write(merged, f"{store}/{name}_next")
+        old = latest_table(spark, store, name)
+        merged = new if old is None else dl.replace_by_key(old, new.select(*old.columns))
+        _write(merged, f"{store}/v={version}/{name}")
 
 
 def multi_cik_overrides(spark: SparkSession, json_path: str) -> DataFrame:

@@ -67,8 +67,7 @@ SEARCH_KEYWORD = "#0000001"
 
 
 @query("search_entities", "M7 C8 G5", sql(["fx_companies"], [], f"""
-SELECT cik, entity_name FROM fx_companies WHERE entity_name LIKE '{rs.like_pattern(SEARCH_KEYWORD)}' ESCAPE '\\'
-ORDER BY entity_name, cik LIMIT 1000"""))
+SELECT cik, entity_name FROM fx_companies WHERE entity_name LIKE '{rs.like_pattern(SEARCH_KEYWORD)}' ESCAPE '\\'"""))
 def search_entities(c):
     return rs.search_entities(c["fx_companies"], SEARCH_KEYWORD, 1000)
 

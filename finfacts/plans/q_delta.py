@@ -24,7 +24,7 @@ SELECT n.cik FROM fx_hash_new n LEFT JOIN fx_hash_old o ON o.cik = n.cik WHERE o
     ("old_rows", "SELECT * FROM fx_std WHERE frequency = 'annual'"),
     ("new_rows", "SELECT * FROM fx_std WHERE frequency = 'quarterly' AND cik IN (SELECT cik FROM changed)"),
 ], """
-SELECT * FROM old_rows WHERE cik NOT IN (SELECT cik FROM new_rows)
+SELECT * FROM old_rows o WHERE NOT EXISTS (SELECT 1 FROM new_rows n WHERE n.cik = o.cik)
 UNION ALL SELECT * FROM new_rows"""))
 def replace_by_key(c):
     # Snapshot = annual rows; the delta batch = quarterly rows of new or changed companies.

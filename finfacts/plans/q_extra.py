@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from finfacts.operators.joins import literal_table
 from finfacts.functions.payload import canonical_json_sha256
 from finfacts.operators import sets
 from finfacts.operators import standardize as sd
@@ -49,10 +50,10 @@ SELECT *, row_number() OVER (PARTITION BY cik, statement, line_item, period_endi
 ], """
 SELECT cik, statement, period_ending, fiscal_year, fiscal_period, frequency, line_item AS tag, val,
        CASE WHEN regexp_matches(unit, '^[A-Z]{3}$') THEN unit END AS currency, company_type,
-       substr(namespace || ':' || tag, 1, 256) AS source
+       namespace || ':' || tag AS source
 FROM p WHERE rn = 1"""))
 def standardize_facts(c):
-    rules = c.spark.createDataFrame(FIXTURE_STD_RULES, sd.RULE_SCHEMA)
+    rules = literal_table(c.spark, FIXTURE_STD_RULES, sd.RULE_SCHEMA)
     return sd.standardize(facts(c).drop("event_id"), rules)
 
 
@@ -90,7 +91,7 @@ LEFT JOIN pres p ON p.company_type = coalesce(ct.ct, 'industrial') AND p.stateme
 LEFT JOIN fx_source src ON src.cik = s.cik AND src.statement = s.statement AND src.tag = s.tag
      AND src.period_ending = s.period_ending"""))
 def standardized_statements(c):
-    pres = c.spark.createDataFrame(FIXTURE_PRESENTATION, ", ".join(
+    pres = literal_table(c.spark, FIXTURE_PRESENTATION, ", ".join(
         f"{n} {'int' if t == 'INTEGER' else 'string'}" for n, t in zip(_PRES_COLS, _PRES_TYPES)))
     return sd.standardized_statements(c["fx_std"], pres, c["fx_source"], "annual")
 
@@ -113,27 +114,17 @@ def merge_registrants(c):
     return sd.merge_registrants(c["fx_std"], canon, c["fx_multi_cik"].select("cik", "priority"))
 
 
-@query("ttm_statements", "M20 (TTM = four consecutive quarters)", sql(["fx_std"], [
-    ("q", "SELECT * FROM fx_std WHERE frequency = 'quarterly'"),
-    ("idx", """SELECT cik, statement, period_ending, row_number() OVER (PARTITION BY cik, statement ORDER BY period_ending) AS i
-               FROM (SELECT DISTINCT cik, statement, period_ending FROM q WHERE period_ending IS NOT NULL) z"""),
+@query("ttm_statements", "M20 L6 (TTM = four quarters within one year's span)", sql(["fx_std"], [
     ("r", """
-SELECT q.*, CAST(SUM(CAST(q.val AS DECIMAL(38,4))) OVER w AS DOUBLE) AS s4, COUNT(q.val) OVER w AS n4
-FROM q JOIN idx USING (cik, statement, period_ending)
-WINDOW w AS (PARTITION BY q.cik, q.statement, q.tag ORDER BY idx.i RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)"""),
+SELECT *, CAST(SUM(CAST(val AS DECIMAL(38,4))) OVER w AS DOUBLE) AS s4, COUNT(val) OVER w AS n4, m - MIN(m) FILTER (WHERE val IS NOT NULL) OVER w AS span
+FROM (SELECT *, year(period_ending) * 12 + month(period_ending) AS m FROM fx_std WHERE frequency = 'quarterly') q
+WINDOW w AS (PARTITION BY cik, statement, tag ORDER BY m RANGE BETWEEN 10 PRECEDING AND CURRENT ROW)"""),
+    ("t", "SELECT *, CASE WHEN statement = 'balance_sheet' THEN val WHEN n4 = 4 AND span >= 8 THEN s4 END AS sum4 FROM r"),
 ], """
-SELECT cik, statement, period_ending, fiscal_year, fiscal_period, 'ttm' AS frequency, tag,
-       CASE WHEN statement = 'balance_sheet' THEN val WHEN n4 = 4 THEN s4 END AS val, currency, company_type
-FROM r WHERE (CASE WHEN statement = 'balance_sheet' THEN val WHEN n4 = 4 THEN s4 END) IS NOT NULL"""))
+SELECT cik, statement, period_ending, fiscal_year, fiscal_period, 'ttm' AS frequency, tag, sum4 AS val, currency, company_type
+FROM t WHERE sum4 IS NOT NULL"""))
 def ttm_statements(c):
-    q = c["fx_std"].where(F.col("frequency") == "quarterly")
-    idx = period_index(q, ["cik", "statement"], "period_ending", name="_i")
-    r = q.join(idx, ["cik", "statement", "period_ending"], "inner")
-    w = Window.partitionBy("cik", "statement", "tag").orderBy("_i").rangeBetween(-3, 0)
-    s4 = F.sum(F.col("val").cast("decimal(38,4)")).over(w).cast("double")
-    val = F.when(F.col("statement") == "balance_sheet", F.col("val")).when(F.count("val").over(w) == 4, s4)
-    return (r.withColumn("val", val).where(F.col("val").isNotNull()).withColumn("frequency", F.lit("ttm"))
-             .select(*c["fx_std"].columns))
+    return sd.ttm(c["fx_std"])
 
 
 @query("latest_period", "M25 C1", sql(["fx_std"], [], """

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from finfacts.operators.joins import literal_table
 from finfacts.operators import facts as fa
 from finfacts.operators import fx
 from finfacts.plans.fixtures import AS_OF
@@ -20,7 +21,7 @@ FIXTURE_STATEMENT_RULES = [
 
 
 def statement_rules(spark):
-    return spark.createDataFrame(FIXTURE_STATEMENT_RULES, "statement string, tag string")
+    return literal_table(spark, FIXTURE_STATEMENT_RULES, "statement string, tag string")
 
 
 def facts(c):

@@ -9,10 +9,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
-# Defaults tuned for local tests; on a cluster these come from spark-submit and
-# are left untouched (``getOrCreate`` keeps an existing session's settings).
+# Defaults for settings that nobody has made: neither spark-submit, nor a file, nor a running session.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -33,13 +33,29 @@ _DEFAULTS = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "finfacts") -> SparkSession:
-    """Return a session; local master and small shuffle width unless told otherwise."""
-    cpus = os.environ.get("BENCH_CPUS") or "8"
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
+    """The running session as it is, or a new one.
+
+    A new session takes what spark-submit and its files set; ``_DEFAULTS`` fill in only what is unset, and a local
+    master is taken only where none is named. The shuffle width is left alone unless asked for.
+    """
+    if SparkContext._active_spark_context is not None:
+        spark = SparkSession.builder.getOrCreate()
+        ensure_checkpoint_dir(spark)
+        return spark
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ
+    if submitted:
+        SparkContext._ensure_initialized()
+    given = dict(SparkConf().getAll())
+    builder = SparkSession.builder.appName(app)
+    if master or not ("spark.master" in given or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")):
+        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS') or '8'}]")
     for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-    builder = builder.config("spark.driver.memory", os.environ.get("FINFACTS_DRIVER_MEMORY", "16g"))
+        if k not in given:
+            builder = builder.config(k, v)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if not submitted and "spark.driver.memory" not in given:
+        builder = builder.config("spark.driver.memory", os.environ.get("FINFACTS_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -49,8 +65,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset (local
-    tests) is a private scratch folder created and registered.
+    ``spark.checkpoint.dir`` is read from the session. Only with a local master, as in
+    tests, may it be unset: then a private scratch folder is created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +74,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="finfacts-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

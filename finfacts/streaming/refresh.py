@@ -24,11 +24,10 @@ FACTS_NAME = r"CIK(\d+)\.json$"
 
 
 def current_version(spark: SparkSession, store: str) -> int | None:
-    try:
-        log = spark.read.parquet(f"{store}/_log")
-    except Exception:  # no commit yet  # noqa: BLE001
-        return None
-    row = log.agg(F.max("epoch").alias("e")).collect()[0]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/_log")
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return None                     # no commit yet; any other trouble raises
+    row = spark.read.parquet(f"{store}/_log").agg(F.max("epoch").alias("e")).collect()[0]
     return row["e"]
 
 
@@ -40,14 +39,18 @@ def read_store(spark: SparkSession, store: str) -> tuple[DataFrame | None, DataF
 
 
 def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int, rules: DataFrame | None = None) -> int:
-    """files: (name, payload). Returns the number of companies written (0 = no-op).
+    """files: (name, payload[, mtime]). Of several deliveries of a company the newest counts, by modification
+    time, then hash. Returns the number of companies written (0 = no-op).
 
     With ``rules`` (statement, tag) the processed-companies table is maintained too,
     recomputed for the changed companies only.
     """
     incoming = (files.where(F.col("name").rlike(FACTS_NAME))
                 .select(normalize_cik(F.regexp_extract("name", FACTS_NAME, 1)).alias("file_cik"), "payload",
-                        F.sha2(F.encode("payload", "UTF-8"), 256).alias("h")))
+                        F.sha2(F.encode("payload", "UTF-8"), 256).alias("h"),
+                        (F.col("mtime") if "mtime" in files.columns else F.lit(None)).cast("timestamp").alias("mtime")))
+    newest = incoming.groupBy("file_cik").agg(F.max(F.struct("mtime", "h")).alias("newest"))
+    incoming = incoming.join(newest, "file_cik").where(F.struct("mtime", "h").eqNullSafe(F.col("newest"))).drop("newest", "mtime").dropDuplicates(["file_cik"])
     facts_old, comp_old = read_store(spark, store)
     if comp_old is None:
         comp_old = spark.createDataFrame([], "cik string, entity_name string, h string, load_seq bigint")
@@ -57,19 +60,19 @@ def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int, r
     if n == 0:
         return 0
     batch = incoming.join(keys.withColumnRenamed("cik", "file_cik"), "file_cik", "left_semi")
-    new_facts = explode_company_facts(batch, "payload", doc_id="file_cik")
-    # Companies without any fact are not stored (no company row either).
-    new_facts = new_facts.drop("file_cik")
+    base = f"{store}/v={epoch}"
+    # Companies without any fact are not stored (no company row either). Written, so that files are parsed once.
+    explode_company_facts(batch, "payload", doc_id="file_cik").drop("file_cik").write.mode("overwrite").parquet(f"{base}/_changed_facts")
+    new_facts = spark.read.parquet(f"{base}/_changed_facts")
     new_comp = (new_facts.groupBy("cik").agg(F.max("entity_name").alias("entity_name"))
                 .join(batch.select(F.col("file_cik").alias("cik"), "h"), "cik", "inner")
                 .withColumn("load_seq", F.lit(int(epoch)).cast("bigint")))
     if facts_old is None:
         facts = new_facts
     else:
-        facts = replace_by_key(facts_old, new_facts.select(*facts_old.columns))
-    companies = upsert_last(comp_old.select("cik", "entity_name", "h", "load_seq"), new_comp,
+        facts = replace_by_key(facts_old, new_facts.select(*facts_old.columns), changed=keys)
+    companies = upsert_last(comp_old.join(keys, "cik", "left_anti").select("cik", "entity_name", "h", "load_seq"), new_comp,
                             key="cik", order="load_seq").withColumn("load_seq", F.lit(int(epoch)).cast("bigint"))
-    base = f"{store}/v={epoch}"
     facts.write.mode("overwrite").parquet(f"{base}/facts")
     companies.write.mode("overwrite").parquet(f"{base}/companies")
     if rules is not None:
@@ -93,7 +96,7 @@ def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str
     stream = (spark.readStream.schema("value string").option("wholetext", "true")
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "CIK*.json").text(landing)
               .select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"),
-                      F.col("value").alias("payload")))
+                      F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("mtime")))
 
     def each(batch: DataFrame, epoch: int) -> None:
         apply_batch(batch.sparkSession, batch, store, epoch + 1, rules)

@@ -110,13 +110,11 @@ def test_refresh_symbols_keeps_vanished_companies(spark, tmp_dir):
                                               "data": [[7, "S1", "C1", "fff"]]}))
     _w(f"{tmp_dir}/e/names.txt", "A CORP:1:\nB CORP:2:\n")
     jobs.refresh_symbols(spark, f"{tmp_dir}/t1/tickers.json", f"{tmp_dir}/f/funds.json", f"{tmp_dir}/e/names.txt", store)
-    first = spark.read.parquet(f"{store}/tickers_next")
-    first.write.parquet(f"{store}/tickers")
     # company 2 vanishes from the list, company 1 changes ticker
     _w(f"{tmp_dir}/t2/tickers.json", json.dumps({"0": {"cik_str": 1, "ticker": "aab", "title": "A"}}))
     jobs.refresh_symbols(spark, f"{tmp_dir}/t2/tickers.json", f"{tmp_dir}/f/funds.json", f"{tmp_dir}/e/names.txt",
                          store)
-    got = sorted((r["cik"], r["ticker"]) for r in spark.read.parquet(f"{store}/tickers_next").collect())
+    got = sorted((r["cik"], r["ticker"]) for r in jobs.latest_table(spark, store, "tickers").collect())
     assert got == [("0000000001", "AAB"), ("0000000002", "BBB")]
 
 
@@ -127,7 +125,30 @@ def test_rebuild_fx_and_empty_download_guard(spark, tmp_dir):
     _w(f"{tmp_dir}/fx1/r.xml", xml)
     rates = jobs.rebuild_fx(spark, f"{tmp_dir}/fx1/r.xml", store, as_of="2024-06-01")
     assert sorted(r["from_currency"] for r in rates.collect()) == ["EUR", "JPY", "USD"]
-    rates.write.parquet(f"{store}/exchange_rates")
     _w(f"{tmp_dir}/fx2/r.xml", "<Envelope><Cube></Cube></Envelope>")
     kept = jobs.rebuild_fx(spark, f"{tmp_dir}/fx2/r.xml", store, as_of="2024-06-01")
     assert kept.count() == 3
+
+
+def test_both_jobs_build_on_the_latest_version(spark, tmp_dir):
+    rules = spark.createDataFrame([("balance_sheet", "A")], "statement string, tag string")
+    land, subs, store = f"{tmp_dir}/land", f"{tmp_dir}/subs", f"{tmp_dir}/store"
+    _land(land, 1, {"A": 2})
+    jobs.build_facts(spark, land, store, rules)
+    _land(land, 1, {"A": 9})
+    assert jobs.update_facts(spark, land, store, rules, version=2) == 1
+    _w(f"{subs}/CIK0000000001.json", json.dumps({"cik": "1", "name": "One", "filings": {"recent": {"form": ["10-K"]}, "files": []}}))
+    assert jobs.build_submissions(spark, subs, store, version=3) == 1
+    facts = jobs.latest_table(spark, store, "facts")
+    assert [r["val"] for r in facts.where("tag = 'A'").collect()] == [9.0]
+
+
+def test_changed_file_without_facts_loses_its_old_facts(spark, tmp_dir):
+    rules = spark.createDataFrame([("balance_sheet", "A")], "statement string, tag string")
+    land, store = f"{tmp_dir}/land", f"{tmp_dir}/store"
+    _land(land, 1, {"A": 2})
+    _land(land, 2, {"A": 3})
+    jobs.build_facts(spark, land, store, rules)
+    _land(land, 1, {})
+    assert jobs.update_facts(spark, land, store, rules, version=2) == 1
+    assert [r["cik"] for r in jobs.latest_table(spark, store, "facts").collect()] == ["0000000002"]

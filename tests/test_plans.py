@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 from finfacts.plans.fixtures import FixtureCatalog
+from finfacts.plans.registry import REGISTRY
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -25,7 +26,7 @@ def _plan(spark, name, mode="simple"):
 
 def test_metric_ranking_plan(spark):
     p = _plan(spark, "top_metric_usd")
-    assert "TakeOrderedAndProject(limit=100" in p          # per-partition top 4k before the dimension joins
+    assert "TakeOrderedAndProject(limit=25" in p           # per-partition top k before names and tickers are attached
     assert "partial_max(struct(" in p                        # latest-per-company pre-aggregated before the shuffle
     assert "SortMergeJoin" not in p                          # small sides broadcast at this size
     fact_scans = [line for line in p.splitlines() if "FileScan parquet" in line and "fiscal_period" in line]
@@ -56,7 +57,7 @@ def test_usd_conversion_joins_calendar_without_range_join(spark):
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_no_cross_or_nested_loop_join(spark, name):
     p = _plan(spark, name)
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
