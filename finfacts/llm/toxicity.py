@@ -15,8 +15,8 @@ from finfacts.llm.common import batch_rows, ship, without
 
 _WORD = re.compile(r"\w+")
 MAX_EXAMPLES = 4000     # labelled examples of either class that the model is fitted on (bound of the driver's part)
-MAX_TERMS = 512         # terms of the vector space
-_CANDIDATES = 5000      # terms that enter the choice
+MAX_TERMS = 256         # terms of the vector space
+_CANDIDATES = 2000      # terms that enter the choice
 _MIN_GAIN = 16.0        # log-likelihood ratio of a term over the examples not yet explained
 _EXPLAINED = 3          # chosen terms after which an example is explained
 _PREFIX = range(3, 9)   # lengths of word beginnings that are terms besides the whole words
@@ -51,36 +51,37 @@ class Lexicon(dict):
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of ``BLOCK`` examples with the largest weight of each block."""
+    """Postings of unit vectors by term, in blocks of ``BLOCK`` examples with the largest weight of each block.
+
+    The number of examples is bounded, so a term's postings are a row over all of them, zero where it doesn't occur.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         n_blocks = -(-len(vectors) // BLOCK)
-        self.size, self.block_max = len(vectors), np.zeros((n_terms, n_blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
+        self.postings = np.zeros((n_terms, n_blocks * BLOCK))
         for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-                self.block_max[t, i // BLOCK] = max(self.block_max[t, i // BLOCK], w)
-        self.at = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weight = [np.array([w for _, w in p]) for p in postings]
-        self.begin = [np.searchsorted(a, np.arange(n_blocks + 1) * BLOCK) for a in self.at]
+            self.postings[list(v), i] = list(v.values())
+        self.block_max = self.postings.reshape(n_terms, n_blocks, BLOCK).max(2)
 
     def nearest(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k best (cosine, example), exactly; ties go to the lower example. Blocks are scored by falling upper
-        bound, until the bound is below the k-th best cosine."""
-        terms, weights = list(vector), np.array(list(vector.values()))
+        bound, some more each time, until the bound is below the k-th best cosine."""
+        terms, weights = np.array(list(vector)), np.array(list(vector.values()))
         bound = weights @ self.block_max[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                s = slice(self.begin[t][b], self.begin[t][b + 1])
-                score[self.at[t][s] - b * BLOCK] += w * self.weight[t][s]
-            best += [(round(float(score[i]), 12), b * BLOCK + i) for i in np.flatnonzero(score > 0).tolist()]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        order = np.argsort(-bound, kind="stable")
+        score, place, at, step = np.empty(0), np.empty(0, np.int64), 0, 8
+        while at < len(order) and bound[order[at]] > 0 and not (len(score) == k and bound[order[at]] < score[-1] - 1e-12):
+            cols = (order[at:at + step, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = np.concatenate([score, np.round(weights @ self.postings[terms[:, None], cols], 12)])
+            place = np.concatenate([place, cols])
+            if len(score) > 4 * k:
+                floor = np.partition(score, -k)[-k]
+                score, place = score[score >= floor], place[score >= floor]
+            top = np.lexsort((place, -score))[:k]
+            top = top[score[top] > 0]
+            score, place = score[top], place[top]
+            at, step = at + step, step * 2
+        return list(zip(score.tolist(), place.tolist()))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
