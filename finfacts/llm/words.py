@@ -7,7 +7,7 @@ import xxhash
 
 SHINGLE = 5
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_KNOWN = 400_000
+_KNOWN = 150_000
 
 
 class WordHashes(dict):
