@@ -118,9 +118,15 @@ def encode(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def decode(facts_enc: DataFrame, tags: DataFrame, accns: DataFrame) -> DataFrame:
-    """The ``facts`` view: inner join to the tag dimension, left join to accessions."""
-    out = facts_enc.join(tags, "tag_id", "inner").join(accns, "accn_id", "left")
-    return out.drop("tag_id", "accn_id")
+    """The ``facts`` view: inner join to the tag dimension, left join to accessions.
+
+    Facts without an accession (all ``dei`` facts) match nothing; a second join key, which for other facts repeats
+    the id, spreads them over all tasks.
+    """
+    f = facts_enc.withColumn("_spread", F.coalesce("accn_id", F.xxhash64("cik", "tag_id", "end")))
+    a = accns.withColumn("_spread", F.col("accn_id"))
+    out = f.join(tags, "tag_id", "inner").join(a, ["accn_id", "_spread"], "left")
+    return out.drop("tag_id", "accn_id", "_spread")
 
 
 def processed_companies(facts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -209,7 +215,8 @@ def _entry(key: str, value) -> "F.Column":
 def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
     """The company-facts document as bounded parts, one row per (cik, namespace, tag):
     ``fragment`` is the JSON object stored at ``facts[namespace][tag]`` —
-    ``{label, description, units: {unit: [records]}}`` with records sorted by (end, filed).
+    ``{label, description, units: {unit: [records]}}`` with records sorted by (end, filed), ties by (accn, start,
+    val, val_text, fy, fp, form, frame), nulls first.
 
     ``val_text`` is preferred over ``val``; null ``start`` and empty ``frame`` keys are
     omitted, other nulls are kept; values are VARIANT so text and numbers render
@@ -217,20 +224,21 @@ def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
     so a company holding a third of all facts is still spread over many groups and
     tasks; a reader nests the fragments under ``{cik, entityName, facts}``.
     """
-    text_ok = F.col("val_text").isNotNull() & (F.col("val_text") != "")
-    val = F.when(text_ok, F.col("val_text").cast("variant")).otherwise(F.col("val").cast("variant"))
-    entries = F.array(
-        _entry("end", F.date_format("end", "yyyy-MM-dd")), F.struct(F.lit("val").alias("key"), val.alias("value")),
-        _entry("accn", F.col("accn")), _entry("fy", F.col("fy")), _entry("fp", F.col("fp")),
-        _entry("form", F.col("form")), _entry("filed", F.date_format("filed", "yyyy-MM-dd")),
-        _entry("start", F.date_format("start", "yyyy-MM-dd")),
-        _entry("frame", F.when(F.col("frame") != "", F.col("frame"))))
-    entries = F.filter(entries, lambda e: ~(e["key"].isin("start", "frame") & e["value"].isNull()))
-    r = facts.select("cik", "namespace", "tag", "label", "description", "unit", "end", "filed",
-                     F.map_from_entries(entries).alias("_rec"))
+    def record(r):
+        text_ok = r["val_text"].isNotNull() & (r["val_text"] != "")
+        val = F.when(text_ok, r["val_text"].cast("variant")).otherwise(r["val"].cast("variant"))
+        entries = F.array(
+            _entry("end", F.date_format(r["end"], "yyyy-MM-dd")), F.struct(F.lit("val").alias("key"), val.alias("value")),
+            _entry("accn", r["accn"]), _entry("fy", r["fy"]), _entry("fp", r["fp"]),
+            _entry("form", r["form"]), _entry("filed", F.date_format(r["filed"], "yyyy-MM-dd")),
+            _entry("start", F.date_format(r["start"], "yyyy-MM-dd")),
+            _entry("frame", F.when(r["frame"] != "", r["frame"])))
+        return F.map_from_entries(F.filter(entries, lambda e: ~(e["key"].isin("start", "frame") & e["value"].isNull())))
+
+    order = F.struct("end", "filed", "accn", "start", "val", "val_text", "fy", "fp", "form", "frame")
+    r = facts.select("cik", "namespace", "tag", "label", "description", "unit", order.alias("_o"))
     units = r.groupBy("cik", "namespace", "tag", "unit").agg(
-        F.transform(_sorted_by(F.collect_list(F.struct("end", "filed", "_rec")), "end", "filed"),
-                    lambda x: x["_rec"]).alias("_recs"),
+        F.transform(F.array_sort(F.collect_list("_o")), record).alias("_recs"),
         F.max("label").alias("label"), F.max("description").alias("description"))
     tags = units.groupBy("cik", "namespace", "tag").agg(
         F.max("label").alias("label"), F.max("description").alias("description"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKBACK_DAYS = 3650
@@ -14,17 +14,17 @@ def triangulate_to_usd(cubes: DataFrame, as_of=None, lookback_days: int = LOOKBA
     Per day with a USD quote u: USD->USD 1.0, EUR->USD u, X->USD u / r(X).
     Days without a USD quote are skipped; a zero quote gives null (the reference
     writes 1.0 there). Only days within ``lookback_days`` of ``as_of`` are kept.
-    The per-day window holds one day's cube (a few dozen currencies).
+    One aggregation: a group holds one day's cube (a few dozen currencies).
     """
     d = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
     c = cubes.where(F.col("rate_date") >= F.date_sub(d, lookback_days))
-    usd = F.max(F.when(F.col("currency") == "USD", F.col("rate"))).over(Window.partitionBy("rate_date"))
-    c = c.withColumn("_u", usd).where(F.col("_u").isNotNull())
-    others = c.where(F.col("currency") != "USD").select(
-        "rate_date", F.col("currency").alias("from_currency"),
-        (F.col("_u") / F.nullif(F.col("rate"), F.lit(0.0))).alias("rate"))
-    days = c.select("rate_date", "_u").distinct()
-    base = days.select("rate_date", F.lit("USD").alias("from_currency"), F.lit(1.0).alias("rate")).unionByName(
-        days.select("rate_date", F.lit("EUR").alias("from_currency"), F.col("_u").alias("rate")))
-    return base.unionByName(others).withColumn("to_currency", F.lit("USD")).select(
-        "rate_date", "from_currency", "to_currency", "rate")
+    quote = F.struct(F.col("currency").alias("from_currency"), F.col("rate"))
+    day = c.groupBy("rate_date").agg(F.max(F.when(F.col("currency") == "USD", F.col("rate"))).alias("_u"),
+                                     F.collect_list(F.when(F.col("currency") != "USD", quote)).alias("_others"))
+
+    def rate(currency, value):
+        return F.struct(F.lit(currency).alias("from_currency") if isinstance(currency, str) else currency.alias("from_currency"), value.alias("rate"))
+    base = F.array(rate("USD", F.lit(1.0)), rate("EUR", F.col("_u")))
+    others = F.transform("_others", lambda q: rate(q["from_currency"], F.col("_u") / F.nullif(q["rate"], F.lit(0.0))))
+    out = day.where(F.col("_u").isNotNull()).select("rate_date", F.explode(F.concat(base, others)).alias("_q"))
+    return out.select("rate_date", "_q.from_currency", F.lit("USD").alias("to_currency"), "_q.rate")

@@ -33,7 +33,11 @@ def period_frequency(start, end):
 
 
 def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | None = None) -> DataFrame:
-    """facts (cik, namespace, tag, unit, start, end, val, fy, fp, filed) -> statement rows."""
+    """facts (cik, namespace, tag, unit, start, end, val, fp, filed) -> statement rows.
+
+    The fiscal year is that of the period's end: a filing's own ``fy`` also stands on the earlier periods that it
+    repeats for comparison.
+    """
     f = facts.where(F.col("val").isNotNull() & F.col("end").isNotNull())
     if company_types is not None:
         f = f.join(company_types.select("cik", "company_type"), "cik", "left")
@@ -50,7 +54,7 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
     quarter = F.concat(F.lit("Q"), F.quarter("end").cast("string"))
     fper = F.when(freq == "annual", F.lit("FY")).when(fp.rlike("^Q[1-4]$"), fp).otherwise(quarter)
     j = j.select("cik", "statement", "line_item", "priority", F.col("end").alias("period_ending"),
-                 F.coalesce(F.col("fy"), F.year("end")).alias("fiscal_year"), fper.alias("fiscal_period"),
+                 F.year("end").alias("fiscal_year"), fper.alias("fiscal_period"),
                  freq.alias("frequency"), "val", "unit", "company_type", "namespace", "tag", "kind",
                  F.coalesce(F.col("filed"), F.col("end")).alias("filed"), (-F.col("priority")).alias("_np"))
     j = j.where(F.col("frequency").isNotNull())
@@ -66,13 +70,13 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
 
 def derive_q4(std: DataFrame) -> DataFrame:
     """Q4 = FY - (Q1 + Q2 + Q3) for duration items that have all three quarters and no Q4.
-    One aggregation per (company, statement, line item, fiscal year)."""
+    One aggregation per (company, statement, line item, fiscal year); the sum is exact, whatever the order of rows."""
     d = std.where(F.col("kind") == "duration")
     q = F.col("fiscal_period")
     g = d.groupBy("cik", "statement", "tag", "fiscal_year").agg(
         F.max(F.when(F.col("frequency") == "annual", F.struct("period_ending", "val", "currency", "company_type")))
         .alias("fy"),
-        F.sum(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), F.col("val"))).alias("q123"),
+        F.sum(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), F.col("val").cast("decimal(38,4)"))).cast("double").alias("q123"),
         F.count(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), 1)).alias("n"),
         F.count_distinct(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), q)).alias("nq"),
         F.max((F.col("frequency") == "quarterly") & (q == "Q4")).alias("has_q4"))

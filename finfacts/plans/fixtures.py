@@ -35,7 +35,9 @@ SELECT cik, concat('T', CAST(c_custkey AS STRING)) AS ticker,
        CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(c_custkey % 100 AS INT) END AS rank
 FROM fx_cust WHERE c_custkey % 11 <> 3
 UNION ALL
-SELECT cik, concat('T', CAST(c_custkey AS STRING), '-B'), CAST(c_custkey % 7 AS INT) FROM fx_cust WHERE c_custkey % 5 = 0"""),
+SELECT cik, concat('T', CAST(c_custkey AS STRING), '-B'), CAST(c_custkey % 7 AS INT) FROM fx_cust WHERE c_custkey % 5 = 0
+UNION ALL
+SELECT cik, CASE c_custkey WHEN 5 THEN 'NKE' ELSE 'DIS' END, CAST(c_custkey AS INT) FROM fx_cust WHERE c_custkey IN (5, 9)"""),
     ("fx_tickers", ("fx_primary_tickers",), """
 SELECT cik, ticker, ticker NOT LIKE '%-B' AS is_primary, rank FROM fx_primary_tickers"""),
     ("fx_multi_cik", ("fx_cust",), """
@@ -63,13 +65,13 @@ SELECT cik, 'income_statement' AS statement, period_ending, fiscal_year, 'FY' AS
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'total_cost_of_revenue', CAST(cost AS DOUBLE), currency, company_type FROM fx_year WHERE fiscal_year % 3 <> 0
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'net_income', CASE WHEN fiscal_year % 5 = 0 THEN NULL ELSE CAST(ni AS DOUBLE) END, currency, company_type FROM fx_year
 UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'total_assets', CAST(bal * 1000 AS DOUBLE), currency, company_type FROM fx_year
-UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'goodwill', CAST(0 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'goodwill', CASE WHEN cik LIKE '%3' THEN CAST(bal * 10 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, currency, company_type FROM fx_year
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, fiscal_period, 'quarterly', 'total_revenue', CAST(rev AS DOUBLE), currency, company_type FROM fx_quarter
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, fiscal_period, 'quarterly', 'net_income', CAST(ni AS DOUBLE), currency, company_type FROM fx_quarter WHERE fiscal_period <> 'Q2'
 UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, fiscal_period, 'quarterly', 'total_assets', CAST(rev * 10 AS DOUBLE), currency, company_type FROM fx_quarter"""),
     ("fx_source", ("fx_std",), """
 SELECT cik, statement, tag, period_ending,
-       CASE WHEN fiscal_year < 1998 THEN 'us-gaap:A' WHEN fiscal_year < 2000 THEN 'derived: net_income (Q4)' ELSE 'us-gaap:B (fallback)' END AS source
+       CASE WHEN cik LIKE '%7' THEN concat('us-gaap:V', CAST(fiscal_year AS STRING)) WHEN fiscal_year < 1998 THEN 'us-gaap:A' WHEN fiscal_year < 2000 THEN 'derived: net_income (Q4)' ELSE 'us-gaap:B (fallback)' END AS source
 FROM fx_std WHERE frequency = 'annual'"""),
     # Same rows as FIXTURES.md's fx_rates; the three quoted currencies are a UNION ALL
     # instead of a non-equi join to the currency list, so no plan has a nested loop.
@@ -92,9 +94,20 @@ SELECT u.c_custkey * 2 + 1, u.cik, CAST(k.code AS DOUBLE), concat('Descr ', CAST
        DATE '1999-12-31', DATE '2000-02-01' FROM fx_cust u JOIN fx_code k ON k.slot = (u.c_custkey + 1) % 10 WHERE u.c_custkey % 4 = 0"""),
     ("fx_doc", (), """
 SELECT event_id, concat('{"cik":', CAST(user_id AS STRING), ',"entityName":"U', CAST(user_id AS STRING),
-       '","facts":{"us-gaap":{"', event_type, '":{"label":"', event_type, '","units":{"USD":[{"end":"',
+       '","facts":{"us-gaap":{"', event_type, '":{"label":"', event_type, CASE WHEN event_id % 3 = 0 THEN ' (old)' ELSE '' END,
+       '","description":"About ', event_type, '","units":{"USD":[{"end":"',
        substring(CAST(CAST(ts AS DATE) AS STRING), 1, 10), '","val":', CAST(CAST(value AS DECIMAL(10,2)) AS STRING),
-       ',"fy":', CASE WHEN event_id % 7 = 0 THEN '"2024"' WHEN event_id % 7 = 1 THEN '"bad"' ELSE '2024' END, '}]}}}}}') AS payload
+       ',"fy":', CASE WHEN event_id % 7 = 0 THEN '"2024"' WHEN event_id % 7 = 1 THEN '"bad"' ELSE '2024' END,
+       CASE WHEN event_id % 6 = 0 THEN '' ELSE concat(',"accn":"0001-24-', CAST(event_id % 40 AS STRING), '"') END,
+       ',"fp":"', CASE WHEN event_id % 20 < 2 THEN 'FY' WHEN event_id % 20 < 4 THEN 'Q1' WHEN event_id % 20 < 6 THEN 'Q2'
+                       WHEN event_id % 20 < 8 THEN 'Q3' WHEN event_id % 20 = 8 THEN 'Q4' ELSE '' END, '"',
+       CASE WHEN event_type IN ('purchase', 'click') THEN concat(',"start":"',
+            CASE WHEN event_id % 20 < 2 THEN substring(CAST(CAST(CAST(ts AS DATE) - INTERVAL '364' DAY AS DATE) AS STRING), 1, 10)
+                 WHEN event_id % 20 < 9 THEN substring(CAST(CAST(CAST(ts AS DATE) - INTERVAL '90' DAY AS DATE) AS STRING), 1, 10)
+                 ELSE substring(CAST(CAST(CAST(ts AS DATE) - INTERVAL '180' DAY AS DATE) AS STRING), 1, 10) END, '"') ELSE '' END,
+       ',"form":"', CASE WHEN event_id % 20 < 2 THEN '10-K' ELSE '10-Q' END, '","filed":"',
+       substring(CAST(CAST(CAST(ts AS DATE) + INTERVAL '30' DAY AS DATE) AS STRING), 1, 10), '"',
+       CASE WHEN event_id % 9 = 0 THEN ',"frame":"CY2023"' WHEN event_id % 9 = 1 THEN ',"frame":""' ELSE '' END, '}]}}}}}') AS payload
 FROM events"""),
     ("fx_hash_old", ("fx_cust",), """
 SELECT cik, concat('h', CAST(c_custkey AS STRING)) AS h FROM fx_cust WHERE c_custkey % 10 <> 1"""),

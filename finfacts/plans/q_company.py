@@ -93,7 +93,13 @@ def _dei(c):
     descr = s.where(F.col("val_text").isNotNull()).select(
         "cik", F.lit("EntitySicDescription").alias("tag"), F.lit(None).cast("double").alias("val"), "val_text",
         F.col("end_date").alias("end"), "filed", "id")
-    return code.unionByName(descr)
+    # State of incorporation and fiscal-year end: invented values, by the fact's number.
+    attribute = s.select("cik", F.explode(F.array(
+        F.struct(F.lit("EntityStateOfIncorporation").alias("tag"), F.when(F.col("id") % 10 == 0, "DE").when(F.col("id") % 10 == 2, "A6").when(F.col("id") % 10 == 4, "ZZ").alias("val_text")),
+        F.struct(F.lit("EntityFiscalYearEnd").alias("tag"), F.when(F.col("id") % 4 == 0, "1231").when(F.col("id") % 4 == 2, "0630").alias("val_text")))).alias("a"),
+        "end_date", "filed", "id")
+    attribute = attribute.select("cik", "a.tag", F.lit(None).cast("double").alias("val"), "a.val_text", F.col("end_date").alias("end"), "filed", "id")
+    return code.unionByName(descr).unionByName(attribute.where("val_text is not null"))
 
 
 @query("company_profiles", "M8 F5 E2 G3 I5 L12", sql(["fx_companies", "fx_multi_cik", "fx_tickers", "fx_sic", "fx_std"],
@@ -120,25 +126,29 @@ SELECT primary_cik, val FROM (
 SELECT primary_cik, val_text FROM (
   SELECT g.primary_cik, s.val_text, row_number() OVER (PARTITION BY g.primary_cik ORDER BY s.end_date DESC, s.filed DESC, s.id DESC) AS rn
   FROM fx_sic s JOIN grp g ON g.cik = s.cik WHERE s.val_text IS NOT NULL) z WHERE rn = 1"""),
+    ("attributes", """
+SELECT g.primary_cik, arg_max(CASE id % 10 WHEN 0 THEN 'DE' WHEN 2 THEN 'A6' WHEN 4 THEN 'ZZ' END, (s.end_date, s.filed, s.id)) AS state,
+       arg_max(CASE id % 4 WHEN 0 THEN '1231' WHEN 2 THEN '0630' END, (s.end_date, s.filed, s.id)) AS year_end
+FROM fx_sic s JOIN grp g ON g.cik = s.cik GROUP BY ALL"""),
     ("periods", """
 SELECT g.primary_cik, min(s.period_ending) AS first_period, max(s.period_ending) AS latest_period
 FROM fx_std s JOIN grp g ON g.cik = s.cik GROUP BY g.primary_cik"""),
 ], """
 SELECT b.primary_cik AS cik, n.entity_name AS name, tks.primary_ticker, tks.secondary_tickers, r.related_ciks,
-       CAST(NULL AS VARCHAR) AS exchanges, CAST(NULL AS VARCHAR) AS state_of_incorporation,
-       CAST(NULL AS VARCHAR) AS state_of_incorporation_name,
+       CASE WHEN b.primary_cik LIKE '%1' THEN 'NYSE,Nasdaq' END AS exchanges, a.state AS state_of_incorporation,
+       CASE a.state WHEN 'DE' THEN 'Delaware' WHEN 'A6' THEN 'Ontario, Canada' END AS state_of_incorporation_name,
        lpad(CAST(CAST(floor(code.val) AS INTEGER) AS VARCHAR), 4, '0') AS sic, descr.val_text AS sic_name,
-       CAST(NULL AS VARCHAR) AS fiscal_year_end, periods.first_period, periods.latest_period
+       a.year_end AS fiscal_year_end, periods.first_period, periods.latest_period
 FROM (SELECT DISTINCT primary_cik FROM grp) b
 LEFT JOIN fx_companies n ON n.cik = b.primary_cik
 LEFT JOIN tks ON tks.primary_cik = b.primary_cik
 LEFT JOIN related r ON r.primary_cik = b.primary_cik
 LEFT JOIN code ON code.primary_cik = b.primary_cik
+LEFT JOIN attributes a ON a.primary_cik = b.primary_cik
 LEFT JOIN descr ON descr.primary_cik = b.primary_cik
 LEFT JOIN periods ON periods.primary_cik = b.primary_cik"""))
 def company_profiles(c):
     canon = pf.canonical_ciks(c["fx_companies"], c["fx_multi_cik"])
-    # The fixture has SIC facts only: state of incorporation, fiscal-year end and
-    # exchanges come out null (their decoding is covered by literal-row tests).
+    filed = canon.where(F.col("cik").endswith("1")).select("cik", F.array(F.lit("NYSE"), F.lit("Nasdaq"), F.lit("NYSE")).alias("exchanges"))
     return pf.company_profiles(canon, c["fx_companies"], c["fx_tickers"], _dei(c), c["fx_std"],
-                               locations=location_dim(c.spark))
+                               submissions=filed, locations=location_dim(c.spark))

@@ -10,7 +10,7 @@ from finfacts.functions.payload import canonical_json_sha256
 from finfacts.operators import sets
 from finfacts.operators import standardize as sd
 from finfacts.operators.latest import period_index
-from finfacts.plans import dims
+from finfacts.plans import dims, jobs
 from finfacts.plans.fixtures import AS_OF, RECENT_FROM
 from finfacts.plans.q_company import _CANON_CTES
 from finfacts.plans.q_ingest import EXPLODE_CTES, facts
@@ -18,13 +18,12 @@ from finfacts.plans.registry import query, sql
 
 R = f"DATE '{RECENT_FROM}'"
 
-# Fixture standardization rules (company_type, statement, line_item, priority, namespace, tag, kind):
-# the fixture facts are point-in-time readings, so every rule is an instant item.
+# Fixture standardization rules (company_type, statement, line_item, priority, namespace, tag, kind).
 FIXTURE_STD_RULES = [
     ("industrial", "balance_sheet", "total_assets", 1, "us-gaap", "view", "instant"),
     ("industrial", "balance_sheet", "total_assets", 2, "us-gaap", "signup", "instant"),
-    ("industrial", "income_statement", "total_revenue", 1, "us-gaap", "purchase", "instant"),
-    ("industrial", "income_statement", "total_revenue", 2, "us-gaap", "click", "instant"),
+    ("industrial", "income_statement", "total_revenue", 1, "us-gaap", "purchase", "duration"),
+    ("industrial", "income_statement", "total_revenue", 2, "us-gaap", "click", "duration"),
     ("industrial", "cash_flow", "net_cash_from_operating_activities", 1, "us-gaap", "error", "instant"),
 ]
 
@@ -33,25 +32,35 @@ FIXTURE_STD_RULES = [
     ("rules", dims.values_sql(FIXTURE_STD_RULES, ["company_type", "statement", "line_item", "priority", "namespace",
                                                   "tag", "kind"],
                               ["VARCHAR", "VARCHAR", "VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR"])),
-    ("j", """
-SELECT f.cik, r.statement, r.line_item, r.priority, f."end" AS period_ending,
-       coalesce(f.fy, CAST(year(f."end") AS INTEGER)) AS fiscal_year,
-       CASE WHEN upper(coalesce(f.fp, '')) = 'FY' THEN 'annual' ELSE 'quarterly' END AS frequency,
-       CASE WHEN upper(coalesce(f.fp, '')) = 'FY' THEN 'FY'
-            WHEN regexp_matches(upper(coalesce(f.fp, '')), '^Q[1-4]$') THEN upper(f.fp)
-            ELSE 'Q' || CAST(quarter(f."end") AS VARCHAR) END AS fiscal_period,
-       f.val, f.unit, r.company_type, f.namespace, f.tag, coalesce(f.filed, f."end") AS filed
+    ("classed", """
+SELECT f.cik, r.statement, r.line_item, r.priority, r.kind, f."end" AS period_ending, CAST(year(f."end") AS INTEGER) AS fiscal_year,
+       upper(coalesce(f.fp, '')) AS fp, f.val, f.unit, r.company_type, f.namespace, f.tag, coalesce(f.filed, f."end") AS filed,
+       CASE WHEN r.kind = 'duration' THEN CASE WHEN f."end" - f."start" BETWEEN 350 AND 380 THEN 'annual'
+                                               WHEN f."end" - f."start" BETWEEN 80 AND 100 THEN 'quarterly' END
+            WHEN f."start" IS NULL THEN if(upper(f.fp) = 'FY', 'annual', 'quarterly') END AS frequency
 FROM facts f JOIN rules r ON r.company_type = 'industrial' AND r.namespace = f.namespace AND r.tag = f.tag
-WHERE f.val IS NOT NULL AND f."end" IS NOT NULL AND f."start" IS NULL"""),
+WHERE f.val IS NOT NULL AND f."end" IS NOT NULL"""),
     ("p", """
-SELECT *, row_number() OVER (PARTITION BY cik, statement, line_item, period_ending, frequency
-                             ORDER BY priority ASC, filed DESC, val DESC, fiscal_year DESC, fiscal_period DESC,
-                                      unit DESC, namespace DESC, tag DESC) AS rn FROM j"""),
-], """
+SELECT *, CASE WHEN frequency = 'annual' THEN 'FY' WHEN regexp_matches(fp, '^Q[1-4]$') THEN fp
+               ELSE 'Q' || CAST(quarter(period_ending) AS VARCHAR) END AS fiscal_period
+FROM classed WHERE frequency IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY cik, statement, line_item, period_ending, frequency
+                           ORDER BY priority ASC, filed DESC, val DESC, fiscal_year DESC, fiscal_period DESC,
+                                    unit DESC, namespace DESC, tag DESC) = 1"""),
+    ("picked", """
 SELECT cik, statement, period_ending, fiscal_year, fiscal_period, frequency, line_item AS tag, val,
        CASE WHEN regexp_matches(unit, '^[A-Z]{3}$') THEN unit END AS currency, company_type,
-       namespace || ':' || tag AS source
-FROM p WHERE rn = 1"""))
+       namespace || ':' || tag AS source, kind FROM p"""),
+    ("q4", """
+SELECT cik, statement, tag, fiscal_year, max((period_ending, val, currency, company_type)) FILTER (frequency = 'annual') AS fy,
+       CAST(sum(CAST(val AS DECIMAL(38,4))) FILTER (frequency = 'quarterly' AND fiscal_period <> 'Q4') AS DOUBLE) AS q123
+FROM picked WHERE kind = 'duration' GROUP BY ALL
+HAVING count(*) FILTER (frequency = 'annual') > 0
+   AND list_sort(list(fiscal_period) FILTER (frequency = 'quarterly')) = ['Q1', 'Q2', 'Q3']"""),
+], """
+SELECT * EXCLUDE kind FROM picked
+UNION ALL
+SELECT cik, statement, fy[1], fiscal_year, 'Q4', 'quarterly', tag, fy[2] - q123, fy[3], fy[4], 'derived: ' || tag || ' (Q4)' FROM q4"""))
 def standardize_facts(c):
     rules = literal_table(c.spark, FIXTURE_STD_RULES, sd.RULE_SCHEMA)
     return sd.standardize(facts(c).drop("event_id"), rules)
@@ -114,19 +123,53 @@ def merge_registrants(c):
     return sd.merge_registrants(c["fx_std"], canon, c["fx_multi_cik"].select("cik", "priority"))
 
 
-@query("ttm_statements", "M20 L6 (TTM = four quarters within one year's span)", sql(["fx_std"], [
+_TTM_CTES = [
     ("r", """
 SELECT *, CAST(SUM(CAST(val AS DECIMAL(38,4))) OVER w AS DOUBLE) AS s4, COUNT(val) OVER w AS n4, m - MIN(m) FILTER (WHERE val IS NOT NULL) OVER w AS span
 FROM (SELECT *, year(period_ending) * 12 + month(period_ending) AS m FROM fx_std WHERE frequency = 'quarterly') q
 WINDOW w AS (PARTITION BY cik, statement, tag ORDER BY m RANGE BETWEEN 10 PRECEDING AND CURRENT ROW)"""),
     ("t", "SELECT *, CASE WHEN statement = 'balance_sheet' THEN val WHEN n4 = 4 AND span >= 8 THEN s4 END AS sum4 FROM r"),
-], """
+]
+
+
+@query("ttm_statements", "M20 L6 (TTM = four quarters within one year's span)", sql(["fx_std"], _TTM_CTES, """
 SELECT cik, statement, period_ending, fiscal_year, fiscal_period, 'ttm' AS frequency, tag, sum4 AS val, currency, company_type
 FROM t WHERE sum4 IS NOT NULL"""))
 def ttm_statements(c):
     return sd.ttm(c["fx_std"])
 
 
+_VIEW_LIMIT = 8
+
+
+@query("statement_views", "M19 M20 (period x transform matrix, TTM growth)", sql(["fx_std", "fx_rates"], _TTM_CTES + [
+    ("usd_rates", "SELECT from_currency AS currency, rate_date, max(rate) AS rate FROM fx_rates WHERE to_currency = 'USD' GROUP BY ALL"),
+    ("series", """
+SELECT CASE frequency WHEN 'annual' THEN 'FY' ELSE 'Q' END AS period, cik, tag, period_ending, val, currency
+FROM fx_std WHERE statement = 'income_statement'
+UNION ALL SELECT 'TTM', cik, tag, period_ending, sum4, currency FROM t WHERE statement = 'income_statement' AND sum4 IS NOT NULL"""),
+    ("numbered", "SELECT *, dense_rank() OVER (PARTITION BY period, cik ORDER BY period_ending) AS idx FROM series"),
+    ("steps", "SELECT * FROM (VALUES ('FY', '% YoY', 1), ('FY', '% PoP', 1), ('Q', '% YoY', 4), ('Q', '% PoP', 1), ('TTM', '% YoY', 4), ('TTM', '% PoP', 1)) v(period, transform, step)"),
+    ("views", """
+SELECT period, transform, n.cik, n.tag, n.period_ending, round((n.val - b.val) / abs(b.val), 4) + 0.0 AS value
+FROM numbered n JOIN steps USING (period) JOIN numbered b USING (period, cik, tag)
+WHERE b.idx = n.idx - step AND n.val IS NOT NULL AND b.val <> 0
+UNION ALL
+SELECT period, 'None', cik, tag, period_ending, val * coalesce(rate, 1) FROM series ASOF LEFT JOIN usd_rates
+  ON series.currency = usd_rates.currency AND usd_rates.currency <> 'USD' AND period_ending >= rate_date"""),
+], f"""
+SELECT *, CAST(dense_rank() OVER (PARTITION BY period, transform, cik ORDER BY period_ending DESC) AS INTEGER) AS period_rank
+FROM views QUALIFY period_rank <= {_VIEW_LIMIT}"""))
+def statement_views(c):
+    out = None
+    for period, transform in jobs.VIEW_MATRIX:
+        v = jobs.statement_view(c["fx_std"], c["fx_calendar"], "income_statement", period, transform, limit=_VIEW_LIMIT)
+        v = v.select(F.lit(period).alias("period"), F.lit(transform).alias("transform"), "cik", "tag", "period_ending",
+                     F.col("val" if transform == "None" else "growth").alias("value"), "period_rank")
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
 @query("latest_period", "M25 C1", sql(["fx_std"], [], """
 SELECT max(period_ending) AS latest_period FROM fx_std
 WHERE statement = 'income_statement' AND tag = 'net_income' AND val IS NOT NULL AND frequency = 'annual'"""))
@@ -165,7 +208,16 @@ def productive_set(c):
     return sets.companies_with_any(c["fx_std"], sets.PRODUCTIVE_TAGS, positive=True, as_of=AS_OF)
 
 
-@query("canonical_payload_hash", "I12 K1 (content hash independent of key order)", None)
+@query("canonical_payload_hash", "I12 K1 (content hash independent of key order)", sql(["fx_doc"], EXPLODE_CTES[:-1] + [
+    # Each fixture document has one period; its keys and those of its tag are put in order by hand.
+    ("period", """
+SELECT event_id, j, namespace, tag, tj, unit, '{' || array_to_string(list_transform(list_sort(json_keys(p)), lambda k: '"' || k || '":' ||
+         CASE k WHEN 'val' THEN rtrim(rtrim(printf('%.2f', CAST(p->>'$.val' AS DOUBLE)), '0'), '.')
+                ELSE CAST(json_extract(p, '$."' || k || '"') AS VARCHAR) END), ',') || '}' AS record FROM d5"""),
+], """
+SELECT event_id, sha256(payload) AS raw_sha256, sha256(concat('{"cik":', j->>'$.cik', ',"entityName":"', j->>'$.entityName', '","facts":{"', namespace,
+         '":{"', tag, '":{"description":"', tj->>'$.description', '","label":"', tj->>'$.label', '","units":{"', unit, '":[', record, ']}}}}}')) AS canonical_sha256
+FROM period JOIN fx_doc USING (event_id)"""))
 def canonical_payload_hash(c):
     d = c["fx_doc"]
     return d.select("event_id", F.sha2(F.encode("payload", "UTF-8"), 256).alias("raw_sha256"),

@@ -73,7 +73,29 @@ def facts_explode(c):
     return fa.explode_company_facts(c["fx_doc"], "payload", doc_id="event_id")
 
 
-@query("facts_document", "M1 E12 G4 (document parts per line item)", None)
+# One fragment per company line item; its parts are put together as text, nulls first as in the operator's order.
+_DOC_CTES = EXPLODE_CTES + [
+    ("records", """
+SELECT cik, namespace, tag, unit, label, description, "end", filed, accn, "start", val, fy, fp, form, frame,
+       concat('{"end":', coalesce('"' || strftime("end", '%Y-%m-%d') || '"', 'null'), ',"val":', coalesce(CAST(val AS VARCHAR), 'null'),
+              ',"accn":', coalesce('"' || accn || '"', 'null'), ',"fy":', coalesce(CAST(fy AS VARCHAR), 'null'),
+              ',"fp":', coalesce('"' || fp || '"', 'null'), ',"form":', coalesce('"' || form || '"', 'null'),
+              ',"filed":', coalesce('"' || strftime(filed, '%Y-%m-%d') || '"', 'null'),
+              coalesce(',"start":"' || strftime("start", '%Y-%m-%d') || '"', ''),
+              CASE WHEN frame <> '' THEN ',"frame":"' || frame || '"' ELSE '' END, '}') AS record FROM facts"""),
+    ("units", """
+SELECT cik, namespace, tag, unit, max(label) AS label, max(description) AS description,
+       '"' || unit || '":[' || string_agg(record, ',' ORDER BY "end" NULLS FIRST, filed NULLS FIRST, accn NULLS FIRST, "start" NULLS FIRST,
+                                          val NULLS FIRST, fy NULLS FIRST, fp NULLS FIRST, form NULLS FIRST, frame NULLS FIRST) || ']' AS records
+FROM records GROUP BY cik, namespace, tag, unit"""),
+    ("names", "SELECT cik, arg_max(entity_name, event_id) AS entity_name FROM facts GROUP BY cik"),
+]
+
+
+@query("facts_document", "M1 E12 G4 (document parts per line item)", sql(["fx_doc"], _DOC_CTES, """
+SELECT cik, entity_name, namespace, tag, '{"label":"' || max(label) || '","description":"' || max(description) || '","units":{'
+       || string_agg(records, ',' ORDER BY unit) || '}}' AS fragment
+FROM units JOIN names USING (cik) GROUP BY cik, entity_name, namespace, tag"""))
 def facts_document(c):
     f = facts(c)
     return fa.company_document_parts(f, fa.companies_from_facts(f, "event_id"))
@@ -160,20 +182,26 @@ WHERE x.from_currency NOT IN ('EUR', 'USD') AND x.to_currency = 'USD'"""
 
 def cubes(c):
     r = c["fx_rates"].where(F.col("to_currency") == "USD")
-    e = r.where(F.col("from_currency") == "EUR").select("rate_date", F.col("rate").alias("_e"))
-    usd = e.select("rate_date", F.lit("USD").alias("currency"), F.col("_e").alias("rate"))
-    x = (r.where(~F.col("from_currency").isin("EUR", "USD")).join(e, "rate_date", "inner")
-          .select("rate_date", F.col("from_currency").alias("currency"), (F.col("_e") / F.col("rate")).alias("rate")))
-    return usd.unionByName(x)
+    day = r.groupBy("rate_date").agg(
+        F.max(F.when(F.col("from_currency") == "EUR", F.col("rate"))).alias("_e"),
+        F.collect_list(F.when(~F.col("from_currency").isin("EUR", "USD"), F.struct("from_currency", "rate"))).alias("_o"))
+    others = F.transform("_o", lambda q: F.struct(q["from_currency"].alias("currency"), (F.col("_e") / q["rate"]).alias("rate")))
+    usd = F.array(F.struct(F.lit("USD").alias("currency"), F.col("_e").alias("rate")))
+    return (day.where(F.col("_e").isNotNull()).select("rate_date", F.explode(F.concat(usd, others)).alias("_q"))
+            .select("rate_date", "_q.currency", "_q.rate"))
+
+
+# Fixture orders begin in 1995: a lookback of five years leaves some of their rates out.
+LOOKBACK = 1825
 
 
 @query("fx_triangulate", "I14 C12 A6 L10", sql(["fx_rates"], [("cubes", _CUBES_SQL), ("u", """
 SELECT rate_date, max(CASE WHEN currency = 'USD' THEN rate END) AS usd FROM cubes GROUP BY rate_date
 HAVING max(CASE WHEN currency = 'USD' THEN rate END) IS NOT NULL""")], f"""
 SELECT rate_date, 'USD' AS from_currency, 'USD' AS to_currency, 1.0::DOUBLE AS rate FROM u
-WHERE rate_date >= DATE '{AS_OF}' - INTERVAL 3650 DAY
-UNION ALL SELECT rate_date, 'EUR', 'USD', usd FROM u WHERE rate_date >= DATE '{AS_OF}' - INTERVAL 3650 DAY
+WHERE rate_date >= DATE '{AS_OF}' - INTERVAL {LOOKBACK} DAY
+UNION ALL SELECT rate_date, 'EUR', 'USD', usd FROM u WHERE rate_date >= DATE '{AS_OF}' - INTERVAL {LOOKBACK} DAY
 UNION ALL SELECT c.rate_date, c.currency, 'USD', u.usd / NULLIF(c.rate, 0.0) FROM cubes c JOIN u USING (rate_date)
-WHERE c.currency <> 'USD' AND c.rate_date >= DATE '{AS_OF}' - INTERVAL 3650 DAY"""))
+WHERE c.currency <> 'USD' AND c.rate_date >= DATE '{AS_OF}' - INTERVAL {LOOKBACK} DAY"""))
 def fx_triangulate(c):
-    return fx.triangulate_to_usd(cubes(c), as_of=AS_OF)
+    return fx.triangulate_to_usd(cubes(c), as_of=AS_OF, lookback_days=LOOKBACK)
