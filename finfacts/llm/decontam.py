@@ -59,8 +59,9 @@ class Items:
         """Seeds: of each item the n-grams found in no more documents than its median n-gram (its rarer half)."""
         df = np.array([frequency.get(c, 0) for c in self.code.tolist()], np.int64)
         keep = np.zeros(len(df), bool)
+        ends = np.searchsorted(self.item, np.arange(len(self.ids) + 1))     # an item's n-grams stand together
         for i in range(len(self.ids)):
-            own = self.item == i
+            own = slice(ends[i], ends[i + 1])
             keep[own] = df[own] <= np.median(df[own])
         order = np.argsort(self.code[keep], kind="stable")
         self.seed, self.seed_item, self.seed_at = (x[keep][order] for x in (self.code, self.item, self.at))
