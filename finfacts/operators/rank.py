@@ -2,10 +2,10 @@
 every catalogue metric in one scan.
 
 Shape of every ranking (the reference's contract):
-filter -> latest period per company -> (as-of USD) -> filters -> top 4k by value
--> inner joins to names and best ticker -> top k. The pre-limit happens before the
-dimension joins on purpose (it is why a ranking may return fewer than k rows), and
-it makes those joins tiny: at most 4k rows, broadcast.
+filter -> latest period per company -> (as-of USD) -> filters -> semi-joins to the
+companies that have a name and a ticker -> top k -> names and best tickers. The
+limit comes after the semi-joins, so no ranking is short of eligible companies, and
+names and tickers are attached to k rows only.
 """
 
 from __future__ import annotations
@@ -266,3 +266,41 @@ def top_all_metrics(std: DataFrame, companies: DataFrame, primary_tickers: DataF
     named = name_and_ticker(pre, companies, primary_tickers)
     out = named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(limit))
     return _fmt_date(out.select("metric", "rank", *_OUT_USD))
+
+
+def top_all_pairs(std: DataFrame, companies: DataFrame, primary_tickers: DataFrame, rates: DataFrame,
+                  pairs: DataFrame, limit: int = 25, as_of=None) -> DataFrame:
+    """Rank every catalogue sum and ratio in one scan and one aggregation of the statement table.
+
+    ``pairs``: (metric, kind [sum | ratio], statement_a, tag_a, statement_b, tag_b, exclude_financial, min_value,
+    max_value, min_denominator). The rules are those of ``top_by_sum`` (in USD) and ``top_by_ratio`` (no currency):
+    a ratio's newest period is one with an acceptable denominator, and leaves out financial companies before pairing.
+    """
+    spec = ["metric", "kind", "exclude_financial", "min_value", "max_value", "min_denominator"]
+    items = pairs.select(*spec, F.explode(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("statement_a").alias("statement"), F.col("tag_a").alias("tag")),
+        F.struct(F.lit("b").alias("side"), F.col("statement_b").alias("statement"), F.col("tag_b").alias("tag")))).alias("_i"))
+    items = items.select(*spec, "_i.*")
+    s = std.where((F.col("frequency") == "annual") & F.col("val").isNotNull() & (F.col("period_ending") >= recent_from(as_of)))
+    wanted = ~F.col("exclude_financial") | ~_is_fin()
+    first = (F.col("side") == "a") & ((F.col("kind") == "sum") | wanted)
+    g = (s.join(items, ["statement", "tag"]).groupBy(*spec, "cik", "period_ending")
+         .agg(F.max(F.when(first, F.struct("fiscal_year", "fiscal_period", "val", "currency", "company_type"))).alias("a"),
+              F.max(F.when(F.col("side") == "b", F.struct("fiscal_year", "fiscal_period", "val"))).alias("b"))
+         .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
+    is_sum = F.col("kind") == "sum"
+    den = F.col("b.val")
+    g = g.where(is_sum | ((den > 0) & (den >= F.coalesce("min_denominator", den))))
+    latest = latest_by(g.select(*spec, "cik", "period_ending", "a.fiscal_year", "a.fiscal_period", F.col("a.val").alias("first"), den.alias("second"),
+                                "a.currency", "a.company_type"), [*spec, "cik"], ["period_ending"])
+    rated = with_asof_rate(latest.where(~is_sum | wanted), rates, "currency", "period_ending", "rate", how="left")
+    factor = F.when(F.col("currency") == "USD", F.lit(1.0)).otherwise(F.col("rate"))
+    value = F.when(is_sum, (F.col("first") + F.col("second")) * factor).otherwise(ratio_pct("first", "second", 2))
+    scored = rated.withColumn("value", value).where(F.col("value").isNotNull()).where(
+        (F.col("value") >= F.coalesce("min_value", "value")) & (F.col("value") <= F.coalesce("max_value", "value")))
+    scored = scored.withColumn("currency", F.when(is_sum, F.col("currency")))
+    w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("cik").asc())
+    pre = (_eligible(scored, companies, primary_tickers)
+           .select("metric", "cik", "period_ending", "fiscal_year", "fiscal_period", "currency", "value")
+           .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= int(limit)))
+    return _fmt_date(name_and_ticker(pre, companies, primary_tickers).select("metric", "rank", *_OUT_USD))

@@ -92,6 +92,31 @@ def catalogue_df(spark: SparkSession) -> DataFrame:
     return literal_table(spark, single_metrics(), CATALOGUE_SCHEMA)
 
 
+PAIR_COLS = ["metric", "kind", "statement_a", "tag_a", "statement_b", "tag_b", "exclude_financial", "min_value", "max_value", "min_denominator"]
+
+
+def pair_metrics() -> list[tuple]:
+    """The catalogue's sums and ratios, with both items and the bounds of each."""
+    rows = []
+    for label, spec in METRIC_CATALOGUE:
+        p = parse_metric(spec)
+        if p["kind"] == "sum":
+            rows.append((label, "sum", p["statement"], p["tag_a"], p["statement"], p["tag_b"], True, None, None, None))
+        elif p["kind"] == "ratio":
+            rows.append((label, "ratio", p["statement"], p["numerator_tag"], p.get("denominator_statement") or p["statement"],
+                         p["denominator_tag"], p.get("exclude_financial", True), p["min_value"], p["max_value"], p["min_denominator"]))
+    return rows
+
+
+def pairs_df(spark: SparkSession) -> DataFrame:
+    return literal_table(spark, pair_metrics(), "metric string, kind string, statement_a string, tag_a string, statement_b string, "
+                         "tag_b string, exclude_financial boolean, min_value double, max_value double, min_denominator double")
+
+
+def pairs_values_sql() -> str:
+    return values_sql(pair_metrics(), PAIR_COLS, ["VARCHAR"] * 6 + ["BOOLEAN"] + ["DOUBLE"] * 3)
+
+
 def _lit(v) -> str:
     if v is None:
         return "NULL"

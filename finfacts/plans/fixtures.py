@@ -69,6 +69,19 @@ UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, fiscal_period, 'quarterly', 'total_revenue', CAST(rev AS DOUBLE), currency, company_type FROM fx_quarter
 UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, fiscal_period, 'quarterly', 'net_income', CAST(ni AS DOUBLE), currency, company_type FROM fx_quarter WHERE fiscal_period <> 'Q2'
 UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, fiscal_period, 'quarterly', 'total_assets', CAST(rev * 10 AS DOUBLE), currency, company_type FROM fx_quarter"""),
+    # Annual values for every item of the catalogue's sums and ratios, large enough for their smallest denominators.
+    ("fx_catalogue", ("fx_year",), """
+SELECT cik, 'income_statement' AS statement, period_ending, fiscal_year, 'FY' AS fiscal_period, 'annual' AS frequency, 'total_revenue' AS tag, CAST(rev * 10000 AS DOUBLE) AS val, currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'total_gross_profit', CAST((rev - cost) * 10000 AS DOUBLE), currency, company_type FROM fx_year WHERE fiscal_year % 3 <> 0
+UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'total_operating_income', CAST(ni * 20000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'net_income', CAST(ni * 10000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'income_statement', period_ending, fiscal_year, 'FY', 'annual', 'net_interest_income', CAST(cost * 1000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'total_assets', CAST(rev * 20000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'total_equity', CAST(rev * 5000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'long_term_debt', CAST(rev * 3000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'balance_sheet', period_ending, fiscal_year, 'FY', 'annual', 'current_portion_of_long_term_debt', CAST(cost * 1000 AS DOUBLE), currency, company_type FROM fx_year WHERE fiscal_year % 3 <> 0
+UNION ALL SELECT cik, 'cash_flow', period_ending, fiscal_year, 'FY', 'annual', 'net_cash_from_operating_activities', CAST(cost * 9000 AS DOUBLE), currency, company_type FROM fx_year
+UNION ALL SELECT cik, 'cash_flow', period_ending, fiscal_year, 'FY', 'annual', 'purchase_of_plant_property_and_equipment', CAST(rev * -1000 AS DOUBLE), currency, company_type FROM fx_year"""),
     ("fx_source", ("fx_std",), """
 SELECT cik, statement, tag, period_ending,
        CASE WHEN cik LIKE '%7' THEN concat('us-gaap:V', CAST(fiscal_year AS STRING)) WHEN fiscal_year < 1998 THEN 'us-gaap:A' WHEN fiscal_year < 2000 THEN 'derived: net_income (Q4)' ELSE 'us-gaap:B (fallback)' END AS source

@@ -187,6 +187,40 @@ def top_all_metrics(c):
                                 limit=25, as_of=AS_OF)
 
 
+@query("top_all_pairs", "M17 F2 F3 D5 I16 (catalogue sums and ratios, one scan)",
+       sql(["fx_catalogue", *_INPUTS[1:]], [
+    ("specs", dims.pairs_values_sql()),
+    ("recent", f"SELECT * FROM fx_catalogue WHERE frequency = 'annual' AND val IS NOT NULL AND period_ending >= {R}"),
+    ("firsts", """
+SELECT metric, cik, period_ending, arg_max(s, (fiscal_year, fiscal_period, val)) AS a
+FROM recent s JOIN specs k ON s.statement = statement_a AND s.tag = tag_a
+WHERE if(kind = 'ratio' AND exclude_financial, company_type NOT IN ('financial', 'insurance'), TRUE) GROUP BY metric, cik, period_ending"""),
+    ("seconds", """
+SELECT metric, cik, period_ending, arg_max(val, (fiscal_year, fiscal_period, val)) AS b
+FROM recent s JOIN specs k ON s.statement = statement_b AND s.tag = tag_b GROUP BY metric, cik, period_ending"""),
+    ("newest", """
+SELECT * FROM firsts JOIN seconds USING (metric, cik, period_ending) JOIN specs USING (metric)
+WHERE kind = 'sum' OR (b > 0 AND b >= coalesce(min_denominator, b))
+QUALIFY row_number() OVER (PARTITION BY metric, cik ORDER BY period_ending DESC) = 1"""),
+    ("kept", """
+SELECT *, a.currency AS currency FROM newest
+WHERE kind = 'ratio' OR NOT exclude_financial OR a.company_type NOT IN ('financial', 'insurance')"""),
+    USD_RATES,
+    _in_usd("kept"),
+    ("valued", """
+SELECT * EXCLUDE (currency), if(kind = 'sum', currency, NULL) AS currency,
+       if(kind = 'sum', (a.val + b) * factor, round(a.val / b * 100, 2) + 0.0) AS value FROM in_usd"""),
+    BEST_TICKER,
+], """
+SELECT metric, cik, ticker, coalesce(entity_name, '') AS name, strftime(period_ending, '%Y-%m-%d') AS period_ending, a.fiscal_year AS fiscal_year,
+       a.fiscal_period AS fiscal_period, currency, value, CAST(row_number() OVER (PARTITION BY metric ORDER BY value DESC, cik) AS INTEGER) AS rank
+FROM valued JOIN fx_companies USING (cik) JOIN best_ticker USING (cik)
+WHERE value >= coalesce(min_value, value) AND value <= coalesce(max_value, value) QUALIFY rank <= 25"""))
+def top_all_pairs(c):
+    return rank.top_all_pairs(c["fx_catalogue"], c["fx_companies"], c["fx_primary_tickers"], c["fx_calendar"],
+                              dims.pairs_df(c.spark), limit=25, as_of=AS_OF)
+
+
 @query("asof_rate", "D6 D7 7.3", sql(["fx_std", "fx_rates"], [
     ("pairs", "SELECT DISTINCT currency, period_ending FROM fx_std WHERE currency <> 'USD'"),
     USD_RATES,
