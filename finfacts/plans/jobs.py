@@ -78,10 +78,13 @@ def build_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFram
 
 
 def update_facts(spark: SparkSession, facts_dir: str, store: str, rules: DataFrame, version: int,
-                 force: bool = False) -> int:
+                 force: bool = False, ciks: DataFrame | None = None) -> int:
     """Delta build: only new or changed companies are exploded and replaced; the
-    result is written as a new version folder (the previous one stays readable)."""
-    files = filings.company_facts_files(spark, facts_dir)
+    result is written as a new version folder (the previous one stays readable).
+
+    ``ciks`` limits it to some companies, such as ``changed_submissions``: the rest keep what is stored.
+    """
+    files = filings.company_facts_files(spark, facts_dir, ciks)
     old_comp = latest_table(spark, store, "companies")
     status = dl.classify_changes(files.select("cik", F.col("sha256").alias("h")), old_comp.select("cik", "h"))
     keys = dl.changed_keys(status)
@@ -115,6 +118,7 @@ def build_submissions(spark: SparkSession, sub_dir: str, store: str, version: in
         return 0
     changed = subs.join(keys, "cik", "left_semi")
     out = f"{store}/v={version}"
+    keys = _write(keys, f"{out}/_changed_submissions")
     _write(dl.replace_by_key(old, changed.select(*old.columns)), f"{out}/submissions")
     dei = fa.dei_facts(changed)
     facts = latest_table(spark, store, "facts")
@@ -125,6 +129,12 @@ def build_submissions(spark: SparkSession, sub_dir: str, store: str, version: in
     return n
 
 
+def changed_submissions(spark: SparkSession, store: str, version: int) -> DataFrame:
+    """Companies whose filing metadata changed in the given version, for ``update_facts``."""
+    path = f"{store}/v={version}/_changed_submissions"
+    return spark.read.parquet(path) if _exists(spark, path) else spark.createDataFrame([], "cik string")
+
+
 def rebuild_fx(spark: SparkSession, xml_path: str, store: str, as_of=None) -> DataFrame:
     """FX table: reference cubes -> USD rates within the lookback; an empty download
     keeps the previous table."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finfacts.functions.ids import normalize_cik, normalize_ticker
+from finfacts.functions.ids import normalize_cik, normalize_ticker, strict_date
 from finfacts.functions.payload import canonical_json_sha256, gzip_canonical_json
 
 FACTS_NAME = r"^CIK(\d+)\.json$"
@@ -143,7 +143,7 @@ def fx_cubes(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.option("wholetext", "true").text(path)
     x = t.select(F.from_xml("value", FX_XML_SCHEMA).alias("x"))
     days = x.select(F.explode("x.Cube.Cube").alias("day"))
-    q = days.select(F.to_date(F.col("day._time"), "yyyy-MM-dd").alias("rate_date"),
+    q = days.select(strict_date(F.col("day._time")).alias("rate_date"),
                     F.explode("day.Cube").alias("c"))
     return (q.select("rate_date", F.col("c._currency").alias("currency"),
                      F.expr("try_cast(c._rate AS DOUBLE)").alias("rate"))
@@ -156,6 +156,15 @@ def csv_table(spark: SparkSession, path: str, schema) -> DataFrame:
             .option("escape", '"').option("multiLine", "true").csv(path))
 
 
+def sic_rules(spark: SparkSession, path: str) -> DataFrame:
+    """CSV (code, sector, industry) of SIC prefixes of 2 to 4 digits -> rules for ``classify``.
+
+    The complete mapping has hundreds of rows, so it is a file that the user names; the package holds a small one.
+    """
+    t = csv_table(spark, path, "code string, sector string, industry string").where(F.trim("code").rlike("^[0-9]{2,4}$"))
+    return t.select(F.length(F.trim("code")).alias("level"), F.trim("code").cast("int").alias("prefix"), "sector", "industry")
+
+
 def jdbc_table(spark: SparkSession, url: str, table: str, properties: dict, cik_ranges: list[tuple[str, str]] | None = None,
                fetchsize: int = 50000) -> DataFrame:
     """Table from a JDBC store, 50,000-row fetches; ``cik_ranges`` become one partition each
@@ -181,6 +190,6 @@ def statement_tag_rules(schemas: DataFrame) -> DataFrame:
     lists = schemas.select("statement", F.explode(F.regexp_extract_all(
         "json", F.lit(r'"xbrl_tags"\s*:\s*\[([^\]]*)\]'), F.lit(1))).alias("lst"))
     items = lists.select("statement", F.explode(F.regexp_extract_all(
-        "lst", F.lit(r'"((?:us-gaap|ifrs-full):[A-Za-z0-9_]+)"'), F.lit(1))).alias("qtag"))
-    return items.select("statement", F.split("qtag", ":").getItem(0).alias("namespace"),
-                        F.split("qtag", ":").getItem(1).alias("tag")).distinct()
+        "lst", F.lit(r'"((?:us-gaap|ifrs-full):[^"]+)"'), F.lit(1))).alias("qtag"))
+    return items.select("statement", F.split("qtag", ":", 2).getItem(0).alias("namespace"),
+                        F.split("qtag", ":", 2).getItem(1).alias("tag")).distinct()

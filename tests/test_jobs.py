@@ -152,3 +152,29 @@ def test_changed_file_without_facts_loses_its_old_facts(spark, tmp_dir):
     _land(land, 1, {})
     assert jobs.update_facts(spark, land, store, rules, version=2) == 1
     assert [r["cik"] for r in jobs.latest_table(spark, store, "facts").collect()] == ["0000000002"]
+
+
+def test_facts_of_changed_submissions_only(spark, tmp_dir):
+    rules = spark.createDataFrame([("balance_sheet", "A")], "statement string, tag string")
+    land, subs, store = f"{tmp_dir}/land", f"{tmp_dir}/subs", f"{tmp_dir}/store"
+    _land(land, 1, {"A": 1})
+    _land(land, 2, {"A": 1})
+    jobs.build_facts(spark, land, store, rules)
+    os.makedirs(subs, exist_ok=True)
+    with open(f"{subs}/CIK0000000001.json", "w") as fh:
+        fh.write(json.dumps({"cik": "1", "name": "One", "filings": {"recent": {"form": ["10-K"]}, "files": []}}))
+    jobs.build_submissions(spark, subs, store, version=1)
+    _land(land, 1, {"A": 9})
+    _land(land, 2, {"A": 9})
+    assert jobs.update_facts(spark, land, store, rules, version=2, ciks=jobs.changed_submissions(spark, store, 1)) == 1
+    f = spark.read.parquet(f"{store}/v=2/facts").where("tag = 'A'")
+    assert sorted((r["cik"], r["val"]) for r in f.collect()) == [("0000000001", 9.0), ("0000000002", 1.0)]
+    assert jobs.changed_submissions(spark, store, 2).count() == 0
+
+
+def test_sic_rules_from_a_file(spark, tmp_dir):
+    from finfacts.sources import filings
+    with open(f"{tmp_dir}/sic.csv", "w") as fh:
+        fh.write('code,sector,industry\n08,Materials,Forestry\n2834,Health Care,"Drugs, etc."\nx,y,z\n')
+    assert sorted(map(tuple, filings.sic_rules(spark, f"{tmp_dir}/sic.csv").collect())) == [
+        (2, 8, "Materials", "Forestry"), (4, 2834, "Health Care", "Drugs, etc.")]
