@@ -218,6 +218,9 @@ class FixtureCatalog:
             from finfacts.plans import dims
             return classify(self.tables["fx_sic"], self.tables["fx_primary_tickers"], dims.sic_rules_df(self.spark),
                             dims.overrides_df(self.spark))
+        if name == "cik_canonical":  # stored, rebuilt with the list of multi-registrant tickers
+            from finfacts.operators.profile import canonical_ciks
+            return canonical_ciks(self.tables["fx_companies"], self.tables["fx_multi_cik"])
         if name == "fx_calendar":  # stored as-of table, rebuilt with the rate table
             from finfacts.operators.asof import fx_calendar
             return fx_calendar(self.tables["fx_rates"])
@@ -244,7 +247,7 @@ class FixtureCatalog:
         """
         counts: dict[str, int] = {}
         tag = self.sf_dir.strip("/").replace("/", "_")
-        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts", "cik_gics",
+        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts", "cik_gics", "cik_canonical",
                                                                                           "processed_ciks", "fx_calendar"]
         for name in names or default:
             path = scratch_path(self.spark, f"fixtures/{tag}/{name}")

@@ -148,7 +148,7 @@ LEFT JOIN attributes a ON a.primary_cik = b.primary_cik
 LEFT JOIN descr ON descr.primary_cik = b.primary_cik
 LEFT JOIN periods ON periods.primary_cik = b.primary_cik"""))
 def company_profiles(c):
-    canon = pf.canonical_ciks(c["fx_companies"], c["fx_multi_cik"])
+    canon = c["cik_canonical"]
     filed = canon.where(F.col("cik").endswith("1")).select("cik", F.array(F.lit("NYSE"), F.lit("Nasdaq"), F.lit("NYSE")).alias("exchanges"))
     return pf.company_profiles(canon, c["fx_companies"], c["fx_tickers"], _dei(c), c["fx_std"],
                                submissions=filed, locations=location_dim(c.spark))

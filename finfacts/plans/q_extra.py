@@ -118,9 +118,7 @@ SELECT *, row_number() OVER (PARTITION BY primary_cik, statement, tag, period_en
 SELECT primary_cik AS cik, cik AS source_cik, statement, tag, period_ending, fiscal_year, fiscal_period, frequency,
        val, currency, company_type FROM p WHERE rn = 1"""))
 def merge_registrants(c):
-    from finfacts.operators.profile import canonical_ciks
-    canon = canonical_ciks(c["fx_companies"], c["fx_multi_cik"])
-    return sd.merge_registrants(c["fx_std"], canon, c["fx_multi_cik"].select("cik", "priority"))
+    return sd.merge_registrants(c["fx_std"], c["cik_canonical"], c["fx_multi_cik"].select("cik", "priority"))
 
 
 _TTM_CTES = [

@@ -24,8 +24,9 @@ def bucket_counts(df: DataFrame, key: str = "cik", buckets: int = BUCKETS) -> Da
 
 
 def write_small(df: DataFrame, path: str) -> None:
-    """One zstd Parquet file for a small table (dimension or lookup)."""
-    df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """zstd Parquet files without buckets: one for a small table (dimension or lookup), as adaptive execution merges
+    small partitions, and several for a table that turns out large."""
+    df.hint("rebalance").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def write_bucketed(df: DataFrame, path: str, key: str = "cik", buckets: int = BUCKETS, sort: bool = True) -> None:
@@ -68,7 +69,8 @@ def reconcile(source_counts: DataFrame, written_counts: DataFrame) -> DataFrame:
 
 
 def manifest_json(files: DataFrame, counts: DataFrame, data_version: str) -> str:
-    """Manifest document. Collects one row per *file* (a few hundred), never data rows."""
+    """Manifest document: one row per *file* goes to the driver (some hundred bytes each), never data rows. For
+    tables of very many files use ``file_manifest`` itself, which is a table."""
     tables: dict = {}
     for r in files.orderBy("table", "name").collect():
         tables.setdefault(r["table"], {"files": [], "rows": None})["files"].append(
