@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: shared word pairs propose passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from finfacts.llm.common import Scratch, batch_rows, ship
 
 _WORD = re.compile(r"\w+")
-SEED = 3                # words of a seed
+SEED = 2                # words of an n-gram; with pairs the count filter of ``Items`` loses nothing
 MIN_WORDS = 5           # shorter items are too little evidence and are left out
 MIN_SCORE = 0.5
 BLOCK_BYTES = 4 << 20   # benchmark text that one broadcast holds
@@ -21,7 +22,12 @@ _HITS = "doc_id bigint, text_key bigint, item_id bigint, score double, first_wor
 
 
 class Items:
-    """A block of benchmark items: vocabulary, word ids, and the table of their seeds."""
+    """A block of benchmark items: vocabulary, word ids, and which items hold which word pair.
+
+    An alignment with m matches and e edits scores m - e and has at most e + 1 runs of matches, so it holds at least
+    m - e - 1 word pairs of the item unbroken. One that reaches ``MIN_SCORE`` of n words therefore holds
+    ``pairs`` = ceil(MIN_SCORE * n) - 1 of them, on at most ``span`` words of the text.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -34,11 +40,14 @@ class Items:
         self.base = len(self.vocabulary) + 1
         if self.base**SEED >= 1 << 63:
             raise ValueError("a benchmark block has too many different words")
-        grams = [self.codes(w) for w in self.words]
-        self.code = np.concatenate(grams) if grams else np.empty(0, np.int64)
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        self.at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
-        self.unique = np.unique(self.code)
+        self.own = [np.unique(self.codes(w)) for w in self.words]
+        least = [math.ceil(MIN_SCORE * len(w)) for w in self.words]
+        self.pairs = np.array([x - 1 for x in least], np.int64)
+        self.span = [2 * len(w) - x for w, x in zip(self.words, least)]
+        code = np.concatenate(self.own) if self.own else np.empty(0, np.int64)
+        order = np.argsort(code, kind="stable")
+        self.code = code[order]
+        self.item = np.repeat(np.arange(len(self.own)), [len(g) for g in self.own])[order]
 
     def codes(self, words: np.ndarray) -> np.ndarray:
         """One exact number an n-gram; 0 where a word isn't in the block's vocabulary."""
@@ -55,16 +64,23 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in _WORD.findall(text.lower())], np.int64)
 
-    def choose_seeds(self, frequency: dict[int, int]) -> None:
-        """Seeds: of each item the n-grams found in no more documents than its median n-gram (its rarer half)."""
-        df = np.array([frequency.get(c, 0) for c in self.code.tolist()], np.int64)
-        keep = np.zeros(len(df), bool)
-        ends = np.searchsorted(self.item, np.arange(len(self.ids) + 1))     # an item's n-grams stand together
-        for i in range(len(self.ids)):
-            own = slice(ends[i], ends[i + 1])
-            keep[own] = df[own] <= np.median(df[own])
-        order = np.argsort(self.code[keep], kind="stable")
-        self.seed, self.seed_item, self.seed_at = (x[keep][order] for x in (self.code, self.item, self.at))
+    def candidates(self, codes: np.ndarray) -> list[int]:
+        """Items of which a text with these n-grams holds enough word pairs, wherever they stand."""
+        own, times = np.unique(codes[codes > 0], return_counts=True)
+        lo = np.searchsorted(self.code, own, "left")
+        n = np.searchsorted(self.code, own, "right") - lo
+        if not n.any():
+            return []
+        k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        held = np.bincount(self.item[k], np.repeat(times, n), len(self.ids))
+        return np.flatnonzero(held >= self.pairs).tolist()
+
+    def windows(self, i: int, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where an alignment of item ``i`` can lie: around each ``pairs`` consecutive pairs that stand near enough."""
+        at = np.flatnonzero(np.isin(codes, self.own[i]))
+        first, last = at[:len(at) - self.pairs[i] + 1], at[self.pairs[i] - 1:]
+        near = last - first <= self.span[i] - SEED
+        yield from zip(np.maximum(last[near] + SEED - self.span[i], 0).tolist(), np.minimum(first[near] + self.span[i], len(codes) + SEED - 1).tolist())
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -104,28 +120,19 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def find_in(items: Items, docs: list[tuple[int, str, int]]) -> Iterator[tuple]:
-    """Hits in some documents; windows around seeds of one item that lie close are one window."""
+    """Hits in some documents; windows of one item that overlap are one window."""
     found = []
     for d, (_, text, _) in enumerate(docs):
         ids = items.word_ids(text)
         codes = items.codes(ids)
-        lo = np.searchsorted(items.seed, codes, "left")
-        n = np.searchsorted(items.seed, codes, "right") - lo
-        at = np.flatnonzero((n > 0) & (codes > 0))
-        if not len(at):
-            continue
-        k = np.repeat(lo[at], n[at]) + np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-        item, begin = items.seed_item[k], np.repeat(at, n[at]) - items.seed_at[k]
-        order = np.lexsort((begin, item))
-        last = None
-        for i, s in zip(item[order].tolist(), begin[order].tolist()):
-            length = len(items.words[i])
-            lo_, hi = max(0, s - length // 2), min(len(ids), s + length + length // 2 + 1)
-            if last and last[1] == i and lo_ <= last[3] and hi - last[2] <= 8 * length:
-                last[3] = max(hi, last[3])
-            else:
-                last = [d, i, lo_, hi, ids]
-                found.append(last)
+        for i in items.candidates(codes):
+            last = None
+            for lo, hi in items.windows(i, codes):
+                if last and lo <= last[3] and hi - last[2] <= 8 * len(items.words[i]):
+                    last[3] = max(hi, last[3])
+                else:
+                    last = [d, i, lo, hi, ids]
+                    found.append(last)
     found.sort(key=lambda f: f[3] - f[2])        # windows of like length share a batch
     best: dict[tuple[int, int], tuple] = {}
     s = 0
@@ -156,10 +163,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     Words are runs of letters and digits in lower case. The score is that of the best local alignment, over the
     item's words: 1 for a verbatim copy; a pair counts from ``MIN_SCORE`` on, half the item as it were. The
-    benchmark is a stated query set and meets all documents in blocks of bounded size. For each block, one pass
-    counts in how many documents its n-grams occur, and a second one looks for the rarer half of each item's n-grams
-    and aligns the item with whole windows around them. Nothing is shuffled but counts, so a document or an item
-    that occurs everywhere is no hot key; a very long document costs its own length.
+    benchmark is a stated query set and meets all documents in blocks of bounded size. One pass for each block counts
+    the word pairs that a document shares with each item and aligns the item with every window that holds as many as
+    a score of ``MIN_SCORE`` needs, so the pairs found are those that aligning everything would find. Nothing is
+    shuffled, so a document or an item that occurs everywhere is no hot key; a very long document costs its own length.
 
     Null and empty texts hold nothing; null items and those under ``MIN_WORDS`` words are left out. Repeated rows
     are found each for itself. Ties go to the earlier passage. ``passage`` is null where lower case changes a
@@ -177,25 +184,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
             continue
         shared = spark.sparkContext.broadcast(items)
 
-        def count(batches, shared=shared):
-            items = shared.value
-            total = np.zeros(len(items.unique) + 1, np.int64)
-            for b in batch_rows(batches):
-                for t in b.column(1).to_pylist():
-                    codes = np.unique(items.codes(items.word_ids(t)))
-                    k = np.searchsorted(items.unique, codes)
-                    k = k[(k < len(items.unique)) & (items.unique[np.minimum(k, len(items.unique) - 1)] == codes)]
-                    total[k] += 1
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(items.unique[k]), pa.array(total[k])], names=["code", "n"])
-
-        # At most one number for each n-gram of the block.
-        items.choose_seeds({r["code"]: r["n"] for r in rows.mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()})
-        chosen = spark.sparkContext.broadcast(items)
-
-        def find(batches, chosen=chosen):
+        def find(batches, shared=shared):
             for b in batch_rows(batches):
-                hits = list(find_in(chosen.value, list(zip(*(c.to_pylist() for c in b.columns)))))
+                hits = list(find_in(shared.value, list(zip(*(c.to_pylist() for c in b.columns)))))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
                 cols = list(zip(*hits)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _HITS.split(", ")])

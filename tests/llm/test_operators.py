@@ -135,6 +135,43 @@ def test_leaks_are_found_and_clean_texts_left(spark, awkward):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_full_alignment(spark):
+    r = random.Random(8)
+    words = [f"q{i}" for i in range(60)]
+    items = [(i, [r.choice(words) for _ in range(n)]) for i, n in enumerate([5, 6, 7, 15, 16, 38, 38, 59])]
+    docs = []
+    for _, w in items:
+        spread = [f"x{r.random()}" if k % 5 == 4 else x for k, x in enumerate(w)]       # every 5th word replaced
+        grown = [x for k, y in enumerate(w) for x in ([y, "new"] if k % 2 and k < len(w) - 1 else [y])]      # no three words in a row left
+        docs += [w, *[spread] * 4, grown, w[:-(-len(w) // 2)], w[len(w) // 2:], w[::2]]
+        for _ in range(25):
+            copy = list(w)
+            for _ in range(r.randrange(1, len(w) // 2 + 1)):
+                k = r.randrange(len(copy))
+                copy[k:k + r.randrange(2)] = [r.choice(words)] * r.randrange(2)
+            docs.append(copy)
+    docs = [[r.choice(words) for _ in range(r.randrange(30))] + d + [r.choice(words) for _ in range(r.randrange(30))] for d in docs]
+    out = decontam.find_leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id bigint, text string"),
+                              spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    block = decontam.Items([(i, " ".join(w)) for i, w in items])
+    want = {}
+    for k, d in enumerate(docs):
+        ids = block.word_ids(" ".join(d))
+        score = decontam.align(block.words, [ids] * len(items))[0]
+        want.update({(k, i): s / len(w) for (i, w), s in zip(items, score.tolist()) if s / len(w) >= 0.5})
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in out} == pytest.approx(want) and len(out) == len(want)
+
+
+def test_leaks_of_spread_edits_alone(spark):
+    """A single copy with every 5th word replaced: most of the item's n-grams occur nowhere."""
+    for n in (15, 38, 59):
+        item = [f"s{k}" for k in range(n)]
+        copy = " ".join("x" if k % 5 == 4 else w for k, w in enumerate(item))
+        out = decontam.find_leaks(spark.createDataFrame([(1, f"a b c {copy} d e f")], "doc_id bigint, text string"),
+                                  spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in out] == [(1, 7)] and out[0]["score"] == pytest.approx((n - n // 5 * 2 + (n % 5 == 0)) / n)
+
+
 def test_toxicity_scores(spark, awkward):
     rows, labels = [], []
     for i in range(400):
