@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes."""
+"""Toxicity by nearest labelled examples: TF-IDF cosine over all their words and some chosen terms, calibrated votes."""
 
 from __future__ import annotations
 
@@ -11,17 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.common import batch_rows, ship, without
+from finfacts.llm.common import Scratch, batch_rows, ship, without
 
 _WORD = re.compile(r"\w+")
 MAX_EXAMPLES = 4000     # labelled examples of either class that the model is fitted on (bound of the driver's part)
-MAX_TERMS = 256         # terms of the vector space
+MAX_TERMS = 256         # chosen terms, which weigh as much as all words together
 _CANDIDATES = 2000      # terms that enter the choice
 _MIN_GAIN = 16.0        # log-likelihood ratio of a term over the examples not yet explained
 _EXPLAINED = 3          # chosen terms after which an example is explained
 _PREFIX = range(3, 9)   # lengths of word beginnings that are terms besides the whole words
-_KNOWN = 300_000
+_KNOWN = 100_000
 BLOCK = 64              # examples that share a maximum
+_COMMON = 16            # a term in more than one of so many examples has a row over all of them
+_BATCH = 64             # texts that are scored together
 NEIGHBOURS = 15
 _SCORED = "score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
@@ -32,10 +34,10 @@ def features(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Terms of a word, as positions; remembers words seen lately (bounded)."""
+    """Chosen terms of a word, as positions; remembers words seen lately (bounded)."""
 
-    def __init__(self, terms: dict[str, int]):
-        self.terms = terms
+    def __init__(self, terms: dict[str, int], words: dict[str, int] | None = None):
+        self.terms, self.words = terms, words or {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= _KNOWN:
@@ -43,45 +45,90 @@ class Lexicon(dict):
         got = self[word] = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
         return got
 
-    def count(self, text: str | None) -> tuple[Counter, int]:
-        """Frequency of each term, and the number of words without any."""
-        words = _WORD.findall(text.lower()) if text else []
-        hits = [h for h in map(self.__getitem__, words) if h]
-        return Counter(t for h in hits for t in h), len(words) - len(hits)
+    def count(self, text: str | None) -> "Counts":
+        words = Counter(_WORD.findall(text.lower())) if text else {}
+        tf, rest, ids, times, strange = Counter(), 0, [], [], []
+        get = self.words.get
+        for w, n in words.items():
+            hits = self[w]
+            for t in hits:
+                tf[t] += n
+            if not hits:
+                rest += n
+            k = get(w)
+            if k is None:
+                strange.append(n)
+            else:
+                ids.append(k)
+                times.append(n)
+        return Counts(tf, rest, np.array(ids, np.int64), np.array(times, float), np.array(strange, float))
 
 
-class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of ``BLOCK`` examples with the largest weight of each block.
+@dataclass
+class Counts:
+    terms: Counter              # frequency of each chosen term
+    rest: int                   # words without any
+    words: np.ndarray           # positions of the words that some example holds
+    times: np.ndarray           # and their frequency
+    strange: np.ndarray         # frequencies of the words that no example holds
 
-    The number of examples is bounded, so a term's postings are a row over all of them, zero where it doesn't occur.
-    """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        n_blocks = -(-len(vectors) // BLOCK)
-        self.postings = np.zeros((n_terms, n_blocks * BLOCK))
-        for i, v in enumerate(vectors):
-            self.postings[list(v), i] = list(v.values())
-        self.block_max = self.postings.reshape(n_terms, n_blocks, BLOCK).max(2)
-
-    def nearest(self, vector: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k best (cosine, example), exactly; ties go to the lower example. Blocks are scored by falling upper
-        bound, some more each time, until the bound is below the k-th best cosine."""
-        terms, weights = np.array(list(vector)), np.array(list(vector.values()))
-        bound = weights @ self.block_max[terms]
-        order = np.argsort(-bound, kind="stable")
-        score, place, at, step = np.empty(0), np.empty(0, np.int64), 0, 8
-        while at < len(order) and bound[order[at]] > 0 and not (len(score) == k and bound[order[at]] < score[-1] - 1e-12):
-            cols = (order[at:at + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            score = np.concatenate([score, np.round(weights @ self.postings[terms[:, None], cols], 12)])
-            place = np.concatenate([place, cols])
-            if len(score) > 4 * k:
-                floor = np.partition(score, -k)[-k]
-                score, place = score[score >= floor], place[score >= floor]
-            top = np.lexsort((place, -score))[:k]
-            top = top[score[top] > 0]
-            score, place = score[top], place[top]
-            at, step = at + step, step * 2
-        return list(zip(score.tolist(), place.tolist()))
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]      # terms and their weights
+
+
+def _arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
+    return (np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v
+
+
+class BlockMaxIndex:
+    """Postings of unit vectors by term. A term of many examples has a row over all of them, zero where it doesn't
+    occur; any other has a list. Every example is scored; the maxima of blocks of ``BLOCK`` tell where the best are."""
+
+    def __init__(self, vectors: list[Vector], n_terms: int):
+        self.size = -(-len(vectors) // BLOCK) * BLOCK
+        n = [len(_arrays(v)[0]) for v in vectors]
+        term, weight = (np.concatenate([_arrays(v)[k] for v in vectors]) for k in (0, 1))
+        place = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
+        held = np.bincount(term, minlength=n_terms)
+        common = held * _COMMON > len(vectors)
+        self.row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
+        self.rows = np.zeros((int(common.sum()), self.size))
+        dense = common[term]
+        self.rows[self.row[term[dense]], place[dense]] = weight[dense]
+        rare = np.flatnonzero(~dense).astype(np.int32)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.place, self.weight = place[rare], weight[rare]
+        self.start = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
+
+    def nearest(self, vector: Vector, k: int) -> list[tuple[float, int]]:
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list[Vector], k: int) -> list[list[tuple[float, int]]]:
+        """Of each vector the k best (cosine, example) above 0, exactly; ties go to the lower example."""
+        out = []
+        for s in range(0, len(vectors), _BATCH):
+            part = vectors[s:s + _BATCH]
+            dense, sparse = np.zeros((len(part), len(self.rows))), []
+            for q, (terms, weights) in enumerate(map(_arrays, part)):
+                row = self.row[terms]
+                dense[q, row[row >= 0]] = weights[row >= 0]
+                terms, weights = terms[row < 0], weights[row < 0]
+                lo = self.start[terms]
+                n = self.start[terms + 1] - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                sparse.append(np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.size))
+            for score, more in zip(dense @ self.rows, sparse):
+                score = np.round(score + more, 12)
+                blocks = score.reshape(-1, BLOCK)
+                top = blocks.max(1)
+                # The k-th best maximum is no more than the k-th best score, so a block below it holds none of the k.
+                use = np.flatnonzero(top >= np.partition(top, -k)[-k]) if len(top) > k else np.arange(len(top))
+                place = (use[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                score = score[place]
+                best = np.flatnonzero((score >= np.partition(score, -k)[-k]) & (score > 0)) if len(score) > k else np.flatnonzero(score > 0)
+                best = best[np.lexsort((place[best], -score[best]))][:k]
+                out.append(list(zip(score[best].tolist(), place[best].tolist())))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,34 +146,42 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 @dataclass
 class Model:
     terms: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray = field(default_factory=lambda: np.empty(0))
+    words: dict[str, int] = field(default_factory=dict)
+    idf: np.ndarray = field(default_factory=lambda: np.empty(0))     # of the terms, of the rest (1), of the words
+    strange: float = 0.0        # idf of a word that no example holds
     index: BlockMaxIndex | None = None
     examples: list[tuple[int, int, float]] = field(default_factory=list)    # doc_id, toxic, weight of its class
-    curve: tuple[np.ndarray, np.ndarray] | None = None
-    plain: float = 0.0          # rate of toxic examples among those without any term
-
-    def unit(self, tf: dict[int, int], rest: int) -> dict[int, float]:
-        """TF-IDF unit vector. All other words of a text are one term, which every document has (idf 1), so that one
-        hit in a long text isn't as near to an example as many in a short one. Without hits there is no vector."""
-        if not tf:
-            return {}
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(tf.items())}
-        if rest:
-            v[len(self.terms)] = 1 + np.log(rest)
-        norm = float(np.sqrt(sum(w * w for w in v.values())))
-        return {t: w / norm for t, w in v.items()}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic votes; a neighbour's weight falls with its distance and follows its class in the corpus."""
-        w = np.array([self.examples[i][2] / (1.1 - c) for c, i in near])
+    curves: dict[bool, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)     # of texts with and without chosen terms
+    plain: float = 0.0          # rate of toxic examples
+
+    def unit(self, c: Counts) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of two TF-IDF vectors of equal length: over all words, and over the chosen terms if there are
+        any. With those, all words without a term are one, which every document has (idf 1), so that one hit in a
+        long text isn't as near to an example as many in a short one. Words of no example only add to the length."""
+        own = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(c.terms.items())}
+        if own and c.rest:
+            own[len(self.terms)] = 1 + np.log(c.rest)
+        order = np.argsort(c.words)
+        place = c.words[order] + len(self.terms) + 1
+        w = (1 + np.log(c.times[order])) * self.idf[place]
+        strange = (1 + np.log(c.strange)) * self.strange
+        norm = np.sqrt(w @ w + np.sum(np.sort(strange) ** 2)) * (np.sqrt(2) if own else 1)
+        length = float(np.sqrt(2 * sum(x * x for x in own.values())))
+        terms, weights = _arrays(own)
+        return np.concatenate([terms, place]).astype(np.int32), np.concatenate([weights / (length or 1), w / (norm or 1)])
+
+    def vote(self, near: list[tuple[float, int]], chosen: bool) -> float:
+        """Share of toxic votes; a neighbour's weight falls with its distance (steeply where only words in general
+        tell, of which far texts share some too) and follows its class in the corpus."""
+        w = np.array([self.examples[i][2] / ((1.1 - c) if chosen else (1.02 - c) ** 3) for c, i in near])
         return float(w @ [self.examples[i][1] for _, i in near] / w.sum())
 
-    def score(self, tf: dict[int, int], rest: int) -> tuple[float, list[tuple[float, int]]]:
-        v = self.unit(tf, rest)
-        near = self.index.nearest(v, NEIGHBOURS) if v and self.index is not None else []
-        if not near:
-            return self.plain, []
-        return float(np.clip(np.interp(self.vote(near), *self.curve), 0, 1)), near
+    def scores(self, counts: list[Counts]) -> list[tuple[float, list[tuple[float, int]]]]:
+        if self.index is None:
+            return [(self.plain, [])] * len(counts)
+        found = self.index.nearest_of([self.unit(c) for c in counts], NEIGHBOURS)
+        return [(float(np.clip(np.interp(self.vote(near, bool(c.terms)), *self.curves[bool(c.terms)]), 0, 1)) if near else self.plain, near)
+                for c, near in zip(counts, found)]
 
 
 def _choose_terms(names: list[str], present: np.ndarray, toxic: np.ndarray) -> list[int]:
@@ -160,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
     """The model from labelled rows that fulfil ``trains`` (an expression over doc_id).
 
     At most ``MAX_EXAMPLES`` of either class, drawn by a hash of the id, are the examples: this is the documented
-    bound of what the driver handles. Inverse document frequencies are counted over all documents.
+    bound of what the driver handles; a repeated id is one example. All their words are weighted and indexed.
+    Inverse document frequencies are counted over all documents.
     """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(trains)
@@ -169,6 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
         return Model(plain=float(1 in count))
     drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES) for c in (0, 1)]
     picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").where("text is not null")
+    picked = picked.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "toxic")
+    picked = Scratch(spark, "toxicity").write(picked, "examples")
 
     def term_counts(batches):
         total = (Counter(), Counter())
@@ -184,69 +242,84 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
     by_term = picked.mapInArrow(term_counts, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     gap = F.abs(F.col("toxic") / n[1] - F.col("clean") / n[0]) * F.sqrt(F.col("toxic") + F.col("clean"))
     candidates = [r[0] for r in by_term.where("toxic + clean >= 5").orderBy(gap.desc(), "term").limit(_CANDIDATES).select("term").collect()]
-    place = spark.sparkContext.broadcast({t: k for k, t in enumerate(candidates)})
-    terms_of = "doc_id bigint, toxic int, terms array<int>, counts array<int>, n_words bigint"
+    words = {w: k for k, w in enumerate(sorted(by_term.where("not endswith(term, '*')").select("term").toArrow().column(0).to_pylist()))}
+    place = spark.sparkContext.broadcast(({t: k for k, t in enumerate(candidates)}, words))
 
     def example(batches):
-        lexicon = Lexicon(place.value)
+        lexicon = Lexicon(*place.value)
         for b in batch_rows(batches, 2 << 20):
-            words = [_WORD.findall(x.lower()) for x in b.column(1).to_pylist()]
-            tf = [Counter(t for w in ws for t in lexicon[w]) for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(t) for t in tf], pa.list_(pa.int32())), pa.array([list(t.values()) for t in tf], pa.list_(pa.int32())),
-                                              pa.array([len(ws) for ws in words], pa.int64())], names=["doc_id", "toxic", "terms", "counts", "n_words"])
+            got = [lexicon.count(x) for x in b.column(1).to_pylist()]
+            arrays = [np.array(list(x), t) for c in got for x, t in ((c.terms, np.int64), (c.terms.values(), np.int64), (c.words, np.int32), (c.times, np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x.tobytes() for x in arrays[k::4]], pa.binary()) for k in range(4)), pa.array([int(c.times.sum()) for c in got], pa.int64())],
+                                             names=["doc_id", "toxic", "terms", "counts", "words", "times", "n_words"])
 
-    rows = picked.mapInArrow(example, terms_of).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["counts"]))
+    read = lambda raw, t=np.int64: np.frombuffer(raw, t)     # noqa: E731
+    rows = sorted(picked.mapInArrow(example, "doc_id bigint, toxic int, terms binary, counts binary, words binary, times binary, n_words bigint").collect(), key=lambda r: r["doc_id"])
     present = np.zeros((len(rows), max(1, len(candidates))), bool)
     for k, r in enumerate(rows):
-        present[k, r["terms"]] = True
+        present[k, read(r["terms"])] = True
     toxic = np.array([r["toxic"] == 1 for r in rows], bool)
     chosen = _choose_terms(candidates, present, toxic)
-    model = Model(terms={candidates[c]: k for k, c in enumerate(chosen)})
+    model = Model(terms={candidates[c]: k for k, c in enumerate(chosen)}, words=words)
     weight = {c: count[c] / max(1, int((toxic == bool(c)).sum())) for c in (0, 1)}
+    place.destroy()
+    del present
 
-    shared = spark.sparkContext.broadcast(model.terms)
+    shared = spark.sparkContext.broadcast((model.terms, words))
 
     def frequencies(batches):
-        lexicon, total = Lexicon(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        lexicon = Lexicon(*shared.value)
+        n_terms = len(lexicon.terms)
+        total = np.zeros(n_terms + len(lexicon.words) + 1, np.int64)
         for b in batch_rows(batches):
             for x in b.column(0).to_pylist():
-                total[list(lexicon.count(x)[0])] += 1
+                c = lexicon.count(x)
+                total[list(c.terms)] += 1
+                total[c.words + n_terms] += 1
                 total[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["term", "n"])
 
-    df = np.zeros(len(chosen) + 1, np.int64)
-    for r in docs.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
-        df[r[0]] = r[1]
-    model.idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
+    df = np.zeros(len(chosen) + len(words) + 1, np.int64)
+    counted = docs.select("text").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    model.idf = np.insert(np.log((df[-1] + 1) / (df[:-1] + 1)) + 1, len(chosen), 1.0)
+    shared.destroy()
+    model.strange = float(np.log((df[-1] + 1) / 2) + 1)         # as of a word in one document
 
+    counts, stem = [], model.terms.get
     position = {c: k for k, c in enumerate(chosen)}
-    counted = [{position[t]: n for t, n in zip(r["terms"], r["counts"]) if t in position} for r in rows]
-    vectors = [model.unit(tf, max(0, r["n_words"] - sum(tf.values()))) for r, tf in zip(rows, counted)]
-    # Examples with like terms share blocks, which keeps the blocks' maxima apart.
-    order = sorted((k for k, v in enumerate(vectors) if v), key=lambda k: (sorted(vectors[k], key=lambda t: (-vectors[k][t], t)), k))
+    stems = np.array([any(stem(f) is not None for f in features(w)) for w in words], bool)
+    for r in rows:
+        tf = Counter({position[t]: n for t, n in zip(read(r["terms"]).tolist(), read(r["counts"]).tolist()) if t in position})
+        ids, times = read(r["words"], np.int32), read(r["times"], np.int32)
+        counts.append(Counts(tf, r["n_words"] - int(times[stems[ids]].sum()), ids, times, np.empty(0)))
+    # Examples with like chosen terms share blocks, which keeps the blocks' maxima apart.
+    order = sorted((k for k, c in enumerate(counts) if len(c.words)), key=lambda k: (sorted(counts[k].terms, key=lambda t: (-counts[k].terms[t], t)), k))
+    vectors = [model.unit(counts[k]) for k in order]
     model.examples = [(rows[k]["doc_id"], rows[k]["toxic"], weight[rows[k]["toxic"]]) for k in order]
-    bare = [(r["toxic"], weight[r["toxic"]]) for r, v in zip(rows, vectors) if not v]
     base = count[1] / (count[0] + count[1])
-    model.plain = (sum(y * w for y, w in bare) + base) / (sum(w for _, w in bare) + 1)
+    empty = [(r["toxic"], weight[r["toxic"]]) for r, c in zip(rows, counts) if not len(c.words)]
+    model.plain = (sum(y * w for y, w in empty) + base) / (sum(w for _, w in empty) + 1)
     if order:
-        model.index = BlockMaxIndex([vectors[k] for k in order], len(chosen) + 1)
-        votes, y, w = [], [], []
-        for k, i in enumerate(order):               # each example is judged by the others
-            near = [x for x in model.index.nearest(vectors[i], NEIGHBOURS + 1) if x[1] != k][:NEIGHBOURS]
+        model.index = BlockMaxIndex(vectors, len(model.idf))
+        # One example of either kind at the ends keeps the curve off 0 and 1; without chosen terms, where few examples
+        # may be near one another, a vote that hardly any example has counts as it is.
+        votes = {True: [(0, 1, base), (1, 0, 1 - base), (0, 0, 1 - base), (1, 1, base)], False: [(x, x, 1) for x in (0, 0.25, 0.5, 0.75, 1)]}
+        for k, near in enumerate(model.index.nearest_of(vectors, NEIGHBOURS + 1)):      # each example is judged by the others
+            near = [x for x in near if x[1] != k][:NEIGHBOURS]
             if near:
-                votes.append(model.vote(near)), y.append(model.examples[k][1]), w.append(model.examples[k][2])
-        # One example of either kind at the ends keeps the curve off 0 and 1.
-        x, y, w = (np.array(a, float) for a in (votes + [0, 1, 0, 1], y + [1, 0, 0, 1], w + [base, 1 - base, 1 - base, base]))
-        model.curve = isotonic(x, y, w)
+                chosen_terms = bool(counts[order[k]].terms)
+                votes[chosen_terms].append((model.vote(near, chosen_terms), *model.examples[k][1:]))
+        model.curves = {c: isotonic(*np.array(v, float).T) for c, v in votes.items()}
     return model
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) and ``evidence`` (nearest examples).
 
-    The whole text is compared; labels, language, source and id never enter a score. A text without any term of the
-    model (null and empty ones too) gets the rate of toxic labels among such examples. Rows are scored one by one
+    The whole text is compared; labels, language, source and id never enter a score. A text that shares no word
+    with any example (null and empty ones too) gets the rate of toxic labels among examples without words. Rows are scored one by one
     against a model of bounded size, so repeated rows get equal scores and no key is hot. Labels that are null or
     neither 0 nor 1 are left out, of repeated ones the larger counts; without both classes every score is that of
     the only class, or 0. An empty table stays empty. Input columns of the added names are replaced.
@@ -259,9 +332,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, threshold
 
     def score(batches):
         m = model.value
-        lexicon = Lexicon(m.terms)
+        lexicon = Lexicon(m.terms, m.words)
         for b in batch_rows(batches):
-            found = [m.score(*lexicon.count(t)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            found = [x for k in range(0, len(texts), _BATCH) for x in m.scores([lexicon.count(t) for t in texts[k:k + _BATCH]])]
             evidence = [[{"doc_id": m.examples[i][0], "cosine": c, "toxic": m.examples[i][1]} for c, i in near[:3]] for _, near in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= threshold) for s, _ in found], pa.int32()), pa.array(evidence, kind)],
                                              names=[*b.schema.names, "score", "predicted", "evidence"])

@@ -191,6 +191,23 @@ def test_toxicity_scores(spark, awkward):
     assert {r["score"] for r in toxicity.score_toxicity(awkward, lab.limit(0), F.lit(True)).collect()} == {0.0}
 
 
+def test_toxic_texts_without_common_terms(spark):
+    """Toxic words that no two examples share: only all words of a text tell that it is near a labelled one."""
+    r = random.Random(9)
+    rows, labels, near = [], [], []
+    for i in range(300):
+        own = [f"tail{i}x{k}" for k in range(30)] + [r.choice(WORDS) for _ in range(30)]
+        r.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 5 == 0)))
+        copy = [w if k % 10 else "edited" for k, w in enumerate(own)]
+        near.append((1000 + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows + rows[:5] * 3 + near, "doc_id bigint, text string")
+    out = toxicity.score_toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), F.lit(True)).collect()
+    assert len(out) == 615 and all(x["predicted"] == (x["doc_id"] % 5 == 0) for x in out if x["doc_id"] >= 1000)
+    assert all(x["evidence"][0]["doc_id"] == x["doc_id"] - 1000 for x in out if x["doc_id"] >= 1000)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(3)
     vectors = []
