@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finfacts.llm import decontam, hnsw_dedup, jaccard_join, ngram_lm, packing, secrets, sharding, toxicity, urlfilter, warc
+from finfacts.llm import (decontam, hnsw_dedup, jaccard_join, ngram_lm, packing, phrases, secrets, sharding, topk_blocks, toxicity,
+                          urlfilter, warc, whitening)
 from finfacts.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,59 @@ def op9_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score_texts(table(spark, sf_dir, "documents"), _held_out(7))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=8, scale=1024, shift=100000)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), "text", "lang", min_count=30, cover_percent=80, top=2000)
+
+
+ORACLE_SQL["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), grams AS (
+  SELECT lang, w[i:i + k - 1] AS g, k FROM starts, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE i + k - 1 <= len(w)
+), counts AS (
+  SELECT lang, g, k, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, g, k, f FROM counts WHERE k > 1 AND f >= 30
+), covered AS (
+  SELECT DISTINCT s.lang, s.g FROM cand s JOIN cand b ON b.lang = s.lang AND b.k > s.k AND 100::HUGEINT * b.f >= 80::HUGEINT * s.f
+  WHERE list_contains(list_transform(range(1, b.k - s.k + 2), lambda i: b.g[i:i + s.k - 1]), s.g)
+), cuts AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, unnest(range(1, c.k)) AS cut FROM cand c ANTI JOIN covered v ON v.lang = c.lang AND v.g = c.g
+), scored AS (
+  SELECT t.lang, t.g, t.a, l.f AS l, r.f AS r, (2000000::HUGEINT * t.a // (l.f + r.f))::BIGINT AS score
+  FROM cuts t JOIN counts l ON l.lang = t.lang AND l.g = t.g[1:cut] JOIN counts r ON r.lang = t.lang AND r.g = t.g[cut + 1:t.k]
+  QUALIFY row_number() OVER (PARTITION BY t.lang, t.g ORDER BY score, cut) = 1
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+       a, l, r, n, score
+FROM scored s JOIN totals t ON t.lang = s.lang QUALIFY rank <= 2000"""
+
+
+@query
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_blocks.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", scale=256, k=5)
+
+
+ORACLE_SQL["op13_top_k"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.row ORDER BY list_inner_product(q.w, d.w) DESC, d.vec_id)::INTEGER AS rank,
+       d.vec_id, list_inner_product(q.w, d.w)::BIGINT AS score
+FROM v q JOIN v d ON d.row <> q.row WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5"""
