@@ -28,9 +28,9 @@ from finfacts.llm.common import Scratch, batch_rows, ship
 from finfacts.llm.words import mix
 
 LONGEST = 4
-CHUNK_WORDS = 1 << 21            # words that one task counts at a time
+CHUNK_WORDS = 1 << 19            # words that one task counts at a time
 FILTER_BITS = 27                 # the filter has 2**27 bits (16 MB) whatever the input
-SHARD_BYTES = 16 << 20           # bytes of text per shard of the hash space
+SHARD_BYTES = 8 << 20            # bytes of text per shard of the hash space
 SEGMENT = 256                    # edges of a path kept in one row
 _SEGMENT_BITS = 19               # the filter is put together in parts of 2**19 bits
 
@@ -73,19 +73,20 @@ class Chunk:
 
     def close(self) -> None:
         self.ids = np.concatenate(self.parts) if self.parts else np.empty(0, np.int32)
-        n = np.array(self.lengths, np.int64)
-        self.left = np.repeat(np.cumsum(n), n) - np.arange(self.size)
+        n = np.array(self.lengths, np.int32)
+        self.left = np.repeat(np.cumsum(n, dtype=np.int32), n) - np.arange(self.size, dtype=np.int32)
         self.parts = self.lengths = None
 
-    def gram_hashes(self) -> list[np.ndarray]:
-        """Hashes of the sequences of 1, 2 and 3 words from each position (of any value past a piece's end)."""
+    def gram_hashes(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of words and hashes of the sequences of 1, 2 and 3 words from each position (any value past a piece's end)."""
         one = np.array(self.hashes, np.uint64)[self.ids]
-        out = [one]
+        h = one
+        yield 1, h
         for k in (1, 2):
             nxt = np.zeros_like(one)
             nxt[:max(self.size - k, 0)] = one[k:]
-            out.append(mix(out[-1] * _STEP + nxt))
-        return out
+            h = mix(h * _STEP + nxt)
+            yield k + 1, h
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -105,39 +106,39 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Sorted 32-bit values as byte planes of their steps, which compress well."""
-    steps = np.diff(values, prepend=np.uint32(0)).astype(np.uint32)
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()
+    """32-bit values as byte planes: small ones, such as the steps between sorted values, compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-    return np.cumsum(steps, dtype=np.uint64).astype(np.uint32)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
+def _key(h: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shard (upper 32 bits) and value within the shard of a hash."""
+    return ((h >> np.uint64(32)) % np.uint64(n_shards)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF))
 
 
 def _count_shards(n_shards: int, most: int):
     def run(batches):
         for chunk in _chunks(batches):
-            keys = []
-            for k, h in enumerate(chunk.gram_hashes(), 1):
-                h = h[chunk.left >= k]
-                keys.append(((h >> np.uint64(32)) % np.uint64(n_shards)) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
-            key, count = np.unique(np.concatenate(keys), return_counts=True)
-            at = np.searchsorted(key, np.arange(n_shards + 1, dtype=np.uint64) << np.uint64(32))
-            low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            count = np.minimum(count, most).astype(np.uint32)
-            for s in range(n_shards):
-                if at[s] < at[s + 1]:
-                    part = slice(at[s], at[s + 1])
-                    c = np.ascontiguousarray(count[part].view(np.uint8).reshape(-1, 4).T).tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_planes(low[part])], pa.binary()),
-                                                      pa.array([c], pa.binary())], names=["shard", "grams", "counts"])
+            key = np.concatenate([_key(h[chunk.left >= k], n_shards) for k, h in chunk.gram_hashes()])
+            key.sort()
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            count = np.minimum(np.diff(first, append=len(key)), most).astype(np.uint32)
+            key = key[first]
+            shard, low = (key >> np.uint64(32)).astype(np.int32), key.astype(np.uint32)
+            cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+            parts = list(zip(cut, [*cut[1:], len(key)]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(shard[cut], pa.int32()), pa.array([_planes(np.diff(low[i:j], prepend=np.uint32(0))) for i, j in parts], pa.binary()),
+                pa.array([_planes(count[i:j]) for i, j in parts], pa.binary())], names=["shard", "grams", "counts"])
     return run
 
 
-def _bit(shard, low: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of the filter for a shard's 32-bit value."""
-    return (mix((np.asarray(shard, np.uint64) << np.uint64(32)) | low.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32)
+def _bit(key: np.ndarray, bits: int) -> np.ndarray:
+    """Bit of the filter for a key."""
+    return (mix(key) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _frequent(min_count: int, bits: int):
@@ -145,14 +146,13 @@ def _frequent(min_count: int, bits: int):
     part_bits = min(_SEGMENT_BITS, bits)
 
     def run(key, table):
-        low = np.concatenate([_from_planes(x.as_py()) for x in table.column("grams")])
-        count = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
-                                for x in table.column("counts")])
-        order = np.argsort(low, kind="stable")
-        low, count = low[order], count[order].astype(np.int64)
+        both = np.concatenate([np.cumsum(_from_planes(g.as_py()), dtype=np.uint64) << np.uint64(32) | _from_planes(c.as_py())
+                               for g, c in zip(table.column("grams"), table.column("counts"))])
+        both.sort()
+        low = (both >> np.uint64(32)).astype(np.uint32)
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        often = low[first[np.add.reduceat(count, first) >= min_count]]
-        bit = np.unique(_bit(key[0].as_py(), often, bits))
+        often = low[first[np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) >= min_count]]
+        bit = np.unique(_bit(np.uint64(key[0].as_py() << 32) | often.astype(np.uint64), bits))
         part = bit >> np.uint32(part_bits)
         cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(bit) else np.empty(0, np.int64)
         return pa.table({"part": pa.array(part[cut].astype(np.int32), pa.int32()),
@@ -188,11 +188,11 @@ def frequent_filter(texts: DataFrame, min_count: int, n_shards: int, bits: int =
 def _flows(chunk: Chunk, n_shards: int, packed: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(words, first position, count) of the longest sequences whose nodes pass the filter, without repetition."""
     def passes(h):
-        b = _bit((h >> np.uint64(32)) % np.uint64(n_shards), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), bits)
+        b = _bit(_key(h, n_shards), bits)
         return (packed[b >> np.uint32(3)] >> (np.uint32(7) - (b & np.uint32(7))).astype(np.uint8)) & np.uint8(1) == 1
 
     ok, depth = None, np.zeros(chunk.size, np.int8)
-    for k, h in enumerate(chunk.gram_hashes(), 1):
+    for k, h in chunk.gram_hashes():
         if ok is None:
             ok = passes(h)
         else:
