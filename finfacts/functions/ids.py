@@ -29,10 +29,9 @@ def normalize_ticker(x) -> Column:
 
 
 def strict_date(x) -> Column:
-    """``YYYY-MM-DD`` (optionally followed by a time part) -> date, anything else -> null."""
-    s = F.trim(_c(x).cast("string"))
-    head = F.substring(s, 1, 10)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), F.try_to_date(head, "yyyy-MM-dd"))
+    """Exactly ``YYYY-MM-DD`` -> date; anything else, also with blanks or a time, -> null."""
+    s = _c(x).cast("string")
+    return F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def to_double_or_null(x) -> Column:

@@ -11,6 +11,10 @@ shuffled otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +80,37 @@ def asof_pairs(pairs: DataFrame, rates: DataFrame, ccy_col: str = "currency", da
                to_currency: str = "USD") -> DataFrame:
     """Distinct (currency, date) pairs with their as-of rate (null when none)."""
     return with_asof_rate(pairs.select(ccy_col, date_col).distinct(), rates, ccy_col, date_col, "rate", to_currency)
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str],
+              span_days: int = 30) -> DataFrame:
+    """``left`` with ``right_time`` and ``values`` of the latest ``right`` row of equal ``by`` at or before ``left_time``.
+
+    Left outer: rows without a match, or with a null key or time, get nulls. Of several right rows at one time the
+    greatest ``values`` count. Works for any number of keys and any share of rows on one of them:
+
+    * only distinct (key, time) pairs of ``left`` take part in the search, and the result goes back by an equi-join;
+    * a key's time line is cut into spans of ``span_days``; pairs and quotes of a span are one window, in which the last
+      quote is filled forward;
+    * the last quote before each span comes from a window over the spans of a key (not their rows), and enters the
+      span's window as a quote at its start.
+    """
+    by = list(by)
+    span = F.floor(F.col("_t").cast("timestamp").cast("long") / F.lit(span_days * 86400)).alias("_span")
+    known = lambda df, time: df.where(reduce(and_, [F.col(c).isNotNull() for c in [*by, time]]))
+    points = known(left, left_time).select(*by, F.col(left_time).alias("_t")).distinct().select("*", span)
+    quotes = known(right, right_time).groupBy(*by, F.col(right_time).alias("_t")).agg(F.max(F.struct(*values)).alias("_v"))
+    quotes = quotes.select(*by, "_t", span, F.struct(F.col("_t").alias("_at"), "_v").alias("_q"))
+    ends = quotes.groupBy(*by, "_span").agg(F.max_by("_q", "_t").alias("_q"))
+    spans = points.select(*by, "_span").distinct().withColumn("_asked", F.lit(True)).join(ends, [*by, "_span"], "full_outer")
+    before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_q", F.last("_q", ignorenulls=True).over(before)).where("_asked and _q is not null")
+    # 0: carried into the span, 1: quotes, 2: pairs, which see what stands before them.
+    rows = (carried.select(*by, "_span", F.lit(None).cast(points.schema["_t"].dataType).alias("_t"), F.lit(0).alias("_kind"), "_q")
+            .unionByName(quotes.select(*by, "_span", "_t", F.lit(1).alias("_kind"), "_q"))
+            .unionByName(points.select(*by, "_span", "_t", F.lit(2).alias("_kind"), F.lit(None).cast(quotes.schema["_q"].dataType).alias("_q"))))
+    upto = Window.partitionBy(*by, "_span").orderBy(F.col("_t").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_q", F.last("_q", ignorenulls=True).over(upto)).where("_kind = 2 and _q is not null")
+    found = found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_t").alias("_kt"), "_q")
+    on = reduce(and_, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(by)] + [F.col(left_time) == F.col("_kt")])
+    return left.join(found, on, "left").select(*left.columns, F.col("_q._at").alias(right_time), *[F.col(f"_q._v.{v}").alias(v) for v in values])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finfacts.store import bucket_of
+
 
 def classify_changes(new: DataFrame, old: DataFrame, key: str = "cik", h: str = "h") -> DataFrame:
     """(key, status) for every incoming key: ``new``, ``changed`` or ``unchanged``."""
@@ -37,6 +39,16 @@ def replace_by_key(old: DataFrame, new: DataFrame, key="cik", changed: DataFrame
     return old.join((new if changed is None else changed).select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def touched_buckets(table: DataFrame, changed: DataFrame, buckets: int, key: str = "cik") -> DataFrame:
+    """(bucket, changed, rows_replaced, rows_kept) of the buckets that replacing the ``changed`` keys rewrites."""
+    c = changed.select(key).distinct().withColumn("_changed", F.lit(True))
+    rows = table.select(key, bucket_of(key, buckets).alias("bucket")).join(c, key, "left")
+    hit = F.col("_changed").isNotNull()
+    out = rows.groupBy("bucket").agg(F.count_distinct(F.when(hit, F.col(key))).alias("changed"), F.count_if(hit).alias("rows_replaced"),
+                                     F.count_if(~hit).alias("rows_kept"))
+    return out.where("rows_replaced > 0")
+
+
 def full_replace(old: DataFrame, new: DataFrame) -> DataFrame:
     """Replace everything, but keep ``old`` when ``new`` is empty (a failed download
     must not wipe the table)."""

@@ -212,7 +212,7 @@ def _entry(key: str, value) -> "F.Column":
     return F.struct(F.lit(key).alias("key"), value.cast("variant").alias("value"))
 
 
-def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
+def company_document_parts(facts: DataFrame, companies: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """The company-facts document as bounded parts, one row per (cik, namespace, tag):
     ``fragment`` is the JSON object stored at ``facts[namespace][tag]`` —
     ``{label, description, units: {unit: [records]}}`` with records sorted by (end, filed), ties by (accn, start,
@@ -222,7 +222,8 @@ def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
     omitted, other nulls are kept; values are VARIANT so text and numbers render
     natively. Every group is one line item of one company (bounded by its periods),
     so a company holding a third of all facts is still spread over many groups and
-    tasks; a reader nests the fragments under ``{cik, entityName, facts}``.
+    tasks; ``document_text`` nests the fragments under ``{cik, entityName, facts}``. With ``tags`` (cik, namespace, tag,
+    label, description), a company's tags without facts get a part with no units.
     """
     def record(r):
         text_ok = r["val_text"].isNotNull() & (r["val_text"] != "")
@@ -235,6 +236,7 @@ def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
             _entry("frame", F.when(r["frame"] != "", r["frame"])))
         return F.map_from_entries(F.filter(entries, lambda e: ~(e["key"].isin("start", "frame") & e["value"].isNull())))
 
+    listed = tags
     order = F.struct("end", "filed", "accn", "start", "val", "val_text", "fy", "fp", "form", "frame")
     r = facts.select("cik", "namespace", "tag", "label", "description", "unit", order.alias("_o"))
     units = r.groupBy("cik", "namespace", "tag", "unit").agg(
@@ -243,28 +245,47 @@ def company_document_parts(facts: DataFrame, companies: DataFrame) -> DataFrame:
     tags = units.groupBy("cik", "namespace", "tag").agg(
         F.max("label").alias("label"), F.max("description").alias("description"),
         F.map_from_entries(_sorted_by(F.collect_list(F.struct("unit", "_recs")), "unit")).alias("units"))
+    if listed is not None:
+        bare = listed.groupBy("cik", "namespace", "tag").agg(F.max("label").alias("_label"), F.max("description").alias("_description"))
+        tags = (tags.join(bare, ["cik", "namespace", "tag"], "full_outer").withColumn("label", F.coalesce("label", "_label"))
+                .withColumn("description", F.coalesce("description", "_description"))
+                .withColumn("units", F.coalesce("units", F.create_map().cast(tags.schema["units"].dataType))))
     names = companies.select("cik", F.coalesce(F.col("entity_name"), F.lit("")).alias("entity_name"))
     parts = tags.join(names, "cik", "inner")
     return parts.select("cik", "entity_name", "namespace", "tag",
                         F.to_json(F.struct("label", "description", "units")).alias("fragment"))
 
 
+def _json_text(c):
+    """A text as JSON: quoted and escaped."""
+    return F.regexp_replace(F.to_json(F.array(c)).substr(F.lit(2), F.lit(1 << 30)), r"\]$", "")
+
+
+def document_text(parts: DataFrame) -> DataFrame:
+    """(cik, namespace, tag, text): pieces of whole documents ``{cik, entityName, facts}``; a company's pieces in the order
+    of (namespace, tag) are its document.
+
+    A part opens the brackets of its company and namespace if it is their first, and closes them if it is their last.
+    First and last come from minima and maxima, aggregated before the shuffle, so no task holds a company.
+    """
+    edge = parts.groupBy("cik", "namespace").agg(F.min("tag").alias("_first"), F.max("tag").alias("_last"))
+    ends = edge.groupBy("cik").agg(F.min("namespace").alias("_first_ns"), F.max("namespace").alias("_last_ns"))
+    p = parts.join(edge.join(ends, "cik"), ["cik", "namespace"])
+    opens, closes = F.col("tag") == F.col("_first"), F.col("tag") == F.col("_last")
+    head = F.regexp_replace(F.to_json(F.struct(F.col("cik"), F.col("entity_name").alias("entityName"))), r"\}$", "")
+    text = F.concat(
+        F.when(opens & (F.col("namespace") == F.col("_first_ns")), F.concat(head, F.lit(',"facts":{'))).otherwise(""),
+        F.when(opens, F.concat(_json_text(F.col("namespace")), F.lit(":{"))).otherwise(""),
+        _json_text(F.col("tag")), F.lit(":"), F.col("fragment"),
+        F.when(~closes, ",").when(F.col("namespace") != F.col("_last_ns"), "},").otherwise("}}}"))
+    return p.select("cik", "namespace", "tag", text.alias("text"))
+
+
 def assemble_documents(parts: DataFrame) -> DataFrame:
-    """Whole documents ``{cik, entityName, facts}`` from parts — one row per company.
+    """Whole documents, one row per company.
 
     For a small, pre-filtered set of companies (a lookup); a whole document is one
-    group, so it is not meant for every company of a full store.
+    group, so ``document_text`` serves every company of a full store.
     """
-    def json_key(c):
-        # '["k"]' -> '"k"': a JSON-escaped object key
-        return F.regexp_replace(F.to_json(F.array(c)).substr(F.lit(2), F.lit(1 << 30)), r"\]$", "")
-    tag_key = json_key("tag")
-    per_ns = parts.groupBy("cik", "entity_name", "namespace").agg(
-        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(
-            F.concat(tag_key, F.lit(":"), F.col("fragment")))), ","), F.lit("}")).alias("_ns"))
-    ns_key = json_key("namespace")
-    docs = per_ns.groupBy("cik", "entity_name").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(ns_key, F.lit(":"), F.col("_ns")))), ",").alias("_f"))
-    head = F.to_json(F.struct(F.col("cik"), F.col("entity_name").alias("entityName")))
-    return docs.select("cik", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"facts":{'), F.col("_f"),
-                                       F.lit("}}")).alias("document"))
+    return document_text(parts).groupBy("cik").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("namespace", "tag", "text"))),
+                                                                            lambda x: x["text"]), "").alias("document"))

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import sic4_text
+from finfacts.operators.components import connected_components
 from finfacts.operators.latest import latest_by
 
 
 def canonical_ciks(ciks: DataFrame, multi_cik: DataFrame) -> DataFrame:
-    """(cik, primary_cik): identity, except that all registrants of a multi-registrant
-    ticker map to its priority-0 (then smallest) cik."""
-    prim = multi_cik.groupBy("ticker").agg(F.min(F.struct("priority", "cik")).alias("_p"))
-    m = (multi_cik.join(prim, "ticker").groupBy("cik")
-         .agg(F.min(F.col("_p.cik")).alias("_primary")))
+    """(cik, primary_cik): identity, except that registrants tied by tickers share one primary cik.
+
+    Tickers and ciks are the nodes of a graph; all ciks of a connected component belong together, also those that no
+    single ticker names together, and the one of best priority (then the smallest) stands for them.
+    """
+    pairs = multi_cik.where(F.col("ticker").isNotNull() & F.col("cik").isNotNull())
+    part = connected_components(pairs.select(F.concat(F.lit("c"), "cik").alias("a"), F.concat(F.lit("t"), "ticker").alias("b")))
+    part = part.where(F.col("node").startswith("c")).select(F.expr("substr(node, 2)").alias("cik"), "component")
+    best = part.join(pairs.groupBy("cik").agg(F.min("priority").alias("priority")), "cik").groupBy("component").agg(
+        F.min(F.struct(F.coalesce("priority", F.lit(2147483647)).alias("priority"), "cik"))["cik"].alias("_primary"))
+    m = part.join(best, "component").select("cik", "_primary")
     allc = ciks.select("cik").union(multi_cik.select("cik")).distinct()
     return allc.join(m, "cik", "left").select("cik", F.coalesce("_primary", "cik").alias("primary_cik"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_ticker
@@ -20,12 +20,13 @@ def companies_with_financials(companies: DataFrame, tickers: DataFrame, processe
 
 
 def company_choices(primary_tickers: DataFrame, companies: DataFrame, processed: DataFrame) -> DataFrame:
-    """(label, value, description ``ticker | cik``, rank) per primary ticker of a processed company.
-    Sort with ``orderBy(rank asc nulls last, value)`` when presenting."""
+    """(label, value, description ``ticker | cik``, rank) per primary ticker of a processed company, by rank (null
+    last), then ticker."""
     j = (primary_tickers.join(companies.select("cik", "entity_name"), "cik", "inner")
                         .join(_processed(processed), "cik", "left_semi"))
     return j.select(F.col("entity_name").alias("label"), F.col("ticker").alias("value"), "cik",
-                    F.concat_ws(" | ", F.col("ticker"), F.col("cik")).alias("description"), "rank")
+                    F.concat_ws(" | ", F.col("ticker"), F.col("cik")).alias("description"), "rank") \
+        .orderBy(F.col("rank").asc_nulls_last(), "value", "cik")
 
 
 def resolve_symbols(symbols: DataFrame, multi_cik: DataFrame, tickers: DataFrame, funds: DataFrame,
@@ -67,6 +68,42 @@ def search_entities(entities: DataFrame, keyword: str, limit: int | None = None)
     return m.select("cik", "entity_name")
 
 
+def _grams(text, size: int):
+    """All sequences of ``size`` characters."""
+    n = F.length(text)
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substr(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def search_keywords(entities: DataFrame, keywords: DataFrame, keyword: str = "keyword", limit: int | None = None) -> DataFrame:
+    """A table of keywords at once: (keyword, cik, entity_name); with ``limit`` the first so many per keyword by name.
+
+    The LIKE rule of ``search_entities``. Names are posted under their sequences of three characters, and a keyword asks
+    for the rarest one that it must contain (between wildcards); only names found there are compared. A keyword without
+    three characters in a row asks for two or one, and one of wildcards alone for every name. Null keywords find nothing.
+    """
+    kws = keywords.select(F.col(keyword).alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
+    runs = F.split("keyword", "_")
+    needs = F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, 3))))
+    for size in (2, 1):
+        needs = F.when(F.size(needs) > 0, needs).otherwise(F.array_distinct(F.flatten(F.transform(runs, lambda r, s=size: _grams(r, s)))))
+    needs = F.when(F.size(needs) > 0, needs).otherwise(F.array(F.lit("")))
+    asked = kws.select("keyword", F.explode(needs).alias("gram"))
+    names = entities.select("cik", "entity_name").where(F.col("entity_name").isNotNull())
+    # Postings of the lengths that occur in a keyword only: shorter ones join nothing otherwise.
+    text = F.col("entity_name")
+    posted = names.select("cik", "entity_name", F.explode(F.array_distinct(F.concat(_grams(text, 3), _grams(text, 2), _grams(text, 1), F.array(F.lit(""))))).alias("gram"))
+    posted = posted.join(asked.select("gram").distinct(), "gram", "left_semi")
+    count = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(count, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    # "%" and the escape character stand for themselves, "_" is any character.
+    pattern = F.replace(F.replace("keyword", F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%"))
+    hits = posted.join(rarest, "gram").where(F.like(text, F.concat(F.lit("%"), pattern, F.lit("%"))))
+    if limit is not None:
+        w = Window.partitionBy("keyword").orderBy(F.col("entity_name").asc(), F.col("cik").asc())
+        hits = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit))
+    return hits.select("keyword", "cik", "entity_name")
+
+
 def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int | None = None) -> DataFrame:
     """Many keywords in one scan: (keyword, cik, entity_name); with ``limit`` the first so many per keyword by name.
 
@@ -75,7 +112,6 @@ def search_entities_batch(entities: DataFrame, keywords: list[str], limit: int |
     ``search_entities``); the per-keyword top-``limit`` runs as a group limit before
     the shuffle.
     """
-    from pyspark.sql import Window
     kws = sorted(set(keywords))
     if not kws:
         return entities.sparkSession.createDataFrame([], "keyword string, cik string, entity_name string")

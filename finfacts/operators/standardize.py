@@ -5,11 +5,9 @@ visible; this is **our design**, table-driven and entirely in Catalyst:
 
 * rules ``(company_type, statement, line_item, priority, namespace, tag, kind)``
   map reported tags to line items (``kind`` = ``duration`` or ``instant``);
-* a duration fact's period class comes from ``datediff(end, start)``: 350-380 days
-  annual, 80-100 days quarterly; instant facts follow the fiscal period;
-* per (company, statement, line item, period end, frequency) the rule with the best
-  priority wins, then the latest filing;
-* a missing Q4 of a duration item is derived as FY - (Q1 + Q2 + Q3);
+* a duration fact's period class comes from ``datediff(end, start)`` (``periods``); instant facts follow the fiscal period;
+* per (company, statement, line item, period end, class) the rule with the best priority wins, then the latest filing;
+* quarters that only longer periods tell are derived: six months - three, nine - six, the year - nine months or - Q1..Q3;
 * TTM = sum of four consecutive quarters (instant items: the quarter's value).
 """
 
@@ -18,25 +16,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finfacts.operators.latest import latest_by, period_index
+from finfacts.operators.latest import latest_by
+from finfacts.operators.periods import fiscal_years, in_fiscal_year, period_class, quarters_from_ytd, year_label
 
 RULE_SCHEMA = ("company_type string, statement string, line_item string, priority int, namespace string, "
                "tag string, kind string")
 DEFAULT_COMPANY_TYPE = "industrial"
 
 
-def period_frequency(start, end):
-    days = F.datediff(end, start)
-    return (F.when(start.isNull(), F.lit("instant"))
-             .when(days.between(350, 380), F.lit("annual"))
-             .when(days.between(80, 100), F.lit("quarterly")))
-
-
 def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | None = None) -> DataFrame:
-    """facts (cik, namespace, tag, unit, start, end, val, fp, filed) -> statement rows.
+    """facts (cik, namespace, tag, unit, start, end, val, fp, filed) -> annual and quarterly statement rows.
 
-    The fiscal year is that of the period's end: a filing's own ``fy`` also stands on the earlier periods that it
-    repeats for comparison.
+    Fiscal years are the company's own (``periods.fiscal_years``): a filing's ``fy`` and ``fp`` also stand on the earlier
+    periods that it repeats for comparison. Quarters that only longer periods tell (year-to-date cash flows, the fourth
+    quarter) are derived in the reported unit; half years and nine months serve that only. Differences are exact for
+    values of up to six decimal places.
     """
     f = facts.where(F.col("val").isNotNull() & F.col("end").isNotNull())
     if company_types is not None:
@@ -44,67 +38,61 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
     else:
         f = f.withColumn("company_type", F.lit(None).cast("string"))
     f = f.withColumn("company_type", F.coalesce("company_type", F.lit(DEFAULT_COMPANY_TYPE)))
-    # rules: one statement schema per company type (hundreds of rows) — broadcast.
+    # rules: one statement schema per company type, hundreds of rows.
     j = f.join(rules, ["company_type", "namespace", "tag"], "inner")
-    pf = period_frequency(F.col("start"), F.col("end"))
     fp = F.upper(F.coalesce(F.col("fp"), F.lit("")))
-    freq = F.when(F.col("kind") == "instant",
-                  F.when(pf != "instant", F.lit(None)).when(fp == "FY", "annual").otherwise("quarterly")) \
-        .otherwise(F.when(pf.isin("annual", "quarterly"), pf))
-    quarter = F.concat(F.lit("Q"), F.quarter("end").cast("string"))
-    fper = F.when(freq == "annual", F.lit("FY")).when(fp.rlike("^Q[1-4]$"), fp).otherwise(quarter)
-    j = j.select("cik", "statement", "line_item", "priority", F.col("end").alias("period_ending"),
-                 F.year("end").alias("fiscal_year"), fper.alias("fiscal_period"),
-                 freq.alias("frequency"), "val", "unit", "company_type", "namespace", "tag", "kind",
-                 F.coalesce(F.col("filed"), F.col("end")).alias("filed"), (-F.col("priority")).alias("_np"))
-    j = j.where(F.col("frequency").isNotNull())
-    picked = latest_by(j, ["cik", "statement", "line_item", "period_ending", "frequency"], ["_np", "filed", "val"],
-                       cols=["cik", "statement", "line_item", "period_ending", "frequency", "_np", "filed", "val",
-                             "fiscal_year", "fiscal_period", "unit", "company_type", "namespace", "tag", "kind"])
-    currency = F.when(F.col("unit").rlike("^[A-Z]{3}$"), F.col("unit"))
-    out = picked.select("cik", "statement", "period_ending", "fiscal_year", "fiscal_period", "frequency",
-                        F.col("line_item").alias("tag"), "val", currency.alias("currency"), "company_type",
-                        F.concat_ws(":", "namespace", "tag").alias("source"), "kind")
-    return out.unionByName(derive_q4(out)).drop("kind")
-
-
-def derive_q4(std: DataFrame) -> DataFrame:
-    """Q4 = FY - (Q1 + Q2 + Q3) for duration items that have all three quarters and no Q4.
-    One aggregation per (company, statement, line item, fiscal year); the sum is exact, whatever the order of rows."""
-    d = std.where(F.col("kind") == "duration")
-    q = F.col("fiscal_period")
-    g = d.groupBy("cik", "statement", "tag", "fiscal_year").agg(
-        F.max(F.when(F.col("frequency") == "annual", F.struct("period_ending", "val", "currency", "company_type")))
-        .alias("fy"),
-        F.sum(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), F.col("val").cast("decimal(38,4)"))).cast("double").alias("q123"),
-        F.count(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), 1)).alias("n"),
-        F.count_distinct(F.when((F.col("frequency") == "quarterly") & q.isin("Q1", "Q2", "Q3"), q)).alias("nq"),
-        F.max((F.col("frequency") == "quarterly") & (q == "Q4")).alias("has_q4"))
-    g = g.where(F.col("fy").isNotNull() & (F.col("nq") == 3) & (F.col("n") == 3) & ~F.col("has_q4"))
-    return g.select("cik", "statement", F.col("fy.period_ending").alias("period_ending"), "fiscal_year",
-                    F.lit("Q4").alias("fiscal_period"), F.lit("quarterly").alias("frequency"), "tag",
-                    (F.col("fy.val") - F.col("q123")).alias("val"), F.col("fy.currency").alias("currency"),
-                    F.col("fy.company_type").alias("company_type"),
-                    F.concat(F.lit("derived: "), F.col("tag"), F.lit(" (Q4)")).alias("source"),
-                    F.lit("duration").alias("kind"))
-
-
-def ttm(std: DataFrame, instant_statements=("balance_sheet",)) -> DataFrame:
-    """Trailing twelve months from quarterly rows: the sum of four consecutive quarters ending at each quarter;
-    balance-sheet items take the quarter's own value.
+    instant = F.col("kind") == "instant"
+    cls = F.when(instant, F.when(F.col("start").isNull(), F.when(fp == "FY", "annual").otherwise("quarterly"))) \
+        .otherwise(period_class(F.col("start"), F.col("end")))
+    j = j.select("cik", "statement", "line_item", "priority", "start", "end", cls.alias("class"), fp.alias("fp"), "val", "unit", "company_type",
+                 "namespace", "tag", "kind", F.coalesce(F.col("filed"), F.col("end")).alias("filed"), (-F.col("priority")).alias("_np"))
+    picked = latest_by(j.where(F.col("class").isNotNull()), ["cik", "statement", "line_item", "end", "class"], ["_np", "filed", "val"],
+                       cols=["cik", "statement", "line_item", "end", "class", "_np", "filed", "val", "fp", "start", "unit", "company_type",
+                             "namespace", "tag", "kind"])
+    years = fiscal_years(picked.where(F.col("kind") == "duration"))
+    placed = in_fiscal_year(picked, years)
+    annual = F.col("class") == "annual"
+    own = F.when(F.col("fp").rlike("^Q[1-4]$"), F.col("fp")).otherwise(F.concat(F.lit("Q"), F.quarter("end").cast("string")))
+    fper = F.when(annual, F.lit("FY")).otherwise(F.coalesce(F.concat(F.lit("Q"), F.col("slot").cast("string")), own))
+    fyear = F.when(annual | F.col("fy_end").isNull(), year_label(F.col("end"))).otherwise(year_label(F.col("fy_end")))
+    reported = placed.where(F.col("class").isin("annual", "quarterly")).select(
+        "cik", "statement", F.col("end").alias("period_ending"), fyear.alias("fiscal_year"), fper.alias("fiscal_period"),
+        F.col("class").alias("frequency"), F.col("line_item").alias("tag"), "val", _currency().alias("currency"), "company_type",
+        F.concat_ws(":", "namespace", "tag").alias("source"))
+    derived = quarters_from_ytd(placed.where(F.col("kind") == "duration"), ["cik", "statement", "line_item", "unit", "company_type"])
+    derived = derived.select(
+        "cik", "statement", F.col("end").alias("period_ending"), year_label(F.col("fy_end")).alias("fiscal_year"),
+        F.concat(F.lit("Q"), F.col("slot").cast("string")).alias("fiscal_period"), F.lit("quarterly").alias("frequency"),
+        F.col("line_item").alias("tag"), "val", _currency().alias("currency"), "company_type",
+        F.concat(F.lit("derived: "), F.col("line_item"), F.lit(" (Q"), F.col("slot").cast("string"), F.lit(")")).alias("source"))
+    return reported.unionByName(derived)
+
+
+def _currency():
+    return F.when(F.col("unit").rlike("^[A-Z]{3}$"), F.col("unit"))
+
+
+def with_ttm(rows: DataFrame, instant_statements=("balance_sheet",)) -> DataFrame:
+    """``rows`` with ``ttm``: on quarterly rows the sum of four consecutive quarters ending there, balance-sheet items
+    the quarter's own value; null where a quarter is missing.
 
     Quarters are numbered by year and month of their end, so four quarters count only if they lie in one year's
-    span, however many the company left out. The sum is exact (decimal), whatever the order of rows.
+    span, however many the company left out. The sum is exact for values of up to four decimal places.
     """
-    r = std.where(F.col("frequency") == "quarterly").withColumn("_i", F.year("period_ending") * 12 + F.month("period_ending"))
+    r = rows.withColumn("_m", F.year("period_ending") * 12 + F.month("period_ending"))
     # Ends vary by days, so a quarter may end in the next month: 4 quarters span 9 months, one more or less.
-    w = Window.partitionBy("cik", "statement", "tag").orderBy("_i").rangeBetween(-10, 0)
+    w = Window.partitionBy("cik", "statement", "tag", "frequency").orderBy("_m").rangeBetween(-10, 0)
     s = F.sum(F.col("val").cast("decimal(38,4)")).over(w).cast("double")
-    n, first = F.count("val").over(w), F.min(F.when(F.col("val").isNotNull(), F.col("_i"))).over(w)
+    n, first = F.count("val").over(w), F.min(F.when(F.col("val").isNotNull(), F.col("_m"))).over(w)
     inst = F.col("statement").isin(*instant_statements)
-    val = F.when(inst, F.col("val")).when((n == 4) & (F.col("_i") - first >= 8), s)
-    return (r.withColumn("val", val).where(F.col("val").isNotNull()).withColumn("frequency", F.lit("ttm"))
-             .select(*std.columns))
+    val = F.when(inst, F.col("val")).when((n == 4) & (F.col("_m") - first >= 8), s)
+    return r.withColumn("ttm", F.when(F.col("frequency") == "quarterly", val)).drop("_m")
+
+
+def ttm(std: DataFrame, instant_statements=("balance_sheet",)) -> DataFrame:
+    """Trailing twelve months at each quarter (``with_ttm``) as rows of frequency ``ttm``."""
+    r = with_ttm(std.where(F.col("frequency") == "quarterly"), instant_statements)
+    return r.where(F.col("ttm").isNotNull()).withColumn("val", F.col("ttm")).withColumn("frequency", F.lit("ttm")).select(*std.columns)
 
 
 PRESENTATION_KEYS = ["company_type", "statement", "tag"]
@@ -162,12 +150,10 @@ def merge_registrants(std: DataFrame, canonical: DataFrame, priorities: DataFram
 
     Only companies in a multi-registrant group can collide, so only their rows are
     aggregated; every other row (a company's key is unique in the statement table)
-    passes straight through without a shuffle. The group set is small and broadcast
-    after a size check.
+    passes straight through without a shuffle where AQE finds the group set small.
     """
     linked = canonical.where(F.col("cik") != F.col("primary_cik"))
     members = linked.select("cik").union(linked.select(F.col("primary_cik").alias("cik"))).distinct()
-    members = members
     key = ["primary_cik", "statement", "tag", "period_ending", "fiscal_year", "fiscal_period", "frequency"]
     rest = [c for c in std.columns if c not in key and c != "cik"]
     plain = std.join(members, "cik", "left_anti").select(

@@ -11,6 +11,7 @@ from finfacts.functions.numeric import growth as growth_expr
 from finfacts.functions.text import fiscal_year_label, humanize, period_label
 from finfacts.operators.asof import with_asof_rate
 from finfacts.operators.latest import first_n_periods, period_index
+from finfacts.operators.standardize import with_ttm
 
 
 def is_monetary(tag: Column) -> Column:
@@ -54,6 +55,51 @@ def growth(rows: DataFrame, offset: int, keys: Sequence[str] = ("cik", "statemen
              .select(*keys, "tag", "period_ending", "fiscal_year", "fiscal_period", g.alias("growth")))
 
 
+# Growth offsets (periods back) of each kind of rows, by transform.
+VIEW_OFFSETS = {"FY": {"% YoY": 1, "% PoP": 1}, "Q": {"% YoY": 4, "% PoP": 1}, "TTM": {"% YoY": 4, "% PoP": 1}}
+
+
+def _place(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the sorted distinct periods of their ``keys`` as ``_all`` (one short array a key)."""
+    every = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("period_ending")).alias("_all"))
+    return rows.join(every, list(keys))
+
+
+def statement_views(std: DataFrame, rates: DataFrame | None, statement: str, limit: int = 10) -> DataFrame:
+    """(period, transform, cik, tag, period_ending, value, period_rank): rows and growth of a statement in every view.
+
+    One pass for all of them: a quarter is exploded into itself and the twelve months that it ends, one window per line
+    item holds the values one and four periods back, and each view keeps its newest ``limit`` periods per company.
+    Values are in USD where a rate exists.
+    """
+    s = std.where((F.col("statement") == statement) & F.col("frequency").isin("annual", "quarterly") & F.col("period_ending").isNotNull())
+    if rates is not None:
+        s = with_asof_rate(s, rates, "currency", "period_ending", "_fx", how="left")
+        hit = (F.col("currency") != "USD") & F.col("_fx").isNotNull() & is_monetary(F.col("tag"))
+        s = s.withColumn("_factor", F.when(hit, F.col("_fx")))
+    else:
+        s = s.withColumn("_factor", F.lit(None).cast("double"))
+    s = with_ttm(s.select("cik", "statement", "tag", "frequency", "period_ending", "val", "_factor"))
+    kinds = F.when(F.col("frequency") == "annual", F.array(F.struct(F.lit("FY").alias("period"), F.col("val").alias("v")))).otherwise(
+        F.array(F.struct(F.lit("Q").alias("period"), F.col("val").alias("v")), F.struct(F.lit("TTM").alias("period"), F.col("ttm").alias("v"))))
+    s = s.select("cik", "tag", "period_ending", "_factor", F.explode(kinds).alias("k")).select("cik", "tag", "period_ending", "_factor", "k.period", "k.v")
+    s = s.where((F.col("period") != "TTM") | F.col("v").isNotNull())
+    s = _place(s, ["cik", "period"]).withColumn("_i", F.array_position("_all", F.col("period_ending")))
+    w = Window.partitionBy("cik", "tag", "period").orderBy("_i")
+    s = s.withColumn("_b1", F.max("v").over(w.rangeBetween(-1, -1))).withColumn("_b4", F.max("v").over(w.rangeBetween(-4, -4)))
+    back = {1: F.col("_b1"), 4: F.col("_b4")}
+    views = [F.struct(F.lit("None").alias("transform"), F.coalesce(F.col("v") * F.col("_factor"), F.col("v")).alias("value"))]
+    for transform in ("% YoY", "% PoP"):
+        by_kind = [F.when(F.col("period") == p, growth_expr("v", back[o[transform]])) for p, o in VIEW_OFFSETS.items()]
+        views.append(F.struct(F.lit(transform).alias("transform"), F.coalesce(*by_kind).alias("value")))
+    s = s.select("cik", "tag", "period", "period_ending", F.explode(F.array(*views)).alias("x")).select("cik", "tag", "period", "period_ending", "x.transform", "x.value")
+    s = s.where((F.col("transform") == "None") | F.col("value").isNotNull())
+    s = _place(s, ["cik", "period", "transform"])
+    rank = (F.size("_all") - F.array_position("_all", F.col("period_ending")) + 1).cast("int")
+    out = s.select("period", "transform", "cik", "tag", "period_ending", "value", rank.alias("period_rank"))
+    return out.where(F.col("period_rank") <= limit) if limit else out
+
+
 def drop_imputed(rows: DataFrame, keys: Sequence[str] = ("cik", "tag")) -> DataFrame:
     """Remove line items whose every value is null or 0 over the given rows
     (one window pass; the rows are read once)."""

@@ -11,6 +11,7 @@ them as a ``WITH`` prefix.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from finfacts.session import scratch_path
 
@@ -41,9 +42,12 @@ SELECT cik, CASE c_custkey WHEN 5 THEN 'NKE' ELSE 'DIS' END, CAST(c_custkey AS I
     ("fx_tickers", ("fx_primary_tickers",), """
 SELECT cik, ticker, ticker NOT LIKE '%-B' AS is_primary, rank FROM fx_primary_tickers"""),
     ("fx_multi_cik", ("fx_cust",), """
-SELECT concat('T', CAST(c_custkey AS STRING)) AS ticker, cik, 1 AS priority FROM fx_cust WHERE c_custkey % 50 = 7
+SELECT concat('T', CAST(c_custkey AS STRING)) AS ticker, cik, 1 AS priority FROM fx_cust WHERE c_custkey % 50 IN (7, 20, 21, 22, 24)
 UNION ALL
-SELECT concat('T', CAST(c_custkey AS STRING)), lpad(CAST(c_custkey + 1 AS STRING), 10, '0'), 0 FROM fx_cust WHERE c_custkey % 50 = 7"""),
+SELECT concat('T', CAST(c_custkey AS STRING)), lpad(CAST(c_custkey + 1 AS STRING), 10, '0'), CASE WHEN c_custkey % 50 = 21 THEN 2 ELSE 0 END
+FROM fx_cust WHERE c_custkey % 50 IN (7, 20, 21, 22, 24)
+UNION ALL
+SELECT concat('T', CAST(c_custkey AS STRING)), lpad(CAST(c_custkey + 50 AS STRING), 10, '0'), 3 FROM fx_cust WHERE c_custkey % 100 = 24"""),
     ("fx_funds", (), """
 SELECT lpad(CAST(900000 + s_suppkey AS STRING), 10, '0') AS cik, concat('S', CAST(s_suppkey AS STRING)) AS series_id,
        concat('C', CAST(s_suppkey AS STRING)) AS class_id, concat('F', CAST(s_suppkey AS STRING)) AS symbol FROM supplier"""),
@@ -119,9 +123,68 @@ SELECT event_id, concat('{"cik":', CAST(user_id AS STRING), ',"entityName":"U',
                  WHEN event_id % 20 < 9 THEN substring(CAST(CAST(CAST(ts AS DATE) - INTERVAL '90' DAY AS DATE) AS STRING), 1, 10)
                  ELSE substring(CAST(CAST(CAST(ts AS DATE) - INTERVAL '180' DAY AS DATE) AS STRING), 1, 10) END, '"') ELSE '' END,
        ',"form":"', CASE WHEN event_id % 20 < 2 THEN '10-K' ELSE '10-Q' END, '","filed":"',
-       substring(CAST(CAST(CAST(ts AS DATE) + INTERVAL '30' DAY AS DATE) AS STRING), 1, 10), '"',
+       substring(CAST(CAST(CAST(ts AS DATE) + INTERVAL '30' DAY AS DATE) AS STRING), 1, 10),
+       CASE event_id % 31 WHEN 5 THEN 'T10:00:00' WHEN 6 THEN ' 10:00' WHEN 7 THEN 'x' ELSE '' END, '"',
        CASE WHEN event_id % 9 = 0 THEN ',"frame":"CY2023"' WHEN event_id % 9 = 1 THEN ',"frame":""' ELSE '' END, '}]}}}}}') AS payload
 FROM events"""),
+    # The fiscal quarter of every order day, for years that end in December (kind 0), January (1) or June (2), or have 52
+    # or 53 weeks (3): six of those make 2,191 days, the last has 371. DISTINCT keeps the steps apart.
+    ("fx_fiscal_day", (), """
+SELECT DISTINCT kind, d, fy_start, slot,
+       CASE WHEN kind < 3 THEN make_date(fy0 + CASE WHEN m0 + 3 * (slot - 1) > 12 THEN 1 ELSE 0 END, (m0 + 3 * (slot - 1) - 1) % 12 + 1, 1)
+            ELSE fy_start + CAST(91 * (slot - 1) AS INT) END AS q_start,
+       CASE WHEN kind < 3 THEN last_day(make_date(fy0 + CASE WHEN m0 + 3 * slot - 1 > 12 THEN 1 ELSE 0 END, (m0 + 3 * slot - 2) % 12 + 1, 1))
+            WHEN slot < 4 THEN fy_start + CAST(91 * slot - 1 AS INT) ELSE fy_start + CAST(len - 1 AS INT) END AS q_end,
+       CASE WHEN kind < 3 THEN last_day(make_date(fy0 + CASE WHEN m0 = 1 THEN 0 ELSE 1 END, (m0 + 10) % 12 + 1, 1))
+            ELSE fy_start + CAST(len - 1 AS INT) END AS fy_end
+FROM (
+  SELECT DISTINCT kind, d, m0, fy0, CASE WHEN yr = 5 THEN 371 ELSE 364 END AS len,
+         CASE WHEN kind < 3 THEN make_date(fy0, m0, 1) ELSE DATE '1992-01-05' + CAST(2191 * blk + 364 * yr AS INT) END AS fy_start,
+         CASE WHEN kind < 3 THEN CAST(floor(((month(d) + 12 - m0) % 12) / 3) AS INT) + 1
+              ELSE least(4, CAST(floor((days - 2191 * blk - 364 * yr) / 91) AS INT) + 1) END AS slot
+  FROM (
+    SELECT DISTINCT kind, d, m0, fy0, days, blk, least(5, CAST(floor((days - 2191 * blk) / 364) AS INT)) AS yr FROM (
+      SELECT DISTINCT kind, d, m0, days, CAST(floor(days / 2191) AS INT) AS blk, CAST(year(d) - CASE WHEN month(d) < m0 THEN 1 ELSE 0 END AS INT) AS fy0 FROM (
+        SELECT DISTINCT kind, m0, d, (year(d) - 1992) * 365 + CAST(floor((year(d) - 1989) / 4) AS INT) + dayofyear(d) - 5 AS days FROM (
+          SELECT 0 AS kind, 1 AS m0, CAST(o_orderdate AS DATE) AS d FROM orders
+          UNION ALL SELECT 1, 2, CAST(o_orderdate AS DATE) FROM orders
+          UNION ALL SELECT 2, 7, CAST(o_orderdate AS DATE) FROM orders
+          UNION ALL SELECT 3, 7, CAST(o_orderdate AS DATE) FROM orders) l0
+      ) l1
+    ) l2
+  ) l3
+) l4"""),
+    ("fx_fiscal", ("fx_line", "fx_fiscal_day"), """
+SELECT lpad(CAST(l.id AS STRING), 10, '0') AS cik, f.kind, f.fy_start, f.fy_end, f.slot, f.q_start, f.q_end, sum(l.price) AS rev
+FROM (SELECT CAST(floor(CAST(cik AS INT) / 20) AS INT) AS id, CAST(floor(CAST(cik AS INT) / 20) AS INT) % 4 AS kind, d, price FROM fx_line) l
+JOIN fx_fiscal_day f ON f.kind = l.kind AND f.d = l.d
+GROUP BY l.id, f.kind, f.fy_start, f.fy_end, f.slot, f.q_start, f.q_end"""),
+    # Years with sales in the first three quarters; without the fourth they have no annual facts.
+    ("fx_fyear", ("fx_fiscal",), """
+SELECT cik, kind, fy_start, fy_end, max(CASE WHEN slot = 1 THEN rev END) AS v1, max(CASE WHEN slot = 2 THEN rev END) AS v2,
+       max(CASE WHEN slot = 3 THEN rev END) AS v3, max(CASE WHEN slot = 4 THEN rev END) AS v4,
+       max(CASE WHEN slot = 1 THEN q_end END) AS e1, max(CASE WHEN slot = 2 THEN q_end END) AS e2, max(CASE WHEN slot = 3 THEN q_end END) AS e3,
+       max(CASE WHEN slot = 2 THEN q_start END) AS s2, max(CASE WHEN slot = 3 THEN q_start END) AS s3
+FROM fx_fiscal GROUP BY cik, kind, fy_start, fy_end HAVING count(CASE WHEN slot < 4 THEN 1 END) = 3"""),
+    # Facts as filed: revenue by quarter and year, cash flow from the start of the year on (some without the half year).
+    ("fx_ytd", ("fx_fyear",), """
+SELECT y.cik, 'us-gaap' AS namespace, t.tag, 'USD' AS unit,
+       CASE WHEN t.tag = 'Revenues' AND t.fp = 'Q2' THEN s2 WHEN t.tag = 'Revenues' AND t.fp = 'Q3' THEN s3 ELSE fy_start END AS start_date,
+       CASE t.fp WHEN 'Q1' THEN e1 WHEN 'Q2' THEN e2 WHEN 'Q3' THEN e3 ELSE fy_end END AS end_date,
+       CAST(CASE WHEN t.fp = 'Q1' THEN v1 WHEN t.fp = 'FY' THEN v1 + v2 + v3 + v4 WHEN t.tag = 'Revenues' AND t.fp = 'Q2' THEN v2
+                 WHEN t.tag = 'Revenues' THEN v3 WHEN t.fp = 'Q2' THEN v1 + v2 ELSE v1 + v2 + v3 END AS DOUBLE) AS val,
+       t.fp, CASE t.fp WHEN 'Q1' THEN e1 WHEN 'Q2' THEN e2 WHEN 'Q3' THEN e3 ELSE fy_end END + 30 AS filed
+FROM fx_fyear y JOIN (VALUES """ + ", ".join(
+        f"({kind}, '{tag}', '{fp}')" for kind in range(4) for tag in ("Revenues", "CashFromOperations") for fp in ("Q1", "Q2", "Q3", "FY")) + """) AS t(kind, tag, fp)
+  ON t.kind = y.kind
+WHERE (t.fp <> 'FY' OR v4 IS NOT NULL) AND NOT (t.tag = 'CashFromOperations' AND t.fp = 'Q2' AND CAST(y.cik AS INT) % 5 = 0)"""),
+    # Statement schemas with tag lists five levels deep, quoted signs in tags and names, and items that are no tags.
+    ("fx_schema", (), """
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'balance_sheet' WHEN 1 THEN 'income_statement' ELSE 'cash_flow' END AS statement,
+       concat('{"title":"a ', chr(92), '"list', chr(92), '": [x]","sections":[{"rows":[{"xbrl_tags":[{"namespace":"us-gaap","tag":"A', CAST(s_suppkey AS STRING),
+              '"},{"namespace":"dei","tag":"D"},7,null,{"namespace":"us-gaap"},{"namespace":"us-gaap","tag":5}],"children":{"deep":[[{"node":{"xbrl_tags":[',
+              '{"namespace":"ifrs-full","tag":"B', chr(92), '"[', CAST(s_suppkey % 7 AS STRING), ']"},{"namespace":"us-gaap","tag":"C}]', CAST(s_suppkey % 5 AS STRING),
+              '"}]}}]]}}]}],"xbrl_tags":"none"}') AS json FROM supplier"""),
     ("fx_hash_old", ("fx_cust",), """
 SELECT cik, concat('h', CAST(c_custkey AS STRING)) AS h FROM fx_cust WHERE c_custkey % 10 <> 1"""),
     ("fx_hash_new", ("fx_cust",), """
@@ -151,10 +214,11 @@ def closure(names) -> list[str]:
 
 
 def oracle_prefix(names, extra: list[tuple[str, str]] | None = None) -> str:
-    """``WITH`` clause for DuckDB holding the fixtures in ``names`` plus extra CTEs."""
+    """``WITH`` clause for DuckDB holding the fixtures in ``names`` plus extra CTEs; one named with its columns is recursive."""
     parts = [f"{n} AS ({_BY_NAME[n][1]}\n)" for n in closure(names)]
     parts += [f"{n} AS ({body}\n)" for n, body in (extra or [])]
-    return "WITH " + ",\n".join(parts) + "\n"
+    recursive = "RECURSIVE " if any(n.partition("(")[2] for n, _ in (extra or [])) else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n"
 
 
 class FixtureCatalog:
@@ -166,6 +230,7 @@ class FixtureCatalog:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.tables: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
         self.raw: dict[str, DataFrame] = {}
         for t in RAW_TABLES:
             self.raw[t] = spark.read.parquet(f"{self.sf_dir}/{t}.parquet")
@@ -224,6 +289,10 @@ class FixtureCatalog:
         if name == "fx_calendar":  # stored as-of table, rebuilt with the rate table
             from finfacts.operators.asof import fx_calendar
             return fx_calendar(self.tables["fx_rates"])
+        if name in ("xbrl_tags", "accessions"):  # stored dictionaries, grown load by load
+            from finfacts.operators.dictionaries import dictionary_delta
+            cols, attrs = (["namespace", "tag"], ["label", "description"]) if name == "xbrl_tags" else (["accn"], [])
+            return dictionary_delta(None, self["facts"].where(F.col(cols[0]).isNotNull()), cols, attrs, "event_id")
         if name == "processed_ciks":
             from finfacts.operators.facts import processed_companies
             from finfacts.plans.q_ingest import statement_rules
@@ -239,6 +308,12 @@ class FixtureCatalog:
             return d
         return self.raw[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """A table as files, written now if it isn't yet: for queries that read it many times over."""
+        if name not in self._stored:
+            self.materialize([name])
+        return self.tables[name]
+
     def materialize(self, names=None) -> dict[str, int]:
         """Write fixture tables once to the shared checkpoint folder and read them back.
 
@@ -247,9 +322,11 @@ class FixtureCatalog:
         """
         counts: dict[str, int] = {}
         tag = self.sf_dir.strip("/").replace("/", "_")
-        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter")] + ["facts", "cik_gics", "cik_canonical",
-                                                                                          "processed_ciks", "fx_calendar"]
+        default = [n for n in _ORDER if n not in ("fx_line", "fx_year", "fx_quarter", "fx_fiscal_day", "fx_fiscal", "fx_fyear")] + ["facts", "cik_gics", "cik_canonical",
+                                                                                          "processed_ciks", "fx_calendar", "xbrl_tags", "accessions"]
         for name in names or default:
+            if name in self._stored:
+                continue
             path = scratch_path(self.spark, f"fixtures/{tag}/{name}")
             df = self[name]
             if name == "fx_std":
@@ -261,5 +338,6 @@ class FixtureCatalog:
                 df.write.mode("overwrite").parquet(path)
                 back = self.spark.read.parquet(path)
             self.tables[name] = back
+            self._stored.add(name)
             counts[name] = -1
         return counts

@@ -24,7 +24,7 @@ def companies_with_financials(c):
 @query("company_choices", "M4 D4 G2", sql(_P, _PROCESSED_CTES, """
 SELECT c.entity_name AS label, pt.ticker AS value, pt.cik, pt.ticker || ' | ' || pt.cik AS description, pt.rank
 FROM fx_primary_tickers pt JOIN fx_companies c ON c.cik = pt.cik JOIN processed p ON p.cik = pt.cik
-WHERE p.has_balance AND p.has_income AND p.has_cash_flow"""))
+WHERE p.has_balance AND p.has_income AND p.has_cash_flow ORDER BY pt.rank NULLS LAST, pt.ticker, pt.cik"""))
 def company_choices(c):
     return rs.company_choices(c["fx_primary_tickers"], c["fx_companies"], processed(c))
 
@@ -63,24 +63,61 @@ def resolve_ciks(c):
     return rs.resolve_ciks(c["fx_companies"], c["fx_tickers"])
 
 
-SEARCH_KEYWORD = "#0000001"
+SEARCH_KEYWORD = "#00000"
 
 
 @query("search_entities", "M7 C8 G5", sql(["fx_companies"], [], f"""
-SELECT cik, entity_name FROM fx_companies WHERE entity_name LIKE '{rs.like_pattern(SEARCH_KEYWORD)}' ESCAPE '\\'"""))
+SELECT cik, entity_name FROM fx_companies WHERE instr(entity_name, '{SEARCH_KEYWORD}') > 0 ORDER BY entity_name, cik LIMIT 1000"""))
 def search_entities(c):
     return rs.search_entities(c["fx_companies"], SEARCH_KEYWORD, 1000)
 
 
+# Keywords from the names themselves: their endings, single and double letters, wildcards, signs that LIKE knows, nothing.
+_KEYWORDS_SQL = """
+SELECT DISTINCT keyword FROM (
+  SELECT substring(entity_name, 12, 7) AS keyword FROM fx_cust WHERE c_custkey % 40 = 1
+  UNION ALL SELECT concat('_', substring(entity_name, length(entity_name) - 2, 3)) FROM fx_cust WHERE c_custkey % 50 = 2
+  UNION ALL SELECT concat(substring(entity_name, 1, 2), '_', substring(entity_name, 4, 6)) FROM fx_cust WHERE c_custkey % 70 = 3
+  UNION ALL SELECT substring(entity_name, 17, 2) FROM fx_cust WHERE c_custkey % 90 = 4
+  UNION ALL SELECT substring(entity_name, 18, 1) FROM fx_cust WHERE c_custkey % 90 = 5
+  UNION ALL SELECT concat('0', '%', substring(entity_name, 18, 1)) FROM fx_cust WHERE c_custkey % 90 = 6
+  UNION ALL SELECT '__________________' FROM fx_cust WHERE c_custkey = 1
+  UNION ALL SELECT '' FROM fx_cust WHERE c_custkey = 1
+) k"""
+
+
+@query("search_batch", "M7 C8 G5 (a table of keywords; trigram postings, LIKE verified)", sql(["fx_companies", "fx_cust"], [
+    ("keywords", _KEYWORDS_SQL)], r"""
+SELECT keyword, cik, entity_name FROM keywords JOIN fx_companies
+  ON entity_name LIKE '%' || replace(replace(keyword, '\', '\\'), '%', '\%') || '%' ESCAPE '\'
+QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY entity_name, cik) <= 50"""))
+def search_batch(c):
+    k = c["fx_cust"]
+    name = F.col("entity_name")
+    found = lambda mod, rest, kw: k.where(F.col("c_custkey") % mod == rest).select(kw.alias("keyword"))
+    keywords = found(40, 1, F.substring(name, 12, 7))
+    for mod, rest, kw in ((50, 2, F.concat(F.lit("_"), F.expr("substring(entity_name, length(entity_name) - 2, 3)"))),
+                          (70, 3, F.concat(F.substring(name, 1, 2), F.lit("_"), F.substring(name, 4, 6))), (90, 4, F.substring(name, 17, 2)),
+                          (90, 5, F.substring(name, 18, 1)), (90, 6, F.concat(F.lit("0%"), F.substring(name, 18, 1)))):
+        keywords = keywords.union(found(mod, rest, kw))
+    for kw in ("_" * 18, ""):
+        keywords = keywords.union(k.where("c_custkey = 1").select(F.lit(kw)))
+    return rs.search_keywords(c["fx_companies"], keywords, "keyword", limit=50)
+
+
+# Ciks reached over shared tickers, step by step until nothing new comes.
 _CANON_CTES = [
-    ("prim", "SELECT ticker, arg_min(cik, (priority, cik)) AS pcik FROM fx_multi_cik GROUP BY ticker"),
-    ("mc", "SELECT m.cik, min(p.pcik) AS pcik FROM fx_multi_cik m JOIN prim p USING (ticker) GROUP BY m.cik"),
+    ("reach(cik, other)", """
+SELECT DISTINCT cik, cik FROM fx_multi_cik
+UNION
+SELECT r.cik, n.cik FROM reach r JOIN fx_multi_cik m ON m.cik = r.other JOIN fx_multi_cik n ON n.ticker = m.ticker"""),
+    ("mc", "SELECT r.cik, arg_min(m.cik, (m.priority, m.cik)) AS pcik FROM reach r JOIN fx_multi_cik m ON m.cik = r.other GROUP BY r.cik"),
     ("allc", "SELECT cik FROM fx_companies UNION SELECT cik FROM fx_multi_cik"),
     ("canon", "SELECT a.cik, coalesce(mc.pcik, a.cik) AS primary_cik FROM allc a LEFT JOIN mc USING (cik)"),
 ]
 
 
-@query("canonical_ciks", "L12 7.4 (cik -> primary cik)", sql(["fx_companies", "fx_multi_cik"], _CANON_CTES,
+@query("canonical_ciks", "L12 7.4 (cik -> primary cik, over chains of tickers)", sql(["fx_companies", "fx_multi_cik"], _CANON_CTES,
                                                            "SELECT cik, primary_cik FROM canon"))
 def canonical_ciks(c):
     return pf.canonical_ciks(c["fx_companies"], c["fx_multi_cik"])

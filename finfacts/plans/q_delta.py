@@ -9,6 +9,7 @@ from finfacts.plans.registry import query, sql
 from finfacts.sinks import export as ex
 
 _H = ["fx_hash_old", "fx_hash_new"]
+TOUCH_BUCKETS = 1024
 
 
 @query("delta_classify", "K1 K2", sql(_H, [], """
@@ -19,19 +20,24 @@ def delta_classify(c):
 
 
 @query("replace_by_key", "B9 K3 K5 D11 (changed companies' rows replaced)", sql(_H + ["fx_std"], [
-    ("changed", """
-SELECT n.cik FROM fx_hash_new n LEFT JOIN fx_hash_old o ON o.cik = n.cik WHERE o.h IS NULL OR o.h <> n.h"""),
-    ("old_rows", "SELECT * FROM fx_std WHERE frequency = 'annual'"),
-    ("new_rows", "SELECT * FROM fx_std WHERE frequency = 'quarterly' AND cik IN (SELECT cik FROM changed)"),
-], """
-SELECT * FROM old_rows o WHERE NOT EXISTS (SELECT 1 FROM new_rows n WHERE n.cik = o.cik)
-UNION ALL SELECT * FROM new_rows"""))
+    ("changed", "SELECT n.cik FROM fx_hash_new n LEFT JOIN fx_hash_old o ON o.cik = n.cik WHERE o.h IS NULL OR o.h <> n.h")], """
+SELECT s.* FROM fx_std s LEFT JOIN changed c ON c.cik = s.cik WHERE s.frequency = if(c.cik IS NULL, 'annual', 'quarterly')"""))
 def replace_by_key(c):
     # Snapshot = annual rows; the delta batch = quarterly rows of new or changed companies.
     std = c["fx_std"]
     keys = dl.changed_keys(dl.classify_changes(c["fx_hash_new"], c["fx_hash_old"]))
     batch = std.where(F.col("frequency") == "quarterly").join(keys, "cik", "left_semi")
-    return dl.replace_by_key(std.where(F.col("frequency") == "annual"), batch)
+    return dl.replace_by_key(std.where(F.col("frequency") == "annual"), batch, changed=keys)
+
+
+@query("rewritten_buckets", "B9 J1 B2 (buckets that a delta rewrites; the others are taken over)", sql(_H + ["fx_std"], [
+    ("changed", "SELECT n.cik FROM fx_hash_new n LEFT JOIN fx_hash_old o ON o.cik = n.cik WHERE o.h IS NULL OR o.h <> n.h")], f"""
+SELECT CAST(CAST(s.cik AS BIGINT) % {TOUCH_BUCKETS} AS INTEGER) AS bucket, count(DISTINCT c.cik) AS changed, count(c.cik) AS rows_replaced,
+       count(*) - count(c.cik) AS rows_kept
+FROM fx_std s LEFT JOIN changed c ON c.cik = s.cik GROUP BY 1 HAVING count(c.cik) > 0"""))
+def rewritten_buckets(c):
+    keys = dl.changed_keys(dl.classify_changes(c["fx_hash_new"], c["fx_hash_old"]))
+    return dl.touched_buckets(c["fx_std"], keys, TOUCH_BUCKETS)
 
 
 @query("upsert_last", "B11 (last load wins per key)", sql(_H, [], """

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from finfacts.operators.joins import literal_table
 from finfacts.functions.payload import canonical_json_sha256
-from finfacts.operators import sets
+from finfacts.operators import incremental as inc
+from finfacts.operators import periods, sets
 from finfacts.operators import standardize as sd
-from finfacts.operators.latest import period_index
-from finfacts.plans import dims, jobs
+from finfacts.operators import statements as st
+from finfacts.plans import dims
 from finfacts.plans.fixtures import AS_OF, RECENT_FROM
 from finfacts.plans.q_company import _CANON_CTES
-from finfacts.plans.q_ingest import EXPLODE_CTES, facts
+from finfacts.plans.q_ingest import EXPLODE_CTES, FIXTURE_STATEMENT_RULES, facts, statement_rules
 from finfacts.plans.registry import query, sql
 
 R = f"DATE '{RECENT_FROM}'"
@@ -28,44 +29,160 @@ FIXTURE_STD_RULES = [
 ]
 
 
-@query("standardize_facts", "L6 (rules, priority, period class) A11", sql(["fx_doc"], EXPLODE_CTES + [
+_STD_CTES = [
     ("rules", dims.values_sql(FIXTURE_STD_RULES, ["company_type", "statement", "line_item", "priority", "namespace",
                                                   "tag", "kind"],
                               ["VARCHAR", "VARCHAR", "VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR"])),
     ("classed", """
-SELECT f.cik, r.statement, r.line_item, r.priority, r.kind, f."end" AS period_ending, CAST(year(f."end") AS INTEGER) AS fiscal_year,
-       upper(coalesce(f.fp, '')) AS fp, f.val, f.unit, r.company_type, f.namespace, f.tag, coalesce(f.filed, f."end") AS filed,
-       CASE WHEN r.kind = 'duration' THEN CASE WHEN f."end" - f."start" BETWEEN 350 AND 380 THEN 'annual'
-                                               WHEN f."end" - f."start" BETWEEN 80 AND 100 THEN 'quarterly' END
-            WHEN f."start" IS NULL THEN if(upper(f.fp) = 'FY', 'annual', 'quarterly') END AS frequency
+SELECT f.cik, r.statement, r.line_item, r.priority, r.kind, f."start" AS s, f."end" AS e, upper(coalesce(f.fp, '')) AS fp, f.val, f.unit,
+       r.company_type, f.namespace, f.tag, coalesce(f.filed, f."end") AS filed,
+       CASE WHEN r.kind = 'duration' THEN list_filter([('quarterly', 80, 100), ('half', 165, 200), ('nine', 250, 290), ('annual', 350, 380)],
+                                                      lambda c: f."end" - f."start" BETWEEN c[2] AND c[3])[1][1]
+            WHEN f."start" IS NULL THEN if(upper(f.fp) = 'FY', 'annual', 'quarterly') END AS class
 FROM facts f JOIN rules r ON r.company_type = 'industrial' AND r.namespace = f.namespace AND r.tag = f.tag
 WHERE f.val IS NOT NULL AND f."end" IS NOT NULL"""),
     ("p", """
-SELECT *, CASE WHEN frequency = 'annual' THEN 'FY' WHEN regexp_matches(fp, '^Q[1-4]$') THEN fp
-               ELSE 'Q' || CAST(quarter(period_ending) AS VARCHAR) END AS fiscal_period
-FROM classed WHERE frequency IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY cik, statement, line_item, period_ending, frequency
-                           ORDER BY priority ASC, filed DESC, val DESC, fiscal_year DESC, fiscal_period DESC,
-                                    unit DESC, namespace DESC, tag DESC) = 1"""),
-    ("picked", """
-SELECT cik, statement, period_ending, fiscal_year, fiscal_period, frequency, line_item AS tag, val,
-       CASE WHEN regexp_matches(unit, '^[A-Z]{3}$') THEN unit END AS currency, company_type,
-       namespace || ':' || tag AS source, kind FROM p"""),
-    ("q4", """
-SELECT cik, statement, tag, fiscal_year, max((period_ending, val, currency, company_type)) FILTER (frequency = 'annual') AS fy,
-       CAST(sum(CAST(val AS DECIMAL(38,4))) FILTER (frequency = 'quarterly' AND fiscal_period <> 'Q4') AS DOUBLE) AS q123
-FROM picked WHERE kind = 'duration' GROUP BY ALL
-HAVING count(*) FILTER (frequency = 'annual') > 0
-   AND list_sort(list(fiscal_period) FILTER (frequency = 'quarterly')) = ['Q1', 'Q2', 'Q3']"""),
-], """
-SELECT * EXCLUDE kind FROM picked
+SELECT row_number() OVER () AS id, * FROM (SELECT * FROM classed WHERE class IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY cik, statement, line_item, e, class
+                           ORDER BY priority ASC, filed DESC, val DESC, fp DESC, s DESC NULLS LAST, unit DESC, namespace DESC, tag DESC) = 1)"""),
+    ("years", """
+SELECT DISTINCT cik, s, if(class = 'annual', e, (s + INTERVAL 12 MONTH - INTERVAL 1 DAY)::DATE) AS e, class = 'annual' AS whole FROM p
+WHERE kind = 'duration' AND ((class = 'annual' AND fp IN ('FY', '')) OR (class, fp) IN (('half', 'Q2'), ('nine', 'Q3')))"""),
+    ("held", """
+SELECT p.id, y.s AS fs, y.e AS fe FROM p JOIN years y ON y.cik = p.cik AND y.s <= coalesce(p.s, p.e) + 7 AND p.e <= y.e + 7
+QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY y.whole DESC, y.e, y.s DESC) = 1"""),
+    ("before", "SELECT p.id, max(y.e) AS le FROM p JOIN years y ON y.cik = p.cik AND y.whole AND y.e < p.e GROUP BY p.id"),
+    ("placed", """
+SELECT p.*, CASE WHEN h.fs IS NOT NULL THEN h.fs WHEN p.e - b.le <= 380 THEN b.le + 1 WHEN class IN ('half', 'nine') THEN p.s END AS fy_start,
+       CASE WHEN h.fs IS NOT NULL THEN h.fe WHEN p.e - b.le <= 380 THEN (b.le + INTERVAL 12 MONTH)::DATE
+            WHEN class IN ('half', 'nine') THEN (p.s + INTERVAL 12 MONTH - INTERVAL 1 DAY)::DATE END AS fy_end,
+       greatest(1, least(4, CAST(round((p.e - fy_start + 1) / 91.3125) AS INTEGER))) AS slot
+FROM p LEFT JOIN held h ON h.id = p.id LEFT JOIN before b ON b.id = p.id"""),
+    # What each fiscal year of an item tells: (k, true) sums of its first k quarters, (k, false) single quarters.
+    ("told", """
+SELECT cik, statement, line_item, unit, company_type, fy_start, max(fy_end) AS fy_end, slot AS k, false AS is_sum, any_value(val) AS v, any_value(s) AS s, any_value(e) AS e, count(*) AS n
+FROM placed WHERE kind = 'duration' AND class = 'quarterly' AND fy_start IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT cik, statement, line_item, unit, company_type, fy_start, max(fy_end), CASE class WHEN 'half' THEN 2 WHEN 'nine' THEN 3 ELSE 4 END AS k, true, any_value(val), any_value(s), any_value(e), count(*)
+FROM placed WHERE kind = 'duration' AND class <> 'quarterly' AND abs(s - fy_start) <= 7 GROUP BY ALL"""),
+    ("grid", """
+SELECT cik, statement, line_item, unit, company_type, fy_start, max(fy_end) AS fy_end,
+       max(v) FILTER (NOT is_sum AND k = 1 AND n = 1) AS q1, max(v) FILTER (NOT is_sum AND k = 2 AND n = 1) AS q2,
+       max(v) FILTER (NOT is_sum AND k = 3 AND n = 1) AS q3, max(v) FILTER (NOT is_sum AND k = 4 AND n = 1) AS q4,
+       max(v) FILTER (NOT is_sum AND k = 1 AND n = 1 AND abs(s - fy_start) <= 7) AS y1,
+       max(v) FILTER (is_sum AND k = 2 AND n = 1) AS y2, max(v) FILTER (is_sum AND k = 3 AND n = 1) AS y3, max(v) FILTER (is_sum AND k = 4 AND n = 1) AS y4,
+       list(k) FILTER (NOT is_sum) AS reported, max(e) FILTER (is_sum AND k = 2) AS e2, max(e) FILTER (is_sum AND k = 3) AS e3, max(e) FILTER (is_sum AND k = 4) AS e4,
+       max(s) FILTER (NOT is_sum AND k = 2) AS s2, max(s) FILTER (NOT is_sum AND k = 3) AS s3, max(s) FILTER (NOT is_sum AND k = 4) AS s4
+FROM told GROUP BY cik, statement, line_item, unit, company_type, fy_start"""),
+    # Sums from all ways there are, nearest first; money has at most two places here, so rounding makes it exact.
+    ("solved", """
+SELECT *, coalesce(y2, y1 + q2) AS f2, coalesce(y3, coalesce(y2, y1 + q2) + q3) AS f3, coalesce(y4, coalesce(y3, coalesce(y2, y1 + q2) + q3) + q4) AS f4,
+       coalesce(f3, f4 - q4) AS z3, coalesce(f2, z3 - q3) AS z2, coalesce(y1, z2 - q2) AS z1 FROM grid"""),
+    ("derived", """
+SELECT cik, statement, line_item, unit, company_type, fy_end, unnest([
+         {k: 1, v: round(z1, 2), e: s2 - 1}, {k: 2, v: round(z2 - z1, 2), e: coalesce(e2, s3 - 1)},
+         {k: 3, v: round(z3 - z2, 2), e: coalesce(e3, s4 - 1)}, {k: 4, v: round(f4 - z3, 2), e: e4}]) AS d, reported FROM solved"""),
+]
+
+_STD_FINAL = """
+SELECT cik, statement, e AS period_ending, CAST(year(CASE WHEN class = 'annual' OR fy_end IS NULL THEN e ELSE fy_end END - 7) AS INTEGER) AS fiscal_year,
+       CASE WHEN class = 'annual' THEN 'FY' WHEN slot IS NOT NULL AND fy_start IS NOT NULL THEN 'Q' || slot WHEN regexp_matches(fp, '^Q[1-4]$') THEN fp
+            ELSE 'Q' || quarter(e) END AS fiscal_period, class AS frequency, line_item AS tag, val,
+       CASE WHEN regexp_matches(unit, '^[A-Z]{3}$') THEN unit END AS currency, company_type, namespace || ':' || tag AS source
+FROM placed WHERE class IN ('annual', 'quarterly')
 UNION ALL
-SELECT cik, statement, fy[1], fiscal_year, 'Q4', 'quarterly', tag, fy[2] - q123, fy[3], fy[4], 'derived: ' || tag || ' (Q4)' FROM q4"""))
+SELECT cik, statement, d.e, CAST(year(fy_end - 7) AS INTEGER), 'Q' || d.k, 'quarterly', line_item, d.v, CASE WHEN regexp_matches(unit, '^[A-Z]{3}$') THEN unit END,
+       company_type, 'derived: ' || line_item || ' (Q' || d.k || ')'
+FROM derived WHERE d.v IS NOT NULL AND d.e IS NOT NULL AND NOT coalesce(list_contains(reported, d.k), false)"""
+
+
+@query("standardize_facts", "L6 (rules, priority, period class, fiscal years, year-to-date) A11", sql(["fx_doc"], EXPLODE_CTES + _STD_CTES, _STD_FINAL))
 def standardize_facts(c):
     rules = literal_table(c.spark, FIXTURE_STD_RULES, sd.RULE_SCHEMA)
     return sd.standardize(facts(c).drop("event_id"), rules)
 
 
+# A company's files before and after a delta, by company number: 5 vanishes, 6 is emptied, 7 is new, 8 had half of its
+# documents; the others stay.
+def _snapshots(c):
+    f = c.stored("facts")
+    part = F.col("cik").cast("long") % 11
+    old = f.where((part != 7) & ((part != 8) | (F.col("event_id") % 2 == 0)))
+    delta = f.where(part.isin(7, 8))
+    changed = f.where(part.isin(5, 6, 7, 8)).select("cik").distinct()
+    return old, delta, changed
+
+
+@query("incremental_equals_full", "K5 L2 L5 L6 L7 (derived tables after a delta of new, changed, emptied and vanished companies)",
+       sql(["fx_doc"], EXPLODE_CTES[:-1] + [("all_facts", EXPLODE_CTES[-1][1]), ("facts_left", "SELECT * FROM all_facts WHERE CAST(cik AS BIGINT) % 11 NOT IN (5, 6)"),
+           ("statement_of", "SELECT * FROM (VALUES " + ", ".join(map(str, FIXTURE_STATEMENT_RULES)) + ") v(statement, tag)"),
+           ("done", """
+SELECT cik FROM facts_left JOIN statement_of USING (tag) WHERE namespace IN ('us-gaap', 'ifrs-full') GROUP BY cik HAVING count(DISTINCT statement) = 3"""),
+           ("facts", "SELECT * FROM facts_left SEMI JOIN done USING (cik)")] + _STD_CTES + [("std", _STD_FINAL)], """
+SELECT 'standardized' AS derived, cik, statement || ' ' || tag || ' ' || frequency || ' ' || fiscal_year || fiscal_period AS item,
+       CAST(period_ending AS VARCHAR) AS detail, val FROM std
+UNION ALL SELECT 'processed', cik, NULL, NULL, NULL FROM done
+UNION ALL SELECT 'companies', cik, arg_max(entity_name, event_id), NULL, NULL FROM facts_left GROUP BY cik
+UNION ALL SELECT 'tags', cik, namespace || ':' || tag, arg_min(label, event_id), min(event_id) FROM facts_left GROUP BY cik, namespace, tag
+UNION ALL SELECT 'presentation', NULL, company_type || ' ' || statement || ' ' || tag, NULL, count(DISTINCT cik) FROM std GROUP BY company_type, statement, tag"""))
+def incremental_equals_full(c):
+    old, delta, changed = _snapshots(c)
+    rules, std_rules = statement_rules(c.spark), literal_table(c.spark, FIXTURE_STD_RULES, sd.RULE_SCHEMA)
+    t = inc.apply_delta(inc.company_tables(old, rules, std_rules, "event_id"), inc.company_tables(delta, rules, std_rules, "event_id"), changed)
+    text, none, num = (lambda x: x.cast("string")), F.lit(None).cast("string"), F.lit(None).cast("double")
+    std = t["standardized_statements"].select(
+        F.lit("standardized").alias("derived"), "cik", F.concat_ws(" ", "statement", "tag", "frequency", F.concat(text(F.col("fiscal_year")), "fiscal_period")).alias("item"),
+        text(F.col("period_ending")).alias("detail"), "val")
+    rows = [std, t["processed_ciks"].select(F.lit("processed"), "cik", none, none, num),
+            t["companies"].select(F.lit("companies"), "cik", "entity_name", none, num),
+            t["cik_tags"].select(F.lit("tags"), "cik", F.concat_ws(":", "namespace", "tag"), "label", F.col("first_seen").cast("double")),
+            inc.presentation_of(t["std_lines"]).select(F.lit("presentation"), none, F.concat_ws(" ", *sd.PRESENTATION_KEYS), none, F.col("companies").cast("double"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+# Line items of the filed periods in ``fx_ytd``.
+FISCAL_RULES = [
+    ("industrial", "income_statement", "total_revenue", 1, "us-gaap", "Revenues", "duration"),
+    ("industrial", "cash_flow", "net_cash_from_operating_activities", 1, "us-gaap", "CashFromOperations", "duration"),
+]
+
+
+def ytd_facts(c):
+    return c["fx_ytd"].withColumnsRenamed({"start_date": "start", "end_date": "end"})
+
+
+# The oracles don't take sums apart: they read the quarters that the filed sums were made of.
+@query("quarters_from_ytd", "L6 (year-to-date series by quarter; December, January, June and 52/53-week years)", sql(["fx_fyear"], [], """
+SELECT cik, 'CashFromOperations' AS tag, fy_start, 2 AS slot, e2 AS period_ending, CAST(v2 AS DOUBLE) AS val FROM fx_fyear WHERE CAST(cik AS INT) % 5 <> 0
+UNION ALL SELECT cik, 'CashFromOperations', fy_start, 3, e3, CAST(v3 AS DOUBLE) FROM fx_fyear WHERE CAST(cik AS INT) % 5 <> 0
+UNION ALL SELECT cik, t.tag, fy_start, 4, fy_end, CAST(v4 AS DOUBLE) FROM fx_fyear, (VALUES ('CashFromOperations'), ('Revenues')) t(tag) WHERE v4 IS NOT NULL"""))
+def quarters_from_ytd(c):
+    p = ytd_facts(c).withColumn("class", periods.period_class(F.col("start"), F.col("end")))
+    placed = periods.in_fiscal_year(p, periods.fiscal_years(p))
+    d = periods.quarters_from_ytd(placed, ["cik", "tag", "unit"])
+    return d.select("cik", "tag", "fy_start", "slot", F.col("end").alias("period_ending"), "val")
+
+
+@query("fiscal_statements", "L6 (annual and quarterly rows labelled by the fiscal year that holds them)", sql(["fx_fyear"], [
+    ("y", "SELECT *, CAST(year(fy_end - 7) AS INTEGER) AS fiscal_year, CAST(cik AS INT) % 5 <> 0 AS has_half FROM fx_fyear"),
+    ("r", """
+SELECT cik, 'income_statement' AS statement, unnest([(e1, 'Q1', v1), (e2, 'Q2', v2), (e3, 'Q3', v3), (fy_end, 'Q4', v4), (fy_end, 'FY', v1 + v2 + v3 + v4)]) AS x,
+       fiscal_year, 'total_revenue' AS tag, ['Q4'] AS derived, 'Revenues' AS reported, true AS has_half FROM y
+UNION ALL
+SELECT cik, 'cash_flow', unnest([(e1, 'Q1', v1), (e2, 'Q2', v2), (e3, 'Q3', v3), (fy_end, 'Q4', v4), (fy_end, 'FY', v1 + v2 + v3 + v4)]),
+       fiscal_year, 'net_cash_from_operating_activities', ['Q2', 'Q3', 'Q4'], 'CashFromOperations', has_half FROM y"""),
+], """
+SELECT cik, statement, x[1] AS period_ending, fiscal_year, x[2] AS fiscal_period, if(x[2] = 'FY', 'annual', 'quarterly') AS frequency, tag,
+       CAST(x[3] AS DOUBLE) AS val, 'USD' AS currency, 'industrial' AS company_type,
+       if(list_contains(derived, x[2]), 'derived: ' || tag || ' (' || x[2] || ')', 'us-gaap:' || reported) AS source
+FROM r WHERE x[3] IS NOT NULL AND (has_half OR x[2] NOT IN ('Q2', 'Q3'))"""))
+def fiscal_statements(c):
+    return sd.standardize(ytd_facts(c), literal_table(c.spark, FISCAL_RULES, sd.RULE_SCHEMA))
+
+
 # Fixture presentation rows (company_type, statement, tag, label, description, parent, sequence, factor,
 # balance, unit) for the fixture line items; goodwill and financial templates have none (defaults apply).
 FIXTURE_PRESENTATION = [
@@ -159,13 +276,7 @@ SELECT period, 'None', cik, tag, period_ending, val * coalesce(rate, 1) FROM ser
 SELECT *, CAST(dense_rank() OVER (PARTITION BY period, transform, cik ORDER BY period_ending DESC) AS INTEGER) AS period_rank
 FROM views QUALIFY period_rank <= {_VIEW_LIMIT}"""))
 def statement_views(c):
-    out = None
-    for period, transform in jobs.VIEW_MATRIX:
-        v = jobs.statement_view(c["fx_std"], c["fx_calendar"], "income_statement", period, transform, limit=_VIEW_LIMIT)
-        v = v.select(F.lit(period).alias("period"), F.lit(transform).alias("transform"), "cik", "tag", "period_ending",
-                     F.col("val" if transform == "None" else "growth").alias("value"), "period_rank")
-        out = v if out is None else out.unionByName(v)
-    return out
+    return st.statement_views(c["fx_std"], c["fx_calendar"], "income_statement", _VIEW_LIMIT)
 
 
 @query("latest_period", "M25 C1", sql(["fx_std"], [], """

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finfacts.operators.joins import literal_table
+from finfacts.operators import dictionaries as dc
 from finfacts.operators import facts as fa
 from finfacts.operators import fx
+from finfacts.operators.joins import literal_table
 from finfacts.plans.fixtures import AS_OF
 from finfacts.plans.registry import query, sql
+from finfacts.sources import filings
 
 # Fixture rules table (statement, tag): which statement each fixture fact tag
 # belongs to, standing in for the statement schema's tag sets.
@@ -36,7 +38,7 @@ def _norm_cik(x):
 
 
 def _date(x):
-    return f"CASE WHEN regexp_matches(trim({x}), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST(substr(trim({x}), 1, 10) AS DATE) END"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({x} AS DATE) END"
 
 
 EXPLODE_CTES = [
@@ -101,6 +103,26 @@ def facts_document(c):
     return fa.company_document_parts(f, fa.companies_from_facts(f, "event_id"))
 
 
+@query("facts_document_text", "M1 E12 G4 (whole documents in pieces, also tags without facts)", sql(["fx_doc"], _DOC_CTES + [
+    ("kept", "SELECT * FROM units WHERE CAST(cik AS BIGINT) % 5 <> 2 OR tag <> 'click'"),
+    ("parts", """
+SELECT cik, namespace, tag, '{"label":"' || max(u.label) || '","description":"' || max(u.description) || '","units":{'
+       || coalesce(string_agg(k.records, ',' ORDER BY k.unit), '') || '}}' AS fragment
+FROM units u LEFT JOIN kept k USING (cik, namespace, tag, unit) GROUP BY cik, namespace, tag"""),
+    ("numbered", """
+SELECT *, row_number() OVER c AS i, count(*) OVER (PARTITION BY cik) AS n, lag(namespace) OVER c AS before, lead(namespace) OVER c AS after
+FROM parts JOIN names USING (cik) WINDOW c AS (PARTITION BY cik ORDER BY namespace, tag)"""),
+], """
+SELECT cik, namespace, tag, if(i = 1, '{"cik":"' || cik || '","entityName":"' || entity_name || '","facts":{', '')
+       || if(before IS DISTINCT FROM namespace, '"' || namespace || '":{', '') || '"' || tag || '":' || fragment
+       || if(after IS DISTINCT FROM namespace, '}', '') || if(i = n, '}}', ',') AS text
+FROM numbered"""))
+def facts_document_text(c):
+    f = facts(c)
+    some = f.where((F.col("cik").cast("long") % 5 != 2) | (F.col("tag") != "click"))      # tags of some companies have no facts
+    return fa.document_text(fa.company_document_parts(some, fa.companies_from_facts(f, "event_id"), f))
+
+
 @query("companies_from_facts", "L1 (company rows; no facts -> no company)", sql(["fx_doc"], EXPLODE_CTES, """
 SELECT cik, arg_max(entity_name, event_id) AS entity_name FROM facts GROUP BY cik"""))
 def companies_from_facts(c):
@@ -115,12 +137,32 @@ def tag_dictionary(c):
     return fa.tag_metadata(facts(c), "event_id")
 
 
-@query("dict_encode_roundtrip", "L3 L8 D1 D2 (decode(encode(x)) = x)",
+@query("dict_encode_roundtrip", "L3 L8 D1 D2 (decode(encode(x)) = x over stored dictionaries)",
        sql(["fx_doc"], EXPLODE_CTES, f"SELECT {_FACT_COLS} FROM facts"))
 def dict_encode_roundtrip(c):
-    f = fa.explode_company_facts(c["fx_doc"], "payload", doc_id="event_id")
-    enc, tags, accns = fa.encode(f)
-    return fa.decode(enc, tags, accns).select(*f.columns)
+    f, tags, accns = facts(c), c["xbrl_tags"], c["accessions"]
+    enc = dc.encode_key(dc.encode_key(f, tags, ["namespace", "tag"], "tag_id"), accns, ["accn"], "accn_id")
+    back = dc.decode_key(dc.decode_key(enc, tags, ["namespace", "tag"], "tag_id"), accns, ["accn"], "accn_id", spread=["event_id"])
+    return back.select(*f.columns)
+
+
+@query("dictionary_delta", "L2 L3 (dictionary grown by a later load; texts first seen stay)", sql(["fx_doc"], EXPLODE_CTES + [
+    ("loads", "SELECT *, if(event_id % 3 = 1 AND accn < '0001-24-3', 1, 2) AS load FROM facts WHERE accn IS NOT NULL"),
+    ("first_load", "SELECT tag, accn, min(load) AS load FROM loads GROUP BY ALL")], """
+SELECT tag, accn, arg_min(label, event_id) AS label, load AS found_in FROM loads JOIN first_load USING (tag, accn, load) GROUP BY ALL"""))
+def dictionary_delta(c):
+    f = facts(c).where("accn is not null").withColumn("found_in", F.when((F.col("event_id") % 3 == 1) & (F.col("accn") < "0001-24-3"), 1).otherwise(2))
+    stored = dc.dictionary_delta(None, f.where("found_in = 1"), ["tag", "accn"], ["label", "found_in"], "event_id")
+    return dc.dictionary_delta(stored, f.where("found_in = 2"), ["tag", "accn"], ["label", "found_in"], "event_id").select("tag", "accn", "label", "found_in")
+
+
+@query("schema_tag_rules", "A11 (schemas of any depth)", sql(["fx_schema"], [
+    ("node", "SELECT s.statement, t.value AS list FROM fx_schema s, json_tree(s.json) t WHERE t.key = 'xbrl_tags' AND t.type = 'ARRAY'"),
+    ("item", "SELECT statement, unnest(json_extract(list, '$[*]')) AS x FROM node")], """
+SELECT DISTINCT statement, x->>'$.namespace' AS namespace, x->>'$.tag' AS tag FROM item
+WHERE json_type(x) = 'OBJECT' AND x->>'$.namespace' IN ('us-gaap', 'ifrs-full') AND json_type(x, '$.tag') = 'VARCHAR'"""))
+def schema_tag_rules(c):
+    return filings.statement_tag_rules(c["fx_schema"].select("statement", "json"))
 
 
 @query("decode_views", "L8 D1 D2 D3 (decoded facts + tag metadata views over encoded tables)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finfacts.operators import rank
+from finfacts.operators import asof, rank
 from finfacts.operators.asof import asof_pairs
 from finfacts.operators.latest import latest_by
 from finfacts.plans import dims
@@ -246,3 +246,16 @@ def latest_per_company(c):
 @query("best_ticker", "F4", sql(["fx_primary_tickers"], [BEST_TICKER], "SELECT cik, ticker FROM best_ticker"))
 def best_ticker_q(c):
     return rank.best_ticker(c["fx_primary_tickers"])
+
+
+# Events by user; a third of them by one user. Quotes are purchases, the last one of a day counts.
+@query("asof_keyed", "D6 7.3 (as-of join by any key, one key with a third of the rows)", sql([], [
+    ("e", "SELECT event_id, if(event_id % 3 = 0, 0, user_id) AS k, CAST(ts AS DATE) AS d, event_type, CAST(value AS DOUBLE) AS v FROM events"),
+    ("q", "SELECT k, d AS quote_day, max((event_id, v)) AS q FROM e WHERE event_type = 'purchase' GROUP BY k, d")], """
+SELECT e.event_id, e.k, e.d, quote_day, q[1] AS quote_id, q[2] AS quote FROM e ASOF LEFT JOIN q ON e.k = q.k AND e.d >= q.quote_day
+WHERE event_type <> 'purchase'"""))
+def asof_keyed(c):
+    e = c["events"].select("event_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("k"), F.to_date("ts").alias("d"), "event_type",
+                           F.col("value").cast("double").alias("v"))
+    quotes = e.where("event_type = 'purchase'").select("k", F.col("d").alias("quote_day"), F.col("event_id").alias("quote_id"), F.col("v").alias("quote"))
+    return asof.asof_join(e.where("event_type <> 'purchase'").select("event_id", "k", "d"), quotes, ["k"], "d", "quote_day", ["quote_id", "quote"])

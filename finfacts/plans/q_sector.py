@@ -134,6 +134,17 @@ def sector_rollup(c):
     return rollup.sector_rollup(classified(c), c["fx_std"], as_of=AS_OF)
 
 
+@query("sector_medians", "E7 M13 (medians per sector, industry and sub-industry)", sql([*_FIX, "fx_std"], [*CLASSIFY_CTES, *_FIGURE_CTES, ("shares", """
+SELECT sector, industry, sub_industry, if(sales_sum > 0, 1e2 * profit / CAST(sales_sum AS DOUBLE), NULL) AS margin,
+       if(asset_sum > 0, 1e2 * profit / CAST(asset_sum AS DOUBLE), NULL) AS roa FROM company""")], """
+SELECT sector, industry, sub_industry, count(margin) AS with_margin, round(quantile_cont(margin, 0.5), 6) + 0.0 AS median_net_margin,
+       count(roa) AS with_roa, round(quantile_cont(roa, 0.5), 6) + 0.0 AS median_roa,
+       CASE WHEN grouping(industry) = 1 THEN 'sector' WHEN grouping(sub_industry) = 1 THEN 'industry' ELSE 'sub_industry' END AS level
+FROM shares GROUP BY GROUPING SETS ((sector), (sector, industry), (sector, industry, sub_industry))"""))
+def sector_medians(c):
+    return rollup.sector_medians(classified(c), c["fx_std"], as_of=AS_OF)
+
+
 @query("top_metric_sector", "M14 M10 (sector filter)",
        metric_oracle("income_statement", "total_revenue", limit=10, extra_fixtures=_FIX, extra_ctes=CLASSIFY_CTES,
                      among="s.cik IN (SELECT cik FROM classified WHERE sector = 'Health Care')"))

@@ -105,6 +105,13 @@ def sync_plan(remote: DataFrame, local: DataFrame) -> DataFrame:
     return j.select(F.col("r.name").alias("name"), F.when(same, "REUSE").otherwise("FETCH").alias("action"))
 
 
+def write_documents(pieces: DataFrame, path: str) -> None:
+    """Documents as text, in order over the files: one piece (cik, namespace, tag, text) a line, companies one after the
+    other. Line ends between pieces are blanks to JSON. Pieces are dealt out by range, so a company may span files."""
+    order = ["cik", "namespace", "tag"]
+    pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("text").write.mode("errorifexists").text(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Bulk append (Parquet); Spark batches rows per task, no statement size limit."""
     df.write.mode("append").option("compression", "zstd").parquet(path)

@@ -182,14 +182,24 @@ def keyed_slice(df: DataFrame, ciks: DataFrame) -> DataFrame:
 
 
 def statement_tag_rules(schemas: DataFrame) -> DataFrame:
-    """(statement, json) statement schema documents -> (statement, namespace, tag) rules.
+    """(statement, json) statement schema documents -> distinct (statement, namespace, tag) rules.
 
-    Every ``"xbrl_tags": [...]`` list anywhere in the document is read (any nesting
-    depth); only us-gaap and ifrs-full tags are kept.
+    Every ``xbrl_tags`` list at any depth is read: items are objects with ``namespace`` and a text ``tag``, or texts
+    ``namespace:tag``. Only us-gaap and ifrs-full tags count; other items and values of the key are skipped, and so is
+    a document that is no JSON. The walk is a recursive query over the documents' values.
     """
-    lists = schemas.select("statement", F.explode(F.regexp_extract_all(
-        "json", F.lit(r'"xbrl_tags"\s*:\s*\[([^\]]*)\]'), F.lit(1))).alias("lst"))
-    items = lists.select("statement", F.explode(F.regexp_extract_all(
-        "lst", F.lit(r'"((?:us-gaap|ifrs-full):[^"]+)"'), F.lit(1))).alias("qtag"))
-    return items.select("statement", F.split("qtag", ":", 2).getItem(0).alias("namespace"),
-                        F.split("qtag", ":", 2).getItem(1).alias("tag")).distinct()
+    return schemas.sparkSession.sql("""
+        WITH RECURSIVE node(statement, key, v) MAX RECURSION LEVEL 10000 AS (
+          SELECT statement, CAST(NULL AS STRING), try_parse_json(json) FROM {schemas}
+          UNION ALL
+          SELECT n.statement, c.key, c.value FROM node n, LATERAL variant_explode(n.v) c
+        ), item AS (
+          SELECT n.statement, i.value AS v FROM node n, LATERAL variant_explode(n.v) i WHERE n.key = 'xbrl_tags' AND i.key IS NULL
+        ), tagged AS (
+          SELECT statement, CASE WHEN schema_of_variant(v) = 'STRING' THEN split_part(CAST(v AS STRING), ':', 1)
+                                 WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN try_variant_get(v, '$.namespace', 'string') END AS namespace,
+                 CASE WHEN schema_of_variant(v) = 'STRING' AND CAST(v AS STRING) LIKE '%:%' THEN substring(CAST(v AS STRING), instr(CAST(v AS STRING), ':') + 1)
+                      WHEN schema_of_variant(v) LIKE 'OBJECT%' AND schema_of_variant(try_variant_get(v, '$.tag', 'variant')) = 'STRING'
+                      THEN try_variant_get(v, '$.tag', 'string') END AS tag
+          FROM item)
+        SELECT DISTINCT statement, namespace, tag FROM tagged WHERE namespace IN ('us-gaap', 'ifrs-full') AND tag IS NOT NULL""", schemas=schemas)

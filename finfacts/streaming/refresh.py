@@ -1,14 +1,10 @@
 """Continuous refresh of the facts store from landed company files.
 
-New or rewritten ``CIK*.json`` files arrive in a landing folder. Each micro-batch:
-hash the payloads, compare with the stored hashes, explode only new or changed
-companies, replace those companies' rows, and commit a new snapshot version.
-``foreachBatch`` is at-least-once; a replayed batch finds equal hashes and writes
-nothing, so the store stays exactly-once in effect.
-
-Store layout (all Parquet under ``store``): ``v=<epoch>/facts``,
-``v=<epoch>/companies`` and an append-only ``_log`` of committed epochs. A
-snapshot becomes visible only after its log row is appended.
+New or rewritten ``CIK*.json`` files arrive in a landing folder. Each micro-batch is applied like a delta build
+(``jobs.apply_company_files``): hashes compared with those last seen, only new or changed companies exploded, only the
+buckets that they fall into rewritten, all tables published as one version. ``foreachBatch`` is at-least-once; a
+replayed batch finds equal hashes and publishes nothing, so the store stays exactly-once in effect. A batch that dies
+leaves files that no version names.
 """
 
 from __future__ import annotations
@@ -17,79 +13,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik
-from finfacts.operators.delta import changed_keys, classify_changes, replace_by_key, upsert_last
-from finfacts.operators.facts import explode_company_facts, processed_companies
+from finfacts.plans.jobs import apply_company_files
+from finfacts.store import Store
 
 FACTS_NAME = r"CIK(\d+)\.json$"
 
 
 def current_version(spark: SparkSession, store: str) -> int | None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/_log")
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None                     # no commit yet; any other trouble raises
-    row = spark.read.parquet(f"{store}/_log").agg(F.max("epoch").alias("e")).collect()[0]
-    return row["e"]
+    return Store(spark, store).version or None
 
 
 def read_store(spark: SparkSession, store: str) -> tuple[DataFrame | None, DataFrame | None]:
-    v = current_version(spark, store)
-    if v is None:
-        return None, None
-    return spark.read.parquet(f"{store}/v={v}/facts"), spark.read.parquet(f"{store}/v={v}/companies")
+    """(facts, companies) of the latest version."""
+    s = Store(spark, store)
+    return s.table("facts"), s.table("companies")
 
 
-def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int, rules: DataFrame | None = None) -> int:
+def apply_batch(spark: SparkSession, files: DataFrame, store: str, epoch: int, rules: DataFrame | None = None, std_rules: DataFrame | None = None,
+                definitions: DataFrame | None = None) -> int:
     """files: (name, payload[, mtime]). Of several deliveries of a company the newest counts, by modification
-    time, then hash. Returns the number of companies written (0 = no-op).
+    time, then hash. Returns the number of companies changed (0 = no-op).
 
-    With ``rules`` (statement, tag) the processed-companies table is maintained too,
-    recomputed for the changed companies only.
+    With ``rules`` (statement, tag) the tables that follow from facts are maintained too, with ``std_rules`` also
+    statements; tables that the store lacks so far are built from all its facts. ``epoch`` orders the loads.
     """
     incoming = (files.where(F.col("name").rlike(FACTS_NAME))
-                .select(normalize_cik(F.regexp_extract("name", FACTS_NAME, 1)).alias("file_cik"), "payload",
+                .select(normalize_cik(F.regexp_extract("name", FACTS_NAME, 1)).alias("cik"), "payload",
                         F.sha2(F.encode("payload", "UTF-8"), 256).alias("h"),
                         (F.col("mtime") if "mtime" in files.columns else F.lit(None)).cast("timestamp").alias("mtime")))
-    newest = incoming.groupBy("file_cik").agg(F.max(F.struct("mtime", "h")).alias("newest"))
-    incoming = incoming.join(newest, "file_cik").where(F.struct("mtime", "h").eqNullSafe(F.col("newest"))).drop("newest", "mtime").dropDuplicates(["file_cik"])
-    facts_old, comp_old = read_store(spark, store)
-    if comp_old is None:
-        comp_old = spark.createDataFrame([], "cik string, entity_name string, h string, load_seq bigint")
-    status = classify_changes(incoming.select(F.col("file_cik").alias("cik"), "h"), comp_old.select("cik", "h"))
-    keys = changed_keys(status)
-    n = keys.count()
-    if n == 0:
-        return 0
-    batch = incoming.join(keys.withColumnRenamed("cik", "file_cik"), "file_cik", "left_semi")
-    base = f"{store}/v={epoch}"
-    # Companies without any fact are not stored (no company row either). Written, so that files are parsed once.
-    explode_company_facts(batch, "payload", doc_id="file_cik").drop("file_cik").write.mode("overwrite").parquet(f"{base}/_changed_facts")
-    new_facts = spark.read.parquet(f"{base}/_changed_facts")
-    new_comp = (new_facts.groupBy("cik").agg(F.max("entity_name").alias("entity_name"))
-                .join(batch.select(F.col("file_cik").alias("cik"), "h"), "cik", "inner")
-                .withColumn("load_seq", F.lit(int(epoch)).cast("bigint")))
-    if facts_old is None:
-        facts = new_facts
-    else:
-        facts = replace_by_key(facts_old, new_facts.select(*facts_old.columns), changed=keys)
-    companies = upsert_last(comp_old.join(keys, "cik", "left_anti").select("cik", "entity_name", "h", "load_seq"), new_comp,
-                            key="cik", order="load_seq").withColumn("load_seq", F.lit(int(epoch)).cast("bigint"))
-    facts.write.mode("overwrite").parquet(f"{base}/facts")
-    companies.write.mode("overwrite").parquet(f"{base}/companies")
-    if rules is not None:
-        prev = current_version(spark, store)
-        new_proc = processed_companies(new_facts, rules)
-        if prev is None:
-            proc = new_proc
-        else:
-            old_proc = spark.read.parquet(f"{store}/v={prev}/processed_ciks")
-            proc = old_proc.join(keys, "cik", "left_anti").unionByName(new_proc)
-        proc.write.mode("overwrite").parquet(f"{base}/processed_ciks")
-    spark.createDataFrame([(int(epoch),)], "epoch bigint").write.mode("append").parquet(f"{store}/_log")
-    return n
+    newest = incoming.groupBy("cik").agg(F.max(F.struct("mtime", "h")).alias("newest"))
+    incoming = (incoming.join(newest, "cik").where(F.struct("mtime", "h").eqNullSafe(F.col("newest"))).dropDuplicates(["cik"])
+                .select("cik", "payload", "h", F.lit(int(epoch)).cast("long").alias("load_seq")))
+    return apply_company_files(Store(spark, store), incoming, rules, std_rules, definitions)
 
 
 def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str, trigger_once: bool = True,
-                  rules: DataFrame | None = None):
+                  rules: DataFrame | None = None, std_rules: DataFrame | None = None, definitions: DataFrame | None = None):
     """Start the file-source stream; returns the StreamingQuery (``availableNow`` by default)."""
     # Each delivery lands in its own folder (a rewritten file keeps its name, and
     # the file source tracks files by path), hence the recursive lookup.
@@ -99,7 +58,7 @@ def start_refresh(spark: SparkSession, landing: str, store: str, checkpoint: str
                       F.col("value").alias("payload"), F.col("_metadata.file_modification_time").alias("mtime")))
 
     def each(batch: DataFrame, epoch: int) -> None:
-        apply_batch(batch.sparkSession, batch, store, epoch + 1, rules)
+        apply_batch(batch.sparkSession, batch, store, epoch + 1, rules, std_rules, definitions)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="1 minute")

@@ -25,7 +25,7 @@ def test_ticker_and_dates(spark):
     d = ids.strict_date("x")
     assert _one(spark, d, "2020-02-29") == dt.date(2020, 2, 29)
     assert _one(spark, d, "2021-02-29") is None
-    assert _one(spark, d, "2020-01-01T00:00:00") == dt.date(2020, 1, 1)
+    assert _one(spark, d, "2020-01-01T00:00:00") is None and _one(spark, d, " 2020-01-01") is None and _one(spark, d, "2020-01-01\n") is None
     assert _one(spark, d, "01/02/2020") is None
 
 

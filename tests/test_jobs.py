@@ -28,18 +28,18 @@ def test_full_and_delta_build_agree(spark, tmp_dir):
     _land(land, 1, {"A": 1, "B": 2, "C": 3})
     _land(land, 2, {"A": 1})
     jobs.build_facts(spark, land, store, rules)
-    assert spark.read.parquet(f"{store}/processed_ciks").collect()[0]["cik"] == "0000000001"
+    assert jobs.latest_table(spark, store, "processed_ciks").collect()[0]["cik"] == "0000000001"
     # company 2 changes, company 3 arrives, company 1 unchanged
     _land(land, 2, {"A": 5, "B": 6, "C": 7})
     _land(land, 3, {"B": 1})
     assert jobs.update_facts(spark, land, store, rules, version=2) == 2
-    delta_facts = spark.read.parquet(f"{store}/v=2/facts")
+    delta_facts = jobs.latest_table(spark, store, "facts")
     full = f"{tmp_dir}/full"
     jobs.build_facts(spark, land, full, rules)
     cols = ["cik", "namespace", "tag", "unit", "end", "val"]
     assert sorted(map(tuple, delta_facts.select(*cols).collect())) == \
-        sorted(map(tuple, spark.read.parquet(f"{full}/facts").select(*cols).collect()))
-    assert sorted(r["cik"] for r in spark.read.parquet(f"{store}/v=2/processed_ciks").collect()) == \
+        sorted(map(tuple, jobs.latest_table(spark, full, "facts").select(*cols).collect()))
+    assert sorted(r["cik"] for r in jobs.latest_table(spark, store, "processed_ciks").collect()) == \
         ["0000000001", "0000000002"]
 
 
@@ -69,11 +69,11 @@ def test_submissions_replace_only_dei_rows(spark, tmp_dir):
     with open(f"{subs}/CIK0000000001.json", "w") as fh:
         fh.write(json.dumps({"cik": "1", "name": "One", "sic": "7372", "sicDescription": "Software",
                              "filings": {"recent": {"form": ["10-K"]}, "files": []}}))
-    assert jobs.build_submissions(spark, subs, store, version=1) == 1
-    f = spark.read.parquet(f"{store}/v=1/facts")
+    assert jobs.build_submissions(spark, subs, store) == 1
+    f = jobs.latest_table(spark, store, "facts")
     got = sorted((r["namespace"], r["tag"]) for r in f.collect())
     assert got == [("dei", "EntityName"), ("dei", "EntitySicCode"), ("dei", "EntitySicDescription"), ("us-gaap", "A")]
-    s = spark.read.parquet(f"{store}/v=1/submissions").collect()[0]
+    s = jobs.latest_table(spark, store, "submissions").collect()[0]
     assert len(s["h"]) == 64 and s["payload"][:2] == bytes([0x1F, 0x8B])
 
 
@@ -163,13 +163,14 @@ def test_facts_of_changed_submissions_only(spark, tmp_dir):
     os.makedirs(subs, exist_ok=True)
     with open(f"{subs}/CIK0000000001.json", "w") as fh:
         fh.write(json.dumps({"cik": "1", "name": "One", "filings": {"recent": {"form": ["10-K"]}, "files": []}}))
-    jobs.build_submissions(spark, subs, store, version=1)
+    jobs.build_submissions(spark, subs, store, version=2)
     _land(land, 1, {"A": 9})
     _land(land, 2, {"A": 9})
-    assert jobs.update_facts(spark, land, store, rules, version=2, ciks=jobs.changed_submissions(spark, store, 1)) == 1
-    f = spark.read.parquet(f"{store}/v=2/facts").where("tag = 'A'")
-    assert sorted((r["cik"], r["val"]) for r in f.collect()) == [("0000000001", 9.0), ("0000000002", 1.0)]
-    assert jobs.changed_submissions(spark, store, 2).count() == 0
+    assert jobs.update_facts(spark, land, store, rules, version=3, ciks=jobs.changed_submissions(spark, store, 2)) == 1
+    facts = jobs.latest_table(spark, store, "facts")
+    assert sorted((r["cik"], r["val"]) for r in facts.where("tag = 'A'").collect()) == [("0000000001", 9.0), ("0000000002", 1.0)]
+    assert facts.where("form = 'submissions'").count() == 1             # facts from filing metadata outlive a change of the facts file
+    assert jobs.changed_submissions(spark, store, 3).count() == 0
 
 
 def test_sic_rules_from_a_file(spark, tmp_dir):

@@ -7,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from finfacts.sources import archive, filings
+from finfacts.store import Store
 from finfacts.streaming import refresh
 
 
@@ -75,8 +76,13 @@ def test_fx_xml(spark, tmp_dir):
 def test_statement_rules_and_keyed_slice(spark):
     doc = json.dumps({"rows": [{"tag": "total_assets", "xbrl_tags": ["us-gaap:Assets", "dei:X"],
                                 "children": [{"xbrl_tags": ["ifrs-full:Assets", "us-gaap:Assets"]}]}]})
-    r = filings.statement_tag_rules(spark.createDataFrame([("balance_sheet", doc)], "statement string, json string"))
-    assert sorted(map(tuple, r.collect())) == [("balance_sheet", "ifrs-full", "Assets"), ("balance_sheet", "us-gaap", "Assets")]
+    deep = json.dumps({"a": [[{"b": {"xbrl_tags": [{"namespace": "us-gaap", "tag": 'X"]['}, {"namespace": "dei", "tag": "N"}, {"namespace": "us-gaap", "tag": 5},
+                                                  {"namespace": "us-gaap"}, 7, None, "us-gaap", ["us-gaap:Y"]]}}]], "xbrl_tags": {"k": "us-gaap:Z"}, "t": '"xbrl_tags": ["us-gaap:No"]'})
+    rows = [("balance_sheet", doc), ("cash_flow", deep), ("cash_flow", "no json"), ("cash_flow", None), ("cash_flow", "[]"),
+            ("income_statement", "[" * 60 + doc + "]" * 60)]
+    r = filings.statement_tag_rules(spark.createDataFrame(rows, "statement string, json string"))
+    assert sorted(map(tuple, r.collect())) == [("balance_sheet", "ifrs-full", "Assets"), ("balance_sheet", "us-gaap", "Assets"), ("cash_flow", "us-gaap", 'X"]['),
+                                               ("income_statement", "ifrs-full", "Assets"), ("income_statement", "us-gaap", "Assets")]
     df = spark.createDataFrame([("1", 1), ("2", 2)], "cik string, v int")
     assert filings.keyed_slice(df, spark.createDataFrame([("2",)], "cik string")).collect()[0]["v"] == 2
 
@@ -107,7 +113,7 @@ def test_streaming_refresh_is_incremental_and_replay_safe(spark, tmp_dir):
     _write(f"{landing}/a/CIK0000000002.json", _doc(2, 20))
     refresh.start_refresh(spark, landing, store, ckpt, rules=rules).awaitTermination()
     v1 = refresh.current_version(spark, store)
-    assert [r["cik"] for r in spark.read.parquet(f"{store}/v={v1}/processed_ciks").collect()] == ["0000000001"]
+    assert [r["cik"] for r in Store(spark, store, version=v1).table("processed_ciks").collect()] == ["0000000001"]
     facts, comps = refresh.read_store(spark, store)
     assert sorted((r["cik"], r["val"]) for r in facts.where("tag = 'Revenue'").collect()) == \
         [("0000000001", 10.0), ("0000000002", 20.0)]
@@ -119,7 +125,7 @@ def test_streaming_refresh_is_incremental_and_replay_safe(spark, tmp_dir):
     assert sorted((r["cik"], r["val"]) for r in facts.where("tag = 'Revenue'").collect()) == \
         [("0000000001", 10.0), ("0000000002", 25.0)]
     v2 = refresh.current_version(spark, store)
-    assert sorted(r["cik"] for r in spark.read.parquet(f"{store}/v={v2}/processed_ciks").collect()) == \
+    assert sorted(r["cik"] for r in Store(spark, store, version=v2).table("processed_ciks").collect()) == \
         ["0000000001", "0000000002"]
     # replaying a batch is a no-op
     batch = spark.createDataFrame([("CIK0000000002.json", _doc(2, 25, ("Assets", "Capex")))], "name string, payload string")

@@ -22,7 +22,7 @@ from finfacts.plans.registry import REGISTRY  # noqa: E402
 
 
 # Queries that derive a stored table themselves, in Spark too.
-BUILDERS = {"facts_explode", "dict_encode_roundtrip", "processed_companies", "canonical_ciks", "classify_industry"}
+BUILDERS = {"facts_explode", "processed_companies", "canonical_ciks", "classify_industry"}
 
 
 def main():
