@@ -59,10 +59,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     and empty texts stay, repeated rows are changed alike, other columns pass through."""
     rows, back = _aside(docs)
     found = secrets.scan_secrets(rows)
-    text = secrets.redact(F.col("text"), F.col("secrets"))
-    out = dict(zip(docs.columns, back)) | {"text": text.alias("text")}
+    found = found.withColumn("__text", secrets.redact(F.col("text"), F.col("secrets")))
+    out = dict(zip(docs.columns, back)) | {"text": F.col("__text").alias("text")}
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType):
-        out["n_chars"] = F.when(F.size("secrets") > 0, F.length(text)).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        out["n_chars"] = F.when(F.size("secrets") > 0, F.length("__text")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return found.select(*out.values())
 
 
