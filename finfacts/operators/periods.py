@@ -81,11 +81,15 @@ def in_fiscal_year(periods: DataFrame, years: DataFrame) -> DataFrame:
 
 def _solve(field: str, kind: str):
     """Sums from a fiscal year's start to the end of its quarters 1 to 4, from quarters ``_q`` and sums ``_y`` (arrays of
-    the rows that tell each): as reported, else from a sum and a quarter beside it. Null where nothing tells."""
+    the rows that tell each): the reported quarters' sum where all are reported, else as reported, else from a sum and a
+    quarter beside it; the whole year first of all as reported. Null where nothing tells."""
     only = lambda rows: F.when(F.size(rows) == 1, F.get(rows, F.lit(0))[field]).cast(kind)
     q, y = F.transform("_q", only), F.transform("_y", only)
-    forward = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.array().cast(f"array<{kind}>"), lambda done, i: F.concat(
-        done, F.array(F.coalesce(F.get(y, i), F.get(done, i - 1) + F.get(q, i)).cast(kind))))
+    none = F.array().cast(f"array<{kind}>")
+    added = F.aggregate(F.sequence(F.lit(1), F.lit(2)), F.concat(none, F.slice(y, 1, 1)), lambda done, i: F.concat(
+        done, F.array((F.get(done, i - 1) + F.get(q, i)).cast(kind))))
+    forward = F.aggregate(F.sequence(F.lit(0), F.lit(3)), none, lambda done, i: F.concat(
+        done, F.array(F.coalesce(F.get(added, i), F.get(y, i), F.get(done, i - 1) + F.get(q, i)).cast(kind))))
     return F.aggregate(F.sequence(F.lit(2), F.lit(0), F.lit(-1)), F.slice(forward, 4, 1), lambda done, i: F.concat(
         F.array(F.coalesce(F.get(forward, i), F.get(done, F.lit(0)) - F.get(q, i + 1)).cast(kind)), done))
 
@@ -94,8 +98,9 @@ def quarters_from_ytd(periods: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Quarters that follow from longer periods and are not reported themselves: ``keys``, fy_start, fy_end, slot, end, val.
 
     periods: rows of ``in_fiscal_year`` with ``keys`` (company, item, unit ...) and ``val``. Within a fiscal year y1..y4
-    are the sums from its start (first quarter, half, nine months, year) and q1..q4 its quarters; sums not reported
-    follow from a neighbour and a quarter between, quarters from two neighbouring sums. A quarter or sum reported more
+    are the sums from its start (first quarter, half, nine months, year) and q1..q4 its quarters. Sums follow from
+    reported quarters, else are as reported, else from a neighbour and a quarter between; quarters from two neighbouring
+    sums, so that a year's quarters add up to it. A quarter or sum reported more
     than once for different dates is uncertain and left out. One aggregation per item and fiscal year, whose rows have
     different ends within it, with no window and no self-join.
     """

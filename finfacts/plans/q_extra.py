@@ -74,9 +74,9 @@ SELECT cik, statement, line_item, unit, company_type, fy_start, max(fy_end) AS f
        list(k) FILTER (NOT is_sum) AS reported, max(e) FILTER (is_sum AND k = 2) AS e2, max(e) FILTER (is_sum AND k = 3) AS e3, max(e) FILTER (is_sum AND k = 4) AS e4,
        max(s) FILTER (NOT is_sum AND k = 2) AS s2, max(s) FILTER (NOT is_sum AND k = 3) AS s3, max(s) FILTER (NOT is_sum AND k = 4) AS s4
 FROM told GROUP BY cik, statement, line_item, unit, company_type, fy_start"""),
-    # Sums from all ways there are, nearest first; money has at most two places here, so rounding makes it exact.
+    # Sums from all ways there are, reported quarters first; money has at most two places here, so rounding makes it exact.
     ("solved", """
-SELECT *, coalesce(y2, y1 + q2) AS f2, coalesce(y3, coalesce(y2, y1 + q2) + q3) AS f3, coalesce(y4, coalesce(y3, coalesce(y2, y1 + q2) + q3) + q4) AS f4,
+SELECT *, coalesce(y1 + q2, y2) AS f2, coalesce(y1 + q2 + q3, y3, f2 + q3) AS f3, coalesce(y4, f3 + q4) AS f4,
        coalesce(f3, f4 - q4) AS z3, coalesce(f2, z3 - q3) AS z2, coalesce(y1, z2 - q2) AS z1 FROM grid"""),
     ("derived", """
 SELECT cik, statement, line_item, unit, company_type, fy_end, unnest([
