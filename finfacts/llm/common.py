@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,21 @@ def ship(spark: SparkSession) -> None:
     sc._finfacts_shipped = True
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def cache_of(owner: str, clear: Callable[[], None]) -> None:
+    """Register how to empty a cache that a worker keeps between tasks."""
+    _caches[owner] = clear
+
+
+def only_cache_of(*owners: str) -> None:
+    """Empty the caches of other stages, as Spark reuses Python workers. Called at the start of a stage's tasks."""
+    for name, clear in _caches.items():
+        if name not in owners:
+            clear()
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder of ``spark.checkpoint.dir``.
 
@@ -55,6 +70,10 @@ class Scratch:
         self._paths[step] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, step: str) -> str:
+        """A folder for files that tasks write themselves."""
+        return scratch_path(self.spark, f"{self.name}/{step}")
+
     def drop(self, *steps: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for step in steps:

@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Archives are rows (archive, blob, captures): the blob is a run of gzip members, one a record, so its bytes are a valid
-``.warc.gz`` and a record can be read by its byte range. The index sorts captures by reversed-host URL key into
-zlib blocks; a sparse directory holds each block's first key. A look-up goes from the boundaries of the index's
-range partitions to a partition's directory, to one block, to one line, to a byte range.
+Archives are ``.warc.gz`` files: runs of gzip members, one a record, so a record can be read by its byte range. The index
+sorts captures by reversed-host URL key into zlib blocks; a sparse directory holds each block's first key. A look-up
+goes from the boundaries of the index's range partitions to a partition's directory, to one block, to one line, to a
+byte range, and reads only that range of the file.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ import bisect
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from finfacts.llm.common import Scratch, batch_rows, ship
 
 _CAPTURE = pa.struct([("surt", pa.string()), ("page_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("type", pa.string())])
-_ARCHIVES = "archive string, blob binary, captures array<struct<surt:string,page_id:bigint,at:bigint,size:bigint,type:string>>"
+_ARCHIVES = "archive string, captures array<struct<surt:string,page_id:bigint,at:bigint,size:bigint,type:string>>"
 _RECORDS = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -47,10 +49,10 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(kind: str, page_id, tie: int, url: str | None, payload: bytes, digest: str, refers: int | None, date: str) -> bytes:
+def _record(kind: str, page_id, place: str, url: str | None, payload: bytes, digest: str, refers: int | None, date: str) -> bytes:
     """One WARC/1.1 record; a revisit has the HTTP head only."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page_id}:{tie}>", f"WARC-Date: {date}",
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{page_id}:{place}>", f"WARC-Date: {date}",
             f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="".join(map(chr, range(33, 127))).replace("%", "")))
@@ -79,37 +81,47 @@ def parse_record(raw: bytes) -> dict:
             "refers_to": None if refers in (None, "None") else int(refers)}
 
 
+def _file_system(uri: str):
+    """The file system of a folder and the folder's path in it, as pyarrow knows them (file, hdfs, s3, gs)."""
+    return pafs.FileSystem.from_uri(uri)
+
+
 def write_archives(pages: DataFrame, scratch: Scratch, min_revisit: int = 0, max_archive: int = 8 << 20,
-                   date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes one record a row of ``pages`` (page_id, url, html) and returns the archive table.
+                   date: str = "2024-01-01T00:00:00Z") -> tuple[DataFrame, str]:
+    """Writes one record a row of ``pages`` (page_id, url, html); returns (archive, captures) rows and the files' folder.
 
     Rows of equal payloads (SHA-1) of at least ``min_revisit`` bytes share one response, that of the smallest
-    page_id; the first of equal ones is found by a partial aggregation, and the join back lets AQE split a hot
-    payload. An archive closes at ``max_archive`` bytes of records (one larger record stays whole).
+    page_id (null last); it is found by a partial aggregation, and the join back lets AQE split a hot payload. What a
+    row becomes depends on its own columns only, never on row numbers, so any order of the input gives the same records;
+    rows that tie on the smallest page_id are all responses. A file closes at ``max_archive`` bytes of records (one
+    larger record stays whole). A task that is run again writes other files, and only those that the table names count.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"),
-                        F.monotonically_increasing_id().alias("tie"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("payload_key", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    first = rows.groupBy("payload_key").agg(F.min(F.struct("page_id", "tie")).alias("first"))
+    first = rows.groupBy("payload_key").agg(F.min("page_id").alias("first"))            # null only where all ids are
     known = rows.join(first, "payload_key").withColumn("record_type", F.when(
-        (F.coalesce(F.octet_length("html"), F.lit(0)) < min_revisit) | (F.col("tie") == F.col("first.tie")), "response").otherwise("revisit"))
-    known = known.select("page_id", "url", "html", "tie", "record_type", F.col("first.page_id").alias("refers"))
+        (F.coalesce(F.octet_length("html"), F.lit(0)) < min_revisit) | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit"))
+    known = known.select("page_id", "url", "html", "record_type", F.col("first").alias("refers"))
+    folder = scratch.folder("files")
 
     def pack(batches):
-        part, number, blob, captures = TaskContext.get().partitionId(), 0, bytearray(), []
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        attempt, part, number, blob, captures = uuid.uuid4().hex[:8], TaskContext.get().partitionId(), 0, bytearray(), []
 
         def close():
             nonlocal number, blob, captures
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([f"{part:06d}-{number:05d}"]), pa.array([bytes(blob)], pa.binary()), pa.array([captures], pa.list_(_CAPTURE))],
-                names=["archive", "blob", "captures"])
+            name = f"{part:06d}-{number:05d}-{attempt}.warc.gz"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(bytes(blob))
+            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([captures], pa.list_(_CAPTURE))], names=["archive", "captures"])
             number, blob, captures = number + 1, bytearray(), []
             return row
 
         for b in batch_rows(batches, 4 << 20):
             for r in b.to_pylist():
                 payload = (r["html"] or "").encode("utf-8", "surrogatepass")
-                raw = _record(r["record_type"], r["page_id"], r["tie"], r["url"], payload, base32_sha1(payload), r["refers"], date)
+                raw = _record(r["record_type"], r["page_id"], f"{part}-{number}-{len(captures)}", r["url"], payload, base32_sha1(payload), r["refers"], date)
                 zip_ = zlib.compressobj(3, zlib.DEFLATED, 31)
                 member = zip_.compress(raw) + zip_.flush()
                 captures.append({"surt": surt(r["url"]), "page_id": r["page_id"], "at": len(blob), "size": len(member), "type": r["record_type"]})
@@ -119,7 +131,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_revisit: int = 0, max
         if captures:
             yield close()
 
-    return scratch.write(known.mapInArrow(pack, _ARCHIVES), "archives")
+    return scratch.write(known.mapInArrow(pack, _ARCHIVES), "archives"), folder
 
 
 def write_index(archives: DataFrame, scratch: Scratch, lines_per_block: int = 3000) -> DataFrame:
@@ -196,28 +208,44 @@ def look_up(requests: DataFrame, index: DataFrame) -> DataFrame:
     return sent.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(search, "surt string, page bigint, archive string, at bigint, size bigint")
 
 
-def read_captures(found: DataFrame, archives: DataFrame) -> DataFrame:
+def read_captures(found: DataFrame, folder: str, tasks: int) -> DataFrame:
     """The records at the byte ranges of ``found``; a response whose payload doesn't match its digest fails the job.
 
-    Ranges are gathered by archive (the captures of one archive fit it by construction) and read from its bytes.
+    Ranges are sent around, archives aren't: a task opens each file that its ranges lie in and reads those bytes. The
+    number of ``tasks`` is given, as rows of ranges are too small to tell how much is read.
     """
-    spots = found.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("spots"))
+    ranges = found.select("archive", "at", "size").repartition(tasks, "archive").sortWithinPartitions("archive", "at")
 
     def read(batches):
-        for b in batch_rows(batches, 32 << 20):
-            for blob, spots in zip(b.column(0), b.column(1).to_pylist()):
-                raw = blob.as_buffer()
-                rows = []
-                for s in spots:
-                    rows.append(parse_record(zlib.decompress(raw[s["at"]:s["at"] + s["size"]], 31)))
-                    if rows[-1]["payload"] is not None and base32_sha1(rows[-1]["payload"]) != rows[-1]["payload_digest"]:
-                        raise ValueError(f"damaged record of page {rows[-1]['page_id']}")
-                names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                whole = pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
-                yield from batch_rows([whole], 8 << 20)
-
-    return archives.select("archive", "blob").join(spots, "archive").select("blob", "spots").mapInArrow(read, _RECORDS)
+        fs, root = _file_system(folder)
+        names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
+
+        last, file, rows, held = None, None, [], 0
+        for b in batches:
+            for archive, at, size in zip(*(c.to_pylist() for c in b.columns)):
+                if archive != last:
+                    if file is not None:
+                        file.close()
+                    last, file = archive, fs.open_input_file(f"{root}/{archive}")
+                file.seek(at)
+                rows.append(parse_record(zlib.decompress(file.read(size), 31)))
+                payload = rows[-1]["payload"]
+                if payload is not None and base32_sha1(payload) != rows[-1]["payload_digest"]:
+                    raise ValueError(f"damaged record of page {rows[-1]['page_id']}")
+                held += len(payload or b"")
+                if held > 8 << 20 or len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if file is not None:
+            file.close()
+        if rows:
+            yield batch(rows)
+
+    return ranges.mapInArrow(read, _RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
@@ -225,12 +253,13 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
 
     One row a page: page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to.
     A null html is an empty payload, a null url the empty key (and null again). Repeated page ids keep their rows;
-    of rows that tie on the smallest page_id one is the response. An empty table gives none; other columns aren't read.
+    rows that tie on the smallest page_id are all responses. A null id is larger than any other, so it is a response only
+    where no other has its payload. An empty table gives none; other columns aren't read.
     """
     spark = pages.sparkSession
     ship(spark)
     scratch = Scratch(spark, "warc")
-    archives = write_archives(pages, scratch, min_revisit)
+    archives, folder = write_archives(pages, scratch, min_revisit)
     index = write_index(archives, scratch)
 
     def keys(batches):
@@ -238,4 +267,4 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in b.column(0).to_pylist()], pa.string()), b.column(1)], names=["surt", "page"])
 
     wanted = pages.select(F.col("url").cast("string"), F.coalesce(F.col("page_id").cast("long"), F.lit(-1 << 63)).alias("page"))
-    return read_captures(look_up(wanted.mapInArrow(keys, "surt string, page bigint"), index), archives)
+    return read_captures(look_up(wanted.mapInArrow(keys, "surt string, page bigint"), index), folder, -(-archives.count() // 2) or 1)
