@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from finfacts.llm.common import Scratch, connected_components, ship, spanning
 
-SHARD = 16_384          # vectors of a graph, and queries of a block
+SHARD = 16_384          # vectors of a graph
 DEGREE = 16             # links of a node on the upper layers; twice as many on the lowest
 BUILD_BEAM = 64
-AUDIT = 48              # queries of a block that are also answered by brute force
+AUDIT = 48              # queries that an audit answers by brute force at a time
+AUDIT_LINKS = 200       # true links after which an audit has seen enough
+AUDIT_SHARE = 1 / 16    # share of a shard's queries after which it ends anyhow
 RECALL = 0.995          # least share of true links that the audit must find
 
 
@@ -145,15 +147,25 @@ class Graph:
         return g
 
 
-def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int = 64) -> list[np.ndarray]:
+def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, beam: int = 64, same: bool = False) -> list[np.ndarray]:
     """For each query the graph's nodes (as rows of ``exact``) whose cosine is ``threshold`` or more.
 
-    The beam of a query doubles as long as its worst node may still be a link. Then an audit compares some queries
-    with brute force; as long as it finds less than ``RECALL`` of their links, all beams start wider.
+    The beam of a query doubles as long as its worst node may still be a link. Audits compare queries with brute
+    force, more of them until ``AUDIT_LINKS`` true links were seen (or ``AUDIT_SHARE`` of the queries); as long as the
+    search finds less than ``RECALL`` of these, all beams start wider. ``same``: queries are the graph's own nodes, whose
+    link with themselves doesn't count as seen.
     """
     q32, n = q.astype(np.float32), len(graph.x)
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)) if len(q) else np.empty(0, int)
-    truth = [np.flatnonzero(exact @ q[a] >= threshold) for a in audit]
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    audit, truth, seen = [], [], 0
+    for s in range(0, len(q), AUDIT):
+        part = order[s:s + AUDIT]
+        hits = [np.flatnonzero(h) for h in q[part] @ exact.T >= threshold]
+        audit.extend(part)
+        truth.extend(hits)
+        seen += sum(map(len, hits)) - (len(part) if same else 0)
+        if seen >= AUDIT_LINKS or len(audit) >= AUDIT_SHARE * len(q):
+            break
     while True:
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
         todo, width = np.arange(len(q)), beam
@@ -171,8 +183,8 @@ def links_of(graph: Graph, exact: np.ndarray, q: np.ndarray, threshold: float, b
                     near = graph.order[near]
                     out[k] = near[exact[near] @ q[k] >= threshold]       # verified in double precision
             todo, width = np.array(wide, int), width * 2
-        wanted = sum(map(len, truth))
-        got = sum(len(np.intersect1d(out[a], t)) for a, t in zip(audit, truth))
+        wanted = sum(map(len, truth)) - (len(audit) if same else 0)
+        got = sum(len(np.intersect1d(out[a], t)) for a, t in zip(audit, truth)) - (len(audit) if same else 0)
         if got >= RECALL * wanted or beam >= n:
             return out
         beam *= 2
@@ -207,21 +219,31 @@ def _graphs(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _searcher(threshold: float):
-    def search(queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
-        rows = {"node": [], "links": [], "end": []}
-        for _, g in graphs.iterrows() if len(queries) else ():
-            nodes, copies = np.frombuffer(g["nodes"], np.int64), np.frombuffer(g["copies"], np.int64)
-            own = queries["node"].to_numpy()
-            found = links_of(Graph.load(g["graph"]), np.frombuffer(g["units"], np.float64).reshape(len(nodes), -1), _stack(queries["unit"]), threshold)
-            everything, place = np.unique(np.concatenate([own, nodes]), return_inverse=True)
-            i = np.repeat(place[:len(own)], [len(f) for f in found])
-            j = place[len(own):][np.concatenate(found)] if len(i) else np.empty(0, np.int64)
-            other = i != j
-            n = np.bincount(i[other], copies[np.concatenate(found)][other] if len(i) else None, len(everything))
-            star = dict(spanning(len(everything), i[other], j[other]))
-            for k in np.union1d(np.flatnonzero(n), list(star)).astype(int):
-                rows["node"].append(everything[k]), rows["links"].append(int(n[k])), rows["end"].append(everything[star.get(k, k)])
-        return pd.DataFrame(rows).astype("int64")
+    def search(graphs: pd.DataFrame) -> pd.DataFrame:
+        """One or two graphs of a label: the nodes of each are searched in the other, or in the graph itself."""
+        graphs = graphs.sort_values("shard")
+        sides = []
+        for _, g in graphs.iterrows():
+            nodes = np.frombuffer(g["nodes"], np.int64)
+            sides.append((nodes, np.frombuffer(g["copies"], np.int64), np.frombuffer(g["units"], np.float64).reshape(len(nodes), -1), Graph.load(g["graph"])))
+        a, b = sides[0], sides[-1]
+        same = len(sides) == 1
+        pairs = []
+        for x, y, flip in ((a, b, False),) if same else ((a, b, False), (b, a, True)):
+            found = links_of(y[3], y[2], x[2], threshold, same=same)
+            i = np.repeat(np.arange(len(x[0])), [len(f) for f in found])
+            j = np.concatenate(found).astype(np.int64) if len(i) else np.empty(0, np.int64)
+            pairs.append(np.stack([j, i] if flip else [i, j]))
+        i, j = np.concatenate(pairs, axis=1)
+        if same:                                              # a pair counts once, whichever end found it
+            i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        i, j = np.unique(np.stack([i, j]), axis=1) if len(i) else (i, j)
+        nodes, copies = (a[0], a[1]) if same else (np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))
+        j = j if same else j + len(a[0])
+        n = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
+        star = dict(spanning(len(nodes), i, j))
+        rows = [(nodes[k], int(n[k]), nodes[star.get(k, k)]) for k in np.flatnonzero(n).tolist()]
+        return pd.DataFrame(rows, columns=["node", "links", "end"]).astype("int64")
 
     return search
 
@@ -230,12 +252,12 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """One row a vector (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     Vectors of one label link if their cosine in double precision is ``threshold`` or more; ``n_links`` counts the
-    other vectors that a search from this one finds, ``component_id`` is the smallest vec_id reachable.
+    other vectors linked with, a pair found from either end for both; ``component_id`` is the smallest vec_id reachable.
 
     1. Equal vectors of a label are one node with a number of copies, so a common vector is no hot key.
     2. Nodes of a label are dealt by hash into shards of about ``SHARD``; each shard's graph is built in one task and
-       written as a row. Every block of ``SHARD`` queries of the label meets every graph of the label, in tasks of
-       their own, so a label of any size spreads; the work grows with queries times shards.
+       written as a row. Any two graphs of a label meet in a unit of their own, where the nodes of each are searched
+       in the other, so a label of any size spreads; the work grows with nodes times shards.
     3. Links are verified in double precision; tasks return counts and spanning edges; components join the shards.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and those of a null label link with
@@ -253,12 +275,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     nodes = nodes.join(size, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
     graphs = scratch.write(nodes.groupBy("label", "dim", "shard").applyInPandas(
         _graphs, "label bigint, dim int, shard int, graph binary, nodes binary, copies binary, units binary"), "graphs")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    queries = nodes.withColumn("block", F.col("shard")).withColumn("shard", every)
-    blocks = graphs.join(size, ["label", "dim"]).withColumn("block", every)
-    keys = ["label", "dim", "shard", "block"]
-    found = scratch.write(queries.select(*keys, "node", "unit").groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
-        _searcher(threshold), "node bigint, links bigint, end bigint"), "found")
+    units = graphs.join(size, ["label", "dim"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    units = units.withColumn("low", F.least("shard", "other")).withColumn("high", F.greatest("shard", "other")).drop("shards", "other")
+    found = scratch.write(units.groupBy("label", "dim", "low", "high").applyInPandas(_searcher(threshold), "node bigint, links bigint, end bigint"), "found")
     scratch.drop("graphs")
 
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("end").alias("b")), scratch)
