@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.common import Scratch, batch_rows, ship, without
+from finfacts.llm.common import Scratch, batch_rows, only_cache_of, ship, without
 
 _WORD = re.compile(r"\w+")
 MAX_EXAMPLES = 4000     # labelled examples of either class that the model is fitted on (bound of the driver's part)
@@ -33,35 +33,50 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in _PREFIX if k < len(word))]
 
 
-class Lexicon(dict):
-    """Chosen terms of a word, as positions; remembers words seen lately (bounded)."""
+class _Codes(dict):
+    """Numbers of words, given out as they come."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.learn(word, n)
+        return n
+
+
+class Lexicon:
+    """Chosen terms and positions of words; remembers words seen lately (bounded between texts)."""
 
     def __init__(self, terms: dict[str, int], words: dict[str, int] | None = None):
         self.terms, self.words = terms, words or {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.hits = _Codes(self._learn), {}
+        self.place, self.hit = np.empty(1024, np.int64), np.empty(1024, bool)      # by code
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= _KNOWN:
-            self.clear()
-        got = self[word] = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
-        return got
+    def _learn(self, word: str, code: int) -> None:
+        if code == len(self.place):
+            self.place, self.hit = np.resize(self.place, 2 * code), np.resize(self.hit, 2 * code)
+        self.place[code] = self.words.get(word, -1)
+        found = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
+        self.hit[code] = bool(found)
+        if found:
+            self.hits[code] = found
 
     def count(self, text: str | None) -> "Counts":
-        words = Counter(_WORD.findall(text.lower())) if text else {}
-        tf, rest, ids, times, strange = Counter(), 0, [], [], []
-        get = self.words.get
-        for w, n in words.items():
-            hits = self[w]
-            for t in hits:
-                tf[t] += n
-            if not hits:
-                rest += n
-            k = get(w)
-            if k is None:
-                strange.append(n)
-            else:
-                ids.append(k)
-                times.append(n)
-        return Counts(tf, rest, np.array(ids, np.int64), np.array(times, float), np.array(strange, float))
+        if len(self.codes) >= _KNOWN:
+            self._forget()
+        found = _WORD.findall(text.lower()) if text else []
+        code, n = np.unique(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)), return_counts=True)
+        hit, place = self.hit[code], self.place[code]
+        tf = Counter()
+        for c, times in zip(code[hit].tolist(), n[hit].tolist()):
+            for t in self.hits[c]:
+                tf[t] += times
+        known = place >= 0
+        return Counts(tf, int(n[~hit].sum()), place[known], n[known].astype(float), n[~known].astype(float))
 
 
 @dataclass
@@ -81,54 +96,59 @@ def _arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term. A term of many examples has a row over all of them, zero where it doesn't
-    occur; any other has a list. Every example is scored; the maxima of blocks of ``BLOCK`` tell where the best are."""
+    """Postings of unit vectors by term, searched block by block. A term of many examples has a row over all of them,
+    zero where it doesn't occur, and for each block of ``BLOCK`` examples the greatest weight there; any other has a
+    list. A block's bound is the query's weights times those maxima, plus the best that lists give in it. Blocks are
+    scored by falling bound until no bound reaches the k-th best score."""
 
     def __init__(self, vectors: list[Vector], n_terms: int):
-        self.size = -(-len(vectors) // BLOCK) * BLOCK
+        self.blocks = -(-len(vectors) // BLOCK)
         n = [len(_arrays(v)[0]) for v in vectors]
         term, weight = (np.concatenate([_arrays(v)[k] for v in vectors]) for k in (0, 1))
         place = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
         held = np.bincount(term, minlength=n_terms)
         common = held * _COMMON > len(vectors)
         self.row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
-        self.rows = np.zeros((int(common.sum()), self.size))
+        rows = np.zeros((int(common.sum()), self.blocks * BLOCK))
         dense = common[term]
-        self.rows[self.row[term[dense]], place[dense]] = weight[dense]
+        rows[self.row[term[dense]], place[dense]] = weight[dense]
+        self.rows = rows.reshape(len(rows), self.blocks, BLOCK)
+        self.most = self.rows.max(2)
         rare = np.flatnonzero(~dense).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.place, self.weight = place[rare], weight[rare]
         self.start = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
 
     def nearest(self, vector: Vector, k: int) -> list[tuple[float, int]]:
-        return self.nearest_of([vector], k)[0]
+        """The k best (cosine, example) above 0, exactly; ties go to the lower example."""
+        terms, weights = _arrays(vector)
+        row = self.row[terms]
+        common, own = row[row >= 0], weights[row >= 0]
+        terms, weights = terms[row < 0], weights[row < 0]
+        lo = self.start[terms]
+        n = self.start[terms + 1] - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        listed = np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
+        bound = listed.max(1) + own @ self.most[common] + 1e-9
+        order = np.argsort(-bound, kind="stable")
+        score, place, least, done, step = np.empty(0), np.empty(0, np.int64), -1.0, 0, 8
+        while done < len(order) and bound[order[done]] >= least:
+            part = order[done:done + step]
+            part = part[bound[part] >= least]
+            got = listed[part] + np.tensordot(own, self.rows[common[:, None], part], 1)
+            score = np.concatenate([score, np.round(got, 12).ravel()])
+            place = np.concatenate([place, (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
+            if len(score) > k:
+                least = np.partition(score, -k)[-k]
+                keep = score >= least
+                score, place = score[keep], place[keep]
+            done, step = done + step, 2 * step
+        use = np.flatnonzero(score > 0)
+        use = use[np.lexsort((place[use], -score[use]))][:k]
+        return list(zip(score[use].tolist(), place[use].tolist()))
 
     def nearest_of(self, vectors: list[Vector], k: int) -> list[list[tuple[float, int]]]:
-        """Of each vector the k best (cosine, example) above 0, exactly; ties go to the lower example."""
-        out = []
-        for s in range(0, len(vectors), _BATCH):
-            part = vectors[s:s + _BATCH]
-            dense, sparse = np.zeros((len(part), len(self.rows))), []
-            for q, (terms, weights) in enumerate(map(_arrays, part)):
-                row = self.row[terms]
-                dense[q, row[row >= 0]] = weights[row >= 0]
-                terms, weights = terms[row < 0], weights[row < 0]
-                lo = self.start[terms]
-                n = self.start[terms + 1] - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                sparse.append(np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.size))
-            for score, more in zip(dense @ self.rows, sparse):
-                score = np.round(score + more, 12)
-                blocks = score.reshape(-1, BLOCK)
-                top = blocks.max(1)
-                # The k-th best maximum is no more than the k-th best score, so a block below it holds none of the k.
-                use = np.flatnonzero(top >= np.partition(top, -k)[-k]) if len(top) > k else np.arange(len(top))
-                place = (use[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                score = score[place]
-                best = np.flatnonzero((score >= np.partition(score, -k)[-k]) & (score > 0)) if len(score) > k else np.flatnonzero(score > 0)
-                best = best[np.lexsort((place[best], -score[best]))][:k]
-                out.append(list(zip(score[best].tolist(), place[best].tolist())))
-        return out
+        return [self.nearest(v, k) for v in vectors]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
     shared = spark.sparkContext.broadcast((model.terms, words))
 
     def frequencies(batches):
+        only_cache_of()
         lexicon = Lexicon(*shared.value)
         n_terms = len(lexicon.terms)
         total = np.zeros(n_terms + len(lexicon.words) + 1, np.int64)
@@ -331,6 +352,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, trains: Column, threshold
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def score(batches):
+        only_cache_of()
         m = model.value
         lexicon = Lexicon(m.terms, m.words)
         for b in batch_rows(batches):
