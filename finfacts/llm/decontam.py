@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.common import Scratch, batch_rows, ship
+from finfacts.llm.common import Scratch, batch_rows, only_cache_of, ship
 
 _WORD = re.compile(r"\w+")
 SEED = 2                # words of an n-gram; with pairs the count filter of ``Items`` loses nothing
@@ -185,6 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         shared = spark.sparkContext.broadcast(items)
 
         def find(batches, shared=shared):
+            only_cache_of()
             for b in batch_rows(batches):
                 hits = list(find_in(shared.value, list(zip(*(c.to_pylist() for c in b.columns)))))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.common import Scratch, batch_rows, ship
+from finfacts.llm.common import Scratch, batch_rows, cache_of, only_cache_of, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -27,6 +27,7 @@ _CACHE_ENTRIES = 350_000
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ‐-‧]*")
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
 _workers: dict[str, "TokenIds"] = {}
+cache_of("packing", _workers.clear)
 
 
 class TokenIds(dict):
@@ -110,6 +111,7 @@ def plan_runs(counts: dict[int, int], max_len: int) -> dict[int, tuple[np.ndarra
 def token_pieces(docs: DataFrame, max_len: int, end_id: int, tokenizer: str | None) -> DataFrame:
     """Per piece of every document: doc_id, piece, start, length, ids_crc32."""
     def tokenise(batches):
+        only_cache_of("packing")
         ids_of = token_ids(tokenizer).ids
         end = np.array([end_id], "<u4").tobytes()
         for b in batch_rows(batches, 4 << 20):

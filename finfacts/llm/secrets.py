@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finfacts.llm.common import batch_rows, ship, without
+from finfacts.llm.common import batch_rows, only_cache_of, ship, without
 
 
 @dataclass(frozen=True)
@@ -177,6 +177,7 @@ def scan_secrets(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("secret", pa.string())]))
 
     def scan(batches):
+        only_cache_of()
         for b in batch_rows(batches, block_bytes):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             found = find_secrets([t or "" for t in texts], rules)

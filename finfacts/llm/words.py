@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from finfacts.llm.common import cache_of
+
 SHINGLE = 5
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _KNOWN = 150_000
@@ -23,6 +25,7 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+cache_of("words", HASHES.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
