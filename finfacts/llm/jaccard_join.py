@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row a document: doc_id, text_key, class_id, n_links, kept.
 
     Documents link if the Jaccard similarity of their sets of five-word shingles (lower case, split at white space)
-    is ``threshold`` or more. ``n_links`` counts the other documents that a document links with, copies included;
+    is ``threshold`` (0.8 or more) or above. ``n_links`` counts the other documents that a document links with, copies included;
     ``class_id`` is the smallest doc_id connected by links; ``kept`` marks one document of each class.
 
     1. Documents of one word sequence are one text (64-bit hash); copies are counted, never paired.
@@ -176,6 +176,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     documents of their own; a null id stays null and its class takes the smallest id that isn't null. An empty table
     gives no rows; other columns aren't read. ``text_key`` is the 64-bit hash of the text, for joining back.
     """
+    if threshold < 0.8:
+        raise ValueError("bands are made for similarities of 0.8 or more; lower ones would be missed")
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near_duplicates")

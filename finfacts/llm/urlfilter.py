@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -43,16 +44,19 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, tag: str, damping: float = DAMPING, tolerance: float = 1e-6, max_rounds: int = 60) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, tag: str, damping: float = DAMPING, tolerance: float = 1e-6) -> DataFrame:
     """Personalised PageRank: (host, rank) with rank = (1 - d) seed + d * sum over links of the linking hosts' shares.
 
     ``seeds`` (host, seed) has every host once. A host's rank is shared out by its link counts; hosts without links
-    pass nothing on. Rounds go on until ranks move by less than ``tolerance`` in all; each is a written table.
+    pass nothing on. Rounds, each a written table, go on until ranks move by less than ``tolerance`` of all seeds in all:
+    what moves shrinks by ``damping`` a round, so the number of rounds is known beforehand, whatever the graph.
     """
+    mass = seeds.agg(F.sum("seed")).first()[0] or 0.0
     total = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = scratch.write(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), f"{tag}_share")
     rank, k = scratch.write(seeds.select("host", "seed", (F.lit(1 - damping) * F.col("seed")).alias("rank")), f"{tag}_0"), 0
-    while k < max_rounds:
+    most = math.ceil(math.log(tolerance) / math.log(damping)) + 2
+    while mass:
         k += 1
         given = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
         new = rank.withColumnRenamed("rank", "old").join(given, "host", "left").select(
@@ -60,8 +64,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, tag: str, da
         new = scratch.write(new, f"{tag}_{k}")
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         rank = new.drop("old")
-        if moved < tolerance:
+        if moved <= tolerance * mass:
             break
+        if k > most:
+            raise RuntimeError(f"ranks still move by {moved} of {mass} after {k} rounds")
         scratch.drop(f"{tag}_{k - 1}")
     return rank.select("host", "rank")
 
