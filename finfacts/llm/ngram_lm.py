@@ -23,7 +23,7 @@ from finfacts.llm.common import Scratch, batch_rows, ship
 DISCOUNT = 0.75
 STEPS = 4096                    # quantisation steps a decade
 CHUNK_BYTES = 10 << 20          # text that is counted and scored at a time
-SHARD_BYTES = 10 << 20          # text that a shard of the model answers for
+SHARD_BYTES = 6 << 20           # text that a shard of the model answers for
 _END = xxhash.xxh3_64_intdigest(b"")
 _BODIES = "chunk bigint, ids array<bigint>, held array<boolean>, lengths array<int>, tokens binary, vocabulary binary"
 _ASKED = "chunk bigint, shard int, words binary, counts binary, fanout binary, successors binary, pairs binary"
@@ -187,12 +187,22 @@ def _count(n_shards: int):
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]                # one chunk at a time
                 vocabulary, tokens = np.frombuffer(r["vocabulary"], np.uint64), _unpack(r["tokens"])
                 train = np.repeat(~np.array(r["held"], bool), r["lengths"])
                 counts = np.bincount(tokens, train, len(vocabulary)).astype(np.uint32)
-                codes, inverse = _pairs(tokens, len(vocabulary), int(np.searchsorted(vocabulary, np.uint64(_END))))
-                pair = np.bincount(inverse, train, len(codes)).astype(np.uint32)
+                # Different pairs as in ``_pairs``, with their training counts: one array, sorted in place.
+                key = np.r_[np.searchsorted(vocabulary, np.uint64(_END)), tokens[:-1]].astype(np.int64)
+                key *= len(vocabulary)
+                key += tokens
+                key *= 2
+                key += train
+                del tokens
+                key.sort()
+                first = np.flatnonzero(np.r_[True, key[1:] >> 1 != key[:-1] >> 1])
+                codes, pair = key[first] >> 1, np.add.reduceat(key & 1, first).astype(np.uint32)
+                del key
                 shard, by_word, context, by_pair = _split(vocabulary, codes, n_shards)
                 fan = np.bincount(context, minlength=len(vocabulary)).astype(np.uint32)
                 follows = vocabulary[codes % len(vocabulary)] >> np.uint64(16)
