@@ -24,6 +24,7 @@ _KNOWN = 100_000
 BLOCK = 64              # examples that share a maximum
 _COMMON = 16            # a term in more than one of so many examples has a row over all of them
 _BATCH = 64             # texts that are scored together
+_FIRST = 8              # blocks that a text scores before bounds are compared
 NEIGHBOURS = 15
 _SCORED = "score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
@@ -98,8 +99,8 @@ def _arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
 class BlockMaxIndex:
     """Postings of unit vectors by term, searched block by block. A term of many examples has a row over all of them,
     zero where it doesn't occur, and for each block of ``BLOCK`` examples the greatest weight there; any other has a
-    list. A block's bound is the query's weights times those maxima, plus the best that lists give in it. Blocks are
-    scored by falling bound until no bound reaches the k-th best score."""
+    list. A block's bound is the query's weights times those maxima, plus the best that lists give in it. Blocks whose
+    bound is below the k-th best score found in the most promising ones are skipped."""
 
     def __init__(self, vectors: list[Vector], n_terms: int):
         self.blocks = -(-len(vectors) // BLOCK)
@@ -112,43 +113,62 @@ class BlockMaxIndex:
         rows = np.zeros((int(common.sum()), self.blocks * BLOCK))
         dense = common[term]
         rows[self.row[term[dense]], place[dense]] = weight[dense]
-        self.rows = rows.reshape(len(rows), self.blocks, BLOCK)
-        self.most = self.rows.max(2)
+        self.most = rows.reshape(len(rows), self.blocks, BLOCK).max(2)
+        self.rows = np.ascontiguousarray(rows.reshape(len(rows), self.blocks, BLOCK).transpose(1, 0, 2))       # block by block
         rare = np.flatnonzero(~dense).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.place, self.weight = place[rare], weight[rare]
         self.start = np.concatenate([[0], np.cumsum(np.where(common, 0, held))])
 
     def nearest(self, vector: Vector, k: int) -> list[tuple[float, int]]:
-        """The k best (cosine, example) above 0, exactly; ties go to the lower example."""
-        terms, weights = _arrays(vector)
-        row = self.row[terms]
-        common, own = row[row >= 0], weights[row >= 0]
-        terms, weights = terms[row < 0], weights[row < 0]
-        lo = self.start[terms]
-        n = self.start[terms + 1] - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        listed = np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
-        bound = listed.max(1) + own @ self.most[common] + 1e-9
-        order = np.argsort(-bound, kind="stable")
-        score, place, least, done, step = np.empty(0), np.empty(0, np.int64), -1.0, 0, 8
-        while done < len(order) and bound[order[done]] >= least:
-            part = order[done:done + step]
-            part = part[bound[part] >= least]
-            got = listed[part] + np.tensordot(own, self.rows[common[:, None], part], 1)
-            score = np.concatenate([score, np.round(got, 12).ravel()])
-            place = np.concatenate([place, (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()])
-            if len(score) > k:
-                least = np.partition(score, -k)[-k]
-                keep = score >= least
-                score, place = score[keep], place[keep]
-            done, step = done + step, 2 * step
-        use = np.flatnonzero(score > 0)
-        use = use[np.lexsort((place[use], -score[use]))][:k]
-        return list(zip(score[use].tolist(), place[use].tolist()))
+        return self.nearest_of([vector], k)[0]
 
     def nearest_of(self, vectors: list[Vector], k: int) -> list[list[tuple[float, int]]]:
-        return [self.nearest(v, k) for v in vectors]
+        """Of each vector the k best (cosine, example) above 0, exactly; ties go to the lower example.
+
+        Each query scores its most promising blocks by itself; a block that any query of a batch still needs after that
+        is scored for all that need it at once.
+        """
+        out = []
+        for s in range(0, len(vectors), _BATCH):
+            part = list(map(_arrays, vectors[s:s + _BATCH]))
+            dense = np.zeros((len(part), len(self.most)))
+            score = np.full((len(part), self.blocks, BLOCK), -1.0)
+            listed, open_ = np.empty((len(part), self.blocks, BLOCK)), np.ones((len(part), self.blocks), bool)
+            for q, (terms, weights) in enumerate(part):
+                row = self.row[terms]
+                common, own = row[row >= 0], weights[row >= 0]
+                dense[q, common] = own
+                terms, weights = terms[row < 0], weights[row < 0]
+                lo = self.start[terms]
+                n = self.start[terms + 1] - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                listed[q] = np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
+            bound = listed.max(2) + dense @ self.most + 1e-9
+
+            def look_into(wanted):
+                for block in np.flatnonzero(wanted.any(0)):
+                    who = np.flatnonzero(wanted[:, block])
+                    score[who, block] = listed[who, block] + dense[who] @ self.rows[block]
+
+            n = min(_FIRST, self.blocks)
+            first = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+            np.put_along_axis(open_, first, False, axis=1)
+            look_into(~open_)
+            got = np.take_along_axis(score, first[:, :, None], axis=1).reshape(len(part), -1)
+            if got.shape[1] > k:
+                open_ &= bound >= np.partition(got, -k, axis=1)[:, [-k]]
+            look_into(open_)
+            top = score.max(2)
+            for q in range(len(part)):
+                # The k-th best maximum is no more than the k-th best score, so a block below it holds none of the k.
+                use = np.flatnonzero(top[q] >= np.partition(top[q], -k)[-k] - 1e-11) if self.blocks > k else np.arange(self.blocks)
+                place = (use[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                got = np.round(score[q, use].ravel(), 12)
+                best = np.flatnonzero((got >= np.partition(got, -k)[-k]) & (got > 0)) if len(got) > k else np.flatnonzero(got > 0)
+                best = best[np.lexsort((place[best], -got[best]))][:k]
+                out.append(list(zip(got[best].tolist(), place[best].tolist())))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
