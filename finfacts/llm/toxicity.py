@@ -24,7 +24,6 @@ _KNOWN = 100_000
 BLOCK = 64              # examples that share a maximum
 _COMMON = 16            # a term in more than one of so many examples has a row over all of them
 _BATCH = 64             # texts that are scored together
-_FIRST = 8              # blocks that a text scores before bounds are compared
 NEIGHBOURS = 15
 _SCORED = "score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 
@@ -34,50 +33,35 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in _PREFIX if k < len(word))]
 
 
-class _Codes(dict):
-    """Numbers of words, given out as they come."""
-
-    def __init__(self, learn):
-        self.learn = learn
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.learn(word, n)
-        return n
-
-
-class Lexicon:
-    """Chosen terms and positions of words; remembers words seen lately (bounded between texts)."""
+class Lexicon(dict):
+    """Chosen terms of a word, as positions; remembers words seen lately (bounded)."""
 
     def __init__(self, terms: dict[str, int], words: dict[str, int] | None = None):
         self.terms, self.words = terms, words or {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes, self.hits = _Codes(self._learn), {}
-        self.place, self.hit = np.empty(1024, np.int64), np.empty(1024, bool)      # by code
 
-    def _learn(self, word: str, code: int) -> None:
-        if code == len(self.place):
-            self.place, self.hit = np.resize(self.place, 2 * code), np.resize(self.hit, 2 * code)
-        self.place[code] = self.words.get(word, -1)
-        found = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
-        self.hit[code] = bool(found)
-        if found:
-            self.hits[code] = found
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= _KNOWN:
+            self.clear()
+        got = self[word] = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
+        return got
 
     def count(self, text: str | None) -> "Counts":
-        if len(self.codes) >= _KNOWN:
-            self._forget()
-        found = _WORD.findall(text.lower()) if text else []
-        code, n = np.unique(np.fromiter(map(self.codes.__getitem__, found), np.int64, len(found)), return_counts=True)
-        hit, place = self.hit[code], self.place[code]
-        tf = Counter()
-        for c, times in zip(code[hit].tolist(), n[hit].tolist()):
-            for t in self.hits[c]:
-                tf[t] += times
-        known = place >= 0
-        return Counts(tf, int(n[~hit].sum()), place[known], n[known].astype(float), n[~known].astype(float))
+        words = Counter(_WORD.findall(text.lower())) if text else {}
+        tf, rest, ids, times, strange = Counter(), 0, [], [], []
+        get = self.words.get
+        for w, n in words.items():
+            hits = self[w]
+            for t in hits:
+                tf[t] += n
+            if not hits:
+                rest += n
+            k = get(w)
+            if k is None:
+                strange.append(n)
+            else:
+                ids.append(k)
+                times.append(n)
+        return Counts(tf, rest, np.array(ids, np.int64), np.array(times, float), np.array(strange, float))
 
 
 @dataclass
@@ -97,24 +81,20 @@ def _arrays(v: Vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, searched block by block. A term of many examples has a row over all of them,
-    zero where it doesn't occur, and for each block of ``BLOCK`` examples the greatest weight there; any other has a
-    list. A block's bound is the query's weights times those maxima, plus the best that lists give in it. Blocks whose
-    bound is below the k-th best score found in the most promising ones are skipped."""
+    """Postings of unit vectors by term. A term of many examples has a row over all of them, zero where it doesn't
+    occur; any other has a list. Every example is scored; the maxima of blocks of ``BLOCK`` tell where the best are."""
 
     def __init__(self, vectors: list[Vector], n_terms: int):
-        self.blocks = -(-len(vectors) // BLOCK)
+        self.size = -(-len(vectors) // BLOCK) * BLOCK
         n = [len(_arrays(v)[0]) for v in vectors]
         term, weight = (np.concatenate([_arrays(v)[k] for v in vectors]) for k in (0, 1))
         place = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
         held = np.bincount(term, minlength=n_terms)
         common = held * _COMMON > len(vectors)
         self.row = np.where(common, np.cumsum(common) - 1, -1).astype(np.int32)
-        rows = np.zeros((int(common.sum()), self.blocks * BLOCK))
+        self.rows = np.zeros((int(common.sum()), self.size))
         dense = common[term]
-        rows[self.row[term[dense]], place[dense]] = weight[dense]
-        self.most = rows.reshape(len(rows), self.blocks, BLOCK).max(2)
-        self.rows = np.ascontiguousarray(rows.reshape(len(rows), self.blocks, BLOCK).transpose(1, 0, 2))       # block by block
+        self.rows[self.row[term[dense]], place[dense]] = weight[dense]
         rare = np.flatnonzero(~dense).astype(np.int32)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.place, self.weight = place[rare], weight[rare]
@@ -124,50 +104,30 @@ class BlockMaxIndex:
         return self.nearest_of([vector], k)[0]
 
     def nearest_of(self, vectors: list[Vector], k: int) -> list[list[tuple[float, int]]]:
-        """Of each vector the k best (cosine, example) above 0, exactly; ties go to the lower example.
-
-        Each query scores its most promising blocks by itself; a block that any query of a batch still needs after that
-        is scored for all that need it at once.
-        """
+        """Of each vector the k best (cosine, example) above 0, exactly; ties go to the lower example."""
         out = []
         for s in range(0, len(vectors), _BATCH):
-            part = list(map(_arrays, vectors[s:s + _BATCH]))
-            dense = np.zeros((len(part), len(self.most)))
-            score = np.full((len(part), self.blocks, BLOCK), -1.0)
-            listed, open_ = np.empty((len(part), self.blocks, BLOCK)), np.ones((len(part), self.blocks), bool)
-            for q, (terms, weights) in enumerate(part):
+            part = vectors[s:s + _BATCH]
+            dense, sparse = np.zeros((len(part), len(self.rows))), []
+            for q, (terms, weights) in enumerate(map(_arrays, part)):
                 row = self.row[terms]
-                common, own = row[row >= 0], weights[row >= 0]
-                dense[q, common] = own
+                dense[q, row[row >= 0]] = weights[row >= 0]
                 terms, weights = terms[row < 0], weights[row < 0]
                 lo = self.start[terms]
                 n = self.start[terms + 1] - lo
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                listed[q] = np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.blocks * BLOCK).reshape(-1, BLOCK)
-            bound = listed.max(2) + dense @ self.most + 1e-9
-
-            def look_into(wanted):
-                for block in np.flatnonzero(wanted.any(0)):
-                    who = np.flatnonzero(wanted[:, block])
-                    score[who, block] = listed[who, block] + dense[who] @ self.rows[block]
-
-            n = min(_FIRST, self.blocks)
-            first = np.argpartition(-bound, n - 1, axis=1)[:, :n]
-            np.put_along_axis(open_, first, False, axis=1)
-            look_into(~open_)
-            got = np.take_along_axis(score, first[:, :, None], axis=1).reshape(len(part), -1)
-            if got.shape[1] > k:
-                open_ &= bound >= np.partition(got, -k, axis=1)[:, [-k]]
-            look_into(open_)
-            top = score.max(2)
-            for q in range(len(part)):
+                sparse.append(np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.size))
+            for score, more in zip(dense @ self.rows, sparse):
+                score = np.round(score + more, 12)
+                blocks = score.reshape(-1, BLOCK)
+                top = blocks.max(1)
                 # The k-th best maximum is no more than the k-th best score, so a block below it holds none of the k.
-                use = np.flatnonzero(top[q] >= np.partition(top[q], -k)[-k] - 1e-11) if self.blocks > k else np.arange(self.blocks)
+                use = np.flatnonzero(top >= np.partition(top, -k)[-k]) if len(top) > k else np.arange(len(top))
                 place = (use[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                got = np.round(score[q, use].ravel(), 12)
-                best = np.flatnonzero((got >= np.partition(got, -k)[-k]) & (got > 0)) if len(got) > k else np.flatnonzero(got > 0)
-                best = best[np.lexsort((place[best], -got[best]))][:k]
-                out.append(list(zip(got[best].tolist(), place[best].tolist())))
+                score = score[place]
+                best = np.flatnonzero((score >= np.partition(score, -k)[-k]) & (score > 0)) if len(score) > k else np.flatnonzero(score > 0)
+                best = best[np.lexsort((place[best], -score[best]))][:k]
+                out.append(list(zip(score[best].tolist(), place[best].tolist())))
         return out
 
 
