@@ -8,6 +8,7 @@ bounded by ``max_len`` whatever the number of documents.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -26,6 +27,9 @@ _CACHE_ENTRIES = 350_000
 #: goes to the tokenizer whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ‐-‧]*")
 _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼-¾]+| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼-¾]+|\s+(?!\S)|\s+")
+#: The vocabulary's sign for each byte: printable ones for themselves, the others from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(sorted({*range(0x100)} - {*_PRINTABLE}))}
 _workers: dict[str, "TokenIds"] = {}
 cache_of("packing", _workers.clear)
 
@@ -42,7 +46,7 @@ class TokenIds(dict):
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part) or self.encode(part)
+        ids = self.old.get(part) or self.encode_part(part)
         if len(part) <= 64:
             if len(self) >= _CACHE_ENTRIES:
                 self.old = dict(self)
@@ -53,6 +57,15 @@ class TokenIds(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_part(self, part: str) -> bytes:
+        """One split part, straight to the vocabulary's merges."""
+        if part.isascii() and part.isprintable():
+            signs = part.replace(" ", "Ġ")
+        else:
+            signs = part.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str) -> bytes:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return self.encode(text)
@@ -71,8 +84,9 @@ def token_ids(path: str | None = None) -> TokenIds:
 
 
 def cut(n_ids: int, max_len: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: one, or full ones with the rest at the end."""
-    return [(s, min(max_len, n_ids - s)) for s in range(0, n_ids, max_len)]
+    """(start, length) of a document's pieces: one, or full ones after the rest."""
+    first = (n_ids - 1) % max_len + 1
+    return [(0, first)] + [(s, max_len) for s in range(first, n_ids, max_len)]
 
 
 def plan_runs(counts: dict[int, int], max_len: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -146,7 +160,7 @@ def pack_best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                   tokenizer: str | None = None) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its token ids and ``end_id``; only those longer than ``max_len`` are cut, the remainder last.
+    A document is its token ids and ``end_id``; only those longer than ``max_len`` are cut, the remainder first.
     Pieces are range-sorted by length (equal lengths split by id, so copies don't meet in one task); every partition
     reports how many pieces of each length it has, at most ``max_len`` plus one report a partition in all. From
     these follow global ranks within a length and the placements of ``plan_runs``, which each row looks up by rank.
