@@ -6,11 +6,14 @@ Every reader returns a DataFrame; files are read by executors (``binaryFile`` /
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_cik, normalize_ticker, strict_date
 from finfacts.functions.payload import canonical_json_sha256, gzip_canonical_json
+from finfacts.session import scratch_path
 
 FACTS_NAME = r"^CIK(\d+)\.json$"
 OVERFLOW_NAME = r"^CIK(\d+)-submissions-\d+\.json$"
@@ -186,20 +189,26 @@ def statement_tag_rules(schemas: DataFrame) -> DataFrame:
 
     Every ``xbrl_tags`` list at any depth is read: items are objects with ``namespace`` and a text ``tag``, or texts
     ``namespace:tag``. Only us-gaap and ifrs-full tags count; other items and values of the key are skipped, and so is
-    a document that is no JSON. The walk is a recursive query over the documents' values.
+    a document that is no JSON. The walk goes down the documents' values level by level, each written to the checkpoint
+    folder, so the number of values has no bound (a recursive query ends at ``spark.sql.cteRecursionRowLimit``).
     """
-    return schemas.sparkSession.sql("""
-        WITH RECURSIVE node(statement, key, v) MAX RECURSION LEVEL 10000 AS (
-          SELECT statement, CAST(NULL AS STRING), try_parse_json(json) FROM {schemas}
-          UNION ALL
-          SELECT n.statement, c.key, c.value FROM node n, LATERAL variant_explode(n.v) c
-        ), item AS (
-          SELECT n.statement, i.value AS v FROM node n, LATERAL variant_explode(n.v) i WHERE n.key = 'xbrl_tags' AND i.key IS NULL
-        ), tagged AS (
+    spark = schemas.sparkSession
+    base = scratch_path(spark, f"tag-rules-{uuid.uuid4().hex[:12]}")
+    level = schemas.select("statement", F.lit(None).cast("string").alias("key"), F.try_parse_json("json").alias("v"), F.lit(False).alias("listed"))
+    paths = []
+    while not paths or not level.isEmpty():
+        below = spark.sql("""SELECT n.statement, c.key, c.value AS v, coalesce(n.key = 'xbrl_tags', false) AND c.key IS NULL AS listed
+                             FROM {level} n, LATERAL variant_explode(n.v) c""", level=level)
+        paths.append(f"{base}/{len(paths)}")
+        below.write.parquet(paths[-1])
+        level = spark.read.schema(below.schema).parquet(paths[-1])
+    return spark.sql("""
+        WITH tagged AS (
           SELECT statement, CASE WHEN schema_of_variant(v) = 'STRING' THEN split_part(CAST(v AS STRING), ':', 1)
                                  WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN try_variant_get(v, '$.namespace', 'string') END AS namespace,
                  CASE WHEN schema_of_variant(v) = 'STRING' AND CAST(v AS STRING) LIKE '%:%' THEN substring(CAST(v AS STRING), instr(CAST(v AS STRING), ':') + 1)
                       WHEN schema_of_variant(v) LIKE 'OBJECT%' AND schema_of_variant(try_variant_get(v, '$.tag', 'variant')) = 'STRING'
                       THEN try_variant_get(v, '$.tag', 'string') END AS tag
-          FROM item)
-        SELECT DISTINCT statement, namespace, tag FROM tagged WHERE namespace IN ('us-gaap', 'ifrs-full') AND tag IS NOT NULL""", schemas=schemas)
+          FROM {values} WHERE listed)
+        SELECT DISTINCT statement, namespace, tag FROM tagged WHERE namespace IN ('us-gaap', 'ifrs-full') AND tag IS NOT NULL""",
+                     values=spark.read.schema(level.schema).parquet(*paths))
