@@ -61,10 +61,10 @@ def like_pattern(keyword: str) -> str:
 
 
 def search_entities(entities: DataFrame, keyword: str, limit: int | None = None) -> DataFrame:
-    """Case-sensitive LIKE search on names; with ``limit`` the first so many by name (a top-k)."""
-    m = entities.where(F.col("entity_name").like(like_pattern(keyword)))
+    """Case-sensitive LIKE search on names, in the order of names; with ``limit`` the first so many (a top-k)."""
+    m = entities.where(F.col("entity_name").like(like_pattern(keyword))).orderBy(F.col("entity_name").asc(), F.col("cik").asc())
     if limit is not None:
-        m = m.orderBy(F.col("entity_name").asc(), F.col("cik").asc()).limit(int(limit))
+        m = m.limit(int(limit))
     return m.select("cik", "entity_name")
 
 

@@ -67,9 +67,9 @@ SEARCH_KEYWORD = "#00000"
 
 
 @query("search_entities", "M7 C8 G5", sql(["fx_companies"], [], f"""
-SELECT cik, entity_name FROM fx_companies WHERE instr(entity_name, '{SEARCH_KEYWORD}') > 0 ORDER BY entity_name, cik LIMIT 1000"""))
+SELECT cik, entity_name FROM fx_companies WHERE entity_name LIKE '{rs.like_pattern(SEARCH_KEYWORD)}' ESCAPE '\\' ORDER BY entity_name, cik"""))
 def search_entities(c):
-    return rs.search_entities(c["fx_companies"], SEARCH_KEYWORD, 1000)
+    return rs.search_entities(c["fx_companies"], SEARCH_KEYWORD)
 
 
 # Keywords from the names themselves: their endings, single and double letters, wildcards, signs that LIKE knows, nothing.
