@@ -12,6 +12,7 @@ from finfacts.functions.text import fiscal_year_label, humanize, period_label
 from finfacts.operators.asof import with_asof_rate
 from finfacts.operators.latest import first_n_periods, period_index
 from finfacts.operators.standardize import with_ttm
+from finfacts.session import written
 
 
 def is_monetary(tag: Column) -> Column:
@@ -59,18 +60,13 @@ def growth(rows: DataFrame, offset: int, keys: Sequence[str] = ("cik", "statemen
 VIEW_OFFSETS = {"FY": {"% YoY": 1, "% PoP": 1}, "Q": {"% YoY": 4, "% PoP": 1}, "TTM": {"% YoY": 4, "% PoP": 1}}
 
 
-def _place(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``rows`` with the sorted distinct periods of their ``keys`` as ``_all`` (one short array a key)."""
-    every = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("period_ending")).alias("_all"))
-    return rows.join(every, list(keys))
-
-
 def statement_views(std: DataFrame, rates: DataFrame | None, statement: str, limit: int = 10) -> DataFrame:
     """(period, transform, cik, tag, period_ending, value, period_rank): rows and growth of a statement in every view.
 
     One pass for all of them: a quarter is exploded into itself and the twelve months that it ends, one window per line
     item holds the values one and four periods back, and each view keeps its newest ``limit`` periods per company.
-    Values are in USD where a rate exists.
+    Periods are counted from one short array a company and kind, so the rows are read twice in either step and written
+    before it. Values are in USD where a rate exists.
     """
     s = std.where((F.col("statement") == statement) & F.col("frequency").isin("annual", "quarterly") & F.col("period_ending").isNotNull())
     if rates is not None:
@@ -84,20 +80,24 @@ def statement_views(std: DataFrame, rates: DataFrame | None, statement: str, lim
         F.array(F.struct(F.lit("Q").alias("period"), F.col("val").alias("v")), F.struct(F.lit("TTM").alias("period"), F.col("ttm").alias("v"))))
     s = s.select("cik", "tag", "period_ending", "_factor", F.explode(kinds).alias("k")).select("cik", "tag", "period_ending", "_factor", "k.period", "k.v")
     s = s.where((F.col("period") != "TTM") | F.col("v").isNotNull())
-    s = _place(s, ["cik", "period"]).withColumn("_i", F.array_position("_all", F.col("period_ending")))
+    s = written(s, "views")
+    periods = lambda found: F.array_sort(F.collect_set(F.when(found, F.col("period_ending"))))
+    place = lambda every: F.array_position(every, F.col("period_ending"))
+    s = s.join(s.groupBy("cik", "period").agg(periods(F.lit(True)).alias("_all")), ["cik", "period"]).withColumn("_i", place("_all"))
     w = Window.partitionBy("cik", "tag", "period").orderBy("_i")
     s = s.withColumn("_b1", F.max("v").over(w.rangeBetween(-1, -1))).withColumn("_b4", F.max("v").over(w.rangeBetween(-4, -4)))
     back = {1: F.col("_b1"), 4: F.col("_b4")}
-    views = [F.struct(F.lit("None").alias("transform"), F.coalesce(F.col("v") * F.col("_factor"), F.col("v")).alias("value"))]
+    values = {"None": F.coalesce(F.col("v") * F.col("_factor"), F.col("v"))}
     for transform in ("% YoY", "% PoP"):
-        by_kind = [F.when(F.col("period") == p, growth_expr("v", back[o[transform]])) for p, o in VIEW_OFFSETS.items()]
-        views.append(F.struct(F.lit(transform).alias("transform"), F.coalesce(*by_kind).alias("value")))
-    s = s.select("cik", "tag", "period", "period_ending", F.explode(F.array(*views)).alias("x")).select("cik", "tag", "period", "period_ending", "x.transform", "x.value")
-    s = s.where((F.col("transform") == "None") | F.col("value").isNotNull())
-    s = _place(s, ["cik", "period", "transform"])
-    rank = (F.size("_all") - F.array_position("_all", F.col("period_ending")) + 1).cast("int")
-    out = s.select("period", "transform", "cik", "tag", "period_ending", "value", rank.alias("period_rank"))
-    return out.where(F.col("period_rank") <= limit) if limit else out
+        values[transform] = F.coalesce(*[F.when(F.col("period") == p, growth_expr("v", back[o[transform]])) for p, o in VIEW_OFFSETS.items()])
+    s = written(s.select("cik", "tag", "period", "period_ending", *[v.alias(t) for t, v in values.items()]), "views")
+    shown = {t: F.lit(True) if t == "None" else F.col(t).isNotNull() for t in values}
+    every = s.groupBy("cik", "period").agg(*[periods(shown[t]).alias(f"_all {t}") for t in values])
+    rank = lambda t: (F.size(f"_all {t}") - place(f"_all {t}") + 1).cast("int")
+    views = F.array(*[F.when(shown[t], F.struct(F.lit(t).alias("transform"), F.col(t).alias("value"), rank(t).alias("period_rank"))) for t in values])
+    views = F.filter(views, lambda x: (x["period_rank"] <= limit) if limit else x.isNotNull())
+    s = s.join(every, ["cik", "period"]).select("cik", "tag", "period", "period_ending", F.explode(views).alias("x"))
+    return s.select("period", "x.transform", "cik", "tag", "period_ending", "x.value", "x.period_rank")
 
 
 def drop_imputed(rows: DataFrame, keys: Sequence[str] = ("cik", "tag")) -> DataFrame:

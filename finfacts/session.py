@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import SparkConf, SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for settings that nobody has made: neither spark-submit, nor a file, nor a running session.
 _DEFAULTS = {
@@ -86,3 +87,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a written intermediate table inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/tables/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as files in the shared checkpoint folder, for a result that is read more than once."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
