@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.functions.ids import normalize_ticker
+from finfacts.session import written
+
+#: Names of one character sequence that a keyword meets in one place.
+POSTINGS_PART = 50_000
+
 
 def _processed(processed: DataFrame) -> DataFrame:
     flags = F.col("has_balance") & F.col("has_income") & F.col("has_cash_flow")
@@ -80,6 +85,7 @@ def search_keywords(entities: DataFrame, keywords: DataFrame, keyword: str = "ke
     The LIKE rule of ``search_entities``. Names are posted under their sequences of three characters, and a keyword asks
     for the rarest one that it must contain (between wildcards); only names found there are compared. A keyword without
     three characters in a row asks for two or one, and one of wildcards alone for every name. Null keywords find nothing.
+    A sequence of many names is dealt out in parts of about ``POSTINGS_PART`` names, each compared with all its keywords.
     """
     kws = keywords.select(F.col(keyword).alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
     runs = F.split("keyword", "_")
@@ -92,12 +98,16 @@ def search_keywords(entities: DataFrame, keywords: DataFrame, keyword: str = "ke
     # Postings of the lengths that occur in a keyword only: shorter ones join nothing otherwise.
     text = F.col("entity_name")
     posted = names.select("cik", "entity_name", F.explode(F.array_distinct(F.concat(_grams(text, 3), _grams(text, 2), _grams(text, 1), F.array(F.lit(""))))).alias("gram"))
-    posted = posted.join(asked.select("gram").distinct(), "gram", "left_semi")
-    count = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(count, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    count = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    rarest = asked.join(count, "gram", "left").groupBy("keyword").agg(F.min(F.struct(n.alias("n"), "gram")).alias("_g"))
+    rarest = rarest.select("keyword", "_g.gram", F.greatest(F.lit(1), F.ceil(F.col("_g.n") / POSTINGS_PART)).alias("_parts"))
+    rarest = written(rarest, "rarest")
+    posted = posted.join(rarest.select("gram", "_parts").distinct(), "gram").withColumn("_part", F.pmod(F.xxhash64("cik", "entity_name"), F.col("_parts"))).drop("_parts")
+    rarest = rarest.select("keyword", "gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
     # "%" and the escape character stand for themselves, "_" is any character.
     pattern = F.replace(F.replace("keyword", F.lit("\\"), F.lit("\\\\")), F.lit("%"), F.lit("\\%"))
-    hits = posted.join(rarest, "gram").where(F.like(text, F.concat(F.lit("%"), pattern, F.lit("%"))))
+    hits = posted.join(rarest, ["gram", "_part"]).where(F.like(text, F.concat(F.lit("%"), pattern, F.lit("%"))))
     if limit is not None:
         w = Window.partitionBy("keyword").orderBy(F.col("entity_name").asc(), F.col("cik").asc())
         hits = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= int(limit))
