@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finfacts.operators.latest import latest_by
+from finfacts.session import written
 from finfacts.operators.periods import fiscal_years, in_fiscal_year, period_class, quarters_from_ytd, year_label
 
 RULE_SCHEMA = ("company_type string, statement string, line_item string, priority int, namespace string, "
@@ -150,18 +151,20 @@ def merge_registrants(std: DataFrame, canonical: DataFrame, priorities: DataFram
 
     Only companies in a multi-registrant group can collide, so only their rows are
     aggregated; every other row (a company's key is unique in the statement table)
-    passes straight through without a shuffle where AQE finds the group set small.
+    passes straight through without a shuffle where AQE finds the group set small. The
+    statements are read once: their rows are written with their group, then told apart.
     """
     linked = canonical.where(F.col("cik") != F.col("primary_cik"))
     members = linked.select("cik").union(linked.select(F.col("primary_cik").alias("cik"))).distinct()
     key = ["primary_cik", "statement", "tag", "period_ending", "fiscal_year", "fiscal_period", "frequency"]
     rest = [c for c in std.columns if c not in key and c != "cik"]
-    plain = std.join(members, "cik", "left_anti").select(
-        F.col("cik"), F.col("cik").alias("source_cik"), *[c for c in key if c != "primary_cik"], *rest)
     pr = priorities.groupBy("cik").agg(F.min("priority").alias("_prio"))
-    s = (std.join(members, "cik", "left_semi").join(canonical, "cik", "left").join(pr, "cik", "left")
-            .withColumn("primary_cik", F.coalesce("primary_cik", "cik"))
-            .withColumn("_prio", F.coalesce("_prio", F.lit(2147483647))))
+    group = (members.join(canonical, "cik", "left").join(pr, "cik", "left")
+             .select("cik", F.coalesce("primary_cik", "cik").alias("primary_cik"), F.coalesce("_prio", F.lit(2147483647)).alias("_prio")))
+    rows = written(std.join(group, "cik", "left"), "registrants")
+    plain = rows.where(F.col("primary_cik").isNull()).select(
+        F.col("cik"), F.col("cik").alias("source_cik"), *[c for c in key if c != "primary_cik"], *rest)
+    s = rows.where(F.col("primary_cik").isNotNull())
     picked = latest_by(s, key, ["_prio", "cik"], cols=key + ["_prio", "cik"] + rest, descending=False)
     merged = picked.select(F.col("primary_cik").alias("cik"), F.col("cik").alias("source_cik"),
                            *[c for c in key if c != "primary_cik"], *rest)
