@@ -50,6 +50,7 @@ def standardize(facts: DataFrame, rules: DataFrame, company_types: DataFrame | N
     picked = latest_by(j.where(F.col("class").isNotNull()), ["cik", "statement", "line_item", "end", "class"], ["_np", "filed", "val"],
                        cols=["cik", "statement", "line_item", "end", "class", "_np", "filed", "val", "fp", "start", "unit", "company_type",
                              "namespace", "tag", "kind"])
+    picked = written(picked, "picked")      # read for the fiscal years, the reported rows and the derived ones
     years = fiscal_years(picked.where(F.col("kind") == "duration"))
     placed = in_fiscal_year(picked, years)
     annual = F.col("class") == "annual"
