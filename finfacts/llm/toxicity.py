@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,9 @@ _CANDIDATES = 2000      # terms that enter the choice
 _MIN_GAIN = 16.0        # log-likelihood ratio of a term over the examples not yet explained
 _EXPLAINED = 3          # chosen terms after which an example is explained
 _PREFIX = range(3, 9)   # lengths of word beginnings that are terms besides the whole words
+_HEAD = _PREFIX.start   # letters that a word shares with all its beginnings
 _KNOWN = 100_000
+_ASCII = {k: chr(k).lower() if _WORD.match(chr(k)) else " " for k in range(128)}
 BLOCK = 64              # examples that share a maximum
 _COMMON = 16            # a term in more than one of so many examples has a row over all of them
 _BATCH = 64             # texts that are scored together
@@ -33,11 +37,19 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in _PREFIX if k < len(word))]
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words; ASCII texts, where ``\\w`` is letters, digits and the underscore, are split without the expression."""
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    return _WORD.findall(text.lower())
+
+
 class Lexicon(dict):
     """Chosen terms of a word, as positions; remembers words seen lately (bounded)."""
 
     def __init__(self, terms: dict[str, int], words: dict[str, int] | None = None):
         self.terms, self.words = terms, words or {}
+        self.heads = {t[:_HEAD] for t in terms}     # a word that begins otherwise has no term
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= _KNOWN:
@@ -45,23 +57,22 @@ class Lexicon(dict):
         got = self[word] = tuple(t for t in map(self.terms.get, features(word)) if t is not None)
         return got
 
+    def terms_of(self, words: Iterable[str]) -> set[int]:
+        return {t for w in words if w[:_HEAD] in self.heads for t in self[w]}
+
     def count(self, text: str | None) -> "Counts":
-        words = Counter(_WORD.findall(text.lower())) if text else {}
-        tf, rest, ids, times, strange = Counter(), 0, [], [], []
-        get = self.words.get
-        for w, n in words.items():
+        words = Counter(words_of(text)) if text else {}
+        tf, rest, heads = Counter(), sum(words.values()), self.heads
+        for w in [w for w in words if w[:_HEAD] in heads]:
             hits = self[w]
             for t in hits:
-                tf[t] += n
-            if not hits:
-                rest += n
-            k = get(w)
-            if k is None:
-                strange.append(n)
-            else:
-                ids.append(k)
-                times.append(n)
-        return Counts(tf, rest, np.array(ids, np.int64), np.array(times, float), np.array(strange, float))
+                tf[t] += words[w]
+            if hits:
+                rest -= words[w]
+        ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        times = np.fromiter(words.values(), float, len(words))
+        known = ids >= 0
+        return Counts(tf, rest, ids[known], times[known], times[~known])
 
 
 @dataclass
@@ -112,19 +123,24 @@ class BlockMaxIndex:
             for q, (terms, weights) in enumerate(map(_arrays, part)):
                 row = self.row[terms]
                 dense[q, row[row >= 0]] = weights[row >= 0]
-                terms, weights = terms[row < 0], weights[row < 0]
+                sparse.append((terms[row < 0], weights[row < 0]))
+            scores = dense @ self.rows
+            for score, (terms, weights) in zip(scores, sparse):
                 lo = self.start[terms]
                 n = self.start[terms + 1] - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                sparse.append(np.bincount(self.place[at], np.repeat(weights, n) * self.weight[at], self.size))
-            for score, more in zip(dense @ self.rows, sparse):
-                score = np.round(score + more, 12)
-                blocks = score.reshape(-1, BLOCK)
-                top = blocks.max(1)
-                # The k-th best maximum is no more than the k-th best score, so a block below it holds none of the k.
-                use = np.flatnonzero(top >= np.partition(top, -k)[-k]) if len(top) > k else np.arange(len(top))
-                place = (use[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                score = score[place]
+                at = np.repeat(lo - np.cumsum(n) + n, n)
+                at += np.arange(len(at))
+                more = self.weight.take(at, mode="clip")
+                more *= np.repeat(weights, n)
+                score += np.bincount(self.place.take(at, mode="clip"), more, self.size)
+            # The k-th best maximum is no more than the k-th best score, so an example below it is none of the k.
+            top = scores.reshape(len(part), -1, BLOCK).max(2)
+            least = np.partition(top, -k, axis=1)[:, -k] if top.shape[1] > k else np.zeros(len(part))
+            at = np.flatnonzero(scores >= least[:, None] - 1e-11)
+            found = np.round(scores.ravel()[at], 12)
+            ends = np.searchsorted(at, np.arange(len(part) + 1) * self.size).tolist()
+            for q, (i, j) in enumerate(zip(ends, ends[1:])):
+                score, place = found[i:j], at[i:j] - q * self.size
                 best = np.flatnonzero((score >= np.partition(score, -k)[-k]) & (score > 0)) if len(score) > k else np.flatnonzero(score > 0)
                 best = best[np.lexsort((place[best], -score[best]))][:k]
                 out.append(list(zip(score[best].tolist(), place[best].tolist())))
@@ -232,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
         total = (Counter(), Counter())
         for b in batch_rows(batches):
             for text, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                total[c].update({f for w in set(_WORD.findall(text.lower())) for f in features(w)})
+                total[c].update({f for w in set(words_of(text)) for f in features(w)})
         words = list(total[0].keys() | total[1].keys())
         for s in range(0, len(words), 10_000):
             part = words[s:s + 10_000]
@@ -273,11 +289,14 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
         n_terms = len(lexicon.terms)
         total = np.zeros(n_terms + len(lexicon.words) + 1, np.int64)
         for b in batch_rows(batches):
+            held = Counter()        # documents of the batch by word
             for x in b.column(0).to_pylist():
-                c = lexicon.count(x)
-                total[list(c.terms)] += 1
-                total[c.words + n_terms] += 1
-                total[-1] += 1
+                words = set(words_of(x)) if x else ()
+                held.update(words)
+                total[list(lexicon.terms_of(words))] += 1
+            ids = np.fromiter(map(lexicon.words.get, held, repeat(-1)), np.int64, len(held))
+            total[ids[ids >= 0] + n_terms] += np.fromiter(held.values(), np.int64, len(held))[ids >= 0]
+            total[-1] += b.num_rows
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["term", "n"])
 
@@ -301,6 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
     model.examples = [(rows[k]["doc_id"], rows[k]["toxic"], weight[rows[k]["toxic"]]) for k in order]
     base = count[1] / (count[0] + count[1])
     empty = [(r["toxic"], weight[r["toxic"]]) for r, c in zip(rows, counts) if not len(c.words)]
+    has_terms = [bool(counts[k].terms) for k in order]
+    del rows, counts            # before the index is built, as the driver's memory is bounded
     model.plain = (sum(y * w for y, w in empty) + base) / (sum(w for _, w in empty) + 1)
     if order:
         model.index = BlockMaxIndex(vectors, len(model.idf))
@@ -310,8 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Model:
         for k, near in enumerate(model.index.nearest_of(vectors, NEIGHBOURS + 1)):      # each example is judged by the others
             near = [x for x in near if x[1] != k][:NEIGHBOURS]
             if near:
-                chosen_terms = bool(counts[order[k]].terms)
-                votes[chosen_terms].append((model.vote(near, chosen_terms), *model.examples[k][1:]))
+                votes[has_terms[k]].append((model.vote(near, has_terms[k]), *model.examples[k][1:]))
         model.curves = {c: isotonic(*np.array(v, float).T) for c, v in votes.items()}
     return model
 
